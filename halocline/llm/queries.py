@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import licenses, pii, secrets, urls
+from halocline.llm import langid, licenses, mixing, pii, secrets, urls
 from halocline.llm.sql import LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
 from halocline.llm.workspace import table
 
@@ -31,6 +31,25 @@ def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(k) for k, c in secrets.digest_columns(F.col("secret_spans"), secrets.KINDS).items()])
 
 
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    # a row of the table each: those that share a key are alike
+    rows = mixed.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("row"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def in_fold(doc_id, folds: int):
+    """Whether the crc32 of the id's text falls on 0; a null id is in the fold, so that nothing is learned from it."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
+
+
+def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", in_fold(F.col("doc_id"), 5).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    found = langid.predict(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
@@ -58,6 +77,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_digests": op2_license_digests,
     "op4_secret_entropy": op4_secret_entropy,
+    "op5_pivotal_mix": op5_pivotal_mix,
+    "op6_language_bitmask": op6_language_bitmask,
     "op8_url_cascade": op8_url_cascade,
     "op9_pii": op9_pii,
 }
