@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import langid, licenses, mixing, pii, secrets, urls
+from halocline.llm import ctw, langid, licenses, mixing, pii, secrets, urls
 from halocline.llm.sql import LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
 from halocline.llm.workspace import table
 
@@ -22,6 +22,12 @@ RULES = [
 LISTED = [f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
 
 
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ctw.score(docs, ~in_fold(F.col("doc_id"), 10))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
@@ -75,6 +81,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree_weighting": op1_context_tree_weighting,
     "op2_license_digests": op2_license_digests,
     "op4_secret_entropy": op4_secret_entropy,
     "op5_pivotal_mix": op5_pivotal_mix,
