@@ -15,7 +15,6 @@ holds the model. The baseline, a smoothed count of words, takes the same way.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halocline.llm.hashing import normalize, word_hashes
 from halocline.llm.workspace import Workspace
 
-END = "\n"  # of a text, as a byte and as a token; no word holds it
+END = 0  # key of the token that ends a text
 STRIDE = 1 << 20  # bytes that are turned into grams at once
 BLOCKS = 1 << 24  # blocks that one partition may number
-
-
-def normalize(text: str | None) -> bytes:
-    """A-Z in lower case, one space between words, END last; equal texts are equal sequences of tokens."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + END.encode()
+MERGE = 1 << 20  # keys that are gathered before they are merged
 
 
 def grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,32 +92,52 @@ def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[pd.Da
         yield block, held
 
 
-def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block, parts in _by_block(batches):
-        n: Counter = Counter()
-        for part in parts:
-            for train, body in zip(part["train"], part["body"], strict=True):
-                tokens = body[:-1].decode("utf-8", "surrogatepass").split(" ") if len(body) > 1 else []
-                if train:
-                    n.update(tokens)
-                    n[END] += 1
-                else:
-                    n.update(dict.fromkeys(tokens, 0))
-        yield pd.DataFrame({"block": block, "token": list(n), "n": list(n.values())})
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, int)
+
+
+class _Counts:
+    """Distinct keys with the number of their learned occurrences."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
 
+    def add(self, keys: np.ndarray, learned: np.ndarray) -> None:
+        for part, by in ((keys[learned], 1), (keys[~learned], 0)):
+            part = np.sort(part)
+            first = _runs(part)
+            self.keys.append(part[first])
+            self.n.append(np.diff(np.r_[first, len(part)]) * by)
+        if sum(map(len, self.keys[1:])) > MERGE:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = _runs(keys)
+        self.keys, self.n = [keys[first]], [np.add.reduceat(n, first) if len(first) else n]
+        return self.keys[0], self.n[0]
+
+
+def counter(depth: int):
+    """Rows (block, token, key, n) of a block: its distinct words' hashes (token) and its distinct grams."""
 
-def gram_counter(depth: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, parts in _by_block(batches):
-            found, counts = [], []
+            words, strings = _Counts(), _Counts()
             for part in parts:
-                train = part["train"].to_numpy(bool)
-                for g, i in grams(list(part["body"]), depth):
-                    u, inverse = np.unique(g, return_inverse=True)
-                    found.append(u)
-                    counts.append(np.bincount(inverse, train[i], len(u)))
-            u, inverse = np.unique(np.concatenate(found), return_inverse=True)
-            yield pd.DataFrame({"block": block, "gram": u, "n": np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)})
+                train, bodies = part["train"].to_numpy(bool), list(part["body"])
+                words.add(np.full(len(train), END), train)
+                for h, i in word_hashes(bodies):
+                    words.add(h.view(np.int64), train[i])
+                for g, i in grams(bodies, depth):
+                    strings.add(g, train[i])
+            for token, counts in ((True, words), (False, strings)):
+                key, n = counts.merged()
+                yield pd.DataFrame({"block": block, "token": token, "key": key, "n": n})
 
     return count
 
@@ -180,7 +196,7 @@ def train_model(counted: DataFrame, depth: int, work: Workspace) -> DataFrame:
     return _bits(counted.select("gram")).join(mix.hint("merge"), "key").groupBy("gram").agg(F.sum(F.log10(p)).alias("log10_p"))
 
 
-def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     ``train``: boolean column, null as false; the rows to learn from. score: log10 of the model's probability of the
@@ -188,51 +204,52 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 32
     empty one: one token, the end. Repeated rows count as often as they stand and are scored alike. Bytes that no
     context has foretold are scored by the shorter contexts, at worst half a bit's odds each. If nothing is learned,
     every bit has odds of one half. An empty table gives no rows. ``depth`` is 6 at most; a block's share of a task's
-    memory is some 20 times ``block_bytes``, or of its longest text.
+    memory is some 12 times ``block_bytes``, or of its longest text. Words are counted by 64-bit
+    hashes, and the model's answers travel as 32-bit floats.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ctw")
     staged = work.write(stage(docs, train, block_bytes, doc_id, text), "staged")
-    body = staged.select("block", "train", "body")
-
-    tokens = work.write(body.mapInPandas(count_tokens, "block long, token string, n long"), "tokens")
-    counts = work.write(tokens.groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    lists = work.write(staged.select("block", "train", "body").mapInPandas(counter(depth), "block long, token boolean, key long, n long"), "lists")
+    sums = lists.groupBy("token", "key").agg(F.sum("n").alias("n"))
+    words = work.write(sums.filter("token and n > 0").select("key", "n"), "words")
+    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    known = tokens.select("block", "token").join(counts, "token").select("block", "token", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-
-    found = work.write(body.mapInPandas(gram_counter(depth), "block long, gram long, n long"), "grams")
-    counted = work.write(found.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
+    counted = work.write(sums.filter("not token").select(F.col("key").alias("gram"), "n"), "counted")
     model = work.write(train_model(counted, depth, work), "model")
-    foretold = found.select("block", "gram").join(model, "gram").select("block", F.lit(None).cast("string").alias("token"), "gram", F.col("log10_p").alias("value"))
+    # what a block is told: of a word its count, of a gram log10 of its probability, which is not above 0
+    learned = words.select(F.lit(True).alias("token"), "key", F.col("n").cast("float").alias("value"))
+    learned = learned.unionByName(model.select(F.lit(False).alias("token"), F.col("gram").alias("key"), F.col("log10_p").cast("float").alias("value")))
+    told = work.write(lists.select("block", "token", "key").join(learned.hint("merge"), ["token", "key"]).select("block", "key", "value"), "told")
+    work.drop("lists", "words", "counted", "model", *[f"depth{d}" for d in range(depth + 1)])
+    def lookup(key: np.ndarray, value: np.ndarray) -> tuple[pd.Index, np.ndarray]:
+        """The keys, and their values with a 0 more for a key that is not there."""
+        order = np.argsort(key, kind="stable")
+        order = order[_runs(key[order])]  # a block that two tasks have read comes twice
+        return pd.Index(key[order]), np.r_[value[order].astype(float), 0.0]
 
     def block(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        has = told["token"].notna().to_numpy()
-        log = np.log10((told["value"].to_numpy()[has] + 0.1) / (n + 0.1 * (v + 1)))
-        base = dict(zip(told["token"].to_numpy()[has], log.tolist(), strict=True))
-        unknown = math.log10(0.1 / (n + 0.1 * (v + 1)))
-        g, p = told["gram"].to_numpy()[~has].astype(np.int64), told["value"].to_numpy()[~has]
-        lookup, first = np.unique(g, return_index=True)
-        lookup, p = pd.Index(lookup), p[first]
+        bodies, key, value = list(rows["body"]), told["key"].to_numpy(), told["value"].to_numpy()
+        del told
+        keys, counts = lookup(key[value > 0], value[value > 0])
+        log = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        at = keys.get_indexer([END])[0]
+        base, known = np.full(len(rows), log[at]), np.full(len(rows), int(at >= 0))
+        for h, i in word_hashes(bodies):
+            at = keys.get_indexer(h.view(np.int64))
+            base += np.bincount(i, log[at], len(rows))
+            known += np.bincount(i[at >= 0], minlength=len(rows))
+        keys, log = lookup(key[value <= 0], value[value <= 0])
         sums = np.zeros(len(rows))
-        texts = list(rows["body"])
-        for gram, i in grams(texts, depth):
-            sums += np.bincount(i, p[lookup.get_indexer(gram)], len(rows))
-        bases, known_tokens = [], []
-        for text_ in texts:
-            words = text_[:-1].decode("utf-8", "surrogatepass").split(" ") if len(text_) > 1 else []
-            hits = [x for x in map(base.get, words) if x is not None]
-            end = base.get(END)
-            bases.append(math.fsum(hits) + (len(words) - len(hits)) * unknown + (unknown if end is None else end))
-            known_tokens.append(len(hits) + (end is not None))
-        size = np.array([len(t) for t in texts])
+        for g, i in grams(bodies, depth):
+            sums += np.bincount(i, log[keys.get_indexer(g)], len(rows))
+        size = np.array([len(t) for t in bodies])
         return pd.DataFrame({
-            "doc_id": rows["doc_id"], "train": rows["train"], "n_tokens": rows["n_tokens"], "n_known": known_tokens, "train_tokens": n,
-            "base_score": bases, "score": sums, "n_bytes": size, "bits_per_byte": -sums * math.log2(10) / size,
+            "doc_id": rows["doc_id"], "train": rows["train"], "n_tokens": rows["n_tokens"], "n_known": known, "train_tokens": n,
+            "base_score": base, "score": sums, "n_bytes": size, "bits_per_byte": -sums * math.log2(10) / size,
         })
 
     schema = staged.select("doc_id", "train", "n_tokens").schema
     for name, kind in (("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long"), ("bits_per_byte", "double")):
         schema = schema.add(name, kind)
-    told = known.unionByName(foretold).groupBy("block")
-    return staged.groupBy("block").cogroup(told).applyInPandas(block, schema)
+    return staged.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(block, schema)

@@ -141,12 +141,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", slots: int
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """Adds ``language``, struct<lang, score>, to every row: the language with the largest share, and that share.
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", out: str = "language") -> DataFrame:
+    """Adds ``out``, struct<lang, score>, to every row: the language with the largest share, and that share.
 
     Of equal shares the first language by name wins. A text that is null or has no letter is 'und' with score 0, as is
     any text if the model has no language. Whole texts are read; repeated rows get the same answer. The filter, of a
-    fixed size, is sent to the executors once.
+    fixed size, is sent to the executors once. A column named ``out`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,4 +161,4 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
             names = np.array([*m.languages, UNDETERMINED], object)
             yield pd.DataFrame({"lang": names[np.where(any_, best, len(m.languages))], "score": np.where(any_, share.max(1), 0.0)})
 
-    return docs.withColumn("language", language(F.col(text)))
+    return docs.withColumn(out, language(F.col(text)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import ctw, langid, licenses, mixing, pii, secrets, urls
+from halocline.llm import ctw, decontaminate, embeddings, jaccard, langid, licenses, mixing, pii, secrets, urls
 from halocline.llm.sql import LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
 from halocline.llm.workspace import table
 
@@ -32,6 +32,10 @@ def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
 def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[c.alias(k) for k, c in secrets.digest_columns(F.col("secret_spans"), secrets.KINDS).items()])
@@ -56,6 +60,10 @@ def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op7_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
@@ -80,14 +88,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_weighting": op1_context_tree_weighting,
     "op2_license_digests": op2_license_digests,
+    "op3_chosen_path_join": op3_chosen_path_join,
     "op4_secret_entropy": op4_secret_entropy,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_language_bitmask": op6_language_bitmask,
+    "op7_pivot_permutations": op7_pivot_permutations,
     "op8_url_cascade": op8_url_cascade,
     "op9_pii": op9_pii,
+    "op10_latent_decontamination": op10_latent_decontamination,
 }
 ORACLE: dict[str, str] = {
     "op2_license_digests": LICENSE_SQL,

@@ -92,21 +92,20 @@ def _suspect(match: Column) -> Column:
     return ~allowed & high
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``secret_spans``, array<struct<start, kind, end, match>> sorted by start, then kind, to every row.
+def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans") -> DataFrame:
+    """Adds ``out``, array<struct<start, kind, end, match>> sorted by start, then kind, to every row.
 
     kind is an index of KINDS. A null text is as an empty one: no spans. Texts are scanned whole, whatever their
-    length; repeated rows stay, each scanned alike. A column named secret_spans is replaced; no other is touched.
+    length; repeated rows stay, each scanned alike. A column named ``out`` is replaced; no other is touched.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    hits = docs.withColumn("secret_spans", F.struct(
+    t, s = F.coalesce(F.col(text), F.lit("")), F.col(out)
+    hits = docs.withColumn(out, F.struct(
         spans_of(t, ASSIGN, 0).alias("assign"), spans_of(t, ACCESS, 1).alias("access"), spans_of(t, HEX, 2).alias("hex"), spans_of(t, CANDIDATE, 3).alias("entropy"),
     ))
-    s = F.col("secret_spans")
     assign = F.filter(s["assign"], lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
-    base = hits.withColumn("secret_spans", F.struct(F.concat(assign, s["access"], s["hex"]).alias("base"), s["entropy"].alias("entropy")))
+    base = hits.withColumn(out, F.struct(F.concat(assign, s["access"], s["hex"]).alias("base"), s["entropy"].alias("entropy")))
     clear = F.filter(s["entropy"], lambda x: ~F.exists(s["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _suspect(x["match"]))
-    return base.withColumn("secret_spans", F.array_sort(F.concat(s["base"], clear)))
+    return base.withColumn(out, F.array_sort(F.concat(s["base"], clear)))
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:

@@ -5,6 +5,7 @@ A written table cuts the lineage: a lost executor costs the tasks that run, not
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,15 @@ class Workspace:
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self._paths.pop(name, None)
-        if path:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Also lets the driver collect its garbage, with which the shuffle files of finished steps go."""
+        for name in names:
+            path = self._paths.pop(name, None)
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
