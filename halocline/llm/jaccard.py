@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halocline.llm.groups import components, in_blocks, local_roots, runs_for
 from halocline.llm.hashing import mix, normalize, word_hashes
@@ -59,10 +60,10 @@ def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            few = np.uint64(0)
-            for w in words[a:b]:
-                few = few * np.uint64(0xC2B2AE3D27D4EB4F) + w if few else w
-            out.append(mix(np.array([few])))
+            few = 0
+            for w in words[a:b].tolist():
+                few = (few * 0xC2B2AE3D27D4EB4F + w) % 2**64
+            out.append(mix(np.array([few], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -72,7 +73,7 @@ def choose(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarra
     """The paths that a set of tokens goes on along from each of ``paths``."""
     drawn = mix(tokens[None, :] ^ mix(paths)[:, None])
     odds = min(1.0, 1.0 / (threshold * max(1, len(tokens))))
-    return mix(drawn[drawn <= np.uint64(int(odds * (2**64 - 1)))] ^ np.uint64(0xD1B54A32D192ED03))
+    return mix(drawn[drawn <= np.uint64(min(2**64 - 1, int(odds * 2**64)))] ^ np.uint64(0xD1B54A32D192ED03))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -212,7 +213,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
             paths = [choose(s, roots, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in ngram_sets(list(batch["text"]), words)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "paths": paths})
 
-    schema = keyed.select("doc_id", "id", "key").schema.add("paths", "array<long>")
+    schema = keyed.select("doc_id", "id", "key").schema.add("paths", T.ArrayType(T.LongType()))
     rows = work.write(keyed.mapInPandas(begin, schema), "rows")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"))
     classes = work.write(classes, "classes")
