@@ -1,5 +1,16 @@
 """Named queries over the driver's tables, with the same arithmetic in DuckDB SQL."""
 
-QUERIES = {}
-ORACLE = {}
-FLAGSHIP = "accum_monthly_stats"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from halocline.plans import fields, points, series, statistics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+for part in (statistics, series, fields, points):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
+FLAGSHIP = "accumulate_cells"
