@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from halocline.llm.workspace import Workspace
 
 STRIDE = 20  # words; a passage has twice as many, and every word is in two passages
-SLICE = 1 << 20  # vocabulary words whose passages are made at once
+SLICE = 1 << 17  # vocabulary words whose passages are made at once, so that their vectors stay in a core's cache
 #: Bytes of a text to tokens: A-Z in lower case, other ASCII but letters and digits are breaks.
 TOKEN_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -90,14 +90,13 @@ class Passages:
     def norms(self, idf: np.ndarray) -> np.ndarray:
         """Lengths of the tf-idf vectors; 1 for passages without words."""
         words = self.words()
-        square = (idf**2).astype(np.float32)[words]
-        total = square.sum(1, dtype=np.float64)
-        for d in range(1, words.shape[1]):  # the square of tf counts each pair of equal words twice
-            same = words[:, d:] == words[:, :-d]
-            same &= words[:, d:] > 0
-            if not same.any():
-                break
-            total += 2 * np.where(same, square[:, d:], 0).sum(1, dtype=np.float64)
+        n, width = words.shape
+        flat = words.ravel()
+        fresh = np.ones((n, width), bool)
+        fresh[:, 1:] = words[:, 1:] != words[:, :-1]
+        run = np.flatnonzero(fresh)
+        tf = np.diff(np.r_[run, n * width])
+        total = np.bincount(run // width, (idf[flat[run]] * tf) ** 2, n)
         return np.sqrt(np.where(total > 0, total, 1))
 
     def times(self, weighted: np.ndarray, norms: np.ndarray) -> np.ndarray:
