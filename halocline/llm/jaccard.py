@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,13 +77,12 @@ def choose(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarra
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """One byte of each of SKETCH min-hashes."""
-    rng = np.random.default_rng(7)
-    by = rng.integers(1, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(SKETCH, np.uint64(2**64 - 1))
-    for at in range(0, len(tokens), 8192):
-        least = np.minimum(least, ((tokens[at : at + 8192, None] ^ (by >> np.uint64(7))) * by).min(0))
-    return (mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+    """A byte for each of SKETCH ranges of hashes: of the smallest token there, 0 if there is none. tokens are sorted."""
+    edges = np.arange(SKETCH, dtype=np.uint64) * np.uint64(2**64 // SKETCH)
+    at = np.searchsorted(tokens, edges)
+    first = tokens[np.minimum(at, len(tokens) - 1)]
+    there = (at < len(tokens)) & (first // np.uint64(2**64 // SKETCH) == np.arange(SKETCH, dtype=np.uint64))
+    return np.where(there, mix(first) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
 
 
 def _shared(rows: list[np.ndarray], below: int | None = None) -> np.ndarray:
@@ -107,6 +106,19 @@ def _shared(rows: list[np.ndarray], below: int | None = None) -> np.ndarray:
     return total
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def _agreement(a: Column, b: Column) -> Column:
+    """Share of the sketches' first 32 ranges that agree, of those in which either has a token."""
+    here = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.struct(F.hex(F.substring(a, i, F.lit(1))).alias("a"), F.hex(F.substring(b, i, F.lit(1))).alias("b")))
+    either = F.filter(here, lambda x: (x["a"] != "00") | (x["b"] != "00"))
+    return F.size(F.filter(either, lambda x: x["a"] == x["b"])) / F.greatest(F.size(either), F.lit(1))
+
+
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of rows with the same leaf, bi and bj; the partitions are sorted by these."""
     held: list[pd.DataFrame] = []
@@ -137,8 +149,9 @@ def _fresh(group: pd.DataFrame) -> np.ndarray:
     return np.triu(pairs, 1)
 
 
-def clear(least: float) -> Callable:
-    """Keeps the members of a group that have a pair whose sketches agree in a share of ``least`` or more."""
+def clear(threshold: float) -> Callable:
+    """Keeps the members of a group that have a pair whose sketches do not rule ``threshold`` out: of the ranges that
+    either has a token in, the share that agrees is less by five standard deviations at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches):
@@ -146,11 +159,11 @@ def clear(least: float) -> Callable:
                 continue
             marks = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
             pairs = _fresh(group)
-            if not pairs.any():
-                continue
-            for i in range(len(group)):
+            for i in np.flatnonzero(pairs.any(1)):
                 later = np.flatnonzero(pairs[i])
-                pairs[i, later] = (marks[later] == marks[i]).mean(1) >= least
+                either = np.maximum(1, ((marks[later] > 0) | (marks[i] > 0)).sum(1))
+                agree = ((marks[later] == marks[i]) & (marks[i] > 0)).sum(1)
+                pairs[i, later] = agree / either >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / either)
             hit = pairs.any(0) | pairs.any(1)
             if hit.any():
                 yield group.loc[hit, ["leaf", "bi", "bj", "side", "leaves", "key"]]
@@ -209,64 +222,66 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
-        for batch in batches:
-            paths = [choose(s, roots, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in ngram_sets(list(batch["text"]), words)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "paths": paths})
+        for batch in _parts(batches):
+            sets = ngram_sets(list(batch["text"]), words)
+            paths = [choose(s, roots, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "paths": paths, "sketch": [sketch(s) if len(s) else None for s in sets]})
 
-    schema = keyed.select("doc_id", "id", "key").schema.add("paths", T.ArrayType(T.LongType()))
+    schema = keyed.select("doc_id", "id", "key").schema.add("paths", T.ArrayType(T.LongType())).add("sketch", "binary")
     rows = work.write(keyed.mapInPandas(begin, schema), "rows")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"))
+    classes = rows.filter("key is not null").groupBy("key").agg(
+        F.min("id").alias("id"), F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")
+    )
     classes = work.write(classes, "classes")
-    level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
-    sizes = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes1")
-    level = work.write(level.join(sizes, "leaf"), "shared1")
+    sketches = classes.select("key", "sketch")
 
-    # texts that have company: their sets, once for each text
-    needed = classes.select("key", F.col("low").alias("id"), "n").join(level.select("key").distinct(), "key", "left_semi")
-    texts = keyed.filter("key is not null").select("key", "id", "text").join(needed, ["key", "id"]).dropDuplicates(["key", "id"])
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """key, n, tokens of some classes, made anew from the text of their first row."""
+        texts = keyed.filter("key is not null").select("key", "id", "text").join(classes.select("key", "id", "n").join(keys, "key", "left_semi"), ["key", "id"])
+        return texts.dropDuplicates(["key", "id"]).select("key", "n", "text").mapInPandas(fill, "key binary, n long, tokens binary")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = ngram_sets(list(batch["text"]), words)
-            yield pd.DataFrame({"key": batch["key"], "n": batch["n"], "tokens": [s.tobytes() for s in sets], "sketch": [sketch(s) for s in sets]})
+        for batch in _parts(batches):
+            yield pd.DataFrame({"key": batch["key"], "n": batch["n"], "tokens": [s.tobytes() for s in ngram_sets(list(batch["text"]), words)]})
 
-    sets = work.write(texts.select("key", "n", "text").mapInPandas(fill, "key binary, n long, tokens binary, sketch binary"), "sets")
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _parts(batches):
+            on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
+            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
 
-    leaves = None
+    level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
+    leaves = sets = None
     for at in range(1, depth + 1):
-        found = level.filter(F.col("size") <= small).select("key", "leaf")
-        large = level.filter(F.col("size") > small)
+        sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        level = work.write(level.join(sizes, "leaf"), f"shared{at}")
+        work.drop(f"level{at}")
+        found, large = level.filter(F.col("size") <= small).select("key", "leaf"), level.filter(F.col("size") > small)
         if at == depth or large.isEmpty():
             found = found.union(large.select("key", "leaf"))
             leaves = found if leaves is None else leaves.union(found)
             break
-        # mean similarity of a bucket: how often two of its sets agree in a byte of their sketches
-        bytes_ = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.struct(i.alias("i"), F.substring("sketch", i, F.lit(1)).alias("v")))
-        votes = large.join(sets.select("key", "sketch"), "key").select("leaf", "size", F.explode(bytes_).alias("b"))
-        votes = votes.groupBy("leaf", "b.i", "b.v").agg(F.count(F.lit(1)).alias("c"), F.any_value("size").alias("size"))
-        mean = votes.groupBy("leaf").agg((F.sum(F.pow(F.col("c") / F.col("size"), F.lit(2.0))) / 16).alias("mean"))
-        large = work.write(large.join(mean, "leaf"), f"large{at}")
+        # mean similarity of a bucket, from that of its members with four of them
+        large = large.select("key", "leaf").join(sketches, "key")
+        some = large.groupBy("leaf").agg(*[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
+        alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
+        mean = large.join(some, "leaf").groupBy("leaf").agg(F.avg(alike_).alias("mean"))
+        large = work.write(large.select("key", "leaf").join(mean, "leaf"), f"large{at}")
         found = found.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
         leaves = found if leaves is None else leaves.union(found)
-
-        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
-                yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
-
-        parted = large.filter(F.col("mean") < alike).select("key", "leaf").join(sets.select("key", "tokens"), "key")
-        level = work.write(parted.select("key", "leaf", "tokens").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
-        sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        level = work.write(level.join(sizes, "leaf"), f"shared{at + 1}")
+        rest = large.filter(F.col("mean") < alike).select("key", "leaf")
+        if sets is None:  # deeper buckets hold no others
+            sets = work.write(sets_of(rest.select("key").distinct()), "split_sets").drop("n")
+        level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
     leaves = work.write(leaves, "leaves")
+    work.drop("split_sets")
 
-    members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sets.select("key", "sketch"), "key")
     order = ["leaf", "bi", "bj"]
+    members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
     cleared = in_blocks(members, ["leaf"], F.col("key"), small).repartition(*order).sortWithinPartitions(*order)
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    cleared = work.write(cleared.mapInPandas(clear(least), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
-    whole = cleared.join(sets.select("key", "n", "tokens"), "key").repartition(*order).sortWithinPartitions(*order)
+    cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
+    whole = cleared.join(sets_of(cleared.select("key").distinct()), "key").repartition(*order).sortWithinPartitions(*order)
     links = work.write(whole.mapInPandas(compare(threshold), "key binary, links long, root binary"), "links")
+    work.drop("leaves", "cleared")
 
     joined = components(links.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")), work).withColumnRenamed("node", "key")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
