@@ -104,10 +104,11 @@ def clip_box(vertices: list[tuple[float, float]], box: tuple[float, float, float
         kept: list[tuple[float, float]] = []
         for a, b in zip(vertices, vertices[1:] + vertices[:1], strict=True):
             ina, inb = sign * (a[axis] - limit) >= 0, sign * (b[axis] - limit) >= 0
+            if ina:
+                kept.append(a)
             if ina != inb:
                 t = (limit - a[axis]) / (b[axis] - a[axis])
-                cut = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
-            kept += [a] * ina + [cut] * (ina != inb)
+                kept.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
         vertices = kept
         if not vertices:
             break
