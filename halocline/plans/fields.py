@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halocline.functions import geo, seawater, units
-from halocline.operators import grid, profiles as prof
+from halocline.operators import grid, profiles as prof, sections, select
 from halocline.plans.inputs import buoys, field, masked, profiles, r6, stations, with_
 from halocline.plans.registry import register
 
@@ -227,3 +227,69 @@ def mercator(spark, d):
     return buoys(spark, d).select("buoy", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
 
 
+
+# sections, selections, merged fields
+
+_N, _A, _B = 40, (-100.0, -30.0), (120.0, 50.0)
+_P = "cos(radians({0[1]})) * cos(radians({0[0]}))", "cos(radians({0[1]})) * sin(radians({0[0]}))", "sin(radians({0[1]}))"
+_DOT = " + ".join(f"({p.format(_A)}) * ({p.format(_B)})" for p in _P)
+_X, _Y, _Z = (f"(sin((1 - t) * a) / sin(a) * {p.format(_A)} + sin(t * a) / sin(a) * {p.format(_B)})" for p in _P)
+
+
+@query(with_("field", f"""&g AS (SELECT k, k / {_N}.0::DOUBLE AS t, acos({_DOT}) AS a FROM range({_N + 1}) r(k)), p AS (SELECT k, degrees(atan2({_Y}, {_X})) AS lon, degrees(asin({_Z})) AS lat FROM g),
+  q AS (SELECT k, (lon + 180) / 12 AS x, (lat + 80) / 8 AS y FROM p), c AS (SELECT k, CAST(floor(y) AS INT) + b AS j, CAST(floor(x) AS INT) + a AS i, abs(1 - a - (x - floor(x))) * abs(1 - b - (y - floor(y))) AS w FROM q, range(2) r(a), range(2) s(b))
+  SELECT k, CASE WHEN count(*) = count(v) THEN round(sum(w * v), 6) END AS value FROM c LEFT JOIN field USING (j, i) WHERE w > 0 GROUP BY 1"""))
+def transect(spark, d):
+    found = sections.transect(field(spark, d), "v", (*_A, *_B), _N, -180.0, 12.0, -80.0, 8.0)
+    return found.select("k", r6("value").alias("value"))
+
+
+@query(with_("field masked", "SELECT j, i, round(CASE WHEN m.v IS NOT NULL THEN 0.6 * m.v + 0.4 * (f.v + 1) ELSE f.v + 1 END, 6) AS v FROM field f JOIN masked m USING (j, i)"))
+def merged_fields(spark, d):
+    low = field(spark, d).select("j", "i", (F.col("v") + 1).alias("v"), F.lit(1.0).alias("cover"))
+    top = masked(spark, d).withColumn("cover", F.lit(0.6))
+    return sections.merge_fields([low, top], "v").select("j", "i", r6("v").alias("v"))
+
+
+@query(with_("field masked", "SELECT min(j) AS jmin, max(j) AS jmax, min(i) AS imin, max(i) AS imax FROM masked WHERE v > 25"))
+def mask_box(spark, d):
+    return select.mask_box(masked(spark, d), [], F.col("v") > 25)
+
+
+@query(with_("field masked", "SELECT i, min(j) AS first, max(j) AS last FROM (SELECT i, j, j - row_number() OVER (PARTITION BY i ORDER BY j) AS r FROM masked WHERE v IS NOT NULL) GROUP BY i, r"))
+def runs_of_cells(spark, d):
+    return select.index_runs(masked(spark, d).filter("v is not null"), ["i"], "j")
+
+
+@query(with_("field masked", """&l AS (SELECT j, i, v IS NULL AS l FROM masked) SELECT j, i, l OR coalesce(lead(l) OVER (PARTITION BY j ORDER BY i), l) AS land_u, l OR coalesce(lead(l) OVER (PARTITION BY i ORDER BY j), l) AS land_v FROM l"""))
+def land_at_uv_points(spark, d):
+    return select.uv_masks(masked(spark, d).withColumn("l", F.col("v").isNull()), [], "l")
+
+
+@query(with_("stations", "SELECT min(k)::INT AS first, (max(k) + 1)::INT AS last FROM (SELECT lat, row_number() OVER (ORDER BY lat) - 1 AS k FROM (SELECT DISTINCT lat FROM stations)) WHERE lat >= -20 AND lat < 40"))
+def index_range(spark, d):
+    return select.index_range(stations(spark, d).select("lat").distinct(), "lat", -20.0, 40.0, "co")
+
+
+@query(with_("buoys", "SELECT buoy FROM buoys WHERE lon >= -30 AND lon < 60.5 AND lat > 10"))
+def select_box(spark, d):
+    return buoys(spark, d).filter(select.selector(lon=(-30.0, 60.5, "co"), lat=(10.0, None, "oc"))).select("buoy")
+
+
+@query(with_("field", f"""&g AS (SELECT j, i, i * 12.0::DOUBLE - 180 AS lon, j * 8.0::DOUBLE - 80 AS lat FROM field),
+  s AS (SELECT 2 * {units.EARTH_RADIUS!r}::DOUBLE * asin(least(1, cos(radians(lat)) * abs(sin(radians(lead(lon) OVER (PARTITION BY j ORDER BY i) - lon) / 2)))) AS dx, {units.EARTH_RADIUS!r}::DOUBLE * radians(lead(lat) OVER (PARTITION BY i ORDER BY j) - lat) AS dy FROM g)
+  SELECT round(median(dx), 3) AS dx, round(median(dy), 3) AS dy FROM s"""))
+def grid_resolution(spark, d):
+    g = field(spark, d).select("j", "i", (F.col("i") * 12.0 - 180).alias("lon"), (F.col("j") * 8.0 - 80).alias("lat"))
+    return sections.resolution(g).select(F.round("dx", 3).alias("dx"), F.round("dy", 3).alias("dy"))
+
+
+@query()
+def ring_spectrum(spark, d):
+    f = field(spark, d).withColumn("level", F.lit(0))
+    return sections.spectrum(f, ["level"], "v", 12.0, 8.0)
+
+
+@query()
+def hull_of_buoys(spark, d):
+    return sections.hull(buoys(spark, d), "lon", "lat")
