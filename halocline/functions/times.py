@@ -107,3 +107,14 @@ def from_text(s: Column, strftime: str) -> Column:
 
 def zone_to_zone(ts: Column, old: str, new: str) -> Column:
     return F.convert_timezone(F.lit(old), F.lit(new), ts)
+
+
+def add_margin(lo: Column, hi: Column, n: int, unit: str) -> Column:
+    """struct<lo, hi>, wider by ``n`` units at either end."""
+    return F.struct(add_time(lo, -n, unit).alias("lo"), add_time(hi, n, unit).alias("hi"))
+
+
+def round_interval(lo: Column, hi: Column, unit: str, step: int = 1, mode: str = "inner") -> Column:
+    """struct<lo, hi>: the largest interval of whole steps within (``inner``), or the smallest around (``outer``)."""
+    up, down = ("ceil", "floor") if mode == "inner" else ("floor", "ceil")
+    return F.struct(round_date(lo, unit, step, up).alias("lo"), round_date(hi, unit, step, down).alias("hi"))

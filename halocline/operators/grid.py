@@ -23,12 +23,12 @@ def filter2d(df: DataFrame, by: list[str], value: str, weights: list[list[float]
     """Sum of weight x valid value over sum of valid weight on a grid; ``same`` keeps nulls, ``minimal`` fills them,
     ``maximal`` needs all. One aggregation, whatever the size of the window."""
     hj, hi = len(weights) // 2, len(weights[0]) // 2
-    offsets = [(dj - hj, di - hi, w) for dj, row in enumerate(weights) for di, w in enumerate(row) if w]
+    offsets = [(dj - hj, di - hi, w) for dj, row in enumerate(weights) for di, w in enumerate(row) if w or (dj, di) == (hj, hi)]
     spread = neighbours(df.select(*by, "j", "i", F.col(value).alias("_v")), by, offsets)
     own = F.max(F.when((F.col("dj") == 0) & (F.col("di") == 0), F.struct(F.lit(1).alias("is"), F.col("_v").alias("v"))))
     valid = F.when(F.col("_v").isNotNull(), F.col("w"))
     sums = spread.groupBy(*by, "j", "i").agg(own.alias("own"), F.sum(F.col("_v") * F.col("w")).alias("a"), F.sum(valid).alias("b"), F.sum("w").alias("all")).filter("own is not null")
-    result = F.col("a") / F.col("b")
+    result = F.col("a") / F.nullif(F.col("b"), F.lit(0.0))
     if mask == "same":
         result = F.when(F.col("own.v").isNotNull(), result)
     elif mask == "maximal":
@@ -168,3 +168,44 @@ def is_rectangular(grid: DataFrame, lon: str = "lon", lat: str = "lat", toleranc
     mean = steps.agg(F.abs(F.avg("dx")).alias("mx"), F.abs(F.avg("dy")).alias("my"))
     one = mean.crossJoin(by_i).crossJoin(by_j)  # a single row each
     return one.select(((F.col("sx") < tolerance * F.col("mx")) & (F.col("sy") < tolerance * F.col("my"))).alias("rectangular"))
+
+
+def gradient(field: DataFrame, by: list[str], value: str, dx: float, dy: float, direction: float | None = None, out: str = "gradient") -> DataFrame:
+    """Size of the slope, or the slope towards ``direction`` (degrees, mathematical): centred differences, one-sided at
+    the edges."""
+    def slope(part: str, order: str, step: float) -> Column:
+        w = W.partitionBy(*by, part).orderBy(order)
+        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+        return F.when(first, after - here).when(last, here - before).otherwise((after - before) / 2) / step
+
+    both = field.withColumns({"_gx": slope("j", "i", dx), "_gy": slope("i", "j", dy)})
+    if direction is None:
+        result = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
+    else:
+        a = math.radians(direction)
+        result = F.col("_gx") * math.cos(a) + F.col("_gy") * math.sin(a)
+    return both.withColumn(out, result).drop("_gx", "_gy")
+
+
+def erode(field: DataFrame, by: list[str], value: str, wanted: Column, rounds: int = 10, corners: float = 0.0) -> DataFrame:
+    """Fills null cells that are ``wanted`` from their neighbours, by smoothing, one ring of cells a round."""
+    weights = [[corners, 1.0, corners], [1.0, 0.0, 1.0], [corners, 1.0, corners]]
+    cells = field.select(*by, "j", "i", F.col(value).cast("double").alias(value), wanted.alias("_wanted"))
+    for _ in range(rounds):
+        near = filter2d(cells, by, value, weights, "minimal", "_near")
+        cells = cells.join(near, [*by, "j", "i"]).withColumn(value, F.when(F.col("_wanted"), F.coalesce(value, "_near")).otherwise(F.col(value))).drop("_near")
+    return cells.drop("_wanted")
+
+
+def make_grid(spark, nx: int, ny: int, x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = 1.0) -> DataFrame:
+    """A regular grid: j, i, x, y."""
+    cells = spark.range(nx * ny).select(F.floor(F.col("id") / nx).cast("int").alias("j"), (F.col("id") % nx).cast("int").alias("i"))
+    return cells.withColumns({"x": x0 + F.col("i") * dx, "y": y0 + F.col("j") * dy})
+
+
+def section_extrema(field: DataFrame, by: list[str], value: str, along: str) -> DataFrame:
+    """Where a variable is least and greatest: by, low, low_at, high, high_at; of equal cells the first."""
+    v, k = F.col(value), F.col(along)
+    found = field.filter(v.isNotNull()).groupBy(*by).agg(F.min(F.struct(v.alias("v"), k.alias("k"))).alias("a"), F.max(F.struct(v.alias("v"), (-k).alias("k"))).alias("b"))
+    return found.select(*by, F.col("a.v").alias("low"), F.col("a.k").alias("low_at"), F.col("b.v").alias("high"), (-F.col("b.k")).alias("high_at"))

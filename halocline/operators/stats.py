@@ -38,12 +38,12 @@ def merge(partials: DataFrame, by: list[str], bins: int = 0) -> DataFrame:
 
 def statistics(partials: DataFrame, by: list[str]) -> DataFrame:
     """avail, count, mean, std, min, max of x (and of y as *_y), bias = y - x, rms, crms, corr; deviations divide by n."""
-    n = F.col("count")
+    n = F.nullif(F.col("count"), F.lit(0))
     mx, my = F.col("sum_x") / n, F.col("sum_y") / n
     vx, vy = F.greatest(F.col("sum_xx") / n - mx * mx, F.lit(0.0)), F.greatest(F.col("sum_yy") / n - my * my, F.lit(0.0))
     cov, bias = F.col("sum_xy") / n - mx * my, my - mx
     out = {
-        "avail": n / F.col("size"), "count": n, "mean": mx, "std": F.sqrt(vx), "min": F.col("min_x"), "max": F.col("max_x"), "mean_y": my, "std_y": F.sqrt(vy),
+        "avail": F.col("count") / F.col("size"), "count": F.col("count"), "mean": mx, "std": F.sqrt(vx), "min": F.col("min_x"), "max": F.col("max_x"), "mean_y": my, "std_y": F.sqrt(vy),
         "bias": bias, "rms": F.sqrt(F.col("sum_dd") / n), "crms": F.sqrt(F.greatest(F.col("sum_dd") / n - bias * bias, F.lit(0.0))), "corr": cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)),
     }
     hist = ["hist"] if "hist" in partials.columns else []

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from halocline.functions import geo, seawater, units
 from halocline.operators import grid, profiles as prof, sections, select
+from halocline.operators.points import nearest
 from halocline.plans.inputs import buoys, field, masked, profiles, r6, stations, with_
 from halocline.plans.registry import register
 
@@ -293,3 +294,32 @@ def ring_spectrum(spark, d):
 @query()
 def hull_of_buoys(spark, d):
     return sections.hull(buoys(spark, d), "lon", "lat")
+
+
+@query(with_("field", """&g AS (SELECT j, i, CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END / 12 AS gx,
+  CASE WHEN lag(v) OVER u IS NULL THEN lead(v) OVER u - v WHEN lead(v) OVER u IS NULL THEN v - lag(v) OVER u ELSE (lead(v) OVER u - lag(v) OVER u) / 2 END / 8 AS gy FROM field WINDOW w AS (PARTITION BY j ORDER BY i), u AS (PARTITION BY i ORDER BY j))
+  SELECT j, i, round(sqrt(gx * gx + gy * gy), 6) AS gradient FROM g"""))
+def gradient(spark, d):
+    return grid.gradient(field(spark, d), [], "v", 12.0, 8.0).select("j", "i", r6("gradient").alias("gradient"))
+
+
+@query(with_("field masked", """SELECT j, min(v) AS low, arg_min(i, (v, i)) AS low_at, max(v) AS high, arg_max(i, (v, -i)) AS high_at FROM (SELECT j, i, round(v, 6) AS v FROM masked) WHERE v IS NOT NULL GROUP BY j"""))
+def section_extrema(spark, d):
+    return grid.section_extrema(masked(spark, d).withColumn("v", r6("v")), ["j"], "v", "i")
+
+
+@query(with_("field masked", f"""&w AS (SELECT j, i, i * 12.0::DOUBLE - 180 AS lon, j * 8.0::DOUBLE - 80 AS lat, v IS NULL AS land FROM masked)
+  SELECT a.j, a.i, round(min(2 * {units.EARTH_RADIUS!r}::DOUBLE * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 3) AS distance
+  FROM w a, w b WHERE NOT a.land AND b.land GROUP BY 1, 2"""))
+def distance_to_coast(spark, d):
+    cells = masked(spark, d).select((F.col("j") * 100 + F.col("i")).alias("cell"), (F.col("i") * 12.0 - 180).alias("lon"), (F.col("j") * 8.0 - 80).alias("lat"), F.col("v").isNull().alias("land"))
+    land = cells.filter("land")
+    wide = land.unionByName(land.withColumn("lon", F.col("lon") - 360)).unionByName(land.withColumn("lon", F.col("lon") + 360))
+    found = nearest(cells.filter("not land"), "cell", wide, "cell", 24.0, out="coast")
+    return found.select(F.floor(F.col("cell") / 100).cast("int").alias("j"), (F.col("cell") % 100).alias("i"), F.round("distance", 3).alias("distance"))
+
+
+@query(with_("field masked", """&near(dj, di) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), m AS (SELECT a.j, a.i, avg(b.v) AS n FROM masked a, near JOIN masked b ON b.j = a.j + dj AND b.i = a.i + di GROUP BY 1, 2)
+  SELECT j, i, round(coalesce(v, n), 6) AS v FROM masked JOIN m USING (j, i)"""))
+def filled_coast(spark, d):
+    return grid.erode(masked(spark, d), [], "v", F.lit(True), rounds=1).select("j", "i", r6("v").alias("v"))

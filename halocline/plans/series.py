@@ -329,3 +329,23 @@ def split_interval(spark, d):
   SELECT start, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(min(start), max(start), INTERVAL 1 MONTH)) AS start FROM c) LEFT JOIN c USING (start)""")
 def cast_histogram(spark, d):
     return prof.histogram(table(spark, d, "orders"), "o_orderdate", "month")
+
+
+@query(with_("series", """&p AS (SELECT kind, date_diff('second', TIMESTAMP '2024-01-01', t)::DOUBLE + 600 AS x, v FROM series), h AS (SELECT kind, unnest(generate_series(CAST(ceil(min(x) / 3600) AS BIGINT), CAST(floor(max(x) / 3600) AS BIGINT))) * 3600.0::DOUBLE AS x FROM p GROUP BY kind),
+  l AS (SELECT h.kind, h.x, p.x AS lx, p.v AS lv FROM h ASOF LEFT JOIN p ON h.kind = p.kind AND h.x >= p.x), b AS (SELECT l.*, p.x AS hx, p.v AS hv FROM l ASOF LEFT JOIN p ON l.kind = p.kind AND l.x <= p.x)
+  SELECT kind, x, round(CASE WHEN x = lx THEN lv WHEN x = hx THEN hv ELSE lv + (hv - lv) * (x - lx) / (hx - lx) END, 6) AS value FROM b"""))
+def exact_hours(spark, d):
+    """Values on the hour of a series that is ten minutes late."""
+    x = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("t")) + F.lit(600.0)
+    src = series(spark, d).select("kind", x.alias("x"), "v")
+    ends = src.groupBy("kind").agg(F.ceil(F.min("x") / 3600).alias("a"), F.floor(F.max("x") / 3600).alias("b"))
+    hours = ends.select("kind", F.explode(F.sequence("a", "b")).alias("h")).select("kind", (F.col("h") * 3600.0).alias("x"))
+    return interp.interp1d(src, hours, ["kind"], "x", "v").select("kind", "x", r6("value").alias("value"))
+
+
+@query("""SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris' AS paris, ts - INTERVAL 2 DAY AS lo, ts + INTERVAL 2 DAY AS hi,
+  CASE WHEN ts = date_trunc('day', ts) THEN ts ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS inner_lo FROM events""")
+def zones_and_margins(spark, d):
+    ts = F.col("ts")
+    margin, inner = times.add_margin(ts, ts, 2, "day"), times.round_interval(ts, times.add_time(ts, 5, "day"), "day")
+    return table(spark, d, "events").select("event_id", times.zone_to_zone(ts, "UTC", "Europe/Paris").alias("paris"), margin["lo"].alias("lo"), margin["hi"].alias("hi"), inner["lo"].alias("inner_lo"))

@@ -29,6 +29,18 @@ def test_accumulator_against_numpy(spark):
         assert r["hist"] == [int(((a >= -1) & (a < 0)).sum()), int(((a >= 0) & (a < 1)).sum())]
 
 
+def test_a_group_without_values(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (1, None, None)], "k int, x double, y double")
+    r = stats.statistics(stats.accumulate(df, ["k"], "x", "y"), ["k"]).first()
+    assert (r["avail"], r["count"], r["mean"], r["corr"]) == (0.0, 0, None, None)
+
+
+def test_eroded_coast_fills_ring_by_ring(spark):
+    f = spark.createDataFrame([(j, i, 1.0 if i == 0 else None) for j in range(3) for i in range(5)], "j int, i int, v double")
+    out = grid.erode(f, [], "v", F.col("i") < 4, rounds=2).collect()
+    assert {r["i"]: r["v"] for r in out} == {0: 1.0, 1: 1.0, 2: 1.0, 3: None, 4: None}
+
+
 def test_correlation_probability(spark):
     df = spark.createDataFrame([(0.0, 30), (0.5, 30), (0.999, 30)], "r double, n int")
     p = [r["probability"] for r in stats.correlation_probability(df, "r", "n").collect()]
