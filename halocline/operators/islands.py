@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Cuts the lineage through the folder that the session names for checkpoints, else under the warehouse."""
-    path = f"{root}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from halocline.operators.cut import Steps
 
 
 def label(field: DataFrame, by: list[str], water: Column) -> DataFrame:
@@ -22,14 +15,11 @@ def label(field: DataFrame, by: list[str], water: Column) -> DataFrame:
     Every cell points to the smallest cell it knows; in each round it takes the smallest of its neighbours', and then
     that one's own: distances double, so rounds grow with the logarithm of a lake's length.
     """
-    spark = field.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    root = f"{base.rstrip('/')}/halocline/islands-{uuid.uuid4().hex}"
+    steps = Steps(field.sparkSession, "islands")
     cells = field.filter(water).select(*by, "j", "i", F.struct("j", "i").alias("to"))
-    cells, n = _written(cells, root, "cells0"), 0
+    cells = steps.write(cells)
     sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])
     while True:
-        n += 1
         told = cells.withColumn("s", F.explode(sides)).select(*by, (F.col("j") + F.col("s.a")).alias("j"), (F.col("i") + F.col("s.b")).alias("i"), "to")
         least = told.groupBy(*by, "j", "i").agg(F.min("to").alias("least"))
         near = cells.join(least, [*by, "j", "i"])
@@ -38,7 +28,7 @@ def label(field: DataFrame, by: list[str], water: Column) -> DataFrame:
         for c in by:
             same = same & near[c].eqNullSafe(jump[c])
         moved = near.join(jump, same).select(*[near[c] for c in by], "j", "i", F.least("least", "then").alias("new"), "to")
-        moved = _written(moved, root, f"cells{n}")
+        moved = steps.write(moved)
         changed = moved.filter("new != to").isEmpty()
         cells = moved.select(*by, "j", "i", F.col("new").alias("to"))
         if changed:

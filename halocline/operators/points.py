@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions.geo import haversine, planar
+from halocline.operators.cut import Steps
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -37,19 +38,21 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
     # a ring's width in metres, at the latitude where degrees of longitude are shortest
     edge = max(abs(span[2]), abs(span[3]), abs(reach[2]), abs(reach[3]))
     shrink = (math.pi * 6371006.0 / 180) * max(0.0, math.cos(math.radians(min(edge, 90.0)))) if geo else 1.0
-    done = None
+    done, steps = None, Steps(points.sparkSession, "nearest")
     while True:
         last = size * rings >= widest
         around = F.sequence(F.lit(-rings), F.lit(rings))
         cells = p.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).select(key, "_px", "_py", (_cell(F.col("_px"), size) + F.col("_dx")).alias("_cx"), (_cell(F.col("_py"), size) + F.col("_dy")).alias("_cy"))
         found = cells.join(t.withColumns({"_cx": _cell(F.col("_tx"), size), "_cy": _cell(F.col("_ty"), size)}), ["_cx", "_cy"])
-        best = found.groupBy(key, "_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b"))
+        best = steps.write(found.groupBy(key, "_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b")))
         sure = best if last else best.filter(F.col("b.d") <= size * rings * shrink)
         part = sure.select(key, F.col("b.t").alias(out), F.col("b.d").alias("distance"))
         done = part if done is None else done.unionByName(part)
         if last:
             return done
-        p = p.join(sure.select(key), key, "left_anti")
+        p = steps.write(p.join(sure.select(key), key, "left_anti"))
+        if p.isEmpty():
+            return done
         size *= 3
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halocline.plans import fields, points, series, statistics
+from halocline.plans import fields, points, series, statistics, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for part in (statistics, series, fields, points):
+for part in (statistics, series, fields, points, streams):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
 FLAGSHIP = "accumulate_cells"
