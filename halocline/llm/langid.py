@@ -161,4 +161,4 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", out: str
             names = np.array([*m.languages, UNDETERMINED], object)
             yield pd.DataFrame({"lang": names[np.where(any_, best, len(m.languages))], "score": np.where(any_, share.max(1), 0.0)})
 
-    return docs.withColumn(out, language(F.col(text)))
+    return docs.withColumn(out, language.asNondeterministic()(F.col(text)))  # else a filter on it would run it twice
