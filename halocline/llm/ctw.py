@@ -26,9 +26,9 @@ from halocline.llm.hashing import normalize, word_hashes
 from halocline.llm.workspace import Workspace
 
 END = 0  # key of the token that ends a text
-STRIDE = 1 << 20  # bytes that are turned into grams at once
+STRIDE = 1 << 18  # bytes that are turned into grams at once
 BLOCKS = 1 << 24  # blocks that one partition may number
-MERGE = 1 << 20  # keys that are gathered before they are merged
+MERGE = 1 << 19  # keys that are gathered before they are merged
 
 
 def grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,14 +216,14 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     counted = work.write(sums.filter("not token").select(F.col("key").alias("gram"), "n"), "counted")
-    work.drop()
+    work.release()
     model = work.write(train_model(counted, depth, work), "model")
-    work.drop("counted", *[f"depth{d}" for d in range(depth + 1)])
+    work.release("counted", *[f"depth{d}" for d in range(depth + 1)])
     # what a block is told: of a word its count, of a gram log10 of its probability, which is not above 0
     learned = words.select(F.lit(True).alias("token"), "key", F.col("n").cast("float").alias("value"))
     learned = learned.unionByName(model.select(F.lit(False).alias("token"), F.col("gram").alias("key"), F.col("log10_p").cast("float").alias("value")))
     told = work.write(lists.select("block", "token", "key").join(learned.hint("merge"), ["token", "key"]).select("block", "key", "value"), "told")
-    work.drop("lists", "words", "model")
+    work.release("lists", "words", "model")
     def lookup(key: np.ndarray, value: np.ndarray) -> tuple[pd.Index, np.ndarray]:
         """The keys, and their values with a 0 more for a key that is not there."""
         order = np.argsort(key, kind="stable")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CUT = 1 << 20  # bytes that are hashed at once, more only if one word is longer
+CUT = 1 << 18  # bytes that are hashed at once, more only if one word is longer
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -6,6 +6,7 @@ A written table cuts the lineage: a lost executor costs the tasks that run, not
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,24 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Also lets the driver collect its garbage, with which the shuffle files of finished steps go."""
+        """Removes tables."""
         for name in names:
             path = self._paths.pop(name, None)
             if path:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+
+    def release(self, *names: str) -> None:
+        """Removes tables, and lets go of the shuffle files of finished steps.
+
+        Spark removes those once the driver has collected what refers to them, which else may be much later. The first
+        round frees the Python side's references, the second what they held.
+        """
+        self.drop(*names)
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
