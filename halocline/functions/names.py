@@ -51,8 +51,11 @@ def without_location(name: str) -> str:
 
 
 def matches(column: str, metadata: dict, name: str) -> bool:
-    """By standard name first, then by id, then by long name; case does not count, nor does the place on a grid."""
-    spec = REGISTRY[name]
+    """By standard name first, then by id, then by long name; case does not count, nor does the place on a grid.
+
+    A name that is not registered is matched as it is.
+    """
+    spec = REGISTRY.get(name, Spec((name,)))
     standard = str(metadata.get("standard_name", "")).lower()
     if standard:
         return without_location(standard) in spec.standard
