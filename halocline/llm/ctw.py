@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,16 +79,18 @@ def stage(docs: DataFrame, train: Column, block_bytes: int, doc_id: str, text: s
     return rows.mapInPandas(deal, schema)
 
 
-def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[pd.DataFrame]]]:
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Runs of rows of the same block, which written tables keep together."""
     block, held = None, []
     for batch in batches:
-        for b, rows in batch.groupby("block", sort=False):
-            if b != block and held:
+        of = batch.column("block").to_numpy()
+        starts = _runs(of)
+        for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+            if of[a] != block and held:
                 yield block, held
                 held = []
-            block = b
-            held.append(rows)
+            block = int(of[a])
+            held.append(batch.slice(a, b - a))
     if held:
         yield block, held
 
@@ -125,11 +128,11 @@ class _Counts:
 def counter(depth: int):
     """Rows (block, token, key, n) of a block: its distinct words' hashes (token) and its distinct grams."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in _by_block(batches):
             words, strings = _Counts(), _Counts()
             for part in parts:
-                train, bodies = part["train"].to_numpy(bool), list(part["body"])
+                train, bodies = part.column("train").to_numpy(zero_copy_only=False), part.column("body").to_pylist()
                 words.add(np.full(len(train), END), train)
                 for h, i in word_hashes(bodies):
                     words.add(h.view(np.int64), train[i])
@@ -137,7 +140,7 @@ def counter(depth: int):
                     strings.add(g, train[i])
             for token, counts in ((True, words), (False, strings)):
                 key, n = counts.merged()
-                yield pd.DataFrame({"block": block, "token": token, "key": key, "n": n})
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(key), block), "token": np.full(len(key), token), "key": key, "n": n})
 
     return count
 
@@ -210,7 +213,7 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     spark = docs.sparkSession
     work = Workspace(spark, "ctw")
     staged = work.write(stage(docs, train, block_bytes, doc_id, text), "staged")
-    lists = work.write(staged.select("block", "train", "body").mapInPandas(counter(depth), "block long, token boolean, key long, n long"), "lists")
+    lists = work.write(staged.select("block", "train", "body").mapInArrow(counter(depth), "block long, token boolean, key long, n long"), "lists")
     sums = lists.groupBy("token", "key").agg(F.sum("n").alias("n"))
     words = work.write(sums.filter("token and n > 0").select("key", "n"), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -230,28 +233,29 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
         order = order[_runs(key[order])]  # a block that two tasks have read comes twice
         return pd.Index(key[order]), np.r_[value[order].astype(float), 0.0]
 
-    def block(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        bodies, key, value = list(rows["body"]), told["key"].to_numpy(), told["value"].to_numpy()
+    def block(rows: pa.Table, told: pa.Table) -> pa.Table:
+        bodies, key, value, many = rows.column("body").to_pylist(), told.column("key").to_numpy(), told.column("value").to_numpy(), rows.num_rows
+        rows = rows.drop_columns(["body"])
         del told
         keys, counts = lookup(key[value > 0], value[value > 0])
         log = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         at = keys.get_indexer([END])[0]
-        base, known = np.full(len(rows), log[at]), np.full(len(rows), int(at >= 0))
+        base, known = np.full(many, log[at]), np.full(many, int(at >= 0))
         for h, i in word_hashes(bodies):
             at = keys.get_indexer(h.view(np.int64))
-            base += np.bincount(i, log[at], len(rows))
-            known += np.bincount(i[at >= 0], minlength=len(rows))
+            base += np.bincount(i, log[at], many)
+            known += np.bincount(i[at >= 0], minlength=many)
         keys, log = lookup(key[value <= 0], value[value <= 0])
-        sums = np.zeros(len(rows))
+        sums = np.zeros(many)
         for g, i in grams(bodies, depth):
-            sums += np.bincount(i, log[keys.get_indexer(g)], len(rows))
+            sums += np.bincount(i, log[keys.get_indexer(g)], many)
         size = np.array([len(t) for t in bodies])
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"], "train": rows["train"], "n_tokens": rows["n_tokens"], "n_known": known, "train_tokens": n,
+        return pa.table({
+            "doc_id": rows.column("doc_id"), "train": rows.column("train"), "n_tokens": rows.column("n_tokens"), "n_known": known, "train_tokens": np.full(many, n),
             "base_score": base, "score": sums, "n_bytes": size, "bits_per_byte": -sums * math.log2(10) / size,
         })
 
     schema = staged.select("doc_id", "train", "n_tokens").schema
     for name, kind in (("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long"), ("bits_per_byte", "double")):
         schema = schema.add(name, kind)
-    return staged.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(block, schema)
+    return staged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block, schema)
