@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocline.llm import ctw, decontaminate, embeddings, jaccard, langid, licenses, mixing, pii, secrets, urls
-from halocline.llm.sql import LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
+from halocline.llm.sql import EMBEDDINGS_SQL, JACCARD_SQL, LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
 from halocline.llm.workspace import table
 
 RULES = [
@@ -107,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_license_digests": LICENSE_SQL,
+    "op3_chosen_path_join": JACCARD_SQL,
     "op4_secret_entropy": SECRETS_SQL,
+    "op7_pivot_permutations": EMBEDDINGS_SQL,
     "op8_url_cascade": URLS_SQL,
     "op9_pii": PII_SQL,
 }
