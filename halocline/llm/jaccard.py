@@ -273,7 +273,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
             sets = work.write(sets_of(rest.select("key").distinct()), "split_sets").drop("n")
         level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
     leaves = work.write(leaves, "leaves")
-    work.drop("split_sets")
+    work.release("split_sets")
 
     order = ["leaf", "bi", "bj"]
     members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
@@ -281,7 +281,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
     whole = cleared.join(sets_of(cleared.select("key").distinct()), "key").repartition(*order).sortWithinPartitions(*order)
     links = work.write(whole.mapInPandas(compare(threshold), "key binary, links long, root binary"), "links")
-    work.drop("leaves", "cleared")
+    work.release("leaves", "cleared")
 
     joined = components(links.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")), work).withColumnRenamed("node", "key")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
