@@ -7,7 +7,7 @@ through coarse cells of the axis.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,11 +18,6 @@ def _tagged(src: DataFrame, dst: DataFrame, by: list[str], x: str, value: str) -
     return a.unionByName(b)
 
 
-def number(c: Column) -> Column:
-    """Positions as numbers: times count in microseconds."""
-    return c
-
-
 def interp1d(src: DataFrame, dst: DataFrame, by: list[str], x: str, value: str, method: str = "linear", extrapolate: str = "none", out: str = "value") -> DataFrame:
     """Values of ``src`` at the positions of ``dst`` (by, x), ``linear``, ``nearest`` or ``hermite`` (a cubic through
     the neighbours with centred slopes; the ends' outer neighbours lie on the line of the last two).
@@ -41,12 +36,13 @@ def interp1d(src: DataFrame, dst: DataFrame, by: list[str], x: str, value: str,
         only = only.withColumn("_s", F.struct("_s.x", "_s.v", F.lag("_s.v").over(nodes).alias("b"), F.lag("_s.x").over(nodes).alias("bx"), F.lead("_s.v").over(nodes).alias("a"), F.lead("_s.x").over(nodes).alias("ax")))
         rest = rows.filter(~is_source).withColumn("_s", F.lit(None).cast(only.schema["_s"].dataType))
         rows = only.unionByName(rest)
-    down, up = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by).orderBy(F.col("_x"), F.col("_s").isNotNull()).rowsBetween(0, W.unboundedFollowing)
+    # both look back, one from either end: a frame that reaches ahead to the end would start anew at every row
+    down = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy(*by).orderBy(F.col("_x").desc(), F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, 0)
     valid = F.when(F.col("_s.v").isNotNull(), F.col("_s.v"))
-    edge = W.partitionBy(*by).orderBy(*order)
     rows = rows.withColumns({
-        "_lo": F.last("_s", ignorenulls=True).over(down), "_hi": F.first("_s", ignorenulls=True).over(up),
-        "_under": F.last(valid, ignorenulls=True).over(down), "_over": F.first(valid, ignorenulls=True).over(edge.rowsBetween(0, W.unboundedFollowing)),
+        "_lo": F.last("_s", ignorenulls=True).over(down), "_hi": F.last("_s", ignorenulls=True).over(up),
+        "_under": F.last(valid, ignorenulls=True).over(down), "_over": F.last(valid, ignorenulls=True).over(up),
     }).filter(~is_source)
     lo, hi, at = F.col("_lo"), F.col("_hi"), F.col("_x")
     on_low, on_high = lo["x"] == at, hi["x"] == at

@@ -155,7 +155,7 @@ def fill_gaps(df: DataFrame, by: list[str], order: str, value: str, position: Co
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(value).alias("v"), F.col("_i").alias("i")))
     rows = rows.withColumns({
         "_b": F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "_a": F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        "_a": F.last(known, ignorenulls=True).over(W.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)),
     })
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_x") - F.col("_b.x")) / (F.col("_a.x") - F.col("_b.x"))
     short = F.lit(True) if not max_gap else (F.col("_a.i") - F.col("_b.i") - 1 <= max_gap)
