@@ -36,13 +36,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     every = F.array(*[F.lit(float(w)) for w in weights])
     order = W.orderBy(F.col("source").asc_nulls_last())
     by_stop = W.orderBy("stop", "rank")
-    before, after = by_stop.rowsBetween(W.unboundedPreceding, -1), by_stop.rowsBetween(W.currentRow, W.unboundedFollowing)
-    whole = W.partitionBy()
+    before, whole = by_stop.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     ranked = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", F.element_at(every, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
     leveled = (
         ranked.withColumn("most", cap * F.col("source_size"))
         .withColumn("stop", F.col("most") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+        .withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / left)
         .withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "rank", "level"))).over(whole)["level"])
     )
     target = F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(math.inf)) * F.col("weight"))
