@@ -91,10 +91,10 @@ def extent(spark, d):
 
 @query(with_("profiles", """SELECT profile, round(a.temp + (b.temp - a.temp) * 0.5::DOUBLE, 6) AS temp FROM profiles a JOIN profiles b USING (profile) WHERE a.level = 2 AND b.level = 3"""))
 def layer_at_depth(spark, d):
-    """Temperature 25 m down, of profiles that reach both sides of it at neighbouring levels 2 and 3."""
+    """Temperature 25 m down, of profiles that have levels on both sides of it, between the nearest of either side."""
     from halocline.operators import interp
 
-    p = profiles(spark, d).filter(F.col("level").isin(2, 3))
+    p = profiles(spark, d)
     at = p.select("profile").distinct().withColumn("depth", F.lit(-25.0))
     found = interp.interp1d(p, at, ["profile"], "depth", "temp").filter("value is not null")
     return found.select("profile", r6("value").alias("temp"))
