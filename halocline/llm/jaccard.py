@@ -76,6 +76,29 @@ def choose(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarra
     return mix(drawn[drawn <= np.uint64(min(2**64 - 1, int(odds * 2**64)))] ^ np.uint64(0xD1B54A32D192ED03))
 
 
+def found_in_run(steps: int) -> float:
+    """The least odds that a pair at the threshold shares a chosen token at each of ``steps`` steps of a run.
+
+    It shares one a step on the mean if its sizes are as unequal as the threshold allows, more if they are closer.
+    """
+    odds = 1.0
+    for _ in range(steps):
+        odds = 1 - math.exp(-odds)
+    return odds
+
+
+def more_runs(recall: float, runs: int, steps: int) -> int:
+    """Further runs of the sets in buckets that were split, so that ``recall`` holds where buckets took ``steps``.
+
+    Pairs that shared no bucket at the first step of ``runs`` may not run again; of the others, those that all runs
+    have parted are still missed.
+    """
+    parted, apart = 1 - found_in_run(steps), math.exp(-runs)
+    allowed = max(1 - recall - apart, (1 - recall) / 1000)
+    lost = parted**runs - apart
+    return max(0, math.ceil(math.log(allowed / lost) / math.log(parted))) if steps > 1 else 0
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     """A byte for each of SKETCH ranges of hashes: of the smallest token there, 0 if there is none. tokens are sorted."""
     edges = np.arange(SKETCH, dtype=np.uint64) * np.uint64(2**64 // SKETCH)
@@ -210,7 +233,8 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
 
     Runs follow from ``recall``, the odds that a pair at the threshold is found, which is the more certain the more
     similar the pair. Buckets of up to ``small`` sets, and those whose sets have a mean similarity of ``alike`` or
-    more, are compared as they are; the rest is split, up to ``depth`` times, and then compared in blocks too.
+    more, are compared as they are; the rest is split, up to ``depth`` steps, and then compared in blocks too. Every
+    step may part a pair: the sets of buckets that were split run again, as often as the most steps taken ask for.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
@@ -249,34 +273,59 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
             on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
             yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
 
-    level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
-    leaves = sets = None
-    for at in range(1, depth + 1):
-        sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        level = work.write(level.join(sizes, "leaf"), f"shared{at}")
-        work.drop(f"level{at}")
-        found, large = level.filter(F.col("size") <= small).select("key", "leaf"), level.filter(F.col("size") > small)
-        if at == depth or large.isEmpty():
-            found = found.union(large.select("key", "leaf"))
+    def walk(level: DataFrame, name: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame | None, int]:
+        """The buckets of the sets that went along the paths of ``level``, the sets that were in a bucket that was
+        split (as given, if they are known; None if none was), and the most steps that a bucket took."""
+        leaves = None
+        for at in range(1, depth + 1):
+            sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            level = work.write(level.join(sizes, "leaf"), f"{name}shared{at}")
+            work.drop(f"{name}level{at}")
+            found, large = level.filter(F.col("size") <= small).select("key", "leaf"), level.filter(F.col("size") > small)
+            if at == depth or large.isEmpty():
+                found = found.union(large.select("key", "leaf"))
+                leaves = found if leaves is None else leaves.union(found)
+                break
+            # mean similarity of a bucket, from that of its members with four of them
+            large = large.select("key", "leaf").join(sketches, "key")
+            some = large.groupBy("leaf").agg(*[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
+            alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
+            mean = large.join(some, "leaf").groupBy("leaf").agg(F.avg(alike_).alias("mean"))
+            large = work.write(large.select("key", "leaf").join(mean, "leaf"), f"{name}large{at}")
+            found = found.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
             leaves = found if leaves is None else leaves.union(found)
-            break
-        # mean similarity of a bucket, from that of its members with four of them
-        large = large.select("key", "leaf").join(sketches, "key")
-        some = large.groupBy("leaf").agg(*[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
-        alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
-        mean = large.join(some, "leaf").groupBy("leaf").agg(F.avg(alike_).alias("mean"))
-        large = work.write(large.select("key", "leaf").join(mean, "leaf"), f"large{at}")
-        found = found.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
-        leaves = found if leaves is None else leaves.union(found)
-        rest = large.filter(F.col("mean") < alike).select("key", "leaf")
-        if sets is None:  # deeper buckets hold no others
-            sets = work.write(sets_of(rest.select("key").distinct()), "split_sets").drop("n")
-        level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
+            rest = large.filter(F.col("mean") < alike).select("key", "leaf")
+            if rest.isEmpty():
+                break
+            if sets is None:  # deeper buckets hold no others
+                sets = work.write(sets_of(rest.select("key").distinct()), "split_sets").drop("n")
+            level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"{name}level{at + 1}")
+        return leaves, sets, at
+
+    def begin_again(first: int, more: int) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            roots = mix(np.arange(first + 1, first + more + 1, dtype=np.uint64))
+            for batch in _parts(batches):
+                on = [choose(np.frombuffer(s, np.uint64), roots, threshold) for s in batch["tokens"]]
+                yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
+
+        return run
+
+    level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
+    leaves, sets, steps = walk(level, "", None)
+    # only sets of a bucket that was split can have lost each other there: they run again
+    done, again = 0, more_runs(recall, runs, steps)
+    while done < again:
+        level = work.write(sets.mapInPandas(begin_again(runs + done, again - done), "key binary, leaf long").distinct(), f"from{done}_level1")
+        further, _, deeper = walk(level, f"from{done}_", sets)
+        leaves, steps = leaves.union(further), max(steps, deeper)
+        done, again = again, more_runs(recall, runs, steps)
     leaves = work.write(leaves, "leaves")
     work.release("split_sets")
 
     order = ["leaf", "bi", "bj"]
     members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
+    members = members.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf")))  # only earlier ones are asked for
     cleared = in_blocks(members, ["leaf"], F.col("key"), small).repartition(*order).sortWithinPartitions(*order)
     cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
     whole = cleared.join(sets_of(cleared.select("key").distinct()), "key").repartition(*order).sortWithinPartitions(*order)

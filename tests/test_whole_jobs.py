@@ -1,6 +1,10 @@
 """Queries do the whole of their job: cases that an earlier cut left out."""
 
+import random
+
+from halocline.llm import jaccard
 from halocline.plans import catalog
+from tests.llm.test_pairs import brute_classes, word_sets
 
 
 def test_layer_at_depth_without_levels_2_or_3(spark, tmp_path):
@@ -15,3 +19,28 @@ def test_layer_at_depth_without_levels_2_or_3(spark, tmp_path):
     lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["profile"]: r["temp"] for r in catalog.QUERIES["layer_at_depth"](spark, str(tmp_path)).collect()}
     assert got == {1: 12.5, 2: 7.5, 3: 12.5}
+
+
+def test_split_buckets_keep_the_recall(spark):
+    """Texts put together from frequent passages: all buckets are split several times, at the recall of production."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(40)]
+    texts = []
+    for _ in range(250):
+        taken = rng.sample(passages, 11)
+        texts += [" ".join(taken[:10]), " ".join([*taken[:9], taken[10]])]
+    links, _ = brute_classes(word_sets(texts), 0.8)
+    assert sum(links) >= 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join_similar(docs, small=4).collect()}
+    assert sum(got.values()) >= 0.999 * sum(links)
+    assert all(got[i] <= n for i, n in enumerate(links))
+
+
+def test_runs_hold_the_recall_at_any_depth():
+    for steps in range(2, 9):
+        parted = 1 - jaccard.found_in_run(steps)
+        again = jaccard.more_runs(0.999, 7, steps)
+        assert parted**7 > 0.001
+        assert 2.718281828**-7 + parted ** (7 + again) <= 0.001 + 2.718281828**-7 * parted**again
+    assert jaccard.more_runs(0.999, 7, 1) == 0
