@@ -21,8 +21,14 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# An IBAN, with or without spaces between its characters; 15 to 34 of them.
+# An IBAN and what may follow it, with or without spaces between its characters; 15 to 34 of them.
 IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in codes.split()}
 
 #: Score of a span without context; context words that raise it, and words that lower it, each by STEP.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.8}
@@ -86,10 +92,24 @@ def _phones(text: str):
             yield m.span()
 
 
+def _iban_end(run: str) -> int:
+    """Where the IBAN that begins ``run`` ends, 0 if none does: at a word's end, after as many characters as its country
+    has; of an unknown country at the last word's end that the checksum confirms."""
+    ends = [i for i in range(15, len(run) + 1) if i == len(run) or run[i] == " "]
+    for end in reversed(ends):
+        iban = run[:end].replace(" ", "")
+        if 15 <= len(iban) == IBAN_LENGTH.get(iban[:2], len(iban)) and mod97(iban):
+            return end
+    return 0
+
+
 def _ibans(text: str):
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield m.span()
+    at = 0
+    while m := IBAN.search(text, at):
+        end = _iban_end(m[0])
+        if end:
+            yield m.start(), m.start() + end
+        at = m.start() + (end or 1)
 
 
 FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}

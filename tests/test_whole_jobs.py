@@ -2,7 +2,9 @@
 
 import random
 
-from halocline.llm import jaccard
+import pytest
+
+from halocline.llm import jaccard, pii
 from halocline.plans import catalog
 from tests.llm.test_pairs import brute_classes, word_sets
 
@@ -44,3 +46,16 @@ def test_runs_hold_the_recall_at_any_depth():
         assert parted**7 > 0.001
         assert 2.718281828**-7 + parted ** (7 + again) <= 0.001 + 2.718281828**-7 * parted**again
     assert jaccard.more_runs(0.999, 7, 1) == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "iban"),
+    [
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+        ("IBAN DE89 3704 0044 0532 0130 00 EUR 50", "DE89 3704 0044 0532 0130 00"),
+        ("GB82WEST12345698765432 2024-01-02", "GB82WEST12345698765432"),
+        ("REF AB12 CDEF GH89 IBAN GB82 WEST 1234 5698 7654 32 OK", "GB82 WEST 1234 5698 7654 32"),
+    ],
+)
+def test_iban_followed_by_words_and_numbers(text, iban):
+    assert [x["match"] for x in pii.scan(text) if pii.KINDS[x["kind"]] == "iban"] == [iban]
