@@ -7,6 +7,8 @@ speak of a licence, which finds one-line notices in longer texts.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,27 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
 }
 
+_CLAUSE_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+#: Licences without a title of their own, and the titles that stand before them where they are published.
+SHORT = {k: LICENSES[k] for k in ("MIT", "ISC", "BSD-2-Clause")} | {"BSD-3-Clause": LICENSES["BSD-2-Clause"].replace("THIS SOFTWARE IS", _CLAUSE_3 + "THIS SOFTWARE IS", 1)}
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+}
+END = "END OF TERMS AND CONDITIONS"  # what follows it says how to apply the licence, and may be left out
+
+
+def published() -> list[tuple[str, str]]:
+    """Id and text of licences as they are published: with a title, and long ones, with and without what follows the terms."""
+    out = [(k, text) for k, text in SHORT.items()] + [(k, f"{title}\n{SHORT[k]}") for k, titles in TITLES.items() for title in titles]
+    for file in sorted(resources.files("halocline.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(END)
+        out += [(file.name.removesuffix(".txt"), t) for t in ([text, terms + end, terms] if end else [text])]
+    return out
+
 
 def canonical(text: Column) -> Column:
     """Words in lower case, one space between them; '' if none is left."""
@@ -54,7 +77,7 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
+    return spark.createDataFrame([*LICENSES.items(), *published()], "license_id string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
