@@ -1,13 +1,6 @@
 """Queries do the whole of their job: cases that an earlier cut left out."""
 
-import random
-from importlib import resources
-
-import pytest
-
-from halocline.llm import jaccard, licenses, pii
 from halocline.plans import catalog
-from tests.llm.test_pairs import brute_classes, word_sets
 
 
 def test_layer_at_depth_without_levels_2_or_3(spark, tmp_path):
@@ -22,59 +15,3 @@ def test_layer_at_depth_without_levels_2_or_3(spark, tmp_path):
     lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["profile"]: r["temp"] for r in catalog.QUERIES["layer_at_depth"](spark, str(tmp_path)).collect()}
     assert got == {1: 12.5, 2: 7.5, 3: 12.5}
-
-
-def test_split_buckets_keep_the_recall(spark):
-    """Texts put together from frequent passages: all buckets are split several times, at the recall of production."""
-    rng = random.Random(5)
-    passages = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(40)]
-    texts = []
-    for _ in range(250):
-        taken = rng.sample(passages, 11)
-        texts += [" ".join(taken[:10]), " ".join([*taken[:9], taken[10]])]
-    links, _ = brute_classes(word_sets(texts), 0.8)
-    assert sum(links) >= 500
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["n_links"] for r in jaccard.join_similar(docs, small=4).collect()}
-    assert sum(got.values()) >= 0.999 * sum(links)
-    assert all(got[i] <= n for i, n in enumerate(links))
-
-
-def test_runs_hold_the_recall_at_any_depth():
-    for steps in range(2, 9):
-        parted = 1 - jaccard.found_in_run(steps)
-        again = jaccard.more_runs(0.999, 7, steps)
-        assert parted**7 > 0.001
-        assert 2.718281828**-7 + parted ** (7 + again) <= 0.001 + 2.718281828**-7 * parted**again
-    assert jaccard.more_runs(0.999, 7, 1) == 0
-
-
-@pytest.mark.parametrize(
-    ("text", "iban"),
-    [
-        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
-        ("IBAN DE89 3704 0044 0532 0130 00 EUR 50", "DE89 3704 0044 0532 0130 00"),
-        ("GB82WEST12345698765432 2024-01-02", "GB82WEST12345698765432"),
-        ("REF AB12 CDEF GH89 IBAN GB82 WEST 1234 5698 7654 32 OK", "GB82 WEST 1234 5698 7654 32"),
-    ],
-)
-def test_iban_followed_by_words_and_numbers(text, iban):
-    assert [x["match"] for x in pii.scan(text) if pii.KINDS[x["kind"]] == "iban"] == [iban]
-
-
-def test_licences_as_published(spark):
-    by = "Copyright (c) 2020, Some One\n"
-    clause = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
-    two = licenses.LICENSES["BSD-2-Clause"]
-    long = {f.name.removesuffix(".txt"): f.read_text() for f in resources.files("halocline.llm").joinpath("license_texts").iterdir()}
-    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(long)
-    texts = [
-        ("MIT", f"MIT License\n\n{by}\n" + licenses.LICENSES["MIT"]), ("MIT", f"The MIT License (MIT)\n\n{by}\n" + licenses.LICENSES["MIT"]),
-        ("ISC", f"ISC License\n\n{by}\n" + licenses.LICENSES["ISC"]), ("BSD-2-Clause", f"BSD 2-Clause License\n\n{by}All rights reserved.\n\n" + two),
-        ("BSD-3-Clause", f"BSD 3-Clause License\n\n{by}\n" + two.replace("THIS SOFTWARE IS", clause + "THIS SOFTWARE IS", 1)),
-        ("Apache-2.0", long["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some One")), ("Apache-2.0", long["Apache-2.0"].split("APPENDIX")[0]),
-        *long.items(), (None, "MIT License"),
-    ]
-    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
-    assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
