@@ -1,9 +1,11 @@
 """Secret scan: known patterns, and strings whose characters are too evenly spread to be words.
 
-DataFrame functions only. A candidate is a run of 20 or more key characters. Of each character class it belongs to
-(hex digits, base64 letters) a window of 20 characters slides over it; the counts of the characters in the window are
-updated by the one that enters and the one that leaves, and with them the Shannon entropy. A candidate is a secret if
-a window's entropy reaches its class's threshold, unless the allow-list knows it or a base span overlaps it.
+DataFrame functions only. Where no base span and no sample word stands, a run of 20 or more key characters is a
+candidate. Of each character class it belongs to (hex digits, base64 letters) a window of 20 characters slides over
+it; the counts of the characters in the window are updated by the one that enters and the one that leaves, and with
+them the Shannon entropy. A candidate is a secret if a window's entropy reaches its class's threshold, unless the
+allow-list knows it. Every pattern is matched without a step back over a repeated group, in time and stack that do not
+grow with what it repeats.
 """
 
 from __future__ import annotations
@@ -23,99 +25,143 @@ KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW = 20
 #: class name, whole-candidate pattern, entropy in bits a character that a window must reach
 CLASSES = [("hex", "^[0-9a-fA-F]+$", 3.0), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.8)]
+#: A word that says that what stands beside it is no sample itself, as in a path: candidates end there.
+SAMPLE_WORD = r"\b(?:EXAMPLE|example)\b"
 #: Candidates that are no secrets: words, numbers, lines of signs, UUIDs, samples, words joined by hyphens or slashes.
 ALLOWED = [
-    "^[A-Za-z_=+/-]*$",
-    "^[0-9_=+/-]*$",
+    "^[A-Za-z_=+/-]*+$",
+    "^[0-9_=+/-]*+$",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "EXAMPLE|example|0123456789|abcdefghij",
-    "^[A-Za-z]+([/_=-]+[A-Za-z0-9]{1,4})+$",
-    "^([A-Za-z]+|[0-9]+)([/_=-]+([A-Za-z]+|[0-9]+))*$",
+    "^[A-Za-z]++(?:[/_=-]++[A-Za-z0-9]{1,4}+)++$",
+    "^(?:[A-Za-z]++|[0-9]++)(?:[/_=-]++(?:[A-Za-z]++|[0-9]++))*+$",
 ]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CHUNK = 256  # spans whose positions are summed at once
+BITS, PER_WORD = 5, 12  # of a count in a packed word; counts do not exceed WINDOW
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the items before each, by chunks, so that long arrays are not copied once an item."""
+    zero = F.array().cast("array<long>")
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def before(xs: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), zero.alias("out"))
+        return F.aggregate(xs, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(CHUNK))
+    chunks = F.transform(starts, lambda i: F.slice(lengths, i, F.lit(CHUNK)))
+    offsets = before(F.transform(chunks, total), F.lit(0).cast("long"))
+    return F.flatten(F.zip_with(chunks, offsets, before))
 
 
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, match>> of all matches, in order. Code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # between the matches lie the pieces that split() leaves: positions are running sums of both lengths
-    pieces = F.split(text, pattern, -1)
     span = "array<struct<start:int,kind:int,end:int,match:string>>"
-    empty = F.array().cast(span)
+    # between the matches lie the pieces that split() leaves: positions are running sums of both lengths
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(pieces, i))
-        match = F.element_at(matches, i)
-        end = start + F.length(match)
-        row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), match.alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(row)).alias("spans"))
+    def placed(f: Column) -> Column:
+        both = F.zip_with(f["matches"], F.slice(f["pieces"], F.lit(1), F.size(f["matches"])), lambda m, p: F.struct(m.alias("m"), F.length(p).cast("long").alias("p")))
+        starts = _running(F.transform(both, lambda b: b["p"] + F.length(b["m"])))
+        return F.zip_with(both, starts, lambda b, s: F.struct(
+            (s + b["p"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (s + b["p"] + F.length(b["m"])).cast("int").alias("end"), b["m"].alias("match")
+        ))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(matches)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(found), placed), 1)).otherwise(F.array()).cast(span)
 
 
 def max_entropy(string: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of the windows of ``string`` (of ALPHABET's characters)."""
-    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])  # c log2 c
-    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    """The highest Shannon entropy, in bits a character, of the windows of ``string`` (of ALPHABET's characters).
+
+    The counts are packed, PER_WORD of them in a long; a step changes one count for the character that leaves and one
+    for the one that enters, and the sum of c log2 c by what these two change.
+    """
+    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PER_WORD)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def counted(acc: Column, code: Column, by: int) -> tuple[Column, Column]:
-        now = F.element_at(acc["counts"], code)
-        counts = F.concat(F.slice(acc["counts"], F.lit(1), code - 1), F.array(now + by), F.slice(acc["counts"], code + 1, F.lit(len(ALPHABET))))
+        word, place = F.floor(code / PER_WORD).cast("int"), ((code % PER_WORD) * BITS).cast("int")
+        now = F.call_function("shiftright", F.element_at(acc["counts"], word + 1), place).bitwiseAND(F.lit(31)).cast("int")
+        change = F.call_function("shiftleft", F.lit(1).cast("long"), place) * by
+        counts = F.transform(acc["counts"], lambda x, i: F.when(i == word, x + change).otherwise(x))
         return counts, acc["sum"] + F.element_at(weight, now + by + 1) - F.element_at(weight, now + 1)
 
-    def step(acc: Column, i: Column) -> Column:
-        # first the character that leaves, then the one that enters
-        out_counts, out_sum = counted(acc, F.element_at(codes, F.greatest(i - window, F.lit(1))), -1)
-        left = F.when(i > window, F.struct(out_counts.alias("counts"), out_sum.alias("sum"), acc["best"].alias("best"))).otherwise(acc)
-        return F.aggregate(
-            F.array(left),
-            acc,
-            lambda _, x: (lambda counts, total: F.struct(
-                counts.alias("counts"), total.alias("sum"),
-                F.when(i >= window, F.greatest(x["best"], F.lit(math.log2(window)) - total / window)).otherwise(x["best"]).alias("best"),
-            ))(*counted(x, F.element_at(codes, i), 1)),
-        )
+    def slide(codes: Column) -> Column:
+        def enter(acc: Column, i: Column) -> Column:
+            counts, total = counted(acc, F.element_at(codes, i), 1)
+            best = F.when(i >= window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
+            return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+
+        def step(acc: Column, i: Column) -> Column:
+            # first the character that leaves, then the one that enters
+            counts, total = counted(acc, F.element_at(codes, F.greatest(i - window, F.lit(1))), -1)
+            left = F.when(i > window, F.struct(counts.alias("counts"), total.alias("sum"), acc["best"].alias("best"))).otherwise(acc)
+            return F.aggregate(F.array(left), acc, lambda _, x: enter(x, i))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: acc["best"])
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: acc["best"])
+
+    # a list of one, so that the codes are made once and not again at every step
+    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.element_at(F.transform(F.array(codes), slide), 1)
 
 
 def _suspect(match: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | match.rlike(pattern)
-    high = F.lit(False)
-    entropy = max_entropy(match)
-    for _, whole, least in CLASSES:
-        high = high | (match.rlike(whole) & (entropy >= least))
-    return ~allowed & high
+
+    def high(entropy: Column) -> Column:
+        found = F.lit(False)
+        for _, whole, least in CLASSES:
+            found = found | (match.rlike(whole) & (entropy >= least))
+        return found
+
+    return ~allowed & F.exists(F.array(max_entropy(match)), high)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """Adds ``out``, array<struct<start, kind, end, match>> sorted by start, then kind, to every row.
 
-    kind is an index of KINDS. A null text is as an empty one: no spans. Texts are scanned whole, whatever their
-    length; repeated rows stay, each scanned alike. A column named ``out`` is replaced; no other is touched.
+    kind is an index of KINDS. Candidates are sought in what base spans and sample words leave of the text, so they
+    touch none. A null text is as an empty one: no spans. Texts are scanned whole, whatever their length; repeated rows
+    stay, each scanned alike; of spans that start together the base one comes first. An empty table gives no rows. A
+    column named ``out`` is replaced; no other is touched.
     """
     t, s = F.coalesce(F.col(text), F.lit("")), F.col(out)
-    hits = docs.withColumn(out, F.struct(
-        spans_of(t, ASSIGN, 0).alias("assign"), spans_of(t, ACCESS, 1).alias("access"), spans_of(t, HEX, 2).alias("hex"), spans_of(t, CANDIDATE, 3).alias("entropy"),
-    ))
+    hits = docs.withColumn(out, F.struct(spans_of(t, ASSIGN, 0).alias("assign"), spans_of(t, ACCESS, 1).alias("access"), spans_of(t, HEX, 2).alias("hex")))
     assign = F.filter(s["assign"], lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
-    base = hits.withColumn(out, F.struct(F.concat(assign, s["access"], s["hex"]).alias("base"), s["entropy"].alias("entropy")))
-    clear = F.filter(s["entropy"], lambda x: ~F.exists(s["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _suspect(x["match"]))
-    return base.withColumn(out, F.array_sort(F.concat(s["base"], clear)))
+    base = hits.withColumn(out, F.array_sort(F.concat(assign, s["access"], s["hex"])))
+    # what is blanked is as long as before, so that positions hold
+    left = F.when(t.rlike(SAMPLE_WORD), F.regexp_replace(blanked(t, s), SAMPLE_WORD, " " * len("example"))).otherwise(blanked(t, s))
+    rest = F.filter(spans_of(left, CANDIDATE, 3), lambda x: _suspect(x["match"]))
+    return base.withColumn(out, F.array_sort(F.concat(s, rest)))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of ``spans``, sorted by start."""
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(acc["at"], x["start"])
+        piece = F.concat(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    return _rewritten(text, spans, step)
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """``text`` with each of ``spans`` replaced by ``mark``; overlapping spans become one mark."""
     def step(acc: Column, x: Column) -> Column:
         piece = F.when(x["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    return _rewritten(text, spans, step)
+
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
+def _rewritten(text: Column, spans: Column, step) -> Column:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
 
 
 def count_kind(spans: Column, kind: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halocline.llm import licenses, pii, secrets
+from halocline.llm import licenses, pii
 
 
 def _q(s: str) -> str:
@@ -63,27 +63,37 @@ SELECT w.doc_id, license_digest, license_id, coalesce(notices, '') AS notices
 FROM whole w LEFT JOIN known ON license_digest = d LEFT JOIN notices n ON w.doc_id IS NOT DISTINCT FROM n.doc_id
 """
 
-_suspect = " AND ".join(f"NOT regexp_matches(m, {_q(p)})" for p in secrets.ALLOWED)
-_classes = " OR ".join(f"(regexp_matches(m, {_q(p)}) AND best >= {least})" for _, p, least in secrets.CLASSES)
+# The patterns and bounds of the SQL are its own, so that a change of the operator's shows.
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ALLOWED = [
+    "^[A-Za-z_=+/-]*$", "^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "EXAMPLE|example|0123456789|abcdefghij",
+    "^[A-Za-z]+([/_=-]+[A-Za-z0-9]{1,4})+$", "^([A-Za-z]+|[0-9]+)([/_=-]+([A-Za-z]+|[0-9]+))*$",
+]
+_suspect = " AND ".join(f"NOT regexp_matches(m, {_q(p)})" for p in _ALLOWED)
 
 SECRETS_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-{_spans("s0", 0, secrets.ASSIGN)},
-{_spans("s1", 1, secrets.ACCESS)},
-{_spans("s2", 2, secrets.HEX)},
-{_spans("s3", 3, secrets.CANDIDATE)},
+{_spans("s0", 0, _ASSIGN)},
+{_spans("s1", 1, "AKIA[A-Z0-9]{12,}")},
+{_spans("s2", 2, "[0-9a-f]{32,}")},
 base AS (
-  SELECT rid, kind, a, a + length(m) AS e FROM s0 WHERE length(regexp_extract(m, {_q(secrets.ASSIGN)}, 2)) >= 8
+  SELECT rid, kind, a, a + length(m) AS e FROM s0 WHERE length(regexp_extract(m, {_q(_ASSIGN)}, 2)) >= 8
   UNION ALL SELECT rid, kind, a, a + length(m) FROM s1 UNION ALL SELECT rid, kind, a, a + length(m) FROM s2),
-windows AS (
-  SELECT rid, i, a, m, unnest(range(1, length(m) - {secrets.WINDOW - 2})) AS w FROM s3 WHERE {_suspect}),
+ends AS (SELECT rid, kind, a, e, coalesce(max(e) OVER (PARTITION BY rid ORDER BY a, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM base),
+gone AS (
+  SELECT rid, string_agg(substr(text, CAST(upto + 1 AS BIGINT), CAST(greatest(a - upto, 0) AS BIGINT)) || repeat(' ', CAST(greatest(e - greatest(a, upto), 0) AS BIGINT)), '' ORDER BY a, kind, e) AS front, max(e) AS upto
+  FROM ends JOIN t USING (rid) GROUP BY rid),
+rest AS (
+  SELECT rid, regexp_replace(CASE WHEN front IS NULL THEN text ELSE front || substr(text, CAST(upto + 1 AS BIGINT)) END, '\\b(?:EXAMPLE|example)\\b', '       ', 'g') AS text
+  FROM t LEFT JOIN gone USING (rid)),
+{_spans("s3", 3, "[A-Za-z0-9+/_=-]{20,}", "rest")},
+windows AS (SELECT rid, i, a, m, unnest(range(1, length(m) - 18)) AS w FROM s3 WHERE {_suspect}),
 chars AS (
   SELECT rid, i, a, m, w, c, count(*) AS n
-  FROM (SELECT *, unnest(string_split(substr(m, w, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),
-entropies AS (SELECT rid, i, a, m, w, -sum(n / {secrets.WINDOW}.0 * log2(n / {secrets.WINDOW}.0)) AS h FROM chars GROUP BY ALL),
+  FROM (SELECT *, unnest(string_split(substr(m, w, 20), '')) AS c FROM windows) GROUP BY ALL),
+entropies AS (SELECT rid, i, a, m, w, -sum(n / 20.0 * log2(n / 20.0)) AS h FROM chars GROUP BY ALL),
 best AS (SELECT rid, a, m, max(h) AS best FROM entropies GROUP BY rid, i, a, m),
-high AS (SELECT rid, 3 AS kind, a, a + length(m) AS e FROM best b WHERE ({_classes})
-         AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = b.rid AND x.a < b.a + length(b.m) AND b.a < x.e)),
+high AS (SELECT rid, 3 AS kind, a, a + length(m) AS e FROM best WHERE (regexp_matches(m, '^[0-9a-fA-F]+$') AND best >= 3.0) OR best >= 3.8),
 found AS (
   SELECT rid, kind, a, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(e AS BIGINT) AS s
   FROM (SELECT * FROM base UNION ALL SELECT * FROM high)),

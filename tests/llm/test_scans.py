@@ -47,6 +47,36 @@ def test_allow_list(spark, text):
     assert spans(spark, text) == ([], text)
 
 
+def test_sample_words_and_base_spans_end_candidates(spark):
+    key = "Zk9fQ2x7LmP4vT1wR8sN3bY6"
+    assert spans(spark, f"docs/example/{key} end")[0] == [("entropy", f"/{key}")]
+    assert spans(spark, f"{key}-token=abcdefgh")[0] == [("entropy", f"{key}-"), ("assign", "token=abcdefgh")]
+    assert spans(spark, "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY")[0] == []
+
+
+LONG_SECRETS = ["x " + "a-1-" * 100_000 + " y", "x " + "ab/" * 50_000 + "1 y", "a1_" * 60_000 + "=", "'" * 100_000 + "token=" * 20_000]
+
+
+@pytest.mark.parametrize("text", LONG_SECRETS, ids=range(len(LONG_SECRETS)))
+def test_long_runs_of_groups_end(spark, text):
+    assert spans(spark, text)[1] is not None
+
+
+def test_a_megabyte_of_base64_is_one_secret(spark):
+    import base64
+    import random
+
+    text = base64.b64encode(random.Random(0).randbytes(780_000)).decode().rstrip("=")
+    assert spans(spark, "x " + text + " y")[0] == [("entropy", text)]
+
+
+def test_positions_of_many_matches(spark):
+    one = "é AKIA" + "A" * 12 + " "
+    df = spark.createDataFrame([(one * 3000,)], "text string").select(secrets.spans_of(F.col("text"), secrets.ACCESS, 1).alias("s"))
+    got = df.first()["s"]
+    assert [(x["start"], x["end"]) for x in got] == [(i * len(one) + 2, i * len(one) + 18) for i in range(3000)]
+
+
 def test_pii():
     found = lambda t: [(pii.KINDS[x["kind"]], x["match"]) for x in pii.scan(t)]
     assert found("mail a.b@c.de, ip 10.0.0.1 not 10.0.0.999") == [("email", "a.b@c.de"), ("ip", "10.0.0.1")]
