@@ -206,10 +206,15 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     normalized text with its end; base_score: that of its tokens by counts smoothed with 0.1. A null text is as an
     empty one: one token, the end. Repeated rows count as often as they stand and are scored alike. Bytes that no
     context has foretold are scored by the shorter contexts, at worst half a bit's odds each. If nothing is learned,
-    every bit has odds of one half. An empty table gives no rows. ``depth`` is 6 at most; a block's share of a task's
-    memory is some 12 times ``block_bytes``, or of its longest text. Words are counted by 64-bit
-    hashes, and the model's answers travel as 32-bit floats.
+    every bit has odds of one half. An empty table gives no rows. Columns of ``docs`` beyond these are left out; of
+    equal texts the scores are equal. ``depth`` is 6 at most, as a context and its byte are one key of 64 bits; there
+    the bytes before a text are NUL, which a NUL in a text is taken for. A block's share of a task's memory is some 12
+    times ``block_bytes``, or of its longest text. Words are counted by 64-bit hashes: of some 10^9 distinct words the
+    first may share one, and would be counted together. The model's answers travel as 32-bit floats. A key that is in
+    every block has a row a block in the join that answers it, 6 million at 100 TB, which skew handling may split.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("depth is 1 to 6")
     spark = docs.sparkSession
     work = Workspace(spark, "ctw")
     staged = work.write(stage(docs, train, block_bytes, doc_id, text), "staged")
@@ -219,14 +224,14 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     counted = work.write(sums.filter("not token").select(F.col("key").alias("gram"), "n"), "counted")
-    work.release()
     model = work.write(train_model(counted, depth, work), "model")
-    work.release("counted", *[f"depth{d}" for d in range(depth + 1)])
-    # what a block is told: of a word its count, of a gram log10 of its probability, which is not above 0
+    work.drop("counted", *[f"depth{d}" for d in range(depth + 1)])
+    # what a block is told: of a word (token) its count, of a gram log10 of its probability
     learned = words.select(F.lit(True).alias("token"), "key", F.col("n").cast("float").alias("value"))
     learned = learned.unionByName(model.select(F.lit(False).alias("token"), F.col("gram").alias("key"), F.col("log10_p").cast("float").alias("value")))
-    told = work.write(lists.select("block", "token", "key").join(learned.hint("merge"), ["token", "key"]).select("block", "key", "value"), "told")
-    work.release("lists", "words", "model")
+    told = work.write(lists.select("block", "token", "key").join(learned.hint("merge"), ["token", "key"]).select("block", "token", "key", "value"), "told")
+    work.keep("staged", "told")
+
     def lookup(key: np.ndarray, value: np.ndarray) -> tuple[pd.Index, np.ndarray]:
         """The keys, and their values with a 0 more for a key that is not there."""
         order = np.argsort(key, kind="stable")
@@ -235,9 +240,10 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
 
     def block(rows: pa.Table, told: pa.Table) -> pa.Table:
         bodies, key, value, many = rows.column("body").to_pylist(), told.column("key").to_numpy(), told.column("value").to_numpy(), rows.num_rows
+        token = told.column("token").to_numpy()
         rows = rows.drop_columns(["body"])
         del told
-        keys, counts = lookup(key[value > 0], value[value > 0])
+        keys, counts = lookup(key[token], value[token])
         log = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         at = keys.get_indexer([END])[0]
         base, known = np.full(many, log[at]), np.full(many, int(at >= 0))
@@ -245,7 +251,7 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
             at = keys.get_indexer(h.view(np.int64))
             base += np.bincount(i, log[at], many)
             known += np.bincount(i[at >= 0], minlength=many)
-        keys, log = lookup(key[value <= 0], value[value <= 0])
+        keys, log = lookup(key[~token], value[~token])
         sums = np.zeros(many)
         for g, i in grams(bodies, depth):
             sums += np.bincount(i, log[keys.get_indexer(g)], many)

@@ -9,6 +9,7 @@ counts once; lists of any length are dealt out in blocks.
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm.groups import components, in_blocks, local_roots
+from halocline.llm.groups import components, in_blocks, join_counted, local_roots, lowest_of, rows_of
 from halocline.llm.workspace import Workspace
 
 NONE = np.zeros(0, np.int64)
@@ -30,11 +31,18 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 def choose_pivots(sample: np.ndarray, most: int, apart: float) -> np.ndarray:
     """The first ``most`` unit vectors, in order, of which no two have a cosine above ``apart``."""
-    taken: list[np.ndarray] = []
+    taken, n = np.zeros((min(most, len(sample)), sample.shape[1])), 0
     for v in sample:
-        if len(taken) < most and (not taken or np.max(np.array(taken) @ v) <= apart):
-            taken.append(v)
-    return np.array(taken)
+        if n < len(taken) and (not n or np.max(taken[:n] @ v) <= apart):
+            taken[n] = v
+            n += 1
+    return taken[:n]
+
+
+def pivots_for(vectors: int, least: int, nearest: int, shared: int, block: int) -> int:
+    """How many pivots keep the mean list of two pivots within ``block`` of so many vectors, ``least`` at least."""
+    chosen = nearest - shared + 2
+    return max(least, math.ceil(math.sqrt(chosen * (chosen - 1) * vectors / block)))
 
 
 def link_embeddings(vectors: DataFrame, threshold: float = 0.95, pivots: int = 256, sample: int = 4096, nearest: int = 8, shared: int = 4,
@@ -46,9 +54,12 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, pivots: int = 2
     numbers, link with nothing. Only vectors of equal length are compared. Rows with equal vectors link with each
     other; repeated rows, and rows with a null vec_id, count as rows. An empty table gives no rows.
 
-    The index is fit on the ``sample`` vectors whose hashes are smallest, at most; all vectors are indexed. A pair is
-    found if ``shared`` of its ``nearest`` pivots agree; if there are fewer pivots, as many as there are. Of pairs
-    with a cosine of 0.95, nearly all do (tests measure the recall against brute force).
+    The index is fit on a sample, the vectors whose hashes are smallest: ``sample`` of them, or 8 a pivot where there
+    are more pivots; all vectors are indexed. There are ``pivots``, and more as their root where so many vectors ask
+    for it, so that lists do not grow with the table. A pair is found if ``shared`` of its ``nearest`` pivots agree; if
+    there are fewer pivots, as many as there are. Of pairs with a cosine of 0.95, nearly all do (tests measure the
+    recall against brute force, at the parameters of the query and with more pivots). A vector of any length is read
+    whole; of equal ids the class is the same.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "pivots")
@@ -60,7 +71,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, pivots: int = 2
     classes = rows.filter("sound").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding"))
     classes = work.write(classes, "classes")
 
-    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(sample).toPandas()
+    pivots = pivots_for(classes.count(), pivots, nearest, shared, block)
+    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(max(sample, 8 * pivots)).toPandas()
     by_size: dict[int, np.ndarray] = {}
     for size, part in drawn.groupby(drawn["embedding"].map(len)):
         by_size[int(size)] = choose_pivots(_unit(part["embedding"]), pivots, 0.8)
@@ -93,7 +105,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, pivots: int = 2
     pairs = F.flatten(F.transform(first, lambda a: F.transform(F.filter(first, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = F.when(k < 2, F.transform("pivots", lambda a: F.struct(a.alias("a"), a.alias("b")))).otherwise(pairs)
     lists = ranked.withColumn("of", F.explode(pairs)).select("size", "of.a", "of.b", "key", "n", "pivots", "embedding")
-    dealt = in_blocks(lists, ["size", "a", "b"], F.col("key"), block)
+    dealt = in_blocks(lists, ["size", "a", "b"], F.col("key"), block, work)
 
     def verify(key_: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         a, b, bi, bj = key_[1:]
@@ -127,9 +139,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, pivots: int = 2
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(found.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")), work).withColumnRenamed("node", "key")
     placed = classes.select("key", "n", "first_id").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(lowest, "root").join(links, "key", "left")
-    result = work.write(placed.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "result")
-    out = rows.select("vec_id", "key").join(result, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    placed = lowest_of(work.write(placed, "placed"), "root", "first_id", "component_id", work).join(links, "key", "left")
+    result = work.write(placed.select("key", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "result")
+    work.keep("rows", "result")
+    linked = join_counted(rows.filter("sound").select("vec_id", "key"), result, ["key"], "n", rows_of(result, "n")).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

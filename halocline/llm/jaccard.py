@@ -23,13 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halocline.llm.groups import components, in_blocks, local_roots, runs_for
+from halocline.llm.groups import components, in_blocks, join_counted, local_roots, lowest_of, rows_of, runs_for
 from halocline.llm.hashing import mix, normalize, word_hashes
 from halocline.llm.workspace import Workspace
 
 SKETCH = 128
 SLICE = 4 << 20  # bytes of text whose n-grams are made at once
-NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 
 
 def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -51,9 +50,10 @@ def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     words = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
     of = np.concatenate([i for _, i in found]) if found else np.zeros(0, int)
     ends = np.searchsorted(of, np.arange(len(bodies) + 1))
-    grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    many = max(0, len(words) - n + 1)
+    grams = np.zeros(many, np.uint64)
     for k in range(n):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k]
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[k : k + many]
     grams = mix(grams)
     out = []
     for a, b in zip(ends[:-1], ends[1:], strict=True):
@@ -225,11 +225,13 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
 
     n_links: other rows whose sets of ``words``-grams (of words in ASCII lower case) have a Jaccard similarity of
     ``threshold`` or more, exact copies included; class_id: the smallest doc_id that links reach; copy_of: the
-    smallest doc_id with the same text; kept: whether doc_id is the class_id; text_key: md5 of the text, null if it has
-    no words. A text of fewer words is one n-gram of
-    them all. A text that is null or has no words links with nothing and is its own class. Repeated rows, and rows
-    with a null doc_id, count as rows; a null doc_id is a class_id only if its class has no other. Other columns are
-    left out; an empty table gives no rows.
+    smallest doc_id with the same text; text_key: md5 of the text, null if it has no words; kept: whether the row has
+    the text that stays of its class (that of the smallest copy_of, null last, then of the smallest text_key) and its
+    copy_of for a doc_id. A text of fewer words is one n-gram of them all. A text that is null or has no words links
+    with nothing, is its own class and is kept. Repeated rows, and rows with a null doc_id, count as rows; a null
+    doc_id is a class_id only if its class has no other. doc_id is of any orderable type. Other columns are left out;
+    an empty table gives no rows. Texts of any length are read whole. Link counts of a group of different texts that
+    are all alike take a comparison a pair: they are dealt out in blocks.
 
     Runs follow from ``recall``, the odds that a pair at the threshold is found, which is the more certain the more
     similar the pair. Buckets of up to ``small`` sets, and those whose sets have a mean similarity of ``alike`` or
@@ -240,29 +242,31 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     work = Workspace(spark, "jaccard")
     runs = runs_for(recall, 1 - 1 / math.e)
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("id"), F.when(has_words, F.unhex(F.md5(F.col(text).cast("binary")))).alias("key"), F.col(text).alias("text")
-    )
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.when(has_words, F.unhex(F.md5(F.col(text).cast("binary")))).alias("key"), F.col(text).alias("text"))
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in _parts(batches):
             sets = ngram_sets(list(batch["text"]), words)
             paths = [choose(s, roots, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "paths": paths, "sketch": [sketch(s) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "paths": paths, "sketch": [sketch(s) if len(s) else None for s in sets]})
 
-    schema = keyed.select("doc_id", "id", "key").schema.add("paths", T.ArrayType(T.LongType())).add("sketch", "binary")
+    schema = keyed.select("doc_id", "key").schema.add("paths", T.ArrayType(T.LongType())).add("sketch", "binary")
     rows = work.write(keyed.mapInPandas(begin, schema), "rows")
     classes = rows.filter("key is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")
+        F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")
     )
     classes = work.write(classes, "classes")
+    worded = rows_of(classes, "n")
     sketches = classes.select("key", "sketch")
 
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """key, n, tokens of some classes, made anew from the text of their first row."""
-        texts = keyed.filter("key is not null").select("key", "id", "text").join(classes.select("key", "id", "n").join(keys, "key", "left_semi"), ["key", "id"])
-        return texts.dropDuplicates(["key", "id"]).select("key", "n", "text").mapInPandas(fill, "key binary, n long, tokens binary")
+    def sets_of(keys: DataFrame, name: str) -> DataFrame:
+        """key, n, tokens of some classes, made anew from the text of a row with their copy_of."""
+        first = F.xxhash64("copy_of").alias("at")
+        wanted = work.write(classes.join(keys, "key", "left_semi").select("key", first, "n", "copy_of"), f"{name}_wanted")
+        texts = keyed.filter("key is not null").withColumn("at", F.xxhash64("doc_id"))
+        found = join_counted(texts, wanted, ["key", "at"], "n", worded).filter(F.col("doc_id").eqNullSafe(F.col("copy_of")))
+        return found.select("key", "n", "text").dropDuplicates(["key"]).mapInPandas(fill, "key binary, n long, tokens binary")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _parts(batches):
@@ -278,27 +282,31 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         split (as given, if they are known; None if none was), and the most steps that a bucket took."""
         leaves = None
         for at in range(1, depth + 1):
-            sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-            level = work.write(level.join(sizes, "leaf"), f"{name}shared{at}")
-            work.drop(f"{name}level{at}")
+            counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")), f"{name}sizes{at}")
+            level = work.write(join_counted(level, counted.filter("size > 1"), ["leaf"], "size", rows_of(counted, "size")), f"{name}shared{at}")
+            work.drop(f"{name}level{at}", f"{name}sizes{at}")
             found, large = level.filter(F.col("size") <= small).select("key", "leaf"), level.filter(F.col("size") > small)
             if at == depth or large.isEmpty():
                 found = found.union(large.select("key", "leaf"))
                 leaves = found if leaves is None else leaves.union(found)
                 break
             # mean similarity of a bucket, from that of its members with four of them
-            large = large.select("key", "leaf").join(sketches, "key")
-            some = large.groupBy("leaf").agg(*[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
+            large = large.join(sketches, "key")
+            some = large.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
+            some = work.write(some, f"{name}some{at}")
             alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
-            mean = large.join(some, "leaf").groupBy("leaf").agg(F.avg(alike_).alias("mean"))
-            large = work.write(large.select("key", "leaf").join(mean, "leaf"), f"{name}large{at}")
+            many = rows_of(some, "size")
+            mean = join_counted(large.drop("size"), some, ["leaf"], "size", many).groupBy("leaf").agg(F.avg(alike_).alias("mean"), F.count(F.lit(1)).alias("size"))
+            mean = work.write(mean, f"{name}mean{at}")
+            large = work.write(join_counted(large.select("key", "leaf"), mean, ["leaf"], "size", many), f"{name}large{at}")
+            work.drop(f"{name}some{at}", f"{name}mean{at}")
             found = found.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
             leaves = found if leaves is None else leaves.union(found)
             rest = large.filter(F.col("mean") < alike).select("key", "leaf")
             if rest.isEmpty():
                 break
             if sets is None:  # deeper buckets hold no others
-                sets = work.write(sets_of(rest.select("key").distinct()), "split_sets").drop("n")
+                sets = work.write(sets_of(rest.select("key").distinct(), "split"), "split_sets").drop("n")
             level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"{name}level{at + 1}")
         return leaves, sets, at
 
@@ -321,26 +329,28 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         leaves, steps = leaves.union(further), max(steps, deeper)
         done, again = again, more_runs(recall, runs, steps)
     leaves = work.write(leaves, "leaves")
-    work.release("split_sets")
+    work.keep("rows", "classes", "leaves")
 
     order = ["leaf", "bi", "bj"]
     members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
     members = members.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf")))  # only earlier ones are asked for
-    cleared = in_blocks(members, ["leaf"], F.col("key"), small).repartition(*order).sortWithinPartitions(*order)
+    cleared = in_blocks(members, ["leaf"], F.col("key"), small, work, leaves).repartition(*order).sortWithinPartitions(*order)
     cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
-    whole = cleared.join(sets_of(cleared.select("key").distinct()), "key").repartition(*order).sortWithinPartitions(*order)
+    whole = cleared.join(sets_of(cleared.select("key").distinct(), "cleared"), "key").repartition(*order).sortWithinPartitions(*order)
     links = work.write(whole.mapInPandas(compare(threshold), "key binary, links long, root binary"), "links")
-    work.release("leaves", "cleared")
+    work.keep("rows", "classes", "links")
 
     joined = components(links.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")), work).withColumnRenamed("node", "key")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     placed = classes.select("key", "n", "copy_of").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = placed.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    placed = placed.join(lowest, "root").join(counts, "key", "left")
-    result = work.write(placed.select("key", "class_id", "copy_of", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "result")
-    out = rows.select("doc_id", "key").join(result, "key", "left")
-    own = lambda c: F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col(c))
-    return out.select(
-        "doc_id", F.col("key").alias("text_key"), own("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own("copy_of").alias("copy_of"),
-        F.coalesce(F.col("doc_id") == own("class_id"), own("class_id").isNull()).alias("kept"),
+    # the smallest doc_id, null last; of equal ones the smallest text
+    placed = placed.withColumn("rank", F.struct(F.col("copy_of").isNull().alias("none"), F.col("copy_of").alias("id"), F.col("key").alias("key")))
+    placed = lowest_of(work.write(placed, "placed"), "root", "rank", "first", work).join(counts, "key", "left")
+    found = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    result = work.write(placed.select("key", "n", F.col("first.id").alias("class_id"), "copy_of", (F.col("first.key") == F.col("key")).alias("stays"), found), "result")
+    work.keep("rows", "result")
+    out = join_counted(rows.filter("key is not null").select("doc_id", "key"), result, ["key"], "n", worded).select(
+        "doc_id", F.col("key").alias("text_key"), "class_id", "n_links", "copy_of", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("copy_of"))).alias("kept")
     )
+    own = rows.filter("key is null").select("doc_id", F.col("key").alias("text_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("kept"))
+    return out.unionByName(own)

@@ -30,5 +30,6 @@ def clashing(spark, messy):
     """Extra columns with the names that operators use."""
     from pyspark.sql import functions as F
 
-    names = ["language", "secret_spans", "pii_spans", "key", "id", "block", "train", "size", "target", "copies", "chunk", "share", "leaf", "paths", "host", "path", "rule", "verdict", "n", "numbers", "gram", "item_id"]
+    names = ["language", "secret_spans", "pii_spans", "key", "id", "block", "train", "size", "target", "copies", "chunk", "share", "leaf", "paths", "host", "path", "rule", "verdict", "n", "numbers", "gram", "item_id",
+             "_language", "_id", "_key", "_spans", "_doc_id", "_copies", "__size", "__hash", "text_key", "id_hash", "found_language", "row_hash", "salt", "input_part", "words", "kept", "notices"]
     return messy.select("*", *[F.lit("x").alias(n) for n in names])

@@ -79,6 +79,23 @@ def test_a_large_group_of_near_copies(spark):
     assert all(r["n_links"] <= links[r["doc_id"]] for r in got)
 
 
+@pytest.mark.parametrize("text", ["", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"])
+def test_sets_of_short_batches(text):
+    n = len(text.split())
+    assert [len(s) for s in jaccard.ngram_sets([text], 5)] == [max(1, n - 4) if n else 0]
+    assert [len(s) for s in jaccard.ngram_sets([text, None, "x y"], 5)] == [max(1, n - 4) if n else 0, 0, 1]
+
+
+def test_one_text_of_a_class_without_ids_is_kept(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, words), (None, words + " z"), (None, words), (None, "a"), (None, None)], "doc_id string, text string")
+    got = jaccard.join_similar(docs).collect()
+    assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2]
+    kept = [r for r in got if r["kept"] and r["n_links"]]
+    assert len({r["text_key"] for r in kept}) == 1
+    assert sum(r["kept"] for r in got if not r["n_links"]) == 2
+
+
 def test_join_of_awkward_rows(messy, empty, clashing):
     for docs in (messy, clashing):
         got = {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.join_similar(docs).collect()}
@@ -90,7 +107,7 @@ def test_join_of_awkward_rows(messy, empty, clashing):
 
 def test_blocks_make_every_pair_once(spark):
     members = spark.range(100).select(F.lit(1).alias("g"), "id")
-    rows = groups.in_blocks(members, ["g"], F.col("id"), 16).collect()
+    rows = groups.in_blocks(members, ["g"], F.col("id"), 16, jaccard.Workspace(spark, "test")).collect()
     seen = {}
     for r in rows:
         seen.setdefault((r["bi"], r["bj"]), []).append((r["id"], r["side"]))
@@ -98,6 +115,24 @@ def test_blocks_make_every_pair_once(spark):
     assert len(pairs) == len(set(pairs)) == 100 * 99 // 2
 
 
+def test_numbers_of_hot_keys(spark):
+    rows = spark.range(3000).repartition(6).select(F.when(F.col("id") < 2500, F.lit(None)).otherwise(F.col("id") % 3).alias("k"), "id")
+    got = groups.numbered(groups.Workspace(spark, "test").write(rows, "rows"), ["k"], "place", groups.Workspace(spark, "test")).collect()
+    assert len(got) == len({r["id"] for r in got}) == 3000
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append(r["place"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values())
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_join_with_hot_keys_is_the_join(spark, how):
+    rows = spark.range(4000).select((F.when(F.col("id") < 1500, F.lit(7)).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    counted = groups.Workspace(spark, "test").write(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k % 5 != 0"), "counted")
+    got = groups.join_counted(rows, counted, ["k"], "n", 4000, how)
+    assert sorted(got.collect(), key=str) == sorted(rows.join(counted, ["k"], how).select(got.columns).collect(), key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, 105), (105, 101)]
     got = {r["node"]: r["root"] for r in groups.components(spark.createDataFrame(edges, "a long, b long"), jaccard.Workspace(spark, "test")).collect()}
@@ -125,6 +160,27 @@ def test_embedding_links_and_recall(spark):
     assert all((got[n + k]["n_links"], got[n + k]["component_id"], got[n + k]["kept"]) == (0, n + k, True) for k in range(len(bad)))
 
 
+def test_recall_at_the_parameters_of_the_query(spark):
+    """Pairs with cosines just above the threshold, too."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.normal(size=(1500, 64))
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cosine = rng.uniform(0.951, 0.99, 1500)[:, None]
+    rows = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    for pivots in (256, 1024):
+        got = embeddings.link_embeddings(docs, pivots=pivots)
+        assert got.agg(F.sum("n_links")).first()[0] >= 0.9 * 3000
+
+
+def test_pivots_grow_with_the_table():
+    assert embeddings.pivots_for(50_000, 256, 8, 4, 512) == 256
+    assert 7000 < embeddings.pivots_for(10**9, 256, 8, 4, 512) < 8000
+
+
 def test_no_embeddings(spark):
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -170,10 +226,45 @@ def bench_and_docs(spark):
 def test_leaks(spark, block):
     """All items at once, and some at a time."""
     docs, bench, truth = bench_and_docs(spark)
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, items_per_block=block).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, items_per_pass=block).collect()}
     assert got == truth
 
 
+def test_leaks_against_every_item_with_every_text(spark):
+    """Without the search for candidates: the longest common subsequence around every passage, short items too."""
+    rng = random.Random(12)
+    words = [f"b{i}" for i in range(250)]
+    items = [" ".join(rng.choices(words, k=rng.choice([4, 6, 9, 14, 20, 45, 90]))) + ". " + " ".join(rng.choices(words, k=3)) for _ in range(40)]
+    docs = []
+    for d in range(120):
+        t = rng.choices([f"p{i}" for i in range(500)] + words, k=rng.randint(5, 260))
+        if d % 2:
+            w = items[rng.randrange(40)].split()
+            w = [x if rng.random() > rng.choice([0, 0.1, 0.25, 0.4]) else rng.choice(["p1", "b2", "p3"]) for x in w]
+            at = rng.randrange(len(t))
+            t[at:at] = w
+        docs.append((d, " ".join(t)))
+    truth = set()
+    for d, text in docs:
+        tokens = text.lower().replace(".", " ").split()
+        for k, item in enumerate(items):
+            stem, last = (x.split() for x in item.split(". "))
+            whole = stem + last
+            for w in range(max(1, -(-len(tokens) // 20) - 1)):
+                region = tokens[max(0, w * 20 - len(whole)) : (w + 2) * 20 + len(whole)]
+                share = lcs_table(whole, region) / len(whole)
+                if share >= 0.75 or (share >= 0.55 and lcs_table(last, region) / len(last) >= 0.8):
+                    truth.add((d, k))
+                    break
+    assert len(truth) > 40
+    benchmark = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got <= truth
+    assert len(got) >= 0.97 * len(truth)
+    short = {k for k, item in enumerate(items) if len(item.split()) <= 15}
+    assert {(d, k) for d, k in truth if k in short} <= got
+
+
 def test_leaks_of_awkward_rows(spark, messy, empty, clashing):
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "quick brown fox jumps over the lazy dog and runs"), (4, "nothing of the kind stands there")], "item_id long, text string")
     for docs in (messy, clashing):
