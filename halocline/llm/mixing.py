@@ -72,23 +72,24 @@ def settle(words: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarra
 
 def _settle_chunk(chunk: pd.DataFrame) -> pd.DataFrame:
     # large documents first: the small ones that follow fill them up, and what is left open is small
-    words = -chunk["size"] * chunk["n"]
-    chunk = chunk.assign(words=words).sort_values(["words", "place", "text_hash", "draw"], kind="stable").drop(columns="words").reset_index(drop=True)
+    chunk = chunk.assign(words=-chunk["size"]).sort_values(["words", "place", "text_hash", "draw"], kind="stable").drop(columns="words").reset_index(drop=True)
     draws = (chunk["draw"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
-    chunk["share"] = settle(chunk["size"].to_numpy(float) * chunk["n"].to_numpy(float), chunk["share"].to_numpy(float), draws)
+    chunk["share"] = settle(chunk["size"].to_numpy(float), chunk["share"].to_numpy(float), draws)
     return chunk
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, fan_in: int = 1024, seed: int = 0,
         doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per distinct (doc_id, source, size, text_hash) of ``docs``: KEY, n, source_size, target, copies.
-
-    size: words of the text (null: 0); text_hash: xxhash64 of the text; n: rows with this key, which all get the same
-    number of ``copies``, at most ``cap`` rounded up. Sources sorted by code point, null last, take the weights in
-    turn and share the size of all; no target exceeds ``cap`` times its source's size. Words of a source taken, the
-    sum of n * size * copies, differ from its target by less than the words of one key. The draws are hashes of keys
-    and ``seed``: reruns agree, whatever the partitions. Empty tables give no rows; texts without words get the whole
-    part of their source's ratio. Other columns of ``docs`` play no part.
+    """One or two rows per distinct (doc_id, source, size, text_hash) of ``docs``: KEY, n, source_size, target, copies.
+
+    size: words of the text (null: 0); text_hash: xxhash64 of the text; n: how many rows with this key take so many
+    ``copies``, at most ``cap`` rounded up each. Rows that share a key are alike: settling them in pairs leaves some
+    with one copy more than the others, and one open, which goes on. Sources sorted by code point, null last, take the
+    weights in turn and share the size of all; no target exceeds ``cap`` times its source's size. Words of a source
+    taken, the sum of n * size * copies, differ from its target by less than the words of one document. The draws are
+    hashes of keys and ``seed``: reruns agree, whatever the partitions. Empty tables give no rows; texts without words
+    get the whole part of their source's ratio. Targets are set in one task, which gets a row a source. Other columns
+    of ``docs`` play no part.
     """
     work = Workspace(docs.sparkSession, "mix")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
@@ -104,8 +105,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     state = units.join(aims, F.col("source").eqNullSafe(F.col("aim_source"))).withColumn(
         "chunk", F.pmod(F.xxhash64(*[F.col(c) for c in KEY], F.lit(seed)), F.ceil(F.col("n_units") / fan_in))
     )
-    state = state.select(*KEY, "n", "source_size", "target", "whole", "share", "chunk").withColumns(draws(0))
-    open_ = (F.col("share") > 0) & (F.col("share") < 1) & (F.col("size") > 0)
+    # n rows that are alike, of the same share: some take one copy more, one is left with what is over
+    over = F.col("n") * F.col("share")
+    open_ = (F.col("share") > 0) & (F.col("size") > 0)
+    more = F.when(open_, F.floor(over)).otherwise(F.lit(0)).cast("long")
+    state = state.select(*KEY, "n", "source_size", "target", "whole", more.alias("more"), F.when(open_, over - F.floor(over)).otherwise(F.lit(0.0)).alias("share"), "chunk").withColumns(draws(0))
+    open_ = (F.col("share") > 0) & (F.col("share") < 1)
     settled, chunks, level = [state.filter(~open_)], max(1, math.ceil(largest / fan_in)), 0
     state = state.filter(open_)
     while True:
@@ -120,8 +125,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     last = F.shiftrightunsigned(drawn(level, 2), 11) / float(1 << 53)
     settled.append(state.withColumn("share", F.when(last < F.col("share"), 1.0).otherwise(0.0)))
     every = settled[0]
-    for more in settled[1:]:
-        every = every.unionByName(more)
-    # of texts without words no share is settled
-    copies = F.col("whole") + F.when(F.col("size") > 0, F.col("share")).otherwise(F.lit(0.0)).cast("long")
-    return every.select(*KEY, "n", "source_size", "target", copies.cast("long").alias("copies"))
+    for further in settled[1:]:
+        every = every.unionByName(further)
+    taken = F.col("more") + F.col("share").cast("long")  # rows with one copy more than the others
+    parts = F.array(F.struct((F.col("n") - taken).alias("n"), F.lit(0).alias("extra")), F.struct(taken.alias("n"), F.lit(1).alias("extra")))
+    every = every.withColumn("part", F.explode(F.filter(parts, lambda p: p["n"] > 0)))
+    return every.select(*KEY, "part.n", "source_size", "target", (F.col("whole") + F.col("part.extra")).cast("long").alias("copies"))
+
+
+def rows_of_mix(mixed: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """A row for each of the ``n`` rows that ``mixed`` counts; a row that stands very often is dealt out in chunks."""
+    last = ((F.col("n") - 1) / chunk).cast("long")
+    few = mixed.filter(F.col("n") <= chunk).withColumn("many", F.col("n"))
+    often = mixed.filter(F.col("n") > chunk).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("c", *KEY)
+    often = often.withColumn("many", F.least(F.lit(chunk).cast("long"), F.col("n") - F.col("c") * chunk)).drop("c")
+    every = few.unionByName(often)
+    return every.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("many").cast("int")))).drop("row", "many", "n")

@@ -42,9 +42,7 @@ def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    # a row of the table each: those that share a key are alike
-    rows = mixed.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("row"))
+    rows = mixing.rows_of_mix(mixing.mix(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -125,6 +125,42 @@ def test_language_masks_hold_every_learned_gram(spark):
     assert list(there) == [True, True, True, False, False]
 
 
+def test_filter_against_exact_sets(spark):
+    """Shares by the bit-sliced filter, less its false positives, are near those of sets of n-grams; predictions are equal."""
+    rng = random.Random(9)
+    train = [(" ".join(rng.choices(LANGUAGES[lang].split(), k=30)), lang) for lang in rng.choices(list(LANGUAGES), k=300)]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"), slots=1 << 13)
+
+    def grams(text):
+        words = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [words[i : i + 4] for i in range(len(words) - 3)]
+
+    counts = {lang: defaultdict(int) for lang in LANGUAGES}
+    for text, lang in train:
+        for g in grams(text):
+            counts[lang][g] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    rate = lambda lang, g: counts[lang][g] / total[lang]
+    sets = {lang: {g for g in counts[lang] if counts[lang][g] and rate(lang, g) >= 0.1 * max(rate(o, g) for o in LANGUAGES)} for lang in LANGUAGES}
+    texts = [" ".join(rng.choices([*LANGUAGES[lang].split(), "xyzzyx", "qwrtp"], k=12)) for lang in rng.choices(list(LANGUAGES), k=60)]
+    share, _ = model.shares(texts)
+    for text, got in zip(texts, share, strict=True):
+        own = [sum(g in sets[lang] for g in grams(text)) / len(grams(text)) for lang in model.languages]
+        assert got == pytest.approx(own, abs=0.12)
+        assert got.argmax() == max(range(len(own)), key=own.__getitem__)
+
+
+def test_a_language_with_one_text_keeps_its_grams(spark):
+    model = langid.fit(spark.createDataFrame([("ab cd", "x")] * 50 + [("ef gh", "y")], "text string, lang string"))
+    assert model.shares(["ef gh"])[0][0].tolist() == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("slots", [0, 1000, 1 << 21])
+def test_slots_are_checked_first(spark, slots):
+    with pytest.raises(ValueError, match="power of two"):
+        langid.fit(spark.createDataFrame([], "text string, lang string"), slots=slots)
+
+
 def test_language_of_awkward_rows(messy, empty, clashing):
     model = langid.fit(messy)
     for docs in (messy, clashing):
@@ -168,6 +204,17 @@ def test_mix_meets_targets(spark):
     assert all(0 <= r["copies"] <= 3 for r in got)
 
 
+def test_repeated_rows_are_settled_one_by_one(spark):
+    rows = [(1, "a", "w " * 10)] * 300 + [(i, "b", "w " * 7) for i in range(400)] + [(2, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    for source, size in (("a", 10), ("b", 7)):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["n"] * r["copies"] * r["size"] for r in mine) - mine[0]["target"]) < size
+    assert mixing.rows_of_mix(mixing.mix(docs), 7).count() == len(rows)
+
+
 def test_settling_keeps_words_and_odds():
     import numpy as np
 
@@ -186,5 +233,6 @@ def test_mix_of_awkward_rows(messy, empty, clashing):
     for docs in (messy, clashing):
         got = mixing.mix(docs).collect()
         assert sum(r["n"] for r in got) == 9
+        assert mixing.rows_of_mix(mixing.mix(docs), 1).count() == 9
         assert all(r["copies"] <= 3 for r in got)
     assert mixing.mix(empty).count() == 0
