@@ -1,8 +1,8 @@
 """Licence scan by canonical digest.
 
-A text is brought to a canonical form (ASCII case, copyright lines, punctuation, white space, equivalent spellings)
-and hashed; the digest of the whole text is joined to those of known licences. So are the digests of its lines that
-speak of a licence, which finds one-line notices in longer texts.
+A text is brought to a canonical form (case, copyright lines, punctuation, white space, equivalent spellings) and
+hashed; the digest of the whole text is joined to those of known licences. So are the digests of all its lines, which
+finds one-line notices in longer texts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halocline.llm.groups import join_spread
+from halocline.llm.workspace import Workspace
+
 # Spellings that count as one, the first written for the second.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
@@ -20,6 +23,7 @@ SPELLINGS = [
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("recognised", "recognized"), ("while", "whilst"),
     ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("https", "http"), ("v2 0", "version 2 0"), ("v3", "version 3"),
 ]
+COPYRIGHT_MARKS = ["copyright ", "(c)", "©", "all rights reserved"]
 COPYRIGHT_LINE = r"(^|\n)[\t *#/;-]*(copyright |\(c\)|©|all rights reserved)[^\n]*"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—•]+"
 
@@ -69,11 +73,15 @@ def published() -> list[tuple[str, str]]:
 def canonical(text: Column) -> Column:
     """Words in lower case, one space between them; '' if none is left."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, r"$1")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, SEPARATORS, " "), F.lit(" "))
+    marked = F.lit(False)
+    for mark in COPYRIGHT_MARKS:
+        marked = marked | t.contains(mark)
+    t = F.when(marked, F.regexp_replace(t, COPYRIGHT_LINE, r"$1")).otherwise(t)
+    # two spaces between words: each has its own, so that of equal words in a row every one is replaced
+    t = F.concat(F.lit(" "), F.regexp_replace(t, SEPARATORS, "  "), F.lit(" "))
     for there, instead in SPELLINGS:
-        t = F.replace(t, F.lit(f" {there} "), F.lit(f" {instead} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {there.replace(' ', '  ')} "), F.lit(f" {instead.replace(' ', '  ')} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -84,21 +92,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", tex
     """One row per row of ``docs``: doc_id, license_digest, license_id, notices.
 
     license_id: the known licence whose canonical text the whole text is, else null; of several, the first by id.
-    notices: ids of the known licences that stand as lines of the texts with this doc_id, sorted and comma-joined, ''
-    if none; a line is looked up if it holds "licen" or "released", in either case. Null and empty texts have the
-    digest of '' and no licence; known rows that are null or canonically empty match nothing. Repeated rows stay.
-    A null doc_id counts as a value. Other columns of ``docs`` are left out.
+    notices: ids of the known licences that stand as lines of the text, sorted and comma-joined, '' if none. Null and
+    empty texts have the digest of '' and no licence; known rows that are null or canonically empty match nothing.
+    Repeated rows stay, and rows with a null or a repeated doc_id have the notices of their own text. Texts are read
+    whole, whatever their length; an empty table gives no rows. Other columns of ``docs`` are left out.
     """
     known = known.select("license_id", canonical(F.col("text")).alias("form")).filter("form != '' and license_id is not null")
     digests = known.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(canonical(F.col(text)), 256).alias("license_digest")).join(digests, "license_digest", "left")
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(text, "\n")).alias("line")).filter(F.lower("line").rlike("licen|released"))
-    notices = (
-        lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("license_digest"))
-        .join(digests, "license_digest")
-        .groupBy("doc_id")
-        .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-        .withColumnRenamed("doc_id", "id")
-    )
-    found = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    work = Workspace(docs.sparkSession, "licenses")
+    digests = work.write(digests, "digests")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text_key"), F.col(text).alias("text"))
+    whole = join_spread(rows.select("doc_id", "text_key", F.sha2(canonical(F.col("text")), 256).alias("license_digest")), digests, ["license_digest"])
+    lines = rows.select("text_key", F.explode(F.split("text", "\n")).alias("line")).select("text_key", F.sha2(canonical(F.col("line")), 256).alias("license_digest"))
+    found = join_spread(lines, digests, ["license_digest"], "inner").groupBy("text_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    found = join_spread(whole, work.write(found, "notices"), ["text_key"])
     return found.select("doc_id", "license_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
