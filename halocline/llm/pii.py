@@ -33,14 +33,16 @@ IBAN_LENGTH = {c: n for n, codes in {
 #: Score of a span without context; context words that raise it, and words that lower it, each by STEP.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.8}
 RAISE = {
-    "email": ["mail", "contact"],
+    "email": ["mail", "email", "contact"],
     "ip": ["ip", "address", "server", "host"],
     "card": ["card", "visa", "credit", "payment"],
-    "phone": ["phone", "tel", "call", "mobile", "fax"],
+    "phone": ["phone", "telephone", "tel", "call", "mobile", "fax"],
     "iban": ["iban", "account", "bank", "transfer"],
 }
 LOWER = ["example", "version", "isbn", "order", "serial"]
 STEP, CONTEXT = 0.2, 40
+RAISING = {kind: re.compile(rf"\b(?:{'|'.join(words)})\b", re.ASCII) for kind, words in RAISE.items()}
+LOWERING = re.compile(rf"\b(?:{'|'.join(LOWER)})\b", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -116,9 +118,9 @@ FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban":
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
-    """Prior of the kind, changed by the words within CONTEXT characters; a word that is inside another counts too."""
+    """Prior of the kind, changed by the whole words within CONTEXT characters."""
     near = (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]).lower()
-    up, down = any(w in near for w in RAISE[kind]), any(w in near for w in LOWER)
+    up, down = bool(RAISING[kind].search(near)), bool(LOWERING.search(near))
     return round(min(1.0, max(0.0, PRIOR[kind] + STEP * up - STEP * down)), 2)
 
 
@@ -145,7 +147,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``pii_spans``, array<struct<kind, start, end, match, score>> sorted by kind, then start, to every row.
 
     kind is an index of KINDS; positions are code points, end exclusive. A null text is as an empty one: no spans.
-    Whole texts are scanned; repeated rows stay, each scanned alike. A column named pii_spans is replaced.
+    Whole texts are scanned; repeated rows stay, each scanned alike; spans of two kinds that start together both stay.
+    An empty table gives no rows. A column named pii_spans is replaced. Python gets texts in batches that Spark bounds
+    by spark.sql.execution.arrow.maxBytesPerBatch.
     """
     return docs.withColumn("pii_spans", pii_spans(F.col(text)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halocline.llm import licenses, pii
+from halocline.llm import licenses
 
 
 def _q(s: str) -> str:
@@ -43,24 +43,33 @@ FROM r
 """
 
 
+# As the operator should have them, written once more.
+_COPYRIGHT_LINE = r"(^|\n)[\t *#/;-]*(copyright |\(c\)|©|all rights reserved)[^\n]*"
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—•]+"
+_SPELLINGS = """licence=license licences=licenses licenced=licensed sub_license=sublicense sub_licence=sublicense sublicence=sublicense acknowledgement=acknowledgment
+analogue=analog authorisation=authorization authorised=authorized favour=favor favourite=favorite fulfil=fulfill non_infringement=noninfringement organisation=organization
+recognised=recognized while=whilst copyright_holder=copyright_owner copyright_holders=copyright_owners https=http v2_0=version_2_0 v3=version_3"""
+
+
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_q(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
-    out = f"' ' || regexp_replace({out}, {_q(licenses.SEPARATORS)}, ' ', 'g') || ' '"
-    for there, instead in licenses.SPELLINGS:
+    out = f"regexp_replace(lower({text}), {_q(_COPYRIGHT_LINE)}, '\\1', 'g')"
+    out = f"' ' || regexp_replace({out}, {_q(_SEPARATORS)}, '  ', 'g') || ' '"
+    for pair in _SPELLINGS.split():
+        there, instead = (x.replace("_", "  ") for x in pair.split("="))
         out = f"replace({out}, ' {there} ', ' {instead} ')"
-    return f"trim({out})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 LICENSE_SQL = f"""
 WITH known AS (SELECT sha256({_canonical("text")}) AS d, min(license_id) AS license_id
-               FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in licenses.LICENSES.items())}) v(license_id, text) GROUP BY 1),
-whole AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS license_digest FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-hits AS (SELECT DISTINCT doc_id, license_id FROM lines JOIN known ON sha256({_canonical("line")}) = d
-         WHERE regexp_matches(lower(line), 'licen|released')),
-notices AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notices FROM hits GROUP BY 1)
-SELECT w.doc_id, license_digest, license_id, coalesce(notices, '') AS notices
-FROM whole w LEFT JOIN known ON license_digest = d LEFT JOIN notices n ON w.doc_id IS NOT DISTINCT FROM n.doc_id
+               FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in [*licenses.LICENSES.items(), *licenses.published()])}) v(license_id, text) GROUP BY 1),
+rows AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+whole AS (SELECT rid, doc_id, sha256({_canonical("coalesce(text, '')")}) AS license_digest FROM rows),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows),
+hits AS (SELECT DISTINCT rid, license_id FROM lines JOIN known ON sha256({_canonical("line")}) = d),
+notices AS (SELECT rid, string_agg(license_id, ',' ORDER BY license_id) AS notices FROM hits GROUP BY 1)
+SELECT doc_id, license_digest, license_id, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known ON license_digest = d LEFT JOIN notices USING (rid)
 """
 
 # The patterns and bounds of the SQL are its own, so that a change of the operator's shows.
@@ -111,12 +120,27 @@ _luhn = """(list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN
   ELSE CAST(d[length(d) + 1 - j] AS INT) * 2 - CASE WHEN CAST(d[length(d) + 1 - j] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)"""
 
 
-def _any(words: list[str]) -> str:
-    return f"regexp_matches(near, {_q('|'.join(words))})"
+def _any(words: str) -> str:
+    return f"regexp_matches(near, '\\b(?:{words.replace(' ', '|')})\\b')"
+
+
+_KINDS = "email ip card phone iban".split()
+_RAISE = ["mail email contact", "ip address server host", "card visa credit payment", "phone telephone tel call mobile fax", "iban account bank transfer"]
+_raise = "CASE kind " + " ".join(f"WHEN {i} THEN {_any(words)}" for i, words in enumerate(_RAISE)) + " END"
+# Characters of an IBAN by country.
+_IBAN_LENGTH = """15 NO 16 BE 18 DK FI FK FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA 23 AE GI IL IQ OM SO TL
+24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST 26 IS TR 27 BI DJ FR GR IT MC MR SM 28 AL AZ BY CY DO GT HN HU LB NI PL SV 29 BR EG PS QA UA 30 JO KW MU YE 31 MT SC 32 LC 33 RU"""
+
 
+def _lengths() -> str:
+    out, n = [], 0
+    for word in _IBAN_LENGTH.split():
+        if word.isdigit():
+            n = int(word)
+        else:
+            out.append(f"WHEN '{word}' THEN {n}")
+    return f"CASE substr(s, 1, 2) {' '.join(out)} ELSE length(s) END"
 
-_raise = "CASE kind " + " ".join(f"WHEN {i} THEN {_any(pii.RAISE[k])}" for i, k in enumerate(pii.KINDS)) + " END"
-_prior = "CASE kind " + " ".join(f"WHEN {i} THEN {round(100 * pii.PRIOR[k])}" for i, k in enumerate(pii.KINDS)) + " END"
 
 PII_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -124,31 +148,40 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 {_spans("s1", 1, "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)")},
 {_spans("s2", 2, "[0-9](?:[ -]?[0-9])+")},
 {_spans("s3", 3, "[+][0-9][ ().0-9-]+[0-9]")},
-{_spans("s4", 4, "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")},
-iban AS (
-  SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+{_spans("s4", 4, "[A-Z]{2}[0-9]{2}", "t")},
+starts AS (
+  SELECT rid, CAST(a AS BIGINT) AS a, regexp_extract(substr(text, CAST(a AS BIGINT) + 1, 70), '^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}', 0) AS run
+  FROM s4 JOIN t USING (rid) WHERE a = 0 OR NOT regexp_matches(substr(text, CAST(a AS BIGINT), 1), '[A-Z0-9]')),
+tries AS (
+  SELECT rid, a, n, substr(run, 1, n) AS m, replace(substr(run, 1, n), ' ', '') AS s
+  FROM starts JOIN t USING (rid), LATERAL (SELECT unnest(range(15, length(run) + 1)) AS n) u WHERE NOT regexp_matches(substr(text, a + n + 1, 1), '[A-Z0-9]')),
+sums AS (
+  SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(s, 5) || substr(s, 1, 4), ''),
          lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ascii(c) - 48 AS BIGINT) ELSE CAST(ascii(c) - 55 AS BIGINT) END)),
-         lambda x, y: (x * CASE WHEN y < 10 THEN 10 ELSE 100 END + y) % 97) AS rest FROM s4),
+         lambda x, y: (x * CASE WHEN y < 10 THEN 10 ELSE 100 END + y) % 97) AS rest
+  FROM tries WHERE m NOT LIKE '% ' AND length(s) >= 15 AND length(s) = {_lengths()}),
+iban AS (SELECT rid, 4 AS kind, a, arg_max(m, n) AS m FROM sums WHERE rest = 1 GROUP BY rid, a),
 ok AS (
   SELECT rid, kind, a, m FROM s0
   UNION ALL SELECT rid, kind, a, m FROM s1 WHERE len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS HUGEINT), 999) > 255)) = 0
   UNION ALL SELECT rid, kind, a, m FROM (SELECT *, {_digits} AS d FROM s2) WHERE length(d) BETWEEN 13 AND 19 AND {_luhn}
   UNION ALL SELECT rid, kind, a, m FROM s3 WHERE length({_digits}) BETWEEN 9 AND 15
-  UNION ALL SELECT rid, kind, a, m FROM iban WHERE rest = 1),
+  UNION ALL SELECT rid, kind, a, m FROM iban),
 near AS (
   SELECT rid, kind, CAST(a AS BIGINT) AS a, m,
-         lower(substr(text, CAST(greatest(a - {pii.CONTEXT}, 0) AS BIGINT) + 1, CAST(least(a, {pii.CONTEXT}) AS BIGINT)) || chr(10) || substr(text, CAST(a AS BIGINT) + length(m) + 1, {pii.CONTEXT})) AS near
+         lower(substr(text, CAST(greatest(a - 40, 0) AS BIGINT) + 1, CAST(least(a, 40) AS BIGINT)) || chr(10) || substr(text, CAST(a AS BIGINT) + length(m) + 1, 40)) AS near
   FROM ok JOIN t USING (rid)),
 found AS (
   SELECT rid, kind, a, ['email', 'ip', 'card', 'phone', 'iban'][kind + 1] || ':' || a || ':' || (a + length(m)) AS s,
-         least(100, greatest(0, {_prior} + CASE WHEN {_raise} THEN 20 ELSE 0 END - CASE WHEN {_any(pii.LOWER)} THEN 20 ELSE 0 END)) AS score
+         least(100, greatest(0, CASE kind WHEN 0 THEN 80 WHEN 1 THEN 50 WHEN 2 THEN 60 WHEN 3 THEN 50 ELSE 80 END
+                                + CASE WHEN {_raise} THEN 20 ELSE 0 END - CASE WHEN {_any("example version isbn order serial")} THEN 20 ELSE 0 END)) AS score
   FROM near),
 per_doc AS (
-  SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(pii.KINDS))},
-         string_agg(s, ',' ORDER BY kind, a) FILTER (kind < {pii.BASE}) AS base, string_agg(s, ',' ORDER BY kind, a) AS spans,
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(_KINDS))},
+         string_agg(s, ',' ORDER BY kind, a) FILTER (kind < 4) AS base, string_agg(s, ',' ORDER BY kind, a) AS spans,
          string_agg(CAST(score AS VARCHAR), ',' ORDER BY kind, a) AS scores
   FROM found GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)},
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores_percent
 FROM t LEFT JOIN per_doc USING (rid)
 """

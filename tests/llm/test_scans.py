@@ -89,6 +89,25 @@ def test_pii():
     assert far == pytest.approx(0.3)
 
 
+def test_context_words_are_whole_words():
+    assert pii.scan("a trip to 10.0.0.1 and a hotel")[0]["score"] == pytest.approx(0.5)
+    assert pii.scan("the ip 10.0.0.1")[0]["score"] == pytest.approx(0.7)
+    assert pii.scan("hotels at +1 (377) 555-1234")[0]["score"] == pytest.approx(0.5)
+
+
+IBANS = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN DE89 3704 0044 0532 0130 00 EUR 50", "GB82WEST12345698765432 2024-01-02", "REF AB12 CDEF GH89 IBAN GB82 WEST 1234 5698 7654 32 OK",
+         "IBAN GB82 WEST 1234 5698 7654 32 NOW DUE", "xGB82WEST12345698765432", "GB82WEST12345698765432X", "IBAN GB82 WEST 1234 5698 7654 33", "mail e@f.gh tel. +1 (377) 555-1234 trip"]
+
+
+def test_pii_sql_on_account_numbers(spark, tmp_path):
+    from tests.compare import TABLES
+
+    for name in TABLES:
+        df = spark.createDataFrame(list(enumerate([*IBANS, None, ""])), "doc_id long, text string") if name == "documents" else spark.range(1)
+        df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    same(spark, queries.op9_pii, queries.ORACLE["op9_pii"], str(tmp_path))
+
+
 def test_pii_is_fast_on_long_runs():
     assert pii.scan("a" * 300_000 + "1" * 300_000) == []
 
@@ -103,17 +122,25 @@ def test_licence_forms(spark):
 URLS = [(1, "http://WWW.example.com/en/x?y"), (2, "https://a.net/es/"), (3, None), (4, "no scheme"), (5, "http://bad.org"), (6, "http://x.bad.org/p"), (7, "http://notbad.org/p"), (7, "http://notbad.org/p")]
 
 
-@pytest.mark.parametrize("max_bits", [1 << 25, 1])
-def test_urls(spark, max_bits):
-    """With a bound that no filter keeps to, joins give the same."""
-    pages = spark.createDataFrame(URLS, "page_id long, url string").withColumns({c: F.lit("x") for c in ("key", "words", "rule")})
-    listed = spark.createDataFrame([("bad.org",), ("bad.org",), (None,)], "key string")
-    got = urls.judge_urls(pages, queries.RULES, listed, max_bits=max_bits)
+def test_urls(spark):
+    pages = spark.createDataFrame(URLS, "page_id long, url string").withColumns({c: F.lit("x") for c in ("key", "words", "rule", "listed_host")})
+    listed = spark.createDataFrame([("bad.org",), ("bad.org",), (None,), ("not-in-the-corpus.org",)], "key string")
+    got = urls.judge_urls(pages, queries.RULES, listed)
     assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got.collect() if r["page_id"] != 7) == [
         (1, "www.example.com/en/", "allow"), (2, "net/es/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "block"), (6, None, "block"),
     ]
     assert got.filter("page_id = 7 and verdict = 'allow'").count() == 2
     assert got.columns.count("rule") == 1
+    with pytest.raises(ValueError, match="max_bits"):
+        urls.judge_urls(pages, queries.RULES, listed, max_bits=1)
+
+
+def test_thousands_of_listed_keys_and_long_urls(spark):
+    hosts = spark.range(20_000).select(F.concat(F.lit("http://www.h"), "id", F.lit(".org/"), F.repeat(F.lit("p"), F.when(F.col("id") == 7, 1_000_000).otherwise(1))).alias("url"))
+    listed = spark.range(0, 30_000, 4).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("key"))
+    got = urls.judge_urls(hosts, [], listed)
+    assert got.filter("verdict = 'block'").count() == 5000
+    assert got.filter(F.col("verdict") == F.when(F.regexp_extract("host", "[0-9]+", 0).cast("long") % 4 == 0, "block").otherwise("allow")).count() == 20_000
 
 
 def test_cascade_is_exact_on_its_universe(spark):
