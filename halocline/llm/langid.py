@@ -95,14 +95,17 @@ class LanguageFilter:
         return np.clip((share - self.false_positive) / np.maximum(1 - self.false_positive, 1e-9), 0, 1), total > 0
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 20, per_language: int = 20_000, least: int = 3, near: float = 0.1) -> LanguageFilter:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 20, per_language: int = 20_000, least: float = 1e-7, near: float = 0.1) -> LanguageFilter:
     """Fits the filter to the rows of ``labelled`` whose text and lang are not null.
 
     Of a language with more rows than ``per_language``, about so many are taken, by a hash of the text: this bounds the
     sample, and ``slots`` the filter (8 bytes a slot for each 64 languages), whatever the corpus. An n-gram is of a
-    language if the sample has it ``least`` times there and at least ``near`` times as often, in proportion, as in any
-    other language. No rows give a filter without languages.
+    language if it is ``least`` of the sample's n-grams there, so that of a language with little text each counts, and
+    at least ``near`` times as often, in proportion, as in any other language. No rows give a filter without languages.
+    ``slots`` is a power of two, 2^20 at most, as three places of a slot are taken from one hash.
     """
+    if slots & (slots - 1) or not 0 < slots <= 1 << 20:
+        raise ValueError("slots must be a power of two, 2^20 at most")
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
@@ -124,11 +127,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", slots: int
     grams = Workspace(spark, "langid").write(grams, "grams")
     total = grams.groupBy("bit").agg(F.sum("n").alias("total"))
     shared = grams.join(F.broadcast(total), "bit").withColumn("rate", F.col("n") / F.col("total"))
-    top = shared.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "n", "rate")).alias("of"))
-    own = top.select("gram", F.filter("of", lambda x: (x["n"] >= least) & (x["rate"] >= near * F.col("top")))["bit"].alias("bits"))
+    top = shared.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))
+    own = top.select("gram", F.filter("of", lambda x: (x["rate"] >= least) & (x["rate"] >= near * F.col("top")))["bit"].alias("bits"))
     at = [F.pmod(F.shiftrightunsigned(F.col("gram"), 20 * i), F.lit(slots)) for i in range(HASHES)]
-    if slots & (slots - 1):
-        raise ValueError("slots must be a power of two")
     placed = own.select(F.explode("bits").alias("bit"), F.array(*at).alias("at"))
     placed = placed.select("bit", F.explode("at").alias("slot"))
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64))
@@ -144,7 +145,8 @@ PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField(
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", out: str = "language") -> DataFrame:
     """Adds ``out``, struct<lang, score>, to every row: the language with the largest share, and that share.
 
-    Of equal shares the first language by name wins. A text that is null or has no letter is 'und' with score 0, as is
+    Of equal shares the first language by name wins; a text in no learned language has it too, with a score of 0 or
+    little more, so that a least score tells those apart. A text that is null or has no letter is 'und' with score 0, as is
     any text if the model has no language. Whole texts are read; repeated rows get the same answer. The filter, of a
     fixed size, is sent to the executors once. A column named ``out`` is replaced.
     """
