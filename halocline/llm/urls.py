@@ -3,7 +3,7 @@
 DataFrame functions only. The cascade encodes ``listed`` keys: level 0 holds them, level 1 the keys of the corpus
 that level 0 takes for listed, level 2 the listed keys that level 1 takes for those, and so on until a level errs
 on no key. As the key universe is known (all host suffixes of the corpus), the answer is exact and a url is judged
-from a few bits, without a join.
+from a few bits, without a join. A level's bits stand once in the plan.
 """
 
 from __future__ import annotations
@@ -71,18 +71,21 @@ class Level:
         return [F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        held = F.lit(True)
-        for at in self.positions(key):
-            word = F.element_at(self.words, (F.floor(at / 64) + 1).cast("int"))
-            held = held & (word.bitwiseAND(shift(at % 64)) != 0)
-        return held
+        def all_set(words: Column) -> Column:
+            held = F.lit(True)
+            for at in self.positions(key):
+                word = F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
+                held = held & (word.bitwiseAND(shift(at % 64)) != 0)
+            return held
+
+        return F.exists(F.array(self.words), all_set)  # a list of one: all hashes look into the same words
 
 
 class BloomCascade:
     """Exact membership of ``listed`` among the keys of ``universe`` (both: column key, distinct, not null).
 
     ``max_bits`` bounds what a level brings to the driver and sends with the plan; a longer list raises ValueError
-    before anything is sent, and the caller joins instead. ``bits_per_key`` is for the listed keys; later levels, which have few keys, take half.
+    before anything is sent. ``bits_per_key`` is for the listed keys; later levels, which have few keys, take half.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame, work: Workspace, bits_per_key: int = 10, max_bits: int = 1 << 25):
@@ -95,7 +98,7 @@ class BloomCascade:
             per_key = bits_per_key if level == 0 else max(4, bits_per_key // 2)
             bits = max(64, math.ceil(n * per_key / 64) * 64)
             if bits > max_bits:
-                raise ValueError(f"{n} keys need {bits} bits; max_bits is {max_bits}")
+                raise ValueError(f"{n} keys need {bits} bits, more than max_bits, {max_bits}")
             self.levels.append(self._encode(inside, Level(F.lit(None), bits, max(1, round(per_key * math.log(2))), level)))
             # the keys that this level takes for its own are the next level's
             inside, outside = work.write(outside.filter(self.levels[-1].holds(F.col("key"))), f"level{level}"), inside
@@ -128,23 +131,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str
 
     A url that no rule fits is blocked if its host or a parent domain is among the keys of ``listed`` (column key).
     A url that is null or has no ``://`` has an empty host and path and is allowed. Repeated rows stay, each judged
-    alike; repeated or null keys of ``listed`` count once or not. Columns of these names in ``pages`` are replaced.
-    An empty ``listed`` allows all that no rule blocks. If the filter would need more than ``max_bits``, distinct
-    hosts are matched by joins instead.
+    alike; repeated or null keys of ``listed`` count once or not. Urls are read whole, whatever their length. Columns
+    of these names in ``pages`` are replaced. An empty ``listed`` allows all that no rule blocks; empty ``pages`` give
+    no rows. Keys that the corpus has no host for take no bits. If the others need more than ``max_bits`` (3 million
+    keys at 10 bits), a ValueError says so: the caller sets a bound that the plan may carry.
     """
-    spark = pages.sparkSession
-    work = Workspace(spark, "urls")
+    work = Workspace(pages.sparkSession, "urls")
     own = ["host", "path", "rule", "verdict", "listed_host"]
     host, path = host_of(F.col(url)), path_of(F.col(url))
     with_host = pages.drop(*[c for c in own if c != url]).withColumns({"host": host, "path": path})
     hosts = pages.select(host.alias("host")).distinct()
-    keys = listed.select("key").filter(F.col("key").isNotNull()).distinct()
     universe = work.write(hosts.select(F.explode(suffixes(F.col("host"))).alias("key")).distinct(), "universe")
-    try:
-        cascade = BloomCascade(universe, work.write(keys, "listed"), work, max_bits=max_bits)
-        found = with_host.withColumn("listed_host", F.exists(suffixes(F.col("host")), cascade.listed) if cascade.levels else F.lit(False))
-    except ValueError:
-        hits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(keys, "key", "left_semi").select("host").distinct()
-        found = with_host.join(hits.withColumn("listed_host", F.lit(True)), "host", "left").withColumn("listed_host", F.coalesce("listed_host", F.lit(False)))
+    keys = universe.join(listed.select("key").filter(F.col("key").isNotNull()).distinct(), "key", "left_semi")
+    cascade = BloomCascade(universe, work.write(keys, "listed"), work, max_bits=max_bits)
+    work.keep()
+    found = with_host.withColumn("listed_host", F.exists(suffixes(F.col("host")), cascade.listed) if cascade.levels else F.lit(False))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return found.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("listed_host"), "block").otherwise("allow"))})
