@@ -3,13 +3,15 @@
 Texts are cut into overlapping passages, vectors of the benchmark's words weighted by tf-idf (other words cannot match
 an item). A randomised SVD of all passages, the benchmark's among them, gives latent axes: every task multiplies its
 passages with a small random matrix, only sums of the size words x axes are gathered. Passages whose latent vector is
-near an item's are candidates; of these the longest common subsequence with the item decides, in whole words, together
-with a check for the item's answer when the text is a paraphrase.
+near an item's are candidates, and for short items, which a passage dilutes, those that hold one of the item's rarest
+words, so many that no match can be without them all; of these the longest common subsequence with the item decides,
+in whole words, together with a check for the item's answer when the text is a paraphrase.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from halocline.llm.workspace import Workspace
 
+NONE = np.zeros(0, int)
 STRIDE = 20  # words; a passage has twice as many, and every word is in two passages
+SHORT = 15  # words; items of so many or fewer are looked up by word as well
+ITEMS = 4096  # items that are compared at once
 SLICE = 1 << 17  # vocabulary words whose passages are made at once, so that their vectors stay in a core's cache
 #: Bytes of a text to tokens: A-Z in lower case, other ASCII but letters and digits are breaks.
 TOKEN_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -32,7 +37,7 @@ def tokenize(text: str | None) -> list[bytes]:
 
 @dataclass
 class Items:
-    """A block of the benchmark: numbers of the words (1 and up) of each item, and where its answer starts."""
+    """A block of the benchmark, short items first: numbers of the words (1 and up) of each, and where its answer starts."""
 
     ids: list
     words: list[np.ndarray]
@@ -54,7 +59,8 @@ def read_items(rows: list, answer: str | None) -> Items:
             ids.append(r["item_id"])
             words.append(np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens]))
             answers.append(start)
-    return Items(ids, words, answers, vocabulary)
+    order = sorted(range(len(ids)), key=lambda i: len(words[i]))
+    return Items([ids[i] for i in order], [words[i] for i in order], [answers[i] for i in order], vocabulary)
 
 
 def encode(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
@@ -189,6 +195,36 @@ def coverage(p: Passages, i: np.ndarray, j: np.ndarray, words: np.ndarray, n_wor
     return out
 
 
+def rare_words(items: Items, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(word, item) of the short items, sorted by word: of each so many of its rarest words that a common subsequence
+    of ``least`` of the item has one of them."""
+    pairs = []
+    for j, words in enumerate(items.words):
+        if len(words) > SHORT:
+            break
+        many = len(words) - math.ceil(least * len(words) - 1e-9) + 1
+        pairs += [(int(w), j) for w in words[np.argsort(-idf[words], kind="stable")[:many]]]
+    pairs = np.array(sorted(set(pairs)), int).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def with_words(p: Passages, word: np.ndarray, item: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item) pairs of which the passage, or its neighbour in the text, has a word of the item's, given as
+    rare_words: a match reaches SHORT words beyond a passage at most, into the next cell."""
+    wanted = np.zeros(n_words, bool)
+    wanted[word] = True
+    wanted[0] = False
+    words = p.words()
+    i, k = np.nonzero(wanted[words])
+    lo, hi = np.searchsorted(word, words[i, k]), np.searchsorted(word, words[i, k], side="right")
+    at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    i, j = np.repeat(i, hi - lo), item[at]
+    before, after = i > 0, i + 1 < len(p.text)
+    before[before] = p.text[i[before] - 1] == p.text[i[before]]
+    after[after] = p.text[i[after] + 1] == p.text[i[after]]
+    return np.concatenate([i, i[before] - 1, i[after] + 1]), np.concatenate([j, j[before], j[after]])
+
+
 def judge(item: np.ndarray, answer: int, places: np.ndarray, numbers: np.ndarray, begin: int, end: int) -> tuple[float, float]:
     """Shares of the item, and of its answer, that stand in order among the words of [begin, end) and an item's length around."""
     a, b = np.searchsorted(places, [begin - len(item), end + len(item)])
@@ -197,33 +233,35 @@ def judge(item: np.ndarray, answer: int, places: np.ndarray, numbers: np.ndarray
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, axes: int = 64, iterations: int = 1, near: float = 0.5, verbatim: float = 0.75, paraphrase: float = 0.55, answered: float = 0.8,
-               items_per_block: int = 5_000, seed: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+               items_per_pass: int = 50_000, seed: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                answer: str | None = None) -> DataFrame:
     """One row per row of ``docs`` and item of ``benchmark`` that it leaks: doc_id, text_key, item_id, cosine, lcs, answer, place.
 
     A row leaks an item if, around passages whose latent cosine with the item is ``near`` or more, the longest common
     subsequence has ``verbatim`` of the item's words, or ``paraphrase`` of them and ``answered`` of its answer (column
-    ``answer``; without one, its last sentence). place: the first word of the passage that says so best. text_key: md5
-    of the text. Null and wordless texts and items match nothing; repeated rows and items match each by each. Other
-    columns are left out. The benchmark is searched ``items_per_block`` items at a time, which bounds what is sent to
-    the tasks; all texts are searched whole, against all items.
+    ``answer``; without one, its last sentence). Around an item of SHORT words or fewer all passages that may hold
+    enough of it are judged. place: the first word of the passage that says so best, of equal ones the first. text_key:
+    md5 of the text. Null and wordless texts and items match nothing; repeated rows of ``docs`` are each found,
+    repeated rows of the benchmark count once. Other columns are left out; empty tables give no rows. All texts are
+    searched whole, against all items, in one pass over the corpus for each ``items_per_pass`` items, which bounds what
+    is sent to the tasks. Words that no item has are no axes of the passages: they match nothing.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "latent")
-    numbered = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), *([F.col(answer).alias("answer")] if answer else []))
-    total = numbered.count()
-    blocks = max(1, -(-total // items_per_block))
+    numbered = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), *([F.col(answer).alias("answer")] if answer else [])).distinct()
+    passes = max(1, -(-numbered.count() // items_per_pass))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text_key"), F.col(text).alias("text"))
     ids = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key binary"
     result = None
-    for b in range(blocks):
-        mine = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else numbered
-        found = _search(source, read_items(mine.collect(), answer), ids, numbered.schema["item_id"].dataType.simpleString(), axes, iterations, near, (verbatim, paraphrase, answered), seed, work)
+    for b in range(passes):
+        mine = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == b) if passes > 1 else numbered
+        items = read_items(sorted(mine.collect(), key=str), answer)
+        found = _search(source, items, ids, numbered.schema["item_id"].dataType.simpleString(), axes, iterations, near, (verbatim, paraphrase, answered), seed, work, b)
         result = found if result is None else result.unionByName(found)
     return result
 
 
-def _search(source: DataFrame, items: Items, ids: str, item_type: str, axes: int, iterations: int, near: float, least: tuple[float, float, float], seed: int, work: Workspace) -> DataFrame:
+def _search(source: DataFrame, items: Items, ids: str, item_type: str, axes: int, iterations: int, near: float, least: tuple[float, float, float], seed: int, work: Workspace, number: int) -> DataFrame:
     spark = source.sparkSession
     out = f"{ids}, item_id {item_type}, cosine double, lcs double, answer double, place long"
     if not items.ids:
@@ -235,7 +273,7 @@ def _search(source: DataFrame, items: Items, ids: str, item_type: str, axes: int
             sizes, places, numbers = encode(list(batch["text"]), sent.value)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "size": sizes, "places": places, "numbers": numbers})
 
-    coded = work.write(source.mapInPandas(read, f"{ids}, size int, places array<int>, numbers array<int>"), "coded")
+    coded = work.write(source.mapInPandas(read, f"{ids}, size int, places array<int>, numbers array<int>"), f"coded{number}")
     matrix = coded.select("size", "places", "numbers")
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,26 +319,36 @@ def _search(source: DataFrame, items: Items, ids: str, item_type: str, axes: int
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis, items, latent = model.value
         verbatim, paraphrase, answered = least
-        padded = np.zeros((len(items.words), max(map(len, items.words))), np.int32)
-        for i, w in enumerate(items.words):
-            padded[i, : len(w)] = w
-        weighted, step = (idf[:, None] * basis).astype(np.float32), max(1, (1 << 24) // len(latent))
+        enough = min(verbatim, paraphrase)
+        slices = []
+        for begin in range(0, len(items.words), ITEMS):
+            some = items.words[begin : begin + ITEMS]
+            padded = np.zeros((len(some), len(some[-1])), np.int32)  # the last one is the longest
+            for i, w in enumerate(some):
+                padded[i, : len(w)] = w
+            slices.append((begin, padded))
+        rare, rare_of = rare_words(items, idf, enough)
+        weighted, step = (idf[:, None] * basis).astype(np.float32), max(1, (1 << 24) // min(ITEMS, len(latent)))
         for part in _slices(batches):
             places, numbers = list(part["places"]), list(part["numbers"])
             p = passages(part["size"], places, numbers)
             at = p.times(weighted, p.norms(idf))
             at /= np.maximum(np.linalg.norm(at, axis=1), 1e-12)[:, None]
+            short, short_of = with_words(p, rare, rare_of, n_words) if len(rare) else (NONE, NONE)
             best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(at), step):
-                cosine = at[a : a + step] @ latent.T
-                i, j = np.nonzero(cosine >= near)
-                enough = coverage(p, i + a, j, padded, n_words) >= min(verbatim, paraphrase)
-                for i, j in zip(i[enough], j[enough], strict=True):
-                    t, w = int(p.text[a + i]), int(p.number[a + i])
-                    share, has = judge(items.words[j], items.answers[j], places[t], numbers[t], w * STRIDE, (w + 2) * STRIDE)
+            for a, (begin, padded) in itertools.product(range(0, len(at), step), slices):
+                cosine = at[a : a + step] @ latent[begin : begin + len(padded)].T
+                near_ = cosine >= near
+                here = (short >= a) & (short < a + len(near_)) & (short_of >= begin) & (short_of < begin + len(padded))
+                near_[short[here] - a, short_of[here] - begin] = True
+                i, j = np.nonzero(near_)
+                likely = coverage(p, i + a, j, padded, n_words) >= enough
+                for i, j in zip(i[likely], j[likely], strict=True):
+                    t, w, k = int(p.text[a + i]), int(p.number[a + i]), int(begin + j)
+                    share, has = judge(items.words[k], items.answers[k], places[t], numbers[t], w * STRIDE, (w + 2) * STRIDE)
                     if share >= verbatim or (share >= paraphrase and has >= answered):
                         now = (share, float(cosine[i, j]), -w, has)
-                        best[t, int(j)] = max(now, best.get((t, int(j)), now))
+                        best[t, k] = max(now, best.get((t, k), now))
             rows = [(*part.iloc[t][["doc_id", "text_key"]], items.ids[j], cos, share, has, -w * STRIDE) for (t, j), (share, cos, w, has) in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "cosine", "lcs", "answer", "place"])
 
