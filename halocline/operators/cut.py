@@ -11,12 +11,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local session that has none takes a folder of its warehouse, a cluster must set it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return found.rstrip("/")
+
+
 class Steps:
-    """Tables of one run under the session's ``spark.checkpoint.dir``; if unset (tests), under the warehouse."""
+    """Tables of one run under the session's ``spark.checkpoint.dir``. They stay until the folder is cleared, as
+    checkpoints do: the result reads the last of them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/halocline/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/halocline/{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from halocline.functions.units import EARTH_RADIUS, GRAVITY
 from halocline.functions.seawater import coriolis
+from halocline.operators.cut import Steps
 
 
 def neighbours(df: DataFrame, by: list[str], offsets: list[tuple[int, int, float]]) -> DataFrame:
@@ -37,29 +38,37 @@ def filter2d(df: DataFrame, by: list[str], value: str, weights: list[list[float]
 
 
 def shapiro2d(corners: float = 0.5) -> list[list[float]]:
-    return [[corners, 1.0, corners], [1.0, 4.0 * corners + 2.0 if corners != 0.5 else 4.0, 1.0], [corners, 1.0, corners]]
+    return [[corners, 1.0, corners], [1.0, 2.0, 1.0], [corners, 1.0, corners]]
 
 
-def gaussian2d(half: int, sigma: float = 1 / 3, rmax: float = 3.0) -> list[list[float]]:
-    def weight(j: int, i: int) -> float:
-        r2 = (j * j + i * i) / (half * sigma) ** 2
-        return math.exp(-r2 / 2) if r2 <= rmax**2 else 0.0
+def gaussian2d(nx: int, ny: int | None = None, sx: float = 1 / 3, sy: float = 1 / 3, rmax: float = 3.0) -> list[list[float]]:
+    """ny x nx (odd) weights exp(-(x^2 / sx^2 + y^2 / sy^2)), none below exp(-rmax^2). A deviation below 1 is a share of
+    half the size, else a number of cells."""
+    ny = ny or nx
+    sx, sy = (sx * (nx // 2) if sx < 1 else sx), (sy * (ny // 2) if sy < 1 else sy)
 
-    return [[weight(j, i) for i in range(-half, half + 1)] for j in range(-half, half + 1)]
+    def weight(y: int, x: int) -> float:
+        w = math.exp(-(x * x / sx**2 + y * y / sy**2))
+        return w if w >= math.exp(-(rmax**2)) else 0.0
 
+    return [[weight(y, x) for x in range(-(nx // 2), nx // 2 + 1)] for y in range(-(ny // 2), ny // 2 + 1)]
 
-def at_points(field: DataFrame, points: DataFrame, by: list[str], value: str, x0: float, dx: float, y0: float, dy: float, method: str = "bilinear", x: str = "x", y: str = "y") -> DataFrame:
+
+def at_points(field: DataFrame, points: DataFrame, by: list[str], value: str, x0: float, dx: float, y0: float, dy: float, method: str = "bilinear", x: str = "x", y: str = "y",
+              geo: bool = False) -> DataFrame:
     """A field on a regular grid (x = x0 + i dx, y = y0 + j dy) at points: one equi-join of the corners.
 
     ``bilinear``: null if a corner that has weight is null or outside; ``dstwgt``: inverse distance over the valid
-    corners; ``nearest``. Points keep all their columns; their rows must differ.
+    corners, in cells, or if ``geo`` in degrees, those of x shrunk by cos(y); ``nearest``. Points keep all their
+    columns; their rows must differ.
     """
     px, py = (F.col(x) - x0) / dx, (F.col(y) - y0) / dy
     i0, j0 = F.floor(px).cast("int"), F.floor(py).cast("int")
     if method == "nearest":
         at = points.withColumns({"i": F.floor(px + 0.5).cast("int"), "j": F.floor(py + 0.5).cast("int")})
         return at.join(field.select(*by, "j", "i", F.col(value).cast("double").alias("value")), [*by, "j", "i"], "left").drop("i", "j")
-    corner = F.array(*[F.struct((j0 + b).alias("j"), (i0 + a).alias("i"), (F.abs(1 - a - (px - i0)) * F.abs(1 - b - (py - j0))).alias("w"), F.sqrt((px - i0 - a) * (px - i0 - a) + (py - j0 - b) * (py - j0 - b)).alias("d")) for b in (0, 1) for a in (0, 1)])
+    ux, uy = (dx * F.cos(F.radians(F.col(y))), F.lit(dy)) if geo else (F.lit(1.0), F.lit(1.0))
+    corner = F.array(*[F.struct((j0 + b).alias("j"), (i0 + a).alias("i"), (F.abs(1 - a - (px - i0)) * F.abs(1 - b - (py - j0))).alias("w"), F.hypot((px - i0 - a) * ux, (py - j0 - b) * uy).alias("d")) for b in (0, 1) for a in (0, 1)])
     spread = points.withColumn("_c", F.explode(corner)).withColumns({"j": F.col("_c.j"), "i": F.col("_c.i"), "_w": F.col("_c.w"), "_d": F.col("_c.d")}).drop("_c")
     v = F.col("_v")
     joined = spread.join(field.select(*by, "j", "i", F.col(value).cast("double").alias("_v")), [*by, "j", "i"], "left")
@@ -189,12 +198,19 @@ def gradient(field: DataFrame, by: list[str], value: str, dx: float, dy: float,
 
 
 def erode(field: DataFrame, by: list[str], value: str, wanted: Column, rounds: int = 10, corners: float = 0.0) -> DataFrame:
-    """Fills null cells that are ``wanted`` from their neighbours, by smoothing, one ring of cells a round."""
+    """Fills null cells that are ``wanted`` from their neighbours, by smoothing, one ring of cells a round.
+
+    Every round is written, and the last is that in which no cell is left to fill.
+    """
     weights = [[corners, 1.0, corners], [1.0, 0.0, 1.0], [corners, 1.0, corners]]
     cells = field.select(*by, "j", "i", F.col(value).cast("double").alias(value), wanted.alias("_wanted"))
+    steps = Steps(field.sparkSession, "erode")
     for _ in range(rounds):
         near = filter2d(cells, by, value, weights, "minimal", "_near")
         cells = cells.join(near, [*by, "j", "i"]).withColumn(value, F.when(F.col("_wanted"), F.coalesce(value, "_near")).otherwise(F.col(value))).drop("_near")
+        cells = steps.write(cells)
+        if cells.filter(F.col("_wanted") & F.col(value).isNull()).isEmpty():
+            break
     return cells.drop("_wanted")
 
 

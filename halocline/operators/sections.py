@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,15 @@ def transect(field: DataFrame, value: str, ends: tuple[float, float, float, floa
     return at_points(field, line, by or [], value, x0, dx, y0, dy, method, "lon", "lat")
 
 
-def at_points_4d(field: DataFrame, points: DataFrame, value: str, axes: dict[str, tuple[float, float]]) -> DataFrame:
-    """A field on regular axes at points, linear in each: axes by column, as {"x": (start, step), "t": ...}; the field
-    has an index i_<axis> for each. Null if a corner that has weight is null or outside. Points must differ.
+def at_points_4d(field: DataFrame, points: DataFrame, value: str, axes: dict[str, tuple[float, float]], method: str = "linear") -> DataFrame:
+    """A field on regular axes at points: axes by column, as {"x": (start, step), "t": ...}; the field has an index
+    i_<axis> for each. ``linear`` in each axis: null if a corner that has weight is null or outside; ``nearest``: of two
+    equally near the upper, null outside. Points must differ.
     """
+    if method == "nearest":
+        at = points.withColumns({f"i_{a}": F.floor((F.col(a) - start) / step + 0.5).cast("int") for a, (start, step) in axes.items()})
+        keys = [f"i_{a}" for a in axes]
+        return at.join(field.select(*keys, F.col(value).cast("double").alias("value")), keys, "left").select(*points.columns, "value")
     corners = [F.struct(F.lit(1.0).alias("w"), *[F.lit(0).alias(f"i_{a}") for a in axes])]
     rows = points.withColumn("_c", F.array(corners[0]))
     for a, (start, step) in axes.items():
@@ -77,13 +83,26 @@ def relative_positions(grid: DataFrame, points: DataFrame, key: str, size: float
     return first.select(key, "b.j", "b.i", "b.p", "b.q")
 
 
-def apply_positions(field: DataFrame, positions: DataFrame, key: str, value: str) -> DataFrame:
-    """Bilinear values at positions found before; any number of fields can use them."""
+def apply_positions(field: DataFrame, positions: DataFrame, key: str, value: str, method: str = "bilinear") -> DataFrame:
+    """Values at positions found before; any number of fields can use them.
+
+    ``bilinear``: null if a corner that has weight is null; ``nearest``: of the corner that p and q are nearest to, of
+    equally near ones the upper; ``dstwgt``: inverse distances, in p and q, over the corners that are not null.
+    """
     p, q = F.col("p"), F.col("q")
-    corner = F.array(*[F.struct((F.col("j") + b).alias("j"), (F.col("i") + a).alias("i"), w.alias("w")) for b, a, w in ((0, 0, (1 - p) * (1 - q)), (0, 1, p * (1 - q)), (1, 1, p * q), (1, 0, (1 - p) * q))])
+    places = ((0, 0), (0, 1), (1, 1), (1, 0))
+    if method == "nearest":
+        at = positions.select(key, (F.col("j") + (q >= 0.5).cast("int")).alias("j"), (F.col("i") + (p >= 0.5).cast("int")).alias("i"))
+        return at.join(field.select("j", "i", F.col(value).cast("double").alias("value")), ["j", "i"], "left").select(key, "value")
+    product = {(0, 0): (1 - p) * (1 - q), (0, 1): p * (1 - q), (1, 1): p * q, (1, 0): (1 - p) * q}
+    weight = (lambda b, a: product[b, a]) if method == "bilinear" else (lambda b, a: 1 / F.greatest(F.hypot(p - a, q - b), F.lit(1e-12)))
+    corner = F.array(*[F.struct((F.col("j") + b).alias("j"), (F.col("i") + a).alias("i"), weight(b, a).alias("w")) for b, a in places])
     spread = positions.select(key, F.explode(corner).alias("c")).select(key, "c.j", "c.i", "c.w").filter("abs(w) > 1e-12")
-    joined = spread.join(field.select("j", "i", F.col(value).alias("_v")), ["j", "i"], "left")
-    return joined.groupBy(key).agg(F.when(F.sum(F.col("_v").isNull().cast("int")) == 0, F.sum(F.col("_v") * F.col("w"))).alias("value"))
+    joined = spread.join(field.select("j", "i", F.col(value).cast("double").alias("_v")), ["j", "i"], "left")
+    v, w = F.col("_v"), F.col("w")
+    if method == "bilinear":
+        return joined.groupBy(key).agg(F.when(F.sum(v.isNull().cast("int")) == 0, F.sum(v * w)).alias("value"))
+    return joined.groupBy(key).agg((F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))).alias("value"))
 
 
 def merge_fields(sources: list[DataFrame], value: str) -> DataFrame:
@@ -123,8 +142,8 @@ def spectrum(field: DataFrame, by: list[str], value: str, dx: float, dy: float)
 
 
 def hull(df: DataFrame, x: str = "x", y: str = "y", parts: int = 64) -> DataFrame:
-    """Corners of the convex hull, counter-clockwise: n, x, y. Hulls of parts first, then the hull of what is left,
-    which is the corners of ``parts`` hulls."""
+    """Corners of the convex hull, counter-clockwise from the leftmost: n, x, y. Every task keeps the hull of the
+    batches it has seen; the hulls of the tasks meet in ``parts``, and the corners that are left in one."""
     def corners(rows: pd.DataFrame) -> pd.DataFrame:
         pts = sorted(set(zip(rows["x"], rows["y"], strict=True)))
         if len(pts) > 2:
@@ -141,18 +160,26 @@ def hull(df: DataFrame, x: str = "x", y: str = "y", parts: int = 64) -> DataFram
 
     schema = "n int, x double, y double"
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    some = points.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy("part").applyInPandas(corners, schema)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"x": [], "y": []})
+        for batch in batches:
+            held = corners(pd.concat([held, batch[["x", "y"]]]))[["x", "y"]]
+        yield held
+
+    few = points.mapInPandas(partial, "x double, y double")
+    some = few.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy("part").applyInPandas(corners, schema)
     return some.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(corners, schema)
 
 
-def resolution(grid: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Median steps in metres along i and along j: dx, dy."""
+def resolution(grid: DataFrame, lon: str = "lon", lat: str = "lat", accuracy: int = 10_000) -> DataFrame:
+    """Median steps in metres along i and along j: dx, dy; of ranks at most 1 / accuracy of the cells off."""
     from pyspark.sql import Window as W
 
     right, above = W.partitionBy("j").orderBy("i"), W.partitionBy("i").orderBy("j")
     x, y = F.col(lon), F.col(lat)
     steps = grid.select(haversine(x, y, F.lead(lon).over(right), F.lead(lat).over(right)).alias("dx"), haversine(x, y, F.lead(lon).over(above), F.lead(lat).over(above)).alias("dy"))
-    return steps.agg(F.median("dx").alias("dx"), F.median("dy").alias("dy"))
+    return steps.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in ("dx", "dy")])
 
 
 def refine(field: DataFrame, value: str, factor: int, nj: int, ni: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Mergeable statistics of one or two variables, and what else sums and ranks give.
 
-A statistic is made of sums: ``accumulate`` groups them, ``merge`` adds those of several batches, ``statistics``
-turns them into means, deviations and the like. Every step is one grouped aggregation, partial on the map side.
+A statistic is made of moments about the mean, which do not cancel where values are large: ``accumulate`` groups them,
+``merge`` joins those of several batches, ``statistics`` turns them into means, deviations and the like. Every step is
+a grouped aggregation, partial on the map side.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SUMS = ["size", "count", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy", "sum_dd"]
+MOMENTS = ["m2_x", "m2_y", "c_xy"]  # sums of products of deviations from the means
 
 
 def accumulate(df: DataFrame, by: list[str], x: str, y: str | None = None, edges: list[float] | None = None) -> DataFrame:
-    """Sums by ``by``. With ``y`` only rows where both are valid count. edges: bins [e, next e) of x; others are left out."""
+    """Moments by ``by``. With ``y`` only rows where both are valid count. edges: bins [e, next e) of x; others are left out."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double") if y else F.lit(None).cast("double")
     valid = a.isNotNull() & ~F.isnan(a) & ((b.isNotNull() & ~F.isnan(b)) if y else F.lit(True))
     a, b = F.when(valid, a), F.when(valid, b)
     aggs = [
-        F.count(F.lit(1)).alias("size"), F.count(a).alias("count"), F.sum(a).alias("sum_x"), F.sum(b).alias("sum_y"), F.sum(a * a).alias("sum_xx"), F.sum(b * b).alias("sum_yy"),
-        F.sum(a * b).alias("sum_xy"), F.sum((b - a) * (b - a)).alias("sum_dd"), F.min(a).alias("min_x"), F.max(a).alias("max_x"), F.min(b).alias("min_y"), F.max(b).alias("max_y"),
+        F.count(F.lit(1)).alias("size"), F.count(a).alias("count"), F.avg(a).alias("mean_x"), F.avg(b).alias("mean_y"), (F.var_pop(a) * F.count(a)).alias("m2_x"),
+        (F.var_pop(b) * F.count(b)).alias("m2_y"), (F.covar_pop(a, b) * F.count(b)).alias("c_xy"), F.sum((b - a) * (b - a)).alias("sum_dd"),
+        F.min(a).alias("min_x"), F.max(a).alias("max_x"), F.min(b).alias("min_y"), F.max(b).alias("max_y"),
     ]
     if edges:
         bins = [F.count(F.when((a >= lo) & (a < hi), 1)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
@@ -29,22 +31,29 @@ def accumulate(df: DataFrame, by: list[str], x: str, y: str | None = None, edges
 
 
 def merge(partials: DataFrame, by: list[str], bins: int = 0) -> DataFrame:
-    """Adds the sums of several batches; ``bins``: of the histogram, if there is one."""
-    aggs = [F.sum(c).alias(c) for c in SUMS] + [F.min(c).alias(c) for c in ("min_x", "min_y")] + [F.max(c).alias(c) for c in ("max_x", "max_y")]
+    """Joins the moments of several batches, a row a batch and group; ``bins``: of the histogram, if there is one."""
+    n, group = F.col("count"), W.partitionBy(*by)
+    mean = lambda c: F.sum(n * F.col(c)).over(group) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), n)).over(group), F.lit(0))
+    both = partials.withColumns({"_mx": mean("mean_x"), "_my": mean("mean_y")})
+    dx, dy = F.col("mean_x") - F.col("_mx"), F.col("mean_y") - F.col("_my")
+    aggs = [
+        F.sum("size").alias("size"), F.sum("count").alias("count"), F.max("_mx").alias("mean_x"), F.max("_my").alias("mean_y"), F.sum(F.col("m2_x") + n * dx * dx).alias("m2_x"),
+        F.sum(F.col("m2_y") + n * dy * dy).alias("m2_y"), F.sum(F.col("c_xy") + n * dx * dy).alias("c_xy"), F.sum("sum_dd").alias("sum_dd"),
+    ]
+    aggs += [F.min(c).alias(c) for c in ("min_x", "min_y")] + [F.max(c).alias(c) for c in ("max_x", "max_y")]
     if "hist" in partials.columns:
         aggs.append(F.array(*[F.sum(F.get("hist", F.lit(i))) for i in range(bins)]).alias("hist"))
-    return partials.groupBy(*by).agg(*aggs)
+    return both.groupBy(*by).agg(*aggs)
 
 
 def statistics(partials: DataFrame, by: list[str]) -> DataFrame:
     """avail, count, mean, std, min, max of x (and of y as *_y), bias = y - x, rms, crms, corr; deviations divide by n."""
     n = F.nullif(F.col("count"), F.lit(0))
-    mx, my = F.col("sum_x") / n, F.col("sum_y") / n
-    vx, vy = F.greatest(F.col("sum_xx") / n - mx * mx, F.lit(0.0)), F.greatest(F.col("sum_yy") / n - my * my, F.lit(0.0))
-    cov, bias = F.col("sum_xy") / n - mx * my, my - mx
+    vx, vy, cov = (F.col(c) / n for c in MOMENTS)
+    zero = F.lit(0.0)
     out = {
-        "avail": F.col("count") / F.col("size"), "count": F.col("count"), "mean": mx, "std": F.sqrt(vx), "min": F.col("min_x"), "max": F.col("max_x"), "mean_y": my, "std_y": F.sqrt(vy),
-        "bias": bias, "rms": F.sqrt(F.col("sum_dd") / n), "crms": F.sqrt(F.greatest(F.col("sum_dd") / n - bias * bias, F.lit(0.0))), "corr": cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)),
+        "avail": F.col("count") / F.col("size"), "count": F.col("count"), "mean": F.col("mean_x"), "std": F.sqrt(vx), "min": F.col("min_x"), "max": F.col("max_x"), "mean_y": F.col("mean_y"), "std_y": F.sqrt(vy),
+        "bias": F.col("mean_y") - F.col("mean_x"), "rms": F.sqrt(F.col("sum_dd") / n), "crms": F.sqrt(F.greatest(vx + vy - 2 * cov, zero)), "corr": cov / F.nullif(F.sqrt(vx * vy), zero),
     }
     hist = ["hist"] if "hist" in partials.columns else []
     return partials.select(*by, *[c.alias(k) for k, c in out.items()], *hist)
@@ -56,9 +65,29 @@ def ensemble_rank(members: DataFrame, by: list[str], member: str, obs: str) -> D
     return members.filter(valid).groupBy(*by).agg(F.sum((F.col(member) < F.col(obs)).cast("long")).alias("rank"), F.count(F.lit(1)).alias("members"))
 
 
-def quantile_range(df: DataFrame, by: list[str], value: str, percent: float = 5.0) -> DataFrame:
-    """Exact quantiles, with linear interpolation, ``percent`` from either end."""
-    q = F.percentile(F.col(value), F.array(F.lit(percent / 100), F.lit(1 - percent / 100)))
+def rank_histogram(ranks: DataFrame, rank: str, members: int) -> DataFrame:
+    """How often each rank from 0 to ``members`` stands: rank, n."""
+    every = ranks.sparkSession.range(members + 1).select(F.col("id").alias(rank))
+    counted = ranks.groupBy(F.col(rank).cast("long").alias(rank)).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counted, rank, "left").select(rank, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def not_recovered(members: DataFrame, by: list[str], member: str, obs: str, centred: bool = False) -> DataFrame:
+    """By cell the least bias of an ensemble that is all above or all below the observation (``nrz``), null where some
+    members are on either side, and the rank; ``centred``: after the mean bias is taken off."""
+    bias = members.filter(F.col(member).isNotNull() & F.col(obs).isNotNull()).withColumn("_b", F.col(member) - F.col(obs))
+    if centred:
+        mean = bias.groupBy(*by).agg(F.avg("_b").alias("_m"))
+        bias = bias.join(mean, by).withColumn("_b", F.col("_b") - F.col("_m"))
+    ends = bias.groupBy(*by).agg(F.min("_b").alias("lo"), F.max("_b").alias("hi"), F.sum((F.col("_b") < 0).cast("long")).alias("rank"))
+    return ends.select(*by, "rank", F.when(F.col("hi") < 0, F.col("hi")).when(F.col("lo") > 0, F.col("lo")).alias("nrz"))
+
+
+def quantile_range(df: DataFrame, by: list[str], value: str, percent: float = 5.0, accuracy: int | None = None) -> DataFrame:
+    """Quantiles ``percent`` from either end, with linear interpolation: exact ones, which keep the distinct values of a
+    group in memory, or with an ``accuracy`` values whose ranks are at most 1 / accuracy of the rows off."""
+    at = F.array(F.lit(percent / 100), F.lit(1 - percent / 100))
+    q = F.percentile(F.col(value), at) if accuracy is None else F.percentile_approx(F.col(value), at, accuracy)
     return df.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
@@ -115,9 +144,10 @@ def anomaly(df: DataFrame, by: list[str], value: str, out: str = "anomaly") -> D
 
 
 def arctan_normal(df: DataFrame, by: list[str], value: str, stretch: float = 1.0, out: str = "normal") -> DataFrame:
-    """2/pi arctan(stretch * value / std)."""
-    spread = F.stddev_pop(value).over(W.partitionBy(*by))
-    return df.withColumn(out, F.atan(stretch * F.col(value) / spread) * F.lit(2 / 3.141592653589793))
+    """2/pi arctan(stretch * value / std); the deviation is joined back, so that one group may be large."""
+    spread = df.groupBy(*by).agg(F.stddev_pop(value).alias("_std"))
+    joined = df.join(spread, by) if by else df.crossJoin(F.broadcast(spread))  # a single row
+    return joined.withColumn(out, F.atan(stretch * F.col(value) / F.nullif(F.col("_std"), F.lit(0.0))) * F.lit(2 / 3.141592653589793)).drop("_std")
 
 
 def correlation_probability(df: DataFrame, r: str, n: str, datasets: int = 2, out: str = "probability") -> DataFrame:

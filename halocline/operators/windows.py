@@ -51,8 +51,9 @@ def kaiser(m: int, beta: float) -> list[float]:
     return [bessel(beta * math.sqrt(max(0.0, 1 - (2 * i / (m - 1) - 1) ** 2))) / bessel(beta) for i in range(m)]
 
 
-def gaussian(half: int, sigma: float = 1 / 3) -> list[float]:
-    return [math.exp(-0.5 * (i / (half * sigma)) ** 2) for i in range(-half, half + 1)]
+def gaussian(m: int) -> list[float]:
+    """``m``, an odd number, weights exp(-(i / m)^2) around the middle one."""
+    return [math.exp(-(i * i) / (m * m)) for i in range(-(m // 2), m // 2 + 1)]
 
 
 def filter1d(df: DataFrame, by: list[str], order: str, value: str, weights: list[float], mask: str | float = "same", out: str = "filtered") -> DataFrame:
@@ -61,17 +62,19 @@ def filter1d(df: DataFrame, by: list[str], order: str, value: str, weights: list
     mask: ``same`` keeps the nulls of the input, ``minimal`` has a value wherever one is valid, ``maximal`` only where
     all are; a number is the share of missing weight that is tolerated. Beyond the ends there is no weight.
     """
-    w, v, half = _window(by, order), F.col(value), len(weights) // 2
-    near = [(k, F.lag(v, half - i).over(w) if i < half else F.lead(v, i - half).over(w) if i > half else v, i - half) for i, k in enumerate(weights)]
-    total, used, inside = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    there = F.lit(1)
-    for k, x, shift in near:
-        if not k:
-            continue
-        here = F.lag(there, -shift).over(w) if shift < 0 else F.lead(there, shift).over(w) if shift > 0 else there
-        total = total + F.when(x.isNotNull(), k * x).otherwise(0.0)
-        used = used + F.when(x.isNotNull(), k).otherwise(0.0)
-        inside = inside + F.when(here.isNotNull(), k).otherwise(0.0)
+    v, half = F.col(value), len(weights) // 2
+    frame = _window(by, order).rowsBetween(-half, half)
+    # a frame holds the window, which is shorter at the ends: its weights are those of the cells that are there
+    held = F.collect_list(F.struct(v.cast("double").alias("v"))).over(frame)
+    before = F.count(F.lit(1)).over(_window(by, order).rowsBetween(-half, -1)) if half else F.lit(0)
+    kernel = F.slice(F.array(*[F.lit(float(k)) for k in weights]), (half - before + 1).cast("int"), F.size(held))
+    cells = F.zip_with(held, kernel, lambda x, k: F.struct(x["v"].alias("v"), k.alias("k")))
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("used"), F.lit(0.0).alias("inside"))
+    sums = F.aggregate(cells, zero, lambda acc, c: F.struct(
+        (acc["total"] + F.coalesce(c["v"] * c["k"], F.lit(0.0))).alias("total"), (acc["used"] + F.when(c["v"].isNotNull(), c["k"]).otherwise(0.0)).alias("used"), (acc["inside"] + c["k"]).alias("inside")
+    ))
+    df = df.withColumn("_sums", sums)
+    total, used, inside = F.col("_sums.total"), F.col("_sums.used"), F.col("_sums.inside")
     result = total / F.nullif(used, F.lit(0.0))
     if mask == "same":
         result = F.when(v.isNotNull(), result)
@@ -79,7 +82,7 @@ def filter1d(df: DataFrame, by: list[str], order: str, value: str, weights: list
         result = F.when(used >= inside - 1e-12, result)
     elif mask != "minimal":
         result = F.when(1 - used / inside <= float(mask), result)
-    return df.withColumn(out, result)
+    return df.withColumn(out, result).drop("_sums")
 
 
 def running_average(df: DataFrame, by: list[str], order: str, value: str, length: int, out: str = "average", keep_nulls: bool = True) -> DataFrame:

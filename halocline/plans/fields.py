@@ -21,14 +21,26 @@ def _filter2d_sql(weights: list[list[float]], mask: str) -> str:
     return with_("field masked", f"&k(dj, di, w) AS (VALUES {rows}) SELECT m.j, m.i, {value} AS filtered FROM masked m, k JOIN masked n ON n.j = m.j + dj AND n.i = m.i + di GROUP BY 1, 2")
 
 
-@query(_filter2d_sql(grid.shapiro2d(), "same"))
+# The weights as they should be, for the SQL alone.
+_SHAPIRO = [[0.5, 1.0, 0.5], [1.0, 2.0, 1.0], [0.5, 1.0, 0.5]]
+_FAR, _DIAGONAL, _SIDE = 0.000123409804087, 0.011108996538242, 0.105399224561864
+_GAUSSIAN = [
+    [0.0, 0.0, _FAR, 0.0, 0.0],
+    [0.0, _DIAGONAL, _SIDE, _DIAGONAL, 0.0],
+    [_FAR, _SIDE, 1.0, _SIDE, _FAR],
+    [0.0, _DIAGONAL, _SIDE, _DIAGONAL, 0.0],
+    [0.0, 0.0, _FAR, 0.0, 0.0],
+]
+
+
+@query(_filter2d_sql(_SHAPIRO, "same"))
 def filter2d_shapiro(spark, d):
     return grid.filter2d(masked(spark, d), [], "v", grid.shapiro2d()).select("j", "i", r6("filtered").alias("filtered"))
 
 
-@query(_filter2d_sql(grid.gaussian2d(2), "minimal"))
+@query(_filter2d_sql(_GAUSSIAN, "minimal"))
 def filter2d_gaussian(spark, d):
-    return grid.filter2d(masked(spark, d), [], "v", grid.gaussian2d(2), "minimal").select("j", "i", r6("filtered").alias("filtered"))
+    return grid.filter2d(masked(spark, d), [], "v", grid.gaussian2d(5), "minimal").select("j", "i", r6("filtered").alias("filtered"))
 
 
 # the field covers lon -180 .. 168 (12 degrees a cell) and lat -80 .. 72 (8 degrees a cell)

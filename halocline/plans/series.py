@@ -29,12 +29,18 @@ def _filtered(spark, d, weights):
     return windows.filter1d(series(spark, d), ["kind"], "t", "v", weights).select("kind", "t", F.round("filtered", 4).alias("filtered"))
 
 
-for _name, _weights in (
-    ("filter_shapiro", windows.shapiro()), ("filter_hamming", windows.hamming(5)), ("filter_hanning", windows.hanning(7)), ("filter_bartlett", windows.bartlett(7)),
-    ("filter_blackman", windows.blackman(9)), ("filter_kaiser", windows.kaiser(7, 5.0)), ("filter_gaussian", windows.gaussian(4)),
-):
+# The weights as they should be, for the SQL alone.
+for _name, _weights, _literal in (
+    ("filter_shapiro", windows.shapiro(), [1.0, 2.0, 1.0]),
+    ("filter_hamming", windows.hamming(5), [0.08, 0.54, 1.0, 0.54, 0.08]),
+    ("filter_hanning", windows.hanning(7), [0.0, 0.25, 0.75, 1.0, 0.75, 0.25, 0.0]),
+    ("filter_bartlett", windows.bartlett(7), [0.0, 0.333333333333333, 0.666666666666667, 1.0, 0.666666666666667, 0.333333333333333, 0.0]),
+    ("filter_blackman", windows.blackman(9), [0.0, 0.066446609406726, 0.34, 0.773553390593274, 1.0, 0.773553390593274, 0.34, 0.066446609406726, 0.0]),
+    ("filter_kaiser", windows.kaiser(7, 5.0), [0.036710892271287, 0.328201957372321, 0.775322104445407, 1.0, 0.775322104445407, 0.328201957372321, 0.036710892271287]),
+    ("filter_gaussian", windows.gaussian(9), [0.820754808298268, 0.89483931681437, 0.951816784423089, 0.987730216235611, 1.0, 0.987730216235611, 0.951816784423089, 0.89483931681437, 0.820754808298268]),
+):
     QUERIES[_name] = lambda spark, d, weights=_weights: _filtered(spark, d, weights)
-    ORACLE[_name] = _filter_sql(_weights)
+    ORACLE[_name] = _filter_sql(_literal)
 
 
 @query(with_("series", f"""&p AS (SELECT *, least(row_number() OVER w - 1, count(*) OVER (PARTITION BY kind) - row_number() OVER w, 2) AS reach FROM series {_W}),
@@ -180,12 +186,22 @@ def _tide(spark, d, weights):
     return tide.tide(dense, ["kind"], "t", "v", weights).select("kind", "t", r6("surge").alias("surge"), r6("tide").alias("tide"))
 
 
-@query(_tide_sql(tide.demerliac()))
+# Half of the weights from the outermost in, for the SQL alone; the second are of 14400.
+_DEMERLIAC = [1, 3, 8, 15, 21, 32, 45, 55, 72, 91, 105, 128, 153, 171, 200, 231, 253, 288, 325, 351, 392, 435, 465, 512, 558, 586, 624, 658, 678, 704, 726, 738, 752, 762, 766, 768]
+_GODIN = [1, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66, 78, 91, 105, 120, 136, 153, 171, 190, 210, 231, 253, 276, 300, 323, 344, 363, 380, 395, 408, 419, 428, 435, 440, 443, 444]
+
+
+def _mirrored(half: list[int]) -> list[float]:
+    whole = half + half[-2::-1]
+    return [w / sum(whole) for w in whole]
+
+
+@query(_tide_sql(_mirrored(_DEMERLIAC)))
 def tide_demerliac(spark, d):
     return _tide(spark, d, tide.demerliac())
 
 
-@query(_tide_sql(tide.godin()))
+@query(_tide_sql(_mirrored(_GODIN)))
 def tide_godin(spark, d):
     return _tide(spark, d, tide.godin())
 

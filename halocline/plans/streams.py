@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from halocline.operators import stats
+from halocline.operators.cut import shared_folder
 from halocline.plans.inputs import r6, table
 from halocline.plans.registry import register
 from halocline.streaming import accumulate
@@ -17,8 +18,7 @@ query = register(QUERIES, ORACLE)
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{base.rstrip('/')}/halocline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/halocline/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, count(value) AS count, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1")

@@ -203,3 +203,37 @@ def test_window_means_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["mean"] for r in spark.table("means").collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_weights_of_filters():
+    """Numbers worked out by hand from the definitions."""
+    from halocline.operators import windows
+
+    assert grid.shapiro2d() == [[0.5, 1.0, 0.5], [1.0, 2.0, 1.0], [0.5, 1.0, 0.5]]
+    assert grid.shapiro2d(0.25)[1][1] == 2.0
+    assert windows.gaussian(9)[0] == pytest.approx(0.820754808298268)
+    assert windows.gaussian(3) == pytest.approx([0.894839316814370, 1.0, 0.894839316814370])
+    assert grid.gaussian2d(5)[2] == pytest.approx([0.000123409804087, 0.105399224561864, 1.0, 0.105399224561864, 0.000123409804087], rel=1e-9)
+    assert grid.gaussian2d(5)[0][0] == 0.0
+    assert len(grid.gaussian2d(7, 3)) == 3
+
+
+def test_moments_do_not_cancel(spark):
+    df = spark.range(1000).select((F.col("id") % 2).cast("int").alias("k"), (1e9 + F.col("id") % 7).alias("x"), (1e9 + F.col("id") % 5).alias("y"))
+    whole = stats.statistics(stats.accumulate(df, [], "x", "y"), []).first()
+    halves = stats.accumulate(df, ["k"], "x", "y").drop("k")
+    merged = stats.statistics(stats.merge(halves, []), []).first()
+    rows = df.toPandas()
+    assert merged["std"] == pytest.approx(rows["x"].std(ddof=0), rel=1e-9)
+    assert merged["crms"] == pytest.approx((rows["y"] - rows["x"]).std(ddof=0), rel=1e-9)
+    assert all(merged[c] == pytest.approx(whole[c], rel=1e-9) for c in ("mean", "std", "std_y", "corr", "rms", "bias"))
+
+
+def test_long_filters_keep_the_mask(spark):
+    df = spark.range(200).select(F.lit(0).alias("g"), "id", F.when(F.col("id") % 10 != 3, F.col("id").cast("double")).alias("v"))
+    from halocline.operators import windows
+
+    got = {r["id"]: r["f"] for r in windows.filter1d(df, ["g"], "id", "v", [1.0] * 71, "minimal", "f").collect()}
+    for i in (0, 50, 199):
+        near = [k for k in range(max(0, i - 35), min(200, i + 36)) if k % 10 != 3]
+        assert got[i] == pytest.approx(sum(near) / len(near))
