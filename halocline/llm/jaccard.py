@@ -1,10 +1,11 @@
 """Self-join of word n-gram sets with a Jaccard similarity of a threshold or more, by chosen paths.
 
-In a run every set walks down a random tree: at each node it chooses each of its tokens (n-gram hashes) with odds of
-1 / (threshold * its size), by a hash of path and token that all sets share, and goes on along every token chosen.
-Two sets that are similar enough share a chosen token at every step with the odds of 1 - 1/e or better; others part.
-Small buckets are compared by brute force; large ones are split by further tokens, unless their sets are so alike
-that no token would part them: those are compared in blocks. Independent runs are added until the target recall.
+In a run every set walks down a random tree: at each node it chooses each of its tokens (n-gram hashes) by a hash of
+path and token that all sets share, and goes on along every token chosen. Two sets that are similar enough share one
+chosen token at the first step in the mean, and more at later ones; others part. Small buckets are compared by brute
+force. Large ones are first dealt out by the sizes of the sets, which parts no similar pair, and what is still large is
+split by further tokens, unless its sets are so alike that no token would part them: those are compared in blocks.
+Independent runs are made until the target recall.
 
 Comparing takes two steps. Sketches of 128 bytes first clear the pairs that are far from the threshold; then the sets
 of those that remain are compared in full, so that no link is wrong. A pair counts in the first bucket that its two
@@ -69,34 +70,21 @@ def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def choose(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarray:
-    """The paths that a set of tokens goes on along from each of ``paths``."""
+def choose(tokens: np.ndarray, paths: np.ndarray, threshold: float, expected: float = 1.0) -> np.ndarray:
+    """The paths that a set of tokens goes on along from each of ``paths``; of two sets at the threshold ``expected``
+    are shared in the mean, or more if the sets are of nearly the same size."""
     drawn = mix(tokens[None, :] ^ mix(paths)[:, None])
-    odds = min(1.0, 1.0 / (threshold * max(1, len(tokens))))
+    odds = min(1.0, expected / (threshold * max(1, len(tokens))))
     return mix(drawn[drawn <= np.uint64(min(2**64 - 1, int(odds * 2**64)))] ^ np.uint64(0xD1B54A32D192ED03))
 
 
-def found_in_run(steps: int) -> float:
-    """The least odds that a pair at the threshold shares a chosen token at each of ``steps`` steps of a run.
-
-    It shares one a step on the mean if its sizes are as unequal as the threshold allows, more if they are closer.
-    """
+def found_in_run(steps: int, later: float) -> float:
+    """The least odds that a pair at the threshold shares a path of ``steps`` steps in a run, of which the first shares
+    one token in the mean and the others ``later``."""
     odds = 1.0
-    for _ in range(steps):
-        odds = 1 - math.exp(-odds)
-    return odds
-
-
-def more_runs(recall: float, runs: int, steps: int) -> int:
-    """Further runs of the sets in buckets that were split, so that ``recall`` holds where buckets took ``steps``.
-
-    Pairs that shared no bucket at the first step of ``runs`` may not run again; of the others, those that all runs
-    have parted are still missed.
-    """
-    parted, apart = 1 - found_in_run(steps), math.exp(-runs)
-    allowed = max(1 - recall - apart, (1 - recall) / 1000)
-    lost = parted**runs - apart
-    return max(0, math.ceil(math.log(allowed / lost) / math.log(parted))) if steps > 1 else 0
+    for _ in range(steps - 1):
+        odds = 1 - math.exp(-later * odds)
+    return 1 - math.exp(-odds)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -219,8 +207,8 @@ def compare(threshold: float) -> Callable:
     return run
 
 
-def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, small: int = 512, alike: float = 0.4,
-                 depth: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, small: int = 2048, alike: float = 0.3,
+                 depth: int = 3, later: float = 2.0, block: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, class_id, n_links, copy_of, kept.
 
     n_links: other rows whose sets of ``words``-grams (of words in ASCII lower case) have a Jaccard similarity of
@@ -233,14 +221,15 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     an empty table gives no rows. Texts of any length are read whole. Link counts of a group of different texts that
     are all alike take a comparison a pair: they are dealt out in blocks.
 
-    Runs follow from ``recall``, the odds that a pair at the threshold is found, which is the more certain the more
-    similar the pair. Buckets of up to ``small`` sets, and those whose sets have a mean similarity of ``alike`` or
-    more, are compared as they are; the rest is split, up to ``depth`` steps, and then compared in blocks too. Every
-    step may part a pair: the sets of buckets that were split run again, as often as the most steps taken ask for.
+    Runs follow from ``recall``, the odds that a pair at the threshold is found though all its buckets take ``depth``
+    steps, which is the more certain the more similar the pair. Buckets of up to ``small`` sets are compared as they
+    are. Larger ones are dealt out by size; those that stay large are split, with ``later`` shared tokens to be expected
+    of a pair at the threshold, unless their sets have a mean similarity of ``alike`` or more. What is large then, and
+    after the last step, is compared in blocks of ``block``, every two of which meet.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    runs = runs_for(recall, 1 - 1 / math.e)
+    runs = runs_for(recall, found_in_run(depth, later))
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.when(has_words, F.unhex(F.md5(F.col(text).cast("binary")))).alias("key"), F.col(text).alias("text"))
 
@@ -249,12 +238,12 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         for batch in _parts(batches):
             sets = ngram_sets(list(batch["text"]), words)
             paths = [choose(s, roots, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "paths": paths, "sketch": [sketch(s) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "paths": paths, "tokens_n": [len(s) for s in sets], "sketch": [sketch(s) if len(s) else None for s in sets]})
 
-    schema = keyed.select("doc_id", "key").schema.add("paths", T.ArrayType(T.LongType())).add("sketch", "binary")
+    schema = keyed.select("doc_id", "key").schema.add("paths", T.ArrayType(T.LongType())).add("tokens_n", T.IntegerType()).add("sketch", "binary")
     rows = work.write(keyed.mapInPandas(begin, schema), "rows")
     classes = rows.filter("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")
+        F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.any_value("paths").alias("paths"), F.any_value("tokens_n").alias("tokens_n"), F.any_value("sketch").alias("sketch")
     )
     classes = work.write(classes, "classes")
     worded = rows_of(classes, "n")
@@ -274,67 +263,52 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _parts(batches):
-            on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
+            on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold, later) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
             yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
 
-    def walk(level: DataFrame, name: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame | None, int]:
-        """The buckets of the sets that went along the paths of ``level``, the sets that were in a bucket that was
-        split (as given, if they are known; None if none was), and the most steps that a bucket took."""
-        leaves = None
-        for at in range(1, depth + 1):
-            counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")), f"{name}sizes{at}")
-            level = work.write(join_counted(level, counted.filter("size > 1"), ["leaf"], "size", rows_of(counted, "size")), f"{name}shared{at}")
-            work.drop(f"{name}level{at}", f"{name}sizes{at}")
-            found, large = level.filter(F.col("size") <= small).select("key", "leaf"), level.filter(F.col("size") > small)
-            if at == depth or large.isEmpty():
-                found = found.union(large.select("key", "leaf"))
-                leaves = found if leaves is None else leaves.union(found)
-                break
-            # mean similarity of a bucket, from that of its members with four of them
-            large = large.join(sketches, "key")
-            some = large.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
-            some = work.write(some, f"{name}some{at}")
-            alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
-            many = rows_of(some, "size")
-            mean = join_counted(large.drop("size"), some, ["leaf"], "size", many).groupBy("leaf").agg(F.avg(alike_).alias("mean"), F.count(F.lit(1)).alias("size"))
-            mean = work.write(mean, f"{name}mean{at}")
-            large = work.write(join_counted(large.select("key", "leaf"), mean, ["leaf"], "size", many), f"{name}large{at}")
-            work.drop(f"{name}some{at}", f"{name}mean{at}")
-            found = found.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
-            leaves = found if leaves is None else leaves.union(found)
-            rest = large.filter(F.col("mean") < alike).select("key", "leaf")
-            if rest.isEmpty():
-                break
-            if sets is None:  # deeper buckets hold no others
-                sets = work.write(sets_of(rest.select("key").distinct(), "split"), "split_sets").drop("n")
-            level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"{name}level{at + 1}")
-        return leaves, sets, at
-
-    def begin_again(first: int, more: int) -> Callable:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            roots = mix(np.arange(first + 1, first + more + 1, dtype=np.uint64))
-            for batch in _parts(batches):
-                on = [choose(np.frombuffer(s, np.uint64), roots, threshold) for s in batch["tokens"]]
-                yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
-
-        return run
+    def crowded(level: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of the buckets of two sets or more, and of these of the large ones, with the ``size`` of each."""
+        counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")), f"{name}_sizes")
+        shared = work.write(join_counted(level, counted.filter("size > 1"), ["leaf"], "size", rows_of(counted, "size")), f"{name}_shared")
+        return shared.filter(F.col("size") <= small).select("key", "leaf"), shared.filter(F.col("size") > small)
 
     level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
-    leaves, sets, steps = walk(level, "", None)
-    # only sets of a bucket that was split can have lost each other there: they run again
-    done, again = 0, more_runs(recall, runs, steps)
-    while done < again:
-        level = work.write(sets.mapInPandas(begin_again(runs + done, again - done), "key binary, leaf long").distinct(), f"from{done}_level1")
-        further, _, deeper = walk(level, f"from{done}_", sets)
-        leaves, steps = leaves.union(further), max(steps, deeper)
-        done, again = again, more_runs(recall, runs, steps)
+    leaves, sets, size_class = None, None, F.floor(F.log("tokens_n") / (math.log(1 / threshold) + 1e-9)).cast("int")
+    for at in range(1, depth + 1):
+        found, large = crowded(level, f"level{at}")
+        leaves = found if leaves is None else leaves.union(found)
+        if large.isEmpty():
+            break
+        # sets that are similar enough are of the same class of sizes, or of one next to it
+        dealt = large.select("key", "leaf").join(classes.select("key", "tokens_n"), "key").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+        found, large = crowded(work.write(dealt.select("key", F.xxhash64("leaf", "class").alias("leaf")), f"dealt{at}"), f"dealt{at}")
+        leaves = leaves.union(found)
+        if at == depth or large.isEmpty():
+            leaves = leaves.union(large.select("key", "leaf"))
+            break
+        # mean similarity of a bucket, from that of its members with four of them
+        large = large.select("key", "leaf").join(sketches, "key")
+        some = large.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
+        some = work.write(some, f"some{at}")
+        alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
+        many = rows_of(some, "size")
+        mean = join_counted(large, some, ["leaf"], "size", many).groupBy("leaf").agg(F.avg(alike_).alias("mean"), F.count(F.lit(1)).alias("size"))
+        mean = work.write(mean, f"mean{at}")
+        large = work.write(join_counted(large.select("key", "leaf"), mean, ["leaf"], "size", many), f"large{at}")
+        leaves = leaves.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
+        rest = large.filter(F.col("mean") < alike).select("key", "leaf")
+        if rest.isEmpty():
+            break
+        if sets is None:  # deeper buckets hold no others
+            sets = work.write(sets_of(rest.select("key").distinct(), "split"), "split_sets").drop("n")
+        level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
     leaves = work.write(leaves, "leaves")
     work.keep("rows", "classes", "leaves")
 
     order = ["leaf", "bi", "bj"]
     members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
     members = members.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf")))  # only earlier ones are asked for
-    cleared = in_blocks(members, ["leaf"], F.col("key"), small, work, leaves).repartition(*order).sortWithinPartitions(*order)
+    cleared = in_blocks(members, ["leaf"], F.col("key"), block, work, leaves).repartition(*order).sortWithinPartitions(*order)
     cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
     whole = cleared.join(sets_of(cleared.select("key").distinct(), "cleared"), "key").repartition(*order).sortWithinPartitions(*order)
     links = work.write(whole.mapInPandas(compare(threshold), "key binary, links long, root binary"), "links")

@@ -56,7 +56,7 @@ def test_links_and_classes(spark, small):
     """Small buckets only, and with a bound that makes buckets split and meet in blocks."""
     texts = [*texts_with_copies(), "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r for r in jaccard.join_similar(docs, small=small, recall=0.9999).collect()}
+    got = {r["doc_id"]: r for r in jaccard.join_similar(docs, small=small, block=small, recall=0.9999).collect()}
     links, root = brute_classes(word_sets(texts), 0.8)
     assert [got[i]["n_links"] for i in range(len(texts))] == links
     assert [got[i]["class_id"] for i in range(len(texts))] == root
@@ -72,7 +72,7 @@ def test_a_large_group_of_near_copies(spark):
         t[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(t))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = jaccard.join_similar(docs, small=16).collect()
+    got = jaccard.join_similar(docs, small=16, block=16).collect()
     links, _ = brute_classes(word_sets(texts), 0.8)
     assert {r["class_id"] for r in got} == {0}
     assert sum(r["n_links"] for r in got) >= 0.999 * sum(links)
