@@ -56,9 +56,9 @@ def _pack(held: list[bytes], index: list[tuple[int, int]], depth: int) -> tuple[
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     for k in range(depth):
         own[starts + k] = False
-    gram = np.zeros(len(b) - depth, np.int64)
-    for k in range(depth + 1):
-        gram = gram << 8 | b[k : len(b) - depth + k]
+    # a word of eight bytes begins at every byte: the first depth + 1 of them are the gram
+    words = np.ndarray((len(b) - depth,), ">u8", np.r_[b, np.zeros(8, np.uint8)], strides=(1,))
+    gram = (words >> np.uint64(8 * (7 - depth))).astype(np.int64)
     return gram[own[depth:]], np.repeat([i for i, _ in index], lengths - depth)
 
 
@@ -107,12 +107,11 @@ class _Counts:
         self.keys: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
 
-    def add(self, keys: np.ndarray, learned: np.ndarray) -> None:
-        for part, by in ((keys[learned], 1), (keys[~learned], 0)):
-            part = np.sort(part)
-            first = _runs(part)
-            self.keys.append(part[first])
-            self.n.append(np.diff(np.r_[first, len(part)]) * by)
+    def add(self, keys: np.ndarray, learned: int) -> None:
+        part = np.sort(keys)
+        first = _runs(part)
+        self.keys.append(part[first])
+        self.n.append(np.diff(np.r_[first, len(part)]) * learned)
         if sum(map(len, self.keys[1:])) > MERGE:
             self.merged()
 
@@ -133,11 +132,13 @@ def counter(depth: int):
             words, strings = _Counts(), _Counts()
             for part in parts:
                 train, bodies = part.column("train").to_numpy(zero_copy_only=False), part.column("body").to_pylist()
-                words.add(np.full(len(train), END), train)
-                for h, i in word_hashes(bodies):
-                    words.add(h.view(np.int64), train[i])
-                for g, i in grams(bodies, depth):
-                    strings.add(g, train[i])
+                for learned in (0, 1):
+                    some = [body for body, t in zip(bodies, train.tolist(), strict=True) if t == bool(learned)]
+                    words.add(np.full(len(some), END), learned)
+                    for h, _ in word_hashes(some):
+                        words.add(h.view(np.int64), learned)
+                    for g, _ in grams(some, depth):
+                        strings.add(g, learned)
             for token, counts in ((True, words), (False, strings)):
                 key, n = counts.merged()
                 yield pa.RecordBatch.from_pydict({"block": np.full(len(key), block), "token": np.full(len(key), token), "key": key, "n": n})
@@ -234,9 +235,11 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
 
     def lookup(key: np.ndarray, value: np.ndarray) -> tuple[pd.Index, np.ndarray]:
         """The keys, and their values with a 0 more for a key that is not there."""
-        order = np.argsort(key, kind="stable")
-        order = order[_runs(key[order])]  # a block that two tasks have read comes twice
-        return pd.Index(key[order]), np.r_[value[order].astype(float), 0.0]
+        keys = pd.Index(key)
+        if not keys.is_unique:  # a block that two tasks have read comes twice
+            once = ~keys.duplicated()
+            keys, value = keys[once], value[once]
+        return keys, np.r_[value.astype(float), 0.0]
 
     def block(rows: pa.Table, told: pa.Table) -> pa.Table:
         bodies, key, value, many = rows.column("body").to_pylist(), told.column("key").to_numpy(), told.column("value").to_numpy(), rows.num_rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,19 +44,29 @@ def _pieces(bodies: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 .. n - 1 modulo 2^64, and their inverses."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x)], dtype=np.uint64) for x in (BASE, inverse))
+
+
 def word_hashes(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(64-bit hash of each word, index of its body), in order, some bodies at a time."""
+    """(64-bit hash of each word, index of its body), in order, some bodies at a time.
+
+    A word's hash is a polynomial of its bytes: a difference of running sums over all bytes, taken back to the word's start.
+    """
     for held in _pieces(bodies):
         b = np.frombuffer(b"\n".join(p for _, p in held) + b"\n", np.uint8)
-        inside = (b != 32) & (b != 10)
-        starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+        inside = np.zeros(len(b) + 2, bool)
+        inside[1:-1] = (b != 32) & (b != 10)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, after = edges[::2], edges[1::2]
         if not len(starts):
             continue
-        of = np.cumsum(np.bincount(starts, minlength=len(b))) - 1
-        of[: starts[0]] = 0
-        place = np.where(inside, np.arange(len(b)) - starts[of], 0)
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(int(place.max()), BASE)], dtype=np.uint64)
-        terms = np.where(inside, (b.astype(np.uint64) + np.uint64(1)) * powers[place], np.uint64(0))
+        powers, inverses = _powers(max(2 * CUT, 1 << len(b).bit_length()))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[: len(b)], out=sums[1:])
         ends = np.cumsum([len(p) + 1 for _, p in held])
         body = np.array([i for i, _ in held])[np.searchsorted(ends, starts, side="right")]
-        yield mix(np.add.reduceat(terms, starts)), body
+        yield mix((sums[after] - sums[starts]) * inverses[starts]), body
