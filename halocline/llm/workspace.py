@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lets the shuffle files of a query go when it ends; a written table is not shuffled again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds the bytes that a Python worker gets at once; a longer row comes alone.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +55,7 @@ class Workspace:
         """Writes ``df`` as Parquet and returns the table read back."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        with _setting(self.spark, CLEANUP, "true"):
+        with _setting(self.spark, CLEANUP, "true"), _setting(self.spark, BATCH, BATCH_BYTES):
             df.write.option("compression", "zstd").parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
