@@ -1,7 +1,8 @@
 """Scattered data: variogram and kriging, cloud by cloud.
 
-A cloud is a group of bounded size; its points and the targets near it meet in one task, which solves one linear
-system. Clouds and their targets are dealt out by Spark; estimates of a target by several clouds are averaged.
+A cloud is what lies in a square and the eight around it. Where that is too much for one linear system, targets go on
+with squares half as wide, and take the nearer points only; so every task solves systems of bounded size. Points at one
+place count as their mean.
 """
 
 from __future__ import annotations
@@ -11,10 +12,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halocline.operators.cut import Steps
+
 
 def variogram(df: DataFrame, key: str, width: float, longest: float, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
     """Half mean squared differences of all pairs up to ``longest`` apart, by distance: bin, distance, gamma, pairs.
 
+    Bins of equal width; ``equal_count_bins`` has bins of equally many pairs.
+    """
+    binned = _pairs(df, key, longest, x, y, value).groupBy(F.floor(F.col("d") / width).cast("int").alias("bin"))
+    return binned.agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs"))
+
+
+def _pairs(df: DataFrame, key: str, longest: float, x: str, y: str, value: str) -> DataFrame:
+    """d, g: distance and half squared difference of all pairs nearer than ``longest``.
+
     Pairs meet in coarse cells as wide as ``longest``: each point goes to its own cell, and to the neighbours on one
     side to meet theirs, so no pair is made twice and none that is farther.
     """
@@ -25,9 +37,8 @@ def variogram(df: DataFrame, key: str, width: float, longest: float, x: str = "x
     other = p.withColumn("s", F.explode(sides)).select(*[F.col(c).alias(f"{c}2") for c in p.columns], (cx - F.col("s.a")).alias("cx"), (cy - F.col("s.b")).alias("cy"), (F.col("s.a") == 0).alias("ha"), (F.col("s.b") == 0).alias("hb"))
     pairs = own.join(other, ["cx", "cy"]).filter((~(F.col("ha") & F.col("hb"))) | (F.col("k1") < F.col("k2")))
     d = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
-    near = pairs.withColumn("d", d).filter(F.col("d") < longest)
     half = (F.col("z2") - F.col("z1")) * (F.col("z2") - F.col("z1")) / 2
-    return near.groupBy(F.floor(F.col("d") / width).cast("int").alias("bin")).agg(F.avg("d").alias("distance"), F.avg(half).alias("gamma"), F.count(F.lit(1)).alias("pairs"))
+    return pairs.select(d.alias("d"), half.alias("g")).filter(F.col("d") < longest)
 
 
 def model(kind: str, h, nugget: float, sill: float, reach: float):
@@ -37,6 +48,19 @@ def model(kind: str, h, nugget: float, sill: float, reach: float):
     return np.where(r > 0, nugget + (sill - nugget) * shape, 0.0)
 
 
+def equal_count_bins(df: DataFrame, key: str, longest: float, bins: int = 30, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
+    """A variogram whose bins hold equally many pairs of up to ``longest`` apart: bin, distance, gamma, pairs.
+
+    The edges are quantiles of the distances, of ranks at most 1 / (100 bins) off, so that pairs are never sorted as a
+    whole; pairs at one distance are in one bin.
+    """
+    p = _pairs(df, key, longest, x, y, value)
+    at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    edges = p.agg(F.percentile_approx("d", at, 100 * bins).alias("_edges"))
+    bin_ = F.size(F.filter("_edges", lambda e: e < F.col("d")))
+    return p.crossJoin(F.broadcast(edges)).groupBy(bin_.alias("bin")).agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs"))  # a single row
+
+
 def fit_variogram(binned: pd.DataFrame, kind: str = "exponential", most_nugget: float = 0.2) -> tuple[float, float, float]:
     """nugget, sill and range of least squares, weighted by pairs, on a grid of ranges and nuggets; ``binned`` has a
     row a bin."""
@@ -52,19 +76,31 @@ def fit_variogram(binned: pd.DataFrame, kind: str = "exponential", most_nugget:
     return best[1:]
 
 
-def krige(points: DataFrame, targets: DataFrame, key: str, size: float, kind: str, nugget: float, sill: float, reach: float, most: int = 1000, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
-    """Ordinary kriging of ``points`` at ``targets`` (key, x, y): key, value, error.
+def fit_several(binned: DataFrame, by: list[str], kind: str = "exponential", most_nugget: float = 0.2) -> DataFrame:
+    """Medians of the parameters fitted to several variograms (by, distance, gamma, pairs): nugget, sill, reach. Each
+    variogram, a row a bin, is fitted in a task."""
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([fit_variogram(part, kind, most_nugget)], columns=["nugget", "sill", "reach"])
+
+    fitted = binned.groupBy(*by).applyInPandas(fit, "nugget double, sill double, reach double")
+    return fitted.agg(*[F.median(c).alias(c) for c in ("nugget", "sill", "reach")])
+
+
+def krige(points: DataFrame, targets: DataFrame, key: str, size: float, kind: str, nugget: float, sill: float, reach: float, most: int = 1000, x: str = "x", y: str = "y", value: str = "z",
+          mean: float | None = None) -> DataFrame:
+    """Kriging of ``points`` at ``targets`` (key, x, y): key, value, error. Ordinary, or simple about a known ``mean``.
 
-    A target is estimated from the points of its own square of side ``size`` and of the eight around it: squares are
-    the clouds. A square with more than ``most`` points is halved in x and y until none has, so no system is larger
-    than nine times that; its targets go along. Targets without points near are null.
+    A target is estimated from the points of its own square of side ``size`` and of the eight around it, if these are
+    ``most`` or fewer; if not, from squares half as wide, until they are. Points at one place count as their mean, so
+    that halving ends. Targets without points near are null. Every level is written.
     """
-    p = points.filter(F.col(value).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("z"))
-    t = targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    p = points.filter(F.col(value).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.avg(value).alias("z"))
+    steps = Steps(points.sparkSession, "krige")
+    p = steps.write(p)
+    rest = steps.write(targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     square = lambda c, s: F.floor(F.col(c) / s).cast("long")
-    rest, side, level, parts = t, size, 0, []
-    key_type = targets.schema[key].dataType.simpleString()
+    side, out, key_type = size, None, targets.schema[key].dataType.simpleString()
     schema = f"key {key_type}, value double, error double"
 
     def solve(cell: tuple, mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -72,32 +108,34 @@ def krige(points: DataFrame, targets: DataFrame, key: str, size: float, kind: st
             return pd.DataFrame({"key": [], "value": [], "error": []})
         if not len(mine):
             return pd.DataFrame({"key": there["key"], "value": np.nan, "error": np.nan})
-        mine = mine.groupby(["x", "y"], as_index=False)["z"].mean()  # equal places would make the system singular
-        a = mine[["x", "y"]].to_numpy()
+        a, at, z = mine[["x", "y"]].to_numpy(), there[["x", "y"]].to_numpy(), mine["z"].to_numpy()
+        between = model(kind, np.hypot(a[:, None, 0] - a[None, :, 0], a[:, None, 1] - a[None, :, 1]), nugget, sill, reach)
+        to = model(kind, np.hypot(a[:, None, 0] - at[None, :, 0], a[:, None, 1] - at[None, :, 1]), nugget, sill, reach)
         n = len(a)
-        system = np.ones((n + 1, n + 1))
-        system[:n, :n] = model(kind, np.hypot(a[:, None, 0] - a[None, :, 0], a[:, None, 1] - a[None, :, 1]), nugget, sill, reach)
-        system[n, n] = 0
-        right = np.ones((n + 1, len(there)))
-        at = there[["x", "y"]].to_numpy()
-        right[:n] = model(kind, np.hypot(a[:, None, 0] - at[None, :, 0], a[:, None, 1] - at[None, :, 1]), nugget, sill, reach)
-        weights = np.linalg.lstsq(system, right, rcond=None)[0] if n < 3 else np.linalg.solve(system, right)
+        if mean is not None:  # covariances, which fall from the sill
+            weights = np.linalg.solve(sill - between, sill - to)
+            error = np.sqrt(np.maximum(sill - (weights * (sill - to)).sum(0), 0))
+            return pd.DataFrame({"key": there["key"], "value": mean + weights.T @ (z - mean), "error": error})
+        system, right = np.ones((n + 1, n + 1)), np.ones((n + 1, len(there)))
+        system[:n, :n], right[:n], system[n, n] = between, to, 0
+        weights = np.linalg.solve(system, right)
         error = np.sqrt(np.maximum((weights * right).sum(0), 0))
-        return pd.DataFrame({"key": there["key"], "value": weights[:n].T @ mine["z"].to_numpy(), "error": error})
+        return pd.DataFrame({"key": there["key"], "value": weights[:n].T @ z, "error": error})
 
     while True:
-        crowded = p.groupBy(square("x", side).alias("cx"), square("y", side).alias("cy")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("cx", "cy")
+        cells = p.groupBy(square("x", side).alias("cx"), square("y", side).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+        near = cells.withColumn("s", F.explode(around)).groupBy((F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy")).agg(F.sum("n").alias("n"))
+        crowded = steps.write(near.filter(F.col("n") > most).select("cx", "cy"))
         placed = rest.withColumns({"cx": square("x", side), "cy": square("y", side)})
-        last = level >= 20 or crowded.isEmpty()
-        now = placed if last else placed.join(crowded, ["cx", "cy"], "left_anti")
+        now = steps.write(placed.join(crowded, ["cx", "cy"], "left_anti"))
         spread = p.withColumn("s", F.explode(around)).select("x", "y", "z", (square("x", side) + F.col("s.a")).alias("cx"), (square("y", side) + F.col("s.b")).alias("cy"))
-        parts.append(spread.groupBy("cx", "cy").cogroup(now.groupBy("cx", "cy")).applyInPandas(solve, schema))
-        if last:
+        spread = spread.join(now.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")  # no square without a target is gathered
+        solved = steps.write(spread.groupBy("cx", "cy").cogroup(now.groupBy("cx", "cy")).applyInPandas(solve, schema))
+        out = solved if out is None else out.unionByName(solved)
+        rest = steps.write(placed.join(crowded, ["cx", "cy"], "left_semi").select("key", "x", "y"))
+        if rest.isEmpty():
             break
-        rest, side, level = placed.join(crowded, ["cx", "cy"], "left_semi").select("key", "x", "y"), side / 2, level + 1
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        side /= 2
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select(F.col("key").alias(key), nan("value"), nan("error"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions.geo import haversine, planar
+from halocline.functions.units import EARTH_RADIUS
 from halocline.operators.cut import Steps
 
 
@@ -22,30 +23,34 @@ def _cell(x: Column, size: float) -> Column:
 def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, size: float, x: str = "lon", y: str = "lat", rings: int = 1, geo: bool = True, out: str = "nearest") -> DataFrame:
     """For each point the closest target: key, target_key as ``out``, distance. Of equal distances the smaller key.
 
-    The cells ``rings`` around a point's are searched first. A point is settled if its best candidate is no farther
-    than the ring reaches; for those that are not the search goes on with rings three times as wide, up to the whole plane.
-    ``targets`` have x, y and no nulls there. Longitudes are taken as they are: add shifted copies of targets for grids
-    that go around.
+    The cells ``rings`` around a point's are searched first; their side is ``size``, degrees if ``geo``. A point is
+    settled if its best candidate is no farther than the ring reaches; for those that are not the search goes on with
+    cells three times as wide, up to the whole. On the sphere cells are cubes around the unit sphere, which know
+    neither poles nor date line. Points and targets without a position are left out, the latter as candidates.
     """
-    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("_px"), F.col(y).alias("_py"))
-    t = targets.select(F.col(target_key).alias("_t"), F.col(x).alias("_tx"), F.col(y).alias("_ty"))
-    span = t.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
-    reach = p.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
-    if span[0] is None or reach[0] is None:
-        return p.select(key, F.lit(None).cast(targets.schema[target_key].dataType).alias(out), F.lit(None).cast("double").alias("distance"))
-    widest = max(span[1], reach[1]) - min(span[0], reach[0]) + max(span[3], reach[3]) - min(span[2], reach[2]) + size
-    distance = haversine(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty")) if geo else planar(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
-    # a ring's width in metres, at the latitude where degrees of longitude are shortest
-    edge = max(abs(span[2]), abs(span[3]), abs(reach[2]), abs(reach[3]))
-    shrink = (math.pi * 6371006.0 / 180) * max(0.0, math.cos(math.radians(min(edge, 90.0)))) if geo else 1.0
-    done, steps = None, Steps(points.sparkSession, "nearest")
+    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+    t = targets.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(target_key).alias("_t"), F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
+    if geo:
+        distance, place = haversine(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty")), _on_sphere
+        side, widest = 2 * math.sin(math.radians(min(size, 180.0)) / 2), 2.0
+        reach = lambda r: 2 * EARTH_RADIUS * math.asin(min(1.0, r / 2))  # noqa: E731  # of a chord
+    else:
+        distance, place, side, reach = planar(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty")), lambda a, b: [a, b], size, lambda r: r
+        span = p.select("_px", "_py").union(t.select("_tx", "_ty")).agg(F.max("_px") - F.min("_px"), F.max("_py") - F.min("_py")).first()
+        widest = max(span[0] or 0.0, span[1] or 0.0)
+    axes = range(3 if geo else 2)
+    done, steps, around = None, Steps(points.sparkSession, "nearest"), F.sequence(F.lit(-rings), F.lit(rings))
     while True:
-        last = size * rings >= widest
-        around = F.sequence(F.lit(-rings), F.lit(rings))
-        cells = p.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).select(key, "_px", "_py", (_cell(F.col("_px"), size) + F.col("_dx")).alias("_cx"), (_cell(F.col("_py"), size) + F.col("_dy")).alias("_cy"))
-        found = cells.join(t.withColumns({"_cx": _cell(F.col("_tx"), size), "_cy": _cell(F.col("_ty"), size)}), ["_cx", "_cy"])
+        cell = lambda a, b: [F.floor(c / side).cast("int") for c in place(F.col(a), F.col(b))]  # noqa: E731,B023
+        last = side * rings >= widest
+        cells = p
+        for k in axes:
+            cells = cells.withColumn(f"_d{k}", F.explode(around))
+        cells = cells.select(key, "_px", "_py", *[(c + F.col(f"_d{k}")).alias(f"_c{k}") for k, c in enumerate(cell("_px", "_py"))])
+        on = [f"_c{k}" for k in axes]
+        found = cells.join(t.withColumns(dict(zip(on, cell("_tx", "_ty"), strict=True))), on)
         best = steps.write(found.groupBy(key, "_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b")))
-        sure = best if last else best.filter(F.col("b.d") <= size * rings * shrink)
+        sure = best if last else best.filter(F.col("b.d") <= reach(side * rings))
         part = sure.select(key, F.col("b.t").alias(out), F.col("b.d").alias("distance"))
         done = part if done is None else done.unionByName(part)
         if last:
@@ -53,7 +58,12 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
         p = steps.write(p.join(sure.select(key), key, "left_anti"))
         if p.isEmpty():
             return done
-        size *= 3
+        side *= 3
+
+
+def _on_sphere(lon: Column, lat: Column) -> list[Column]:
+    a, b = F.radians(lon), F.radians(lat)
+    return [F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)]
 
 
 def distances(a: DataFrame, b: DataFrame, key: str, geo: bool = True) -> DataFrame:
@@ -118,6 +128,85 @@ def clip_box(vertices: list[tuple[float, float]], box: tuple[float, float, float
     return vertices
 
 
+def polygon_area_in(vertices: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Area of the part of a polygon that lies in a box; the polygon is cut side by side, which is exact for convex
+    polygons, and for others but for slivers without width."""
+    for axis, limit, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
+        vertices = _once(vertices, _cutter(axis, limit, sign))
+    return _once(vertices, lambda v: F.when(F.size(v) > 2, area(v)).otherwise(0.0))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once though it may stand in it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cutter(axis: str, limit: Column, sign: int):
+    return lambda vertices: _cut_side(vertices, axis, limit, sign)
+
+
+def _cut_side(vertices: Column, axis: str, limit: Column, sign: int) -> Column:
+    other = "y" if axis == "x" else "x"
+    n = F.size(vertices)
+    none = F.lit(None).cast("struct<x:double,y:double>")
+
+    def piece(k: Column) -> Column:
+        a, b = F.element_at(vertices, k), F.element_at(vertices, k % n + 1)
+        in_a, in_b = sign * (a[axis] - limit) >= 0, sign * (b[axis] - limit) >= 0
+        t = (limit - a[axis]) / (b[axis] - a[axis])
+        crossing = {axis: limit.cast("double"), other: a[other] + t * (b[other] - a[other])}
+        cross = F.struct(*[crossing[c].alias(c) for c in ("x", "y")])
+        own = F.struct(*[a[c].alias(c) for c in ("x", "y")])
+        return F.array(F.when(in_a, own).otherwise(none), F.when(in_a != in_b, cross).otherwise(none))
+
+    cut = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), n), piece)), lambda v: v.isNotNull())
+    return F.when(n > 0, cut).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+
+def polygon_mask(cells: DataFrame, shapes: list[list[tuple[float, float]]], dx: float, dy: float, mode: str = "intersect", thresholds: tuple[float, float] = (0.5, 0.75), x: str = "lon", y: str = "lat",
+                 out: str = "mask") -> DataFrame:
+    """Whether each cell (centre, dx, dy) is covered by polygons. ``inside``: its centre lies in one; ``intersect``: they
+    cover ``thresholds[0]`` of its area, or ``thresholds[1]`` where more than one of them meets the cell."""
+    cx, cy = F.col(x), F.col(y)
+    if mode == "inside":
+        hit = F.lit(False)
+        for s in shapes:
+            hit = hit | inside(cx, cy, polygon(s))
+        return cells.withColumn(out, hit)
+    parts = [polygon_area_in(polygon(s), cx - dx / 2, cy - dy / 2, cx + dx / 2, cy + dy / 2) / (dx * dy) for s in shapes]
+    counted = cells.withColumn("_parts", F.array(*parts))
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, v: acc + v)
+    many = F.size(F.filter("_parts", lambda v: v > 0)) > 1
+    return counted.withColumn(out, total >= F.when(many, thresholds[1]).otherwise(thresholds[0])).drop("_parts")
+
+
+def cover_islands(mask: DataFrame, islands: DataFrame, dx: float, dy: float, least: float = 0.85, most: float = 1.5, reach: int = 2, x: str = "lon", y: str = "lat", land: str = "mask") -> DataFrame:
+    """Makes land of the cell that holds most of each island of ``least`` to ``most`` of a cell's area. islands: shape
+    (array of vertices); mask: x, y (centres), land. Islands meet the cells ``reach`` around them by square; of cells with
+    equal parts the first by y, then x."""
+    at = islands.withColumns({"_a": area(F.col("shape")), "_id": F.xxhash64("shape")}).filter(F.col("_a").between(dx * dy * least, dx * dy * most))
+    mid = lambda c: (F.array_min(F.transform("shape", lambda v: v[c])) + F.array_max(F.transform("shape", lambda v: v[c]))) / 2
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    near = at.withColumn("_cx", _cell(mid("x"), dx)).withColumn("_cy", _cell(mid("y"), dy)).withColumn("_a1", F.explode(around)).withColumn("_b1", F.explode(around))
+    near = near.select("_id", "shape", (F.col("_cx") + F.col("_a1")).alias("_cx"), (F.col("_cy") + F.col("_b1")).alias("_cy"))
+    cells = mask.select(F.col(x).alias("_x"), F.col(y).alias("_y"), _cell(F.col(x), dx).alias("_cx"), _cell(F.col(y), dy).alias("_cy"))
+    part = polygon_area_in(F.col("shape"), F.col("_x") - dx / 2, F.col("_y") - dy / 2, F.col("_x") + dx / 2, F.col("_y") + dy / 2)
+    best = cells.join(near, ["_cx", "_cy"]).withColumn("_part", part).groupBy("_id").agg(F.min(F.struct((-F.col("_part")).alias("p"), F.col("_y").alias("y"), F.col("_x").alias("x"))).alias("b"))
+    forced = best.filter("b.p < 0").select(F.col("b.x").alias("_x"), F.col("b.y").alias("_y"), F.lit(True).alias("_forced")).distinct()
+    joined = mask.join(forced, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
+    return joined.withColumn(land, F.col(land) | F.coalesce("_forced", F.lit(False))).drop("_x", "_y", "_forced")
+
+
+def open_straits(mask: DataFrame, coastal: str, shapes: list[list[tuple[float, float]]], dx: float, dy: float, threshold: float = 0.75, x: str = "lon", y: str = "lat", land: str = "mask") -> DataFrame:
+    """Coastal cells that two or more polygons meet, and that they do not cover by ``threshold``, become water."""
+    cx, cy = F.col(x), F.col(y)
+    parts = [polygon_area_in(polygon(s), cx - dx / 2, cy - dy / 2, cx + dx / 2, cy + dy / 2) / (dx * dy) for s in shapes]
+    counted = mask.withColumn("_parts", F.filter(F.array(*parts), lambda v: v > 0))
+    covered = F.aggregate("_parts", F.lit(0.0), lambda acc, v: acc + v) > threshold
+    strait = F.col(coastal) & ~covered & (F.size("_parts") >= 2)
+    return counted.withColumn(land, F.when(strait, False).otherwise(F.col(land))).drop("_parts")
+
+
 def mask_fraction(cells: DataFrame, shape: list[tuple[float, float]], dx: float, dy: float, fine: int = 4, x: str = "lon", y: str = "lat", out: str = "fraction") -> DataFrame:
     """Share of each cell (centre, dx, dy) in a polygon, of fine x fine points."""
     steps = [(k + 0.5) / fine - 0.5 for k in range(fine)]

@@ -326,8 +326,7 @@ def section_extrema(spark, d):
 def distance_to_coast(spark, d):
     cells = masked(spark, d).select((F.col("j") * 100 + F.col("i")).alias("cell"), (F.col("i") * 12.0 - 180).alias("lon"), (F.col("j") * 8.0 - 80).alias("lat"), F.col("v").isNull().alias("land"))
     land = cells.filter("land")
-    wide = land.unionByName(land.withColumn("lon", F.col("lon") - 360)).unionByName(land.withColumn("lon", F.col("lon") + 360))
-    found = nearest(cells.filter("not land"), "cell", wide, "cell", 24.0, out="coast")
+    found = nearest(cells.filter("not land"), "cell", land, "cell", 24.0, out="coast")
     return found.select(F.floor(F.col("cell") / 100).cast("int").alias("j"), (F.col("cell") % 100).alias("i"), F.round("distance", 3).alias("distance"))
 
 

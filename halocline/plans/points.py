@@ -20,15 +20,9 @@ def _haversine(a: str, b: str) -> str:
     return f"(2 * {_R!r}::DOUBLE * asin(least(1, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"
 
 
-def _around(df):
-    """The search is on a plane map: what lies across the date line is met as a shifted copy."""
-    return df.unionByName(df.withColumn("lon", F.col("lon") - 360)).unionByName(df.withColumn("lon", F.col("lon") + 360))
-
-
 @query(with_("stations buoys", f"""SELECT buoy, station AS nearest, round(d, 3) AS distance FROM (SELECT buoy, station, {_haversine("b", "s")} AS d, row_number() OVER (PARTITION BY buoy ORDER BY {_haversine("b", "s")}, station) AS k FROM buoys b, stations s) WHERE k = 1"""))
 def nearest_station(spark, d):
-    wide = _around(stations(spark, d))
-    found = points.nearest(buoys(spark, d), "buoy", wide, "station", 8.0)
+    found = points.nearest(buoys(spark, d), "buoy", stations(spark, d), "station", 8.0)
     return found.select("buoy", "nearest", F.round("distance", 3).alias("distance"))
 
 
@@ -104,7 +98,7 @@ def layer_at_depth(spark, d):
   SELECT station, round(arg_min(v, d), 6) AS model FROM (SELECT * FROM n WHERE d <= 400000) GROUP BY 1"""))
 def colocate(spark, d):
     """Value of the buoy nearest to each station, if one is within 400 km."""
-    near = points.nearest(stations(spark, d), "station", _around(buoys(spark, d)), "buoy", 8.0).filter("distance <= 400000")
+    near = points.nearest(stations(spark, d), "station", buoys(spark, d), "buoy", 8.0).filter("distance <= 400000")
     return near.join(buoys(spark, d), F.col("nearest") == F.col("buoy")).select("station", r6("v").alias("model"))
 
 
