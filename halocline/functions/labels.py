@@ -54,3 +54,20 @@ def location_of(name: str) -> str | None:
 def change_location(name: str, place: str | None) -> str:
     base = name[:-2] if location_of(name) else name
     return base if place is None else f"{base}_{place}"
+
+
+def phase(c: Column, kind: str | None = None, decimals: int | None = None, seconds: bool = True) -> Column:
+    """Degrees as 12°30'15''; with ``decimals`` as 12.5°. kind: lon or lat adds E, W, N or S, else a sign stays."""
+    size = F.abs(c)
+    if decimals is not None:
+        text = F.format_string(f"%.{decimals}f°", size)
+    else:
+        total = F.round(size * 3600).cast("long") if seconds else F.round(size * 60).cast("long") * 60
+        d, m, s = F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
+        text = F.concat(d.cast("string"), F.lit("°"), F.lpad(m.cast("string"), 2, "0"), F.lit("'"))
+        if seconds:
+            text = F.concat(text, F.lpad(s.cast("string"), 2, "0"), F.lit("''"))
+    if kind is None:
+        return F.concat(F.when(c < 0, "-").otherwise(""), text)
+    negative, positive = {"lon": ("W", "E"), "lat": ("S", "N")}[kind]
+    return F.concat(text, F.when(c < 0, negative).otherwise(positive))

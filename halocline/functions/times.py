@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: microseconds in a unit
@@ -118,3 +118,35 @@ def round_interval(lo: Column, hi: Column, unit: str, step: int = 1, mode: str =
     """struct<lo, hi>: the largest interval of whole steps within (``inner``), or the smallest around (``outer``)."""
     up, down = ("ceil", "floor") if mode == "inner" else ("floor", "ceil")
     return F.struct(round_date(lo, unit, step, up).alias("lo"), round_date(hi, unit, step, down).alias("hi"))
+
+
+def linear_dates(lo: Column, hi: Column, n: int) -> Column:
+    """array of ``n`` times from ``lo`` to ``hi``, evenly spaced, to the microsecond; of one the first."""
+    span = F.timestamp_diff("MICROSECOND", lo, hi)
+    parts = max(n - 1, 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.timestamp_add("MICROSECOND", F.round(k * span / parts).cast("long"), lo))
+
+
+def day_of_year(ts: Column) -> Column:
+    return F.dayofyear(ts)
+
+
+#: Units that ``smart_split`` tries, from coarse to fine.
+SPLITS = ["year", "quarter", "month", "third of a month", "day"]
+
+
+def split_starts(ts: Column) -> Column:
+    """array<struct<k, start>>: where the interval that holds a time begins, for each of SPLITS."""
+    day = F.date_trunc("day", ts).cast("timestamp_ntz")
+    tenth = F.least(F.floor((F.dayofmonth(ts) - 1) / 10), F.lit(2)) * 10
+    third = F.timestamp_add("DAY", tenth.cast("int"), F.date_trunc("month", ts).cast("timestamp_ntz"))
+    starts = [F.date_trunc(u, ts).cast("timestamp_ntz") for u in ("year", "quarter", "month")] + [third, day]
+    return F.array(*[F.struct(F.lit(k).alias("k"), s.alias("start")) for k, s in enumerate(starts)])
+
+
+def smart_split(df: DataFrame, ts: str, most: int) -> DataFrame:
+    """start, n: the coarsest of SPLITS whose intervals all hold less than ``most`` rows, or days. All are counted in one pass."""
+    counted = df.select(F.explode(split_starts(F.col(ts))).alias("s")).groupBy("s.k", "s.start").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("k").agg(F.max("n").alias("m"))
+    chosen = largest.agg(F.coalesce(F.min(F.when(F.col("m") < most, F.col("k"))), F.lit(len(SPLITS) - 1)).alias("best"))
+    return counted.crossJoin(F.broadcast(chosen)).filter("k = best").select("start", "n")  # a single row

@@ -48,15 +48,15 @@ def model(kind: str, h, nugget: float, sill: float, reach: float):
     return np.where(r > 0, nugget + (sill - nugget) * shape, 0.0)
 
 
-def equal_count_bins(df: DataFrame, key: str, longest: float, bins: int = 30, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
+def equal_count_bins(df: DataFrame, key: str, longest: float, bins: int = 30, x: str = "x", y: str = "y", value: str = "z", accuracy: int | None = None) -> DataFrame:
     """A variogram whose bins hold equally many pairs of up to ``longest`` apart: bin, distance, gamma, pairs.
 
-    The edges are quantiles of the distances, of ranks at most 1 / (100 bins) off, so that pairs are never sorted as a
-    whole; pairs at one distance are in one bin.
+    The edges are quantiles of the distances, of ranks at most 1 / accuracy of the pairs (a hundredth of a bin) off, so
+    that pairs are never sorted as a whole; pairs at one distance are in one bin.
     """
     p = _pairs(df, key, longest, x, y, value)
     at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = p.agg(F.percentile_approx("d", at, 100 * bins).alias("_edges"))
+    edges = p.agg(F.percentile_approx("d", at, accuracy or 100 * bins).alias("_edges"))
     bin_ = F.size(F.filter("_edges", lambda e: e < F.col("d")))
     return p.crossJoin(F.broadcast(edges)).groupBy(bin_.alias("bin")).agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs"))  # a single row
 

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions.geo import haversine, planar
+from halocline.functions.geo import haversine, inverse_mercator, mercator, planar
 from halocline.functions.units import EARTH_RADIUS
 from halocline.operators.cut import Steps
 
@@ -268,3 +268,51 @@ def great_circle(n: int, lon1: float, lat1: float, lon2: float, lat2: float, spa
     wa, wb = (1 - t, t) if angle < 1e-12 else (F.sin((1 - t) * angle) / math.sin(angle), F.sin(t * angle) / math.sin(angle))
     px, py, pz = [wa * p + wb * q for p, q in zip(a, b, strict=True)]
     return spark.range(n + 1).withColumnRenamed("id", "k").select("k", F.degrees(F.atan2(py, px)).alias("lon"), F.degrees(F.asin(pz)).alias("lat"))
+
+
+def shape_table(df: DataFrame, shape: str = "shape", geo: bool = False) -> DataFrame:
+    """Polygons (array of struct<x, y>) with n, area and the box xmin, ymin, xmax, ymax; ``geo``: areas in square
+    metres, of x and y in degrees, each polygon on a plane that touches at its middle."""
+    v = F.col(shape)
+    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
+    ends = {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
+    size = area(v)
+    if geo:
+        metre = math.pi * EARTH_RADIUS / 180
+        size = size * metre * metre * F.cos(F.radians((F.array_min(ys) + F.array_max(ys)) / 2))
+    return df.withColumns({"n": F.size(v), "area": size, **ends})
+
+
+def largest_shapes(df: DataFrame, n: int, shape: str = "shape", geo: bool = False) -> DataFrame:
+    """The ``n`` polygons of the greatest area, the greatest first."""
+    return shape_table(df, shape, geo).orderBy(F.desc("area")).limit(n)
+
+
+def projected(df: DataFrame, shape: str = "shape", inverse: bool = False) -> DataFrame:
+    """Polygons on the Mercator plane in metres, or back in degrees."""
+    def move(p: Column) -> Column:
+        x, y = inverse_mercator(p["x"], p["y"]) if inverse else mercator(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return df.withColumn(shape, F.transform(shape, move))
+
+
+def side_length(df: DataFrame, shape: str = "shape", accuracy: int = 10_000) -> DataFrame:
+    """Median length of the polygons' sides: one row, resolution."""
+    v, n = F.col(shape), F.size(shape)
+    ends = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.element_at(v, k).alias("a"), F.element_at(v, k % n + 1).alias("b")))
+    sides = df.select(F.explode(ends).alias("s"))
+    return sides.agg(F.percentile_approx(planar(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")), 0.5, accuracy).alias("resolution"))
+
+
+def shape_points(df: DataFrame, key: str, shape: str = "shape") -> DataFrame:
+    """Corners of polygons as rows: key, n, x, y."""
+    return df.select(key, F.posexplode(shape).alias("n", "p")).select(key, "n", "p.x", "p.y")
+
+
+def clip_shapes(df: DataFrame, box: tuple[float, float, float, float], shape: str = "shape") -> DataFrame:
+    """The parts of polygons within (xmin, ymin, xmax, ymax), cut side by side; polygons outside are left out."""
+    v = F.col(shape)
+    for axis, limit, sign in (("x", box[0], 1), ("x", box[2], -1), ("y", box[1], 1), ("y", box[3], -1)):
+        v = _once(v, _cutter(axis, F.lit(float(limit)), sign))
+    return df.withColumn(shape, v).filter(F.size(shape) > 2)

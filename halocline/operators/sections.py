@@ -141,6 +141,19 @@ def spectrum(field: DataFrame, by: list[str], value: str, dx: float, dy: float)
     return field.groupBy(*by).applyInPandas(rings, schema)
 
 
+def wavenumbers(spark, nx: int, ny: int, dx: float, dy: float) -> DataFrame:
+    """kj, ki, kx, ky, k: the angular wavenumbers of an ny x nx field, in the order of its transform."""
+    cells = spark.range(nx * ny).select(F.floor(F.col("id") / nx).cast("int").alias("kj"), (F.col("id") % nx).cast("int").alias("ki"))
+    turn = lambda c, n, d: F.when(F.col(c) * 2 < n, F.col(c)).otherwise(F.col(c) - n) * (2 * math.pi / (n * d))
+    return cells.withColumns({"kx": turn("ki", nx, dx), "ky": turn("kj", ny, dy)}).withColumn("k", F.hypot("kx", "ky"))
+
+
+def summed_spectrum(a: DataFrame, b: DataFrame, by: list[str], value: str, dx: float, dy: float) -> DataFrame:
+    """Power of two fields together by rings of wavenumber: by, k, power; the sum of their spectra."""
+    both = spectrum(a, by, value, dx, dy).unionByName(spectrum(b, by, value, dx, dy))
+    return both.groupBy(*by, "k").agg(F.sum("power").alias("power"))
+
+
 def hull(df: DataFrame, x: str = "x", y: str = "y", parts: int = 64) -> DataFrame:
     """Corners of the convex hull, counter-clockwise from the leftmost: n, x, y. Every task keeps the hull of the
     batches it has seen; the hulls of the tasks meet in ``parts``, and the corners that are left in one."""

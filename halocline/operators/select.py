@@ -56,6 +56,21 @@ def close_to(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 
 
+def overlap(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """struct<lo, hi, length> of what two segments share, whichever way they run; null if they do not meet."""
+    ends = [(F.least(*s), F.greatest(*s)) for s in (a, b)]
+    lo, hi = F.greatest(ends[0][0], ends[1][0]), F.least(ends[0][1], ends[1][1])
+    return F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("length")))
+
+
+def thin_by_distance(grid: DataFrame, by: list[str], order: str, x: str, y: str, step: float) -> DataFrame:
+    """Rows of each line of a grid of which the way along the line passes a multiple of ``step``; the first always."""
+    w = W.partitionBy(*by).orderBy(order)
+    rows = grid.withColumn("_d", F.coalesce(F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), F.lit(0.0)))
+    rows = rows.withColumn("_k", F.floor(F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, 0)) / step))
+    return rows.withColumn("_b", F.lag("_k").over(w)).filter("_b is null or _k != _b").drop("_d", "_k", "_b")
+
+
 def squeeze(df: DataFrame, axes: list[str]) -> DataFrame:
     """Without the axes that have one value. One aggregation over all of them decides."""
     ends = df.agg(*[F.min(a).alias(f"{a}_lo") for a in axes], *[F.max(a).alias(f"{a}_hi") for a in axes]).first()

@@ -297,17 +297,6 @@ def grid_resolution(spark, d):
     return sections.resolution(g).select(F.round("dx", 3).alias("dx"), F.round("dy", 3).alias("dy"))
 
 
-@query()
-def ring_spectrum(spark, d):
-    f = field(spark, d).withColumn("level", F.lit(0))
-    return sections.spectrum(f, ["level"], "v", 12.0, 8.0)
-
-
-@query()
-def hull_of_buoys(spark, d):
-    return sections.hull(buoys(spark, d), "lon", "lat")
-
-
 @query(with_("field", """&g AS (SELECT j, i, CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END / 12 AS gx,
   CASE WHEN lag(v) OVER u IS NULL THEN lead(v) OVER u - v WHEN lead(v) OVER u IS NULL THEN v - lag(v) OVER u ELSE (lead(v) OVER u - lag(v) OVER u) / 2 END / 8 AS gy FROM field WINDOW w AS (PARTITION BY j ORDER BY i), u AS (PARTITION BY i ORDER BY j))
   SELECT j, i, round(sqrt(gx * gx + gy * gy), 6) AS gradient FROM g"""))

@@ -18,6 +18,7 @@ from halocline.functions.seawater import density, surface_density
 from halocline.functions.units import modulus
 from halocline.operators import profiles
 from halocline.operators.select import between
+from halocline.operators.windows import time_step
 from halocline.sources import files
 
 AXES = {"time": "time", "level": "depth", "lat": "lat", "lon": "lon"}
@@ -66,6 +67,32 @@ class Dataset:
             return DERIVED[name](chosen)
         raise KeyError(name)
 
+    def axis(self, name: str) -> DataFrame:
+        """Distinct values of an axis, as time, depth, lat or lon: one column, without nulls."""
+        column = names.find(self.df, name)
+        if column is None:
+            raise KeyError(name)
+        return self.df.select(F.col(column).alias(name)).filter(F.col(name).isNotNull()).distinct()
+
+    def grid(self) -> DataFrame:
+        """Distinct positions: lon, lat."""
+        return self.table().select("lon", "lat").distinct()
+
+    def shape(self) -> DataFrame:
+        """One row: how many values each axis has."""
+        return self.df.agg(*[F.count_distinct(names.find(self.df, a)).alias(a) for a in self.axes()])
+
+    def time_step(self) -> DataFrame:
+        """Median step of the time axis in seconds: one row, step."""
+        return time_step(self.axis("time").withColumn("_all", F.lit(1)), ["_all"], "time").select("step")
+
+    def variable_names(self) -> list[str]:
+        """Our names of the columns that are no axes and no keys, theirs where we have none."""
+        axes = {names.find(self.df, a) for a in self.axes()}
+        others = [c for c in self.df.columns if c not in axes and c not in self.keys]
+        known = {names.find(self.df, n): n for n, spec in names.REGISTRY.items() if not spec.axis}
+        return [known.get(c, c) for c in others]
+
     def columns_by(self) -> list[str]:
         """What tells water columns apart: keys and all axes but the vertical one."""
         return [*self.keys, *[a for a in self.axes() if a != "depth"]]

@@ -75,8 +75,10 @@ def station_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xyz(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """Text of three numbers a line."""
-    return spark.read.schema("x double, y double, z double").csv(path, sep=sep, ignoreLeadingWhiteSpace=True, comment="#")
+    """Text of three numbers a line, by white space or ``sep``; lines that begin with # do not count."""
+    numbers = F.split(F.trim("value"), r"\s+" if sep == " " else rf"\s*{sep}\s*")
+    rows = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    return rows.select(*[F.get(numbers, F.lit(k)).try_cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
 def namelist(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +90,29 @@ def namelist(spark: SparkSession, path: str) -> DataFrame:
     return parts.filter("key != ''")
 
 
+def mean_sea_level(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, inverse: bool = False) -> DataFrame:
+    """Stations and their mean sea level, of the same format: name, lat, lon, z; those in (xmin, ymin, xmax, ymax), or
+    not in it. Lines without three numbers go."""
+    rows = station_table(spark, path).filter("lat is not null and lon is not null and z is not null")
+    if box is None:
+        return rows
+    within = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
+    return rows.filter(~within if inverse else within)
+
+
+def casts_csv(spark: SparkSession, path: str, good: str = "0111111") -> DataFrame:
+    """Profiles in comma-separated lines of platform, time, lat, lon, depth, temp, sal and flags, after a line of names:
+    the lines whose flags are ``good``; a profile is what a platform measured at one time."""
+    schema = "platform string, time string, lat double, lon double, depth double, temp double, sal double, qc string"
+    rows = spark.read.schema(schema).csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    return rows.filter(F.col("qc") == good).withColumn("time", F.col("time").cast("timestamp_ntz")).drop("qc")
+
+
+def save_profiles(df: DataFrame, path: str, by: list[str]) -> None:
+    """Profiles as one sorted Parquet table, the rows of a profile together."""
+    df.repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def write_series(df: DataFrame, path: str, ts: str, value: str) -> None:
     """Text lines ``yyyy/MM/dd HH:mm:ss value``."""
     df.select(F.concat_ws(" ", F.date_format(ts, "yyyy/MM/dd HH:mm:ss"), F.format_string("%g", F.col(value)))).write.text(path)
@@ -117,4 +142,4 @@ def parse_size(text: str, si: bool = False) -> float:
     return float(m[1]) * (1024 if m[3] or not si else 1000) ** ("kmgtp".index(m[2]) + 1 if m[2] else 0)
 
 
-READERS = {"stations": station_table, "xyz": xyz, "namelist": namelist}
+READERS = {"stations": station_table, "xyz": xyz, "namelist": namelist, "mean_sea_level": mean_sea_level, "casts": casts_csv}
