@@ -18,13 +18,14 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total
     """``rows`` joined with ``keyed``, which has a row a key and in ``n`` how many of ``rows`` have the key; ``total``: of all.
 
     Keys that more than total / HOT rows have, HOT of them at most, are broadcast, so that their rows stay where they
-    are; the others are joined as the planner decides. ``keyed`` should be a written table, as it is read twice.
+    are; the others, which grow with the corpus, are merged at every size. ``keyed`` should be a written table, as it is
+    read twice.
     """
     hot = keyed.filter(F.col(n) > total / HOT)
     if total <= HOT or hot.isEmpty():
-        return rows.join(keyed, on, how)
+        return rows.join(keyed.hint("merge"), on, how)
     spread = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.filter(F.col(n) <= total / HOT), on, how)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.filter(F.col(n) <= total / HOT).hint("merge"), on, how)
     return spread.unionByName(rest)
 
 

@@ -3,8 +3,8 @@
 In a run every set walks down a random tree: at each node it chooses each of its tokens (n-gram hashes) by a hash of
 path and token that all sets share, and goes on along every token chosen. Two sets that are similar enough share one
 chosen token at the first step in the mean, and more at later ones; others part. Small buckets are compared by brute
-force. Large ones are first dealt out by the sizes of the sets, which parts no similar pair, and what is still large is
-split by further tokens, unless its sets are so alike that no token would part them: those are compared in blocks.
+force. Large ones are compared in blocks if their sets are so alike that no token would part them; if not, they are
+dealt out by the sizes of the sets, which parts no similar pair, and what is still large is split by further tokens.
 Independent runs are made until the target recall.
 
 Comparing takes two steps. Sketches of 128 bytes first clear the pairs that are far from the threshold; then the sets
@@ -207,8 +207,8 @@ def compare(threshold: float) -> Callable:
     return run
 
 
-def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, small: int = 2048, alike: float = 0.3,
-                 depth: int = 3, later: float = 2.0, block: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9995, small: int = 512, alike: float = 0.3,
+                 depth: int = 3, later: float = 2.0, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, class_id, n_links, copy_of, kept.
 
     n_links: other rows whose sets of ``words``-grams (of words in ASCII lower case) have a Jaccard similarity of
@@ -223,9 +223,9 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
 
     Runs follow from ``recall``, the odds that a pair at the threshold is found though all its buckets take ``depth``
     steps, which is the more certain the more similar the pair. Buckets of up to ``small`` sets are compared as they
-    are. Larger ones are dealt out by size; those that stay large are split, with ``later`` shared tokens to be expected
-    of a pair at the threshold, unless their sets have a mean similarity of ``alike`` or more. What is large then, and
-    after the last step, is compared in blocks of ``block``, every two of which meet.
+    are. Larger ones whose sets have a mean similarity of ``alike`` or more are compared in blocks of ``block``, every
+    two of which meet. The others are dealt out by size; those that stay large are split, with ``later`` shared tokens
+    to be expected of a pair at the threshold. What is large after the last step is compared in blocks, too.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
@@ -267,9 +267,11 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
             yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
 
     def crowded(level: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows of the buckets of two sets or more, and of these of the large ones, with the ``size`` of each."""
-        counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")), f"{name}_sizes")
-        shared = work.write(join_counted(level, counted.filter("size > 1"), ["leaf"], "size", rows_of(counted, "size")), f"{name}_shared")
+        """Rows of the buckets of two sets or more, and of these of the large ones, with the ``size`` of each. Of buckets
+        that hold the same sets one stays: whatever the others would find, it finds."""
+        counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("print")), f"{name}_counted")
+        once = work.write(counted.filter("size > 1").groupBy("size", "print").agg(F.min("leaf").alias("leaf")).select("leaf", "size"), f"{name}_sizes")
+        shared = work.write(join_counted(level, once, ["leaf"], "size", rows_of(counted, "size")), f"{name}_shared")
         return shared.filter(F.col("size") <= small).select("key", "leaf"), shared.filter(F.col("size") > small)
 
     level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
@@ -279,11 +281,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         leaves = found if leaves is None else leaves.union(found)
         if large.isEmpty():
             break
-        # sets that are similar enough are of the same class of sizes, or of one next to it
-        dealt = large.select("key", "leaf").join(classes.select("key", "tokens_n"), "key").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
-        found, large = crowded(work.write(dealt.select("key", F.xxhash64("leaf", "class").alias("leaf")), f"dealt{at}"), f"dealt{at}")
-        leaves = leaves.union(found)
-        if at == depth or large.isEmpty():
+        if at == depth:
             leaves = leaves.union(large.select("key", "leaf"))
             break
         # mean similarity of a bucket, from that of its members with four of them
@@ -296,7 +294,11 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         mean = work.write(mean, f"mean{at}")
         large = work.write(join_counted(large.select("key", "leaf"), mean, ["leaf"], "size", many), f"large{at}")
         leaves = leaves.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
-        rest = large.filter(F.col("mean") < alike).select("key", "leaf")
+        # sets that are similar enough are of the same class of sizes, or of one next to it
+        apart = large.filter(F.col("mean") < alike).select("key", "leaf").join(classes.select("key", "tokens_n"), "key")
+        dealt = apart.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select("key", F.xxhash64("leaf", "class").alias("leaf"))
+        found, rest = crowded(work.write(dealt, f"dealt{at}"), f"dealt{at}")
+        leaves, rest = leaves.union(found), rest.select("key", "leaf")
         if rest.isEmpty():
             break
         if sets is None:  # deeper buckets hold no others
