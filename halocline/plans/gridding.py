@@ -155,7 +155,7 @@ def levels_from_the_bottom(spark, d):
 
 # a sheared grid: x = i + 0.3 j, y = j - 0.2 i; where points lie on it is known
 
-_ON = """p AS (SELECT buoy, (lon + 181.3::DOUBLE) / 14 AS x, (lat + 82.7::DOUBLE) / 9 AS y FROM buoys), r AS (SELECT buoy, (x - 0.3::DOUBLE * y) / 1.06::DOUBLE AS u, y + 0.2::DOUBLE * (x - 0.3::DOUBLE * y) / 1.06::DOUBLE AS v FROM p),
+_ON = """p AS (SELECT buoy, (lon + 181.337::DOUBLE) / 14 AS x, (lat + 82.713::DOUBLE) / 9 AS y FROM buoys), r AS (SELECT buoy, (x - 0.3::DOUBLE * y) / 1.06::DOUBLE AS u, y + 0.2::DOUBLE * (x - 0.3::DOUBLE * y) / 1.06::DOUBLE AS v FROM p),
   pos AS (SELECT buoy, CAST(floor(v) AS INT) AS j, CAST(floor(u) AS INT) AS i, u - floor(u) AS p, v - floor(v) AS q FROM r WHERE u >= 0 AND u <= 29 AND v >= 0 AND v <= 19)"""
 _CORNERS = "c AS (SELECT buoy, pos.j + b AS j, pos.i + a AS i, abs(1 - a - p) * abs(1 - b - q) AS w, sqrt((p - a) * (p - a) + (q - b) * (q - b)) AS r FROM pos, range(2) x(a), range(2) y(b))"
 
@@ -163,7 +163,7 @@ _CORNERS = "c AS (SELECT buoy, pos.j + b AS j, pos.i + a AS i, abs(1 - a - p) *
 def _positions(spark, d):
     cells = spark.range(600).select(F.floor(F.col("id") / 30).cast("int").alias("j"), (F.col("id") % 30).cast("int").alias("i"))
     grid = cells.withColumns({"x": F.col("i") + 0.3 * F.col("j"), "y": F.col("j") - 0.2 * F.col("i")})
-    at = buoys(spark, d).select("buoy", ((F.col("lon") + 181.3) / 14).alias("x"), ((F.col("lat") + 82.7) / 9).alias("y"))
+    at = buoys(spark, d).select("buoy", ((F.col("lon") + 181.337) / 14).alias("x"), ((F.col("lat") + 82.713) / 9).alias("y"))
     return sections.relative_positions(grid, at, "buoy", 1.5)
 
 

@@ -80,12 +80,12 @@ def refined_high_and_low_water(spark, d):
 
 # ranks, ensembles, probabilities
 
-_MEMBERS = "m AS (SELECT l_orderkey AS cell, l_quantity AS m, o_totalprice / 8000 AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_MEMBERS = "m AS (SELECT l_orderkey AS cell, l_quantity AS m, o_totalprice / 8017 AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _members(spark, d):
     both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select(F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("m"), (F.col("o_totalprice") / 8000).alias("o"))
+    return both.select(F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("m"), (F.col("o_totalprice") / 8017).alias("o"))
 
 
 @query(f"WITH {_MEMBERS}, r AS (SELECT cell, sum(CASE WHEN m < o THEN 1 ELSE 0 END) AS rank FROM m GROUP BY 1) SELECT k AS rank, count(r.cell) AS n FROM range(8) q(k) LEFT JOIN r ON rank = k GROUP BY 1")
