@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,10 +104,43 @@ METRIC = {
 }
 
 
+#: base units of compound ones: (dimension, scale to the metric system)
+BASE = {
+    "m": ("m", 1.0), "km": ("m", 1e3), "cm": ("m", 1e-2), "mm": ("m", 1e-3), "ft": ("m", 0.3048), "nmi": ("m", 1852.0), "s": ("s", 1.0), "min": ("s", 60.0), "h": ("s", 3600.0), "day": ("s", 86400.0),
+    "kg": ("kg", 1.0), "g": ("kg", 1e-3), "t": ("kg", 1e3), "K": ("K", 1.0), "J": ("J", 1.0), "W": ("W", 1.0), "N": ("N", 1.0), "Pa": ("Pa", 1.0), "hPa": ("Pa", 100.0), "dbar": ("Pa", 1e4),
+}
+
+
+def parse_unit(unit: str) -> tuple[dict[str, int], float, float]:
+    """Dimensions, scale and offset of a unit: one of METRIC, or a product as 'kg m-3', 'cm s-1', 'W/m2', 'm^2 s^-1'."""
+    if unit in METRIC:
+        name, scale, offset = METRIC[unit]
+        dims, base, _ = parse_unit(name) if name != unit else ({name: 1}, 1.0, 0.0) if "/" not in name else _product(name)
+        return dims, scale * base, offset
+    return _product(unit)
+
+
+def _product(unit: str) -> tuple[dict[str, int], float, float]:
+    dims: dict[str, int] = {}
+    scale, over = 1.0, 1
+    for token in re.findall(r"/|[A-Za-z]+\^?-?[0-9]*", unit):
+        if token == "/":
+            over = -1
+            continue
+        name, power = re.fullmatch(r"([A-Za-z]+)\^?(-?[0-9]*)", token).groups()
+        if name not in BASE:
+            raise ValueError(f"no unit: {unit}")
+        n = int(power or 1) * over
+        dimension, factor = BASE[name]
+        dims[dimension] = dims.get(dimension, 0) + n
+        scale *= factor**n
+    return {d: n for d, n in dims.items() if n}, scale, 0.0
+
+
 def convert(c: Column, old: str, new: str) -> Column:
-    """Between two units of one dimension; raises ValueError otherwise."""
-    (a, scale, offset), (b, to_scale, to_offset) = METRIC[old], METRIC[new]
-    if a != b:
+    """Between two units of one dimension, simple or compound; raises ValueError otherwise."""
+    (dims, scale, offset), (to_dims, to_scale, to_offset) = parse_unit(old), parse_unit(new)
+    if dims != to_dims:
         raise ValueError(f"{old} and {new} are units of different kinds")
     return (c * scale + offset - to_offset) / to_scale
 

@@ -225,3 +225,15 @@ def section_extrema(field: DataFrame, by: list[str], value: str, along: str) ->
     v, k = F.col(value), F.col(along)
     found = field.filter(v.isNotNull()).groupBy(*by).agg(F.min(F.struct(v.alias("v"), k.alias("k"))).alias("a"), F.max(F.struct(v.alias("v"), (-k).alias("k"))).alias("b"))
     return found.select(*by, F.col("a.v").alias("low"), F.col("a.k").alias("low_at"), F.col("b.v").alias("high"), (-F.col("b.k")).alias("high_at"))
+
+
+def grid_of_axes(x: DataFrame, y: DataFrame, index: str = "k", position: str = "x") -> DataFrame:
+    """The grid of two axes (index, position): j, i, x, y, a row a cell. Axes are small; the longer one is not sent."""
+    rows = y.select(F.col(index).cast("int").alias("j"), F.col(position).cast("double").alias("y"))
+    columns = x.select(F.col(index).cast("int").alias("i"), F.col(position).cast("double").alias("x"))
+    return rows.crossJoin(columns).select("j", "i", "x", "y")  # the cells themselves
+
+
+def on_grid(field: DataFrame, grid: DataFrame) -> DataFrame:
+    """A field (j, i, ...) with the positions of its cells; a cell that the grid lacks has none."""
+    return field.join(grid.select("j", "i", "x", "y"), ["j", "i"], "left")

@@ -316,3 +316,11 @@ def clip_shapes(df: DataFrame, box: tuple[float, float, float, float], shape: st
     for axis, limit, sign in (("x", box[0], 1), ("x", box[2], -1), ("y", box[1], 1), ("y", box[3], -1)):
         v = _once(v, _cutter(axis, F.lit(float(limit)), sign))
     return df.withColumn(shape, v).filter(F.size(shape) > 2)
+
+
+def mask_land(field: DataFrame, value: str, shapes: list[list[tuple[float, float]]], dx: float, dy: float, x: str = "lon", y: str = "lat", reverse: bool = False, **how) -> DataFrame:
+    """A bathymetry, or any field of cells, that is null where polygons of land cover it (or do not, with ``reverse``);
+    ``how`` as for ``polygon_mask``."""
+    told = polygon_mask(field, shapes, dx, dy, x=x, y=y, out="_land", **how)
+    land = ~F.col("_land") if reverse else F.col("_land")
+    return told.withColumn(value, F.when(~land, F.col(value))).drop("_land")

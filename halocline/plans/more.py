@@ -573,3 +573,74 @@ def compressed_cells(spark, d):
     from halocline.operators.regrid import compress
 
     return compress(masked(spark, d), "v").select("j", "i", r6("v").alias("v"))
+
+
+# units, heights, grids from axes
+
+@query(with_("buoys", """SELECT buoy, round(lat * 1000, 6) AS density, round(lat * 0.01::DOUBLE, 9) AS speed, round(lat * 3.6, 6) AS kmh, round(lat * 1.8 + 32, 6) AS degf, round(lat * 100, 6) AS pascal FROM buoys"""))
+def compound_units(spark, d):
+    from halocline.functions.units import convert
+
+    c = F.col("lat")
+    return buoys(spark, d).select(
+        "buoy", r6(convert(c, "g cm-3", "kg m-3")).alias("density"), F.round(convert(c, "cm s-1", "m/s"), 9).alias("speed"), r6(convert(c, "m s^-1", "km/h")).alias("kmh"), r6(convert(c, "degC", "degF")).alias("degf"),
+        r6(convert(c, "hPa", "Pa")).alias("pascal"),
+    )
+
+
+@query(with_("profiles", "SELECT profile, level, round(level * 0.1::DOUBLE / 40 * (40 - (profile % 7) * 100) + (profile % 7) * 100, 6) AS altitude FROM profiles"))
+def altitudes(spark, d):
+    from halocline.functions.seawater import sigma_altitude
+
+    p = profiles(spark, d)
+    return p.select("profile", "level", r6(sigma_altitude(F.col("level") * 0.1, F.lit(40.0), (F.col("profile") % 7) * 100)).alias("altitude"))
+
+
+@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, i * 2.5::DOUBLE - 10 AS x, j * 1.5::DOUBLE + 40 AS y FROM range(7) a(j), range(9) b(i)")
+def grid_from_axes(spark, d):
+    from halocline.operators.grid import grid_of_axes
+
+    x = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 2.5 - 10).alias("x"))
+    y = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 1.5 + 40).alias("x"))
+    return grid_of_axes(x, y)
+
+
+@query(with_("field", "SELECT j, i, round(v, 6) AS v, i * 12.0::DOUBLE - 180 AS x, j * 8.0::DOUBLE - 80 AS y FROM field"))
+def field_on_grid(spark, d):
+    from halocline.operators.grid import make_grid, on_grid
+
+    return on_grid(field(spark, d), make_grid(spark, 30, 20, -180.0, 12.0, -80.0, 8.0)).select("j", "i", r6("v").alias("v"), "x", "y")
+
+
+@query(with_("field masked", "SELECT j, i, CASE WHEN NOT (i * 12.0 - 180 >= -101.3 AND i * 12.0 - 180 < 48.9 AND j * 8.0 - 80 >= -41.7 AND j * 8.0 - 80 < 29.3) THEN round(v, 6) END AS v FROM masked"))
+def masked_bathymetry(spark, d):
+    cells = masked(spark, d).withColumns({"lon": F.col("i") * 12.0 - 180, "lat": F.col("j") * 8.0 - 80})
+    land = [[(-101.3, -41.7), (48.9, -41.7), (48.9, 29.3), (-101.3, 29.3)]]
+    return points.mask_land(cells, "v", land, 12.0, 8.0, mode="inside").select("j", "i", r6("v").alias("v"))
+
+
+@query(with_("stations field masked", """&p AS (SELECT station, lat, (lon + 180) / 12.0::DOUBLE AS x, (lat + 80) / 8.0::DOUBLE AS y FROM stations), c AS (SELECT station, CAST(floor(y) AS INT) + b AS j, CAST(floor(x) AS INT) + a AS i,
+  greatest(sqrt(pow((x - floor(x) - a) * 12 * cos(radians(lat)), 2) + pow((y - floor(y) - b) * 8, 2)), 1e-12) AS r FROM p, range(2) r(a), range(2) q(b))
+  SELECT station, round(sum(v / r) / sum(CASE WHEN v IS NOT NULL THEN 1 / r END), 6) AS value FROM c LEFT JOIN masked USING (j, i) GROUP BY 1"""))
+def distance_weights_on_the_sphere(spark, d):
+    from halocline.operators.grid import at_points
+
+    at = stations(spark, d).select("station", "lon", "lat")
+    return at_points(masked(spark, d), at, [], "v", -180.0, 12.0, -80.0, 8.0, "dstwgt", "lon", "lat", geo=True).select("station", r6("value").alias("value"))
+
+
+@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, 1.5::DOUBLE * j + 0.5::DOUBLE * i AS v FROM range(9) a(j), range(13) b(i)")
+def refined_field(spark, d):
+    """A plane on a grid twice as fine."""
+    from halocline.operators.grid import make_grid
+
+    plane = make_grid(spark, 7, 5).select("j", "i", (3.0 * F.col("j") + F.col("i")).alias("v"))
+    return sections.refine(plane, "v", 2, 5, 7)
+
+
+@query("SELECT 1.0::DOUBLE AS spacing")
+def spacing_of_points(spark, d):
+    from halocline.operators.grid import make_grid
+    from halocline.operators.scatter import spacing
+
+    return spacing(make_grid(spark, 30, 20).withColumn("k", F.col("j") * 30 + F.col("i")), "k", 2.0)
