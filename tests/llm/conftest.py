@@ -1,6 +1,6 @@
 import pytest
 
-LONG = "word " * 60_000
+LONG = "word " * 50_000 + "a-1-" * 10_000 + " " + "1" * 20_000 + " http://" + "x" * 10_000  # words, a candidate, digits, a url
 MESSY = [
     (1, "The quick brown fox jumps over the lazy dog and runs away", "en", "a", 57),
     (1, "The quick brown fox jumps over the lazy dog and runs away", "en", "a", 57),

@@ -96,6 +96,32 @@ def test_one_text_of_a_class_without_ids_is_kept(spark):
     assert sum(r["kept"] for r in got if not r["n_links"]) == 2
 
 
+@pytest.mark.parametrize("text", ["x", "x y z", "a b c d"])
+def test_a_table_of_one_short_text(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r["class_id"], r["n_links"], r["kept"]) for r in jaccard.join_similar(docs).collect()] == [(1, 0, True)]
+
+
+def test_near_copies_without_ids(spark):
+    """Of near copies whose ids are null one stays; texts without words all stay."""
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, words), (None, words + " z"), (None, None), (None, None), (None, " \n"), (4, words + " y"), (4, words + " y"), (9, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.lit("x"))
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == [(0, ""), (0, ""), (0, " \n"), (4, words + " y"), (9, "else")]
+
+
+def test_mix_numbers_repeated_rows(spark):
+    """A row that stands often takes its share of the target, one copy more on some of its rows."""
+    rows = [(1, "a", "w " * 10)] * 90 + [(i, "b", "w " * 9) for i in range(2, 52)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("place", F.lit(1))
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    taken = {s: sum(r["copies"] * len(r["text"].split()) for r in out if r["source"] == s) for s in ("a", "b")}
+    assert abs(taken["a"] - (900 + 450) * 5 / 7) <= 10
+    assert abs(taken["b"] - (900 + 450) * 2 / 7) <= 9
+    assert len([r for r in out if r["source"] == "a"]) <= 90
+
+
 def test_join_of_awkward_rows(messy, empty, clashing):
     for docs in (messy, clashing):
         got = {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.join_similar(docs).collect()}
@@ -181,6 +207,15 @@ def test_pivots_grow_with_the_table():
     assert 7000 < embeddings.pivots_for(10**9, 256, 8, 4, 512) < 8000
 
 
+def test_awkward_embeddings(spark):
+    """Null ids, repeated rows, equal and long vectors, vectors of other lengths, columns of the names that are used."""
+    long = [float(i % 7 + 1) for i in range(5000)]
+    rows = [(None, [1.0, 2.0]), (None, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [1.0, 2.0, 0.0]), (6, long), (7, [2 * x for x in long]), (None, None), (8, [-1.0, -2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("key", "pivots", "size", "n", "sound", "root", "links")})
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embeddings.link_embeddings(df).collect())
+    assert got == sorted([(0, 4, 3, False), (0, 4, 3, False), (3, 4, 3, True), (3, 4, 3, True), (4, 4, 3, False), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False), (0, 0, 0, True), (8, 0, 8, True)])
+
+
 def test_no_embeddings(spark):
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
