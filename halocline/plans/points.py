@@ -83,7 +83,8 @@ def extent(spark, d):
     return points.box_of(buoys(spark, d))
 
 
-@query(with_("profiles", """SELECT profile, round(a.temp + (b.temp - a.temp) * 0.5::DOUBLE, 6) AS temp FROM profiles a JOIN profiles b USING (profile) WHERE a.level = 2 AND b.level = 3"""))
+@query(with_("profiles", """&n AS (SELECT profile, max(depth) FILTER (depth <= -25) AS lo, arg_max(temp, depth) FILTER (depth <= -25) AS a, min(depth) FILTER (depth >= -25) AS hi, arg_min(temp, depth) FILTER (depth >= -25) AS b FROM profiles GROUP BY 1)
+  SELECT profile, round(a + (b - a) * (-25 - lo) / (hi - lo), 6) AS temp FROM n WHERE lo IS NOT NULL AND hi IS NOT NULL"""))
 def layer_at_depth(spark, d):
     """Temperature 25 m down, of profiles that have levels on both sides of it, between the nearest of either side."""
     from halocline.operators import interp
