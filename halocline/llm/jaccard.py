@@ -284,15 +284,12 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         if at == depth:
             leaves = leaves.union(large.select("key", "leaf"))
             break
-        # mean similarity of a bucket, from that of its members with four of them
-        large = large.select("key", "leaf").join(sketches, "key")
-        some = large.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(4)])
-        some = work.write(some, f"some{at}")
-        alike_ = sum((_agreement(F.col("sketch"), F.col(f"s{k}")) for k in range(4)), F.lit(0.0)) / 4
-        many = rows_of(some, "size")
-        mean = join_counted(large, some, ["leaf"], "size", many).groupBy("leaf").agg(F.avg(alike_).alias("mean"), F.count(F.lit(1)).alias("size"))
-        mean = work.write(mean, f"mean{at}")
-        large = work.write(join_counted(large.select("key", "leaf"), mean, ["leaf"], "size", many), f"large{at}")
+        # mean similarity of a bucket, from eight of its members
+        large = large.select("key", "leaf")
+        some = large.join(sketches, "key").groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(8)])
+        pairs = [_agreement(F.col(f"s{i}"), F.col(f"s{k}")) for k in range(8) for i in range(k)]
+        mean = work.write(some.select("leaf", "size", (sum(pairs, F.lit(0.0)) / len(pairs)).alias("mean")), f"mean{at}")
+        large = work.write(join_counted(large, mean, ["leaf"], "size", rows_of(mean, "size")), f"large{at}")
         leaves = leaves.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
         # sets that are similar enough are of the same class of sizes, or of one next to it
         apart = large.filter(F.col("mean") < alike).select("key", "leaf").join(classes.select("key", "tokens_n"), "key")
