@@ -85,6 +85,16 @@ def filter1d(df: DataFrame, by: list[str], order: str, value: str, weights: list
     return df.withColumn(out, result).drop("_sums")
 
 
+def filter_long(df: DataFrame, by: list[str], order: str, value: str, weights: list[float], mask: str | float = "same", chunk: int = 1_000_000, out: str = "filtered") -> DataFrame:
+    """As ``filter1d``, for series too long for one task: ``order`` is a dense whole number, and chunks of it are filtered
+    side by side, each with the cells that its window reaches in its neighbours."""
+    half, k = len(weights) // 2, F.floor(F.col(order) / chunk)
+    reach = F.array(F.floor((F.col(order) - half) / chunk), k, F.floor((F.col(order) + half) / chunk))
+    spread = df.withColumn("_chunk", F.explode(F.array_distinct(reach)))
+    done = filter1d(spread, [*by, "_chunk"], order, value, weights, mask, out)
+    return done.filter(F.col("_chunk") == k).drop("_chunk")
+
+
 def running_average(df: DataFrame, by: list[str], order: str, value: str, length: int, out: str = "average", keep_nulls: bool = True) -> DataFrame:
     """Mean of the valid values of ``length`` cells around each; the span shrinks evenly near the ends."""
     w = _window(by, order)

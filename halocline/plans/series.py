@@ -43,6 +43,15 @@ for _name, _weights, _literal in (
     ORACLE[_name] = _filter_sql(_literal)
 
 
+@query("""SELECT event_id, round((0.08::DOUBLE * coalesce(lag(value, 2) OVER w, 0) + 0.54::DOUBLE * coalesce(lag(value) OVER w, 0) + value + 0.54::DOUBLE * coalesce(lead(value) OVER w, 0) + 0.08::DOUBLE * coalesce(lead(value, 2) OVER w, 0))
+  / (1 + CASE WHEN lag(value, 2) OVER w IS NULL THEN 0 ELSE 0.08 END + CASE WHEN lag(value) OVER w IS NULL THEN 0 ELSE 0.54 END + CASE WHEN lead(value) OVER w IS NULL THEN 0 ELSE 0.54 END + CASE WHEN lead(value, 2) OVER w IS NULL THEN 0 ELSE 0.08 END), 4) AS filtered
+  FROM (SELECT event_id, value / 7.0137::DOUBLE AS value FROM events) WINDOW w AS (ORDER BY event_id)""")
+def filter_of_one_long_series(spark, d):
+    """All events as one series, filtered in chunks that overlap."""
+    found = windows.filter_long(table(spark, d, "events").select("event_id", (F.col("value") / 7.0137).alias("value")), [], "event_id", "value", windows.hamming(5), chunk=500)
+    return found.select("event_id", F.round("filtered", 4).alias("filtered"))
+
+
 @query(with_("series", f"""&p AS (SELECT *, least(row_number() OVER w - 1, count(*) OVER (PARTITION BY kind) - row_number() OVER w, 2) AS reach FROM series {_W}),
   m AS (SELECT *, {", ".join(f"lag(v, {k}) OVER w AS b{k}, lead(v, {k}) OVER w AS a{k}" for k in (1, 2))} FROM p {_W})
   SELECT kind, t, round((v + CASE WHEN reach >= 1 THEN a1 + b1 ELSE 0 END + CASE WHEN reach >= 2 THEN a2 + b2 ELSE 0 END) / (1 + 2 * reach), 6) AS average FROM m"""))
