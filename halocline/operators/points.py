@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halocline.functions.geo import haversine, inverse_mercator, mercator, planar
@@ -25,7 +26,8 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
 
     The cells ``rings`` around a point's are searched first; their side is ``size``, degrees if ``geo``. A point is
     settled if its best candidate is no farther than the ring reaches; for those that are not the search goes on with
-    cells three times as wide, up to the whole. On the sphere cells are cubes around the unit sphere, which know
+    cells three times as wide, up to the whole: one target of each inner cell bounds the distance, and only inner cells
+    that may hold a nearer one are opened. On the sphere cells are cubes around the unit sphere, which know
     neither poles nor date line. Points and targets without a position are left out, the latter as candidates.
     """
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
@@ -39,16 +41,33 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
         span = p.select("_px", "_py").union(t.select("_tx", "_ty")).agg(F.max("_px") - F.min("_px"), F.max("_py") - F.min("_py")).first()
         widest = max(span[0] or 0.0, span[1] or 0.0)
     axes = range(3 if geo else 2)
-    done, steps, around = None, Steps(points.sparkSession, "nearest"), F.sequence(F.lit(-rings), F.lit(rings))
+    line = (lambda d: 2 * F.sin(d / (2 * EARTH_RADIUS))) if geo else (lambda d: d)  # through the sphere
+    done, steps, around, level = None, Steps(points.sparkSession, "nearest"), F.sequence(F.lit(-rings), F.lit(rings)), 0
+    on = [f"_c{k}" for k in axes]
     while True:
-        cell = lambda a, b: [F.floor(c / side).cast("int") for c in place(F.col(a), F.col(b))]  # noqa: E731,B023
+        wide = 3 if level else 1  # later cells are three cells of the level before each way
+        fine = lambda a, b: [F.floor(c / (side / wide)).cast("int") for c in place(F.col(a), F.col(b))]  # noqa: E731,B023
+        coarse = lambda a, b: [F.floor(c / wide).cast("int") for c in fine(a, b)]  # noqa: E731,B023
         last = side * rings >= widest
         cells = p
         for k in axes:
             cells = cells.withColumn(f"_d{k}", F.explode(around))
-        cells = cells.select(key, "_px", "_py", *[(c + F.col(f"_d{k}")).alias(f"_c{k}") for k, c in enumerate(cell("_px", "_py"))])
-        on = [f"_c{k}" for k in axes]
-        found = cells.join(t.withColumns(dict(zip(on, cell("_tx", "_ty"), strict=True))), on)
+        cells = cells.select(key, "_px", "_py", *[(c + F.col(f"_d{k}")).alias(f"_c{k}") for k, c in enumerate(coarse("_px", "_py"))])
+        there = t.withColumns({f"_f{k}": c for k, c in enumerate(fine("_tx", "_ty"))})
+        if level:
+            # of the inner cells around a point those that may hold what is nearer than one target of each
+            held = there.groupBy(*[f"_f{k}" for k in axes]).agg(F.min(F.struct("_t", "_tx", "_ty")).alias("_one"))
+            held = held.select("*", "_one._tx", "_one._ty", *[F.floor(F.col(f"_f{k}") / wide).cast("int").alias(f"_c{k}") for k in axes])
+            least = F.lit(0.0)
+            for k, c in enumerate(place(F.col("_px"), F.col("_py"))):
+                lo = F.col(f"_f{k}") * (side / wide)
+                gap = F.greatest(lo - c, c - lo - side / wide, F.lit(0.0))
+                least = least + gap * gap
+            near = cells.join(held, on).withColumns({"_least": F.sqrt(least), "_most": F.min(line(distance)).over(W.partitionBy(key))})
+            near = near.filter(F.col("_least") <= F.col("_most") * (1 + 1e-9)).select(key, "_px", "_py", *[f"_f{k}" for k in axes])
+            found = near.join(there, [f"_f{k}" for k in axes])
+        else:
+            found = cells.join(there.select("_t", "_tx", "_ty", *[F.col(f"_f{k}").alias(f"_c{k}") for k in axes]), on)
         best = steps.write(found.groupBy(key, "_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b")))
         sure = best if last else best.filter(F.col("b.d") <= reach(side * rings))
         part = sure.select(key, F.col("b.t").alias(out), F.col("b.d").alias("distance"))
@@ -58,7 +77,7 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
         p = steps.write(p.join(sure.select(key), key, "left_anti"))
         if p.isEmpty():
             return done
-        side *= 3
+        side, level = side * 3, level + 1
 
 
 def _on_sphere(lon: Column, lat: Column) -> list[Column]:
@@ -234,8 +253,6 @@ def duplicates(casts: DataFrame, order: str, platform: str, ts: str, corrupted:
     Casts of one platform and place are sorted by time once: a cast needs the most preferred among those near it in
     time, which a window by time holds; no pairs are made.
     """
-    from pyspark.sql import Window as W
-
     keys = [F.upper(F.trim(F.col(platform))), *[F.col(c) for c in same]]
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
     rank = F.struct(F.col(corrupted).cast("int").alias("bad"), F.col(order).alias("o"))
