@@ -237,3 +237,24 @@ def test_long_filters_keep_the_mask(spark):
     for i in (0, 50, 199):
         near = [k for k in range(max(0, i - 35), min(200, i + 36)) if k % 10 != 3]
         assert got[i] == pytest.approx(sum(near) / len(near))
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 1000])
+def test_long_series_in_chunks(spark, chunk):
+    df = spark.range(120).select("id", F.when(F.col("id") % 9 != 4, F.sin(F.col("id").cast("double"))).alias("v"))
+    whole = windows.filter1d(df, [], "id", "v", windows.hamming(7), "minimal").orderBy("id").collect()
+    parts = windows.filter_long(df, [], "id", "v", windows.hamming(7), "minimal", chunk).orderBy("id").collect()
+    assert [r["id"] for r in parts] == list(range(120))
+    assert [r["filtered"] for r in parts] == pytest.approx([r["filtered"] for r in whole])
+
+
+def test_units_of_other_kinds_are_refused(spark):
+    from halocline.functions.units import convert, parse_unit
+
+    assert parse_unit("kg m-3") == ({"kg": 1, "m": -3}, 1.0, 0.0)
+    assert parse_unit("W/m2")[0] == {"W": 1, "m": -2}
+    assert spark.range(1).select(convert(F.lit(36.0), "km/h", "m s-1").alias("v")).first()["v"] == pytest.approx(10.0)
+    with pytest.raises(ValueError, match="kinds"):
+        convert(F.lit(1.0), "kg m-3", "m")
+    with pytest.raises(ValueError, match="no unit"):
+        parse_unit("furlong")
