@@ -106,12 +106,12 @@ def _shared(rows: list[np.ndarray], below: int | None = None) -> np.ndarray:
     number = np.cumsum(common) - 1
     keep = common[column]
     of, column = of[keep], number[column[keep]]
-    total = np.zeros((len(rows), len(rows)))
+    total = np.zeros((len(rows), len(rows)), np.float32)  # whole numbers, exact up to 2^24
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    for at in range(0, int(common.sum()), 8192):
-        a, b = np.searchsorted(column, [at, at + 8192])
-        block = np.zeros((len(rows), 8192), np.float32)
+    for at in range(0, int(common.sum()), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        block = np.zeros((len(rows), 4096), np.float32)
         block[of[a:b], column[a:b] - at] = 1
         total += block @ block.T
     return total
@@ -192,10 +192,12 @@ def compare(threshold: float) -> Callable:
             group = group.sort_values("key", kind="stable").reset_index(drop=True)
             sets = [np.frombuffer(x, np.uint64) for x in group["tokens"]]
             size = np.array([len(s) for s in sets])
-            common = _shared(sets)
-            # the small term absorbs rounding: similarities are ratios of whole numbers
-            near = common * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
-            x, y = np.nonzero(_fresh(group) & near)
+            common, fresh = _shared(sets), _fresh(group)
+            for at in range(0, len(group), 256):  # some rows at a time, in double precision
+                part = common[at : at + 256].astype(float) * (1 + threshold)
+                # the small term absorbs rounding: similarities are ratios of whole numbers
+                fresh[at : at + 256] &= part >= threshold * (size[at : at + 256, None] + size[None, :]) - 1e-6
+            x, y = np.nonzero(fresh)
             if not len(x):
                 continue
             n = group["n"].to_numpy()
