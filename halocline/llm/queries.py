@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import ctw, decontaminate, embeddings, jaccard, langid, licenses, mixing, pii, secrets, urls
-from halocline.llm.sql import EMBEDDINGS_SQL, JACCARD_SQL, LICENSE_SQL, PII_SQL, SECRETS_SQL, URLS_SQL
+from halocline.llm import clusters, ctw, decontaminate, embeddings, jaccard, langid, licenses, mixing, pii, runindex, secrets, tries, urls
+from halocline.llm.sql import CLUSTERS_SQL, EMBEDDINGS_SQL, JACCARD_SQL, LICENSE_SQL, PII_SQL, REPEATS_SQL, SECRETS_SQL, TRIES_SQL, URLS_SQL
 from halocline.llm.workspace import table
 
 RULES = [
@@ -91,6 +91,19 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return clusters.sort_means(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8, 10, 64, drawn)
+
+
+def op13_prefix_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_weighting": op1_context_tree_weighting,
     "op2_license_digests": op2_license_digests,
@@ -102,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_cascade": op8_url_cascade,
     "op9_pii": op9_pii,
     "op10_latent_decontamination": op10_latent_decontamination,
+    "op11_run_length_index": op11_run_length_index,
+    "op12_sort_means": op12_sort_means,
+    "op13_prefix_tries": op13_prefix_tries,
 }
 ORACLE: dict[str, str] = {
     "op2_license_digests": LICENSE_SQL,
@@ -110,4 +126,7 @@ ORACLE: dict[str, str] = {
     "op7_pivot_permutations": EMBEDDINGS_SQL,
     "op8_url_cascade": URLS_SQL,
     "op9_pii": PII_SQL,
+    "op11_run_length_index": REPEATS_SQL,
+    "op12_sort_means": CLUSTERS_SQL,
+    "op13_prefix_tries": TRIES_SQL,
 }

@@ -209,3 +209,80 @@ t AS (SELECT text, min(doc_id) AS copy_of FROM d WHERE len(w) > 0 GROUP BY 1)
 SELECT d.doc_id, class_id, coalesce(m.n, 0) AS n_links, coalesce(copy_of, d.doc_id) AS copy_of, d.doc_id = class_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN t ON t.text = d.text
 """
+
+
+# Strings of 100 bytes as hex digits, from overlapping pieces of 1000, so that long texts are not searched for each.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+parts AS (SELECT doc_id, n, off, substr(x, 2 * off + 1, 2 * 1099) AS part FROM (SELECT doc_id, n, x, unnest(range(0, n, 1000)) AS off FROM d WHERE n >= 100)),
+strings AS (
+  SELECT doc_id, off + i AS p, md5(substr(part, CAST(2 * i + 1 AS BIGINT), 200)) AS s
+  FROM (SELECT doc_id, n, off, part, unnest(range(0, least(1000, n - 99 - off))) AS i FROM parts WHERE n - 99 > off)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS place FROM strings) WHERE place > 1),
+runs AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run
+         FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS opens FROM later)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM runs GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(x), CAST(2 * max(z) + 1 AS BIGINT)) AS x,
+         count(*) AS n_spans, sum(z - a) AS n_removed
+  FROM (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _round(i: int) -> str:
+    """Assignments to the centroids of round i, and the centroids that follow."""
+    return f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, any_value(v.v) AS v, min(CAST(list_sum(list_transform(range(1, 65), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j]))) AS BIGINT) * 8 + k) AS best
+  FROM v, c{i} c GROUP BY rid),
+m{i} AS MATERIALIZED (
+  SELECT k, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY j) AS v
+  FROM (SELECT best % 8 AS k, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT best, v, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY ALL) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))"""
+
+
+CLUSTERS_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT v, sha256('3:' || vec_id) AS h FROM v ORDER BY h, v LIMIT 8)),
+{",".join(_round(i) for i in range(11))},
+found AS (SELECT rid, best % 8 AS k, best // 8 AS d FROM a10),
+sums AS (SELECT k, sum(d) AS s FROM found GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM sums) AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM found JOIN v USING (rid) JOIN sums USING (k) JOIN c10 c USING (k)
+"""
+
+# crc32 bit by bit; a path is the digests of its turns one after another.
+TRIES_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda crc, x:
+             list_reduce(list_prepend(xor(crc, x), range(8)), lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 9 AS h
+  FROM bytes),
+r AS (
+  SELECT c.conv_id, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c.base WHERE i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE i > h),
+q AS (SELECT conv_id, text, row_number() OVER w AS d, count(*) OVER (PARTITION BY conv_id) AS total, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i ROWS UNBOUNDED PRECEDING)),
+n AS (
+  SELECT path, d AS depth, count(*) AS n_convs, min(conv_id) AS conv_id, any_value(strlen(text)) AS bytes FROM q GROUP BY path, d
+  UNION ALL SELECT '', 0, count(*), min(conv_id), 0 FROM c HAVING count(*) > 0),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+below AS (
+  SELECT left(path, 32 * up) AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM nodes) GROUP BY 1),
+ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT path, conv_id FROM q WHERE d = total UNION ALL SELECT '', conv_id FROM c WHERE conv_id NOT IN (SELECT conv_id FROM q)) GROUP BY path)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes x JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON x.depth > 0 AND p.path = left(x.path, 32 * (x.depth - 1))
+"""
