@@ -1,8 +1,9 @@
 """Scattered points to other points and to grids: linear on Delaunay triangles, nearest, and what a grid lacks.
 
-Points and targets meet in squares. A target's triangle is found in its square and the eight around it; it is the
-triangle of the whole set if its circumscribed circle lies within these, else the target goes on with squares twice as
-wide. Targets outside the hull of all points are in no triangle, and are told apart first.
+A target's triangle is found among its nearest points. It is the triangle of the whole set if no point lies in its
+circle; the point nearest to the circle's centre tells. Where the circle reaches beyond what the target has met, its
+centre asks for its own nearest points, and the triangle is found anew with these, until it stays. A target outside the
+hull of all points is in a triangle with a far corner, whose circle is as good as a half plane, and is told the same way.
 """
 
 from __future__ import annotations
@@ -14,127 +15,124 @@ from pyspark.sql import functions as F
 
 from halocline.operators import points as pts
 from halocline.operators.cut import Steps
-from halocline.operators.sections import hull
+from halocline.operators.neighbours import Quadtree
 
 
-def triangles(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """For each target the corners of the Delaunay triangle of the points that it lies in, -1 where it lies in none,
-    and the triangle's weights at the target.
+FAR = np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])  # where the three corners lie that stand for outside
 
-    On the paraboloid x^2 + y^2 the triangle is the facet below the target: from any triangle around it the point
-    farthest below its plane replaces one of the corners, until none is below. Three far corners, raised high, begin.
+
+def enclosing(x: np.ndarray, y: np.ndarray, far: float, rounds: int = 200) -> tuple[np.ndarray, ...]:
+    """For each row of points (nan: none) the corners of the Delaunay triangle around the origin, their weights at it, and
+    the triangle's circle (centre x, y and radius, nan if it is none). Corners from the number of columns on are far ones.
+
+    On the paraboloid x^2 + y^2 the triangle is the facet below the origin: from any triangle around it the point
+    farthest below its plane replaces one of the corners, until none is below. Three corners, far and raised, begin.
     """
-    n, far = len(x), 1e4 * (1 + max(np.ptp(x), np.ptp(y), np.ptp(tx), np.ptp(ty)))
-    ox, oy = x.mean(), y.mean()
-    px, py = np.r_[x - ox, -far, far, 0.0], np.r_[y - oy, -far, -far, far]
-    lifted = np.r_[px[:n] ** 2 + py[:n] ** 2, np.full(3, 4.0 * far**2)]
-    gx, gy = tx - ox, ty - oy
-    tri = np.tile([n, n + 1, n + 2], (len(gx), 1))
-    rest, weights = np.arange(len(gx)), np.zeros((len(gx), 3))
-
-    def barycentric(t: np.ndarray, k: np.ndarray) -> np.ndarray:
-        ax, ay, bx, by, cx, cy = px[t[:, 0]], py[t[:, 0]], px[t[:, 1]], py[t[:, 1]], px[t[:, 2]], py[t[:, 2]]
+    rows, n = x.shape
+    px, py = (np.concatenate([v, np.tile(FAR[:, i] * far, (rows, 1))], 1) for i, v in enumerate((x, y)))
+    lifted = np.concatenate([x * x + y * y, np.full((rows, 3), 4.0 * far**2)], 1)
+    tri, rest = np.tile([n, n + 1, n + 2], (rows, 1)), np.arange(rows)
+
+    def at(v: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(v[r, t[:, k]] for k in range(3))
+
+    def weights(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+        (ax, bx, cx), (ay, by, cy) = at(px, r, t), at(py, r, t)
         det = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
         det = np.where(det == 0, np.nan, det)
-        u = ((gx[k] - ax) * (cy - ay) - (cx - ax) * (gy[k] - ay)) / det
-        v = ((bx - ax) * (gy[k] - ay) - (gx[k] - ax) * (by - ay)) / det
+        u, v = ((cx - ax) * ay - ax * (cy - ay)) / det, (ax * (by - ay) - (bx - ax) * ay) / det
         return np.stack([1 - u - v, u, v], 1)
 
-    for _ in range(rounds):
-        t = tri[rest]
-        # the plane through the three lifted corners, at every point
-        ax, ay, az = px[t[:, 0]], py[t[:, 0]], lifted[t[:, 0]]
-        e1 = np.stack([px[t[:, 1]] - ax, py[t[:, 1]] - ay, lifted[t[:, 1]] - az], 1)
-        e2 = np.stack([px[t[:, 2]] - ax, py[t[:, 2]] - ay, lifted[t[:, 2]] - az], 1)
-        det = e1[:, 0] * e2[:, 1] - e2[:, 0] * e1[:, 1]
-        sx, sy = (e1[:, 2] * e2[:, 1] - e2[:, 2] * e1[:, 1]) / det, (e1[:, 0] * e2[:, 2] - e2[:, 0] * e1[:, 2]) / det
-        below = az[:, None] + sx[:, None] * (px[None, :n] - ax[:, None]) + sy[:, None] * (py[None, :n] - ay[:, None]) - lifted[None, :n]
-        worst = below.argmax(1)
-        scale = 1e-12 * (np.abs(lifted[worst]) + np.abs(az) + 1e-300)
-        open_ = below[np.arange(len(rest)), worst] > scale
-        open_ &= (t != worst[:, None]).all(1)
-        rest, t, worst = rest[open_], t[open_], worst[open_]
-        if not len(rest):
-            break
-        best, inner = None, np.full(len(rest), -np.inf)
-        for k in range(3):  # of the three triangles with the new corner the one that holds the target
-            new = t.copy()
-            new[:, k] = worst
-            least = np.nan_to_num(barycentric(new, rest).min(1), nan=-np.inf)
-            better = least > inner
-            best = new if best is None else np.where(better[:, None], new, best)
-            inner = np.where(better, least, inner)
-        tri[rest] = best
-    weights = barycentric(tri, np.arange(len(gx)))
-    # a target on a side of the hull has no part in the far corner beyond it
-    idle = (tri >= n) & (np.abs(weights) < 1e-9)
-    real = np.where(tri < n, tri, -1).max(1)
-    tri = np.where(idle & (real >= 0)[:, None], real[:, None], tri)
-    weights = np.where(idle, 0.0, weights)
-    outside = (tri >= n).any(1) | ~(weights.min(1) >= -1e-9)
-    tri[outside] = -1
-    return tri, weights
-
-
-def linear(points: DataFrame, targets: DataFrame, key: str, size: float, x: str = "x", y: str = "y", value: str = "z", most: int = 256) -> DataFrame:
+    def plane(r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slopes, and height at the origin, of the plane through the three lifted corners."""
+        (ax, bx, cx), (ay, by, cy), (az, bz, cz) = at(px, r, t), at(py, r, t), at(lifted, r, t)
+        det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        sx, sy = ((bz - az) * (cy - ay) - (by - ay) * (cz - az)) / det, ((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) / det
+        return sx, sy, az - sx * ax - sy * ay
+
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            t = tri[rest]
+            sx, sy, z = plane(rest, t)
+            below = sx[:, None] * x[rest] + sy[:, None] * y[rest] + z[:, None] - lifted[rest, :n]
+            below = np.where(np.isnan(below), -np.inf, below)
+            worst = below.argmax(1)
+            here = np.arange(len(rest))
+            scale = 1e-12 * (np.abs(lifted[rest, worst]) + np.abs(z) + np.abs(sx * x[rest, worst]) + np.abs(sy * y[rest, worst]) + 1e-300)
+            go = (below[here, worst] > scale) & (t != worst[:, None]).all(1)
+            rest, t, worst = rest[go], t[go], worst[go]
+            if not len(rest):
+                break
+            best, inner = None, np.full(len(rest), -np.inf)
+            for k in range(3):  # of the three triangles with the new corner the one that holds the origin
+                new = t.copy()
+                new[:, k] = worst
+                least = np.nan_to_num(weights(rest, new).min(1), nan=-np.inf)
+                better = least > inner
+                best = new if best is None else np.where(better[:, None], new, best)
+                inner = np.where(better, least, inner)
+            tri[rest] = best
+        every = np.arange(rows)
+        sx, sy, z = plane(every, tri)
+        return tri, weights(every, tri), sx / 2, sy / 2, np.sqrt(z + (sx * sx + sy * sy) / 4)
+
+
+def linear(points: DataFrame, targets: DataFrame, key: str, near: int = 24, x: str = "x", y: str = "y", value: str = "z", more: int = 8, batch: int = 4096) -> DataFrame:
     """Values of ``points`` at ``targets`` (key, x, y), linear on the Delaunay triangles of the points: key, value.
 
-    Targets outside the hull are null. Points without a value do not count, those at one place as their mean. ``size``:
-    side of the squares that are tried first, best such that nine of them hold some ten points; a task holds the points
-    of nine squares, and ``most`` targets are solved at once.
+    Targets outside the hull are null, and so are those without a position. Points without a value do not count, those
+    at one place as their mean. A target meets its ``near`` nearest points and, in each further round, the ``more`` that
+    are nearest to its circle's centre, wherever they are; no task holds more than those of its targets.
     """
-    p = points.filter(F.col(value).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.avg(value).alias("z"))
+    p = points.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    p = p.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.avg(value).alias("z")).withColumn("place", F.struct("x", "y"))
+    tree = Quadtree(p, "place", near, depth=None, carry=["z"])
     steps = Steps(points.sparkSession, "linear")
-    p = steps.write(p)
-    t = steps.write(targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    ring = hull(p).agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("ring"))
-    # a hair wider, so that targets on the hull's sides stay
-    span = p.agg((F.max("x") - F.min("x")).alias("w"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    one = ring.crossJoin(span)  # a single row each
-    wide = F.transform("ring", lambda v: F.struct((F.col("mx") + (v["x"] - F.col("mx")) * (1 + 1e-9)).alias("x"), (F.col("my") + (v["y"] - F.col("my")) * (1 + 1e-9)).alias("y")))
-    held = t.crossJoin(F.broadcast(one)).withColumn("held", pts.inside(F.col("x"), F.col("y"), wide))
-    held = steps.write(held.select("key", "x", "y", F.coalesce("held", F.lit(False)).alias("held")))
-    out, rest = held.filter("not held").select("key", F.lit(None).cast("double").alias("value")), held.filter("held").drop("held")
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    key_type = targets.schema[key].dataType.simpleString()
-    widest = p.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
-
-    def solver(side: float, last: bool):
-        def solve(cell: tuple, mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-            value, sure = np.full(len(there), np.nan), np.zeros(len(there), bool)
-            px, py, pz = (mine[c].to_numpy(float) for c in ("x", "y", "z"))
-            for at in range(0, len(there) if len(mine) > 2 else 0, most):
-                tx, ty = there["x"].to_numpy(float)[at : at + most], there["y"].to_numpy(float)[at : at + most]
-                tri, w = triangles(px, py, tx, ty)
-                hit = tri[:, 0] >= 0
-                a, b, c = (np.where(hit, tri[:, k], 0) for k in range(3))
-                value[at : at + most] = np.where(hit, (w * pz[np.stack([a, b, c], 1)]).sum(1), np.nan)
-                # the circle around the triangle lies within the nine squares
-                bx, by, cx, cy = px[b] - px[a], py[b] - py[a], px[c] - px[a], py[c] - py[a]
-                d = 2 * (bx * cy - by * cx)
-                with np.errstate(all="ignore"):
-                    ux, uy = (cy * (bx**2 + by**2) - by * (cx**2 + cy**2)) / d, (bx * (cx**2 + cy**2) - cx * (bx**2 + by**2)) / d
-                    r, mx, my = np.hypot(ux, uy), px[a] + ux, py[a] + uy
-                    x0, y0 = (cell[0] - 1) * side, (cell[1] - 1) * side
-                    within = (mx - r >= x0) & (mx + r <= x0 + 3 * side) & (my - r >= y0) & (my + r <= y0 + 3 * side)
-                sure[at : at + most] = hit & within
-            return pd.DataFrame({"key": there["key"], "x": there["x"], "y": there["y"], "value": value, "sure": sure | last})
-
-        return solve
-
+    t = targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    placed = steps.write(t.filter("x is not null and y is not null").dropDuplicates(["key"]))
+    if tree.n < 3 or placed.isEmpty():
+        return t.select(F.col("key").alias(key), F.lit(None).cast("double").alias("value"))
+    ends = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    x0, y0 = tree.corner
+    far = 1e4 * (tree.wide + max(ends[1], x0 + tree.wide) - min(ends[0], x0) + max(ends[3], y0 + tree.wide) - min(ends[2], y0))
+    state = "x double, y double, met array<struct<x:double,y:double,z:double>>, known double, value double, cx double, cy double, sure boolean"
+    schema = placed.select("key").schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", " + state
+
+    def solve(batches):
+        for rows in (b.iloc[i : i + batch] for b in batches for i in range(0, len(b), batch)):
+            tx, ty = rows["x"].to_numpy(), rows["y"].to_numpy()
+            lists = [np.array([(v["x"], v["y"], v["z"]) for v in m]).reshape(-1, 3) for m in rows["met"]]
+            found = np.full((len(rows), max(map(len, lists)), 3), np.nan)
+            for i, m in enumerate(lists):
+                found[i, : len(m)] = m
+            tri, w, cx, cy, r = enclosing(found[:, :, 0] - tx[:, None], found[:, :, 1] - ty[:, None], far)
+            n = found.shape[1]
+            # a target on a side of the hull has no part in the far corner beyond it
+            idle = (tri >= n) & (np.abs(w) < 1e-9)
+            within = ((tri < n) | idle).all(1) & (w.min(1) >= -1e-9)
+            z = np.where(idle | (tri >= n), 0.0, np.take_along_axis(found[:, :, 2], np.minimum(tri, n - 1), 1))
+            known = rows["known"].to_numpy()
+            same = (np.abs(cx + tx - rows["cx"].to_numpy()) <= 1e-9 * r) & (np.abs(cy + ty - rows["cy"].to_numpy()) <= 1e-9 * r)
+            sure = same | (np.hypot(cx, cy) + r <= known)
+            yield rows.assign(value=np.where(within, (np.where(idle, 0.0, w) * z).sum(1), np.nan), cx=cx + tx, cy=cy + ty, sure=sure)
+
+    met = F.array_sort(F.collect_list(F.struct("x", "y", F.col("of_z").alias("z")))).alias("new")
+    first = tree.nearest(placed, "key", near).groupBy("target").agg(met, F.max("distance").alias("known"), F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("n") < min(near, tree.n) + (tree.n <= near), F.lit(float("inf"))).otherwise(F.col("known"))
+    nought = {c: F.lit(None).cast("double") for c in ("value", "cx", "cy")} | {"sure": F.lit(False)}
+    rest = placed.join(first.select(F.col("target").alias("key"), F.col("new").alias("met"), known.alias("known")), "key").withColumns(nought)
+    out = None
     while True:
-        square = lambda c, s: F.floor(F.col(c) / s).cast("long")
-        last = size >= (widest or 0.0)
-        now = rest.withColumns({"cx": square("x", size), "cy": square("y", size)})
-        spread = p.withColumn("s", F.explode(around)).select("x", "y", "z", (square("x", size) + F.col("s.a")).alias("cx"), (square("y", size) + F.col("s.b")).alias("cy"))
-        spread = spread.join(now.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
-        solved = spread.groupBy("cx", "cy").cogroup(now.groupBy("cx", "cy")).applyInPandas(solver(size, last), f"key {key_type}, x double, y double, value double, sure boolean")
-        solved = steps.write(solved)
-        out = out.unionByName(solved.filter("sure").select("key", "value"))
-        rest, size = solved.filter("not sure").select("key", "x", "y"), size * 2
-        if last or rest.isEmpty():
+        columns = ["key", "x", "y", "met", "known", "value", "cx", "cy", "sure"]
+        solved = steps.write(rest.select(*columns).mapInPandas(solve, schema))
+        part = solved.filter("sure").select("key", "value")
+        out = part if out is None else out.unionByName(part)
+        open_ = solved.filter("not sure")
+        if open_.isEmpty():
             break
-    return out.select(F.col("key").alias(key), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+        asked = tree.nearest(open_, "key", more, "cx", "cy").groupBy("target").agg(met)
+        rest = open_.join(asked.withColumnRenamed("target", "key"), "key").withColumn("met", F.array_distinct(F.concat("met", "new"))).drop("new")
+    return t.join(out, "key", "left").select(F.col("key").alias(key), F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
 def nearest_value(points: DataFrame, point_key: str, targets: DataFrame, key: str, size: float, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
@@ -155,7 +153,7 @@ def grid_over(points: DataFrame, step: float, x: str = "x", y: str = "y") -> Dat
 def to_grid(points: DataFrame, grid: DataFrame, size: float, method: str = "linear", x: str = "x", y: str = "y", value: str = "z", point_key: str = "id") -> DataFrame:
     """Scattered points on a grid (j, i, x, y): j, i, value; ``linear`` or ``nearest``."""
     cells = grid.select("j", "i", F.struct("j", "i").alias("_cell"), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
-    found = linear(points, cells, "_cell", size, x, y, value) if method == "linear" else nearest_value(points, point_key, cells, "_cell", size, x, y, value)
+    found = linear(points, cells, "_cell", x=x, y=y, value=value) if method == "linear" else nearest_value(points, point_key, cells, "_cell", size, x, y, value)
     return found.select("_cell.j", "_cell.i", "value")
 
 
@@ -164,7 +162,7 @@ def fill2d(field: DataFrame, value: str, size: float = 3.0, method: str = "linea
     ``nearest`` also beyond the hull of the valid cells. ``size``: side of the squares tried first, in cells."""
     at = field.select("j", "i", F.struct("j", "i").alias("cell"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col(value).cast("double").alias("z"))
     holes = at.filter("z is null").drop("z")
-    found = linear(at, holes, "cell", size) if method == "linear" else nearest_value(at, "cell", holes, "cell", size)
+    found = linear(at, holes, "cell") if method == "linear" else nearest_value(at, "cell", holes, "cell", size)
     joined = at.join(found.withColumnRenamed("value", "_found"), "cell", "left")
     return joined.select("j", "i", F.coalesce("z", "_found").alias(value))
 

@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 MOMENTS = ["m2_x", "m2_y", "c_xy"]  # sums of products of deviations from the means
 
 
-def accumulate(df: DataFrame, by: list[str], x: str, y: str | None = None, edges: list[float] | None = None) -> DataFrame:
-    """Moments by ``by``. With ``y`` only rows where both are valid count. edges: bins [e, next e) of x; others are left out."""
+def accumulate(df: DataFrame, by: list[str], x: str, y: str | None = None, edges: list[float] | None = None, around: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Moments by ``by``. With ``y`` only rows where both are valid count. edges: bins [e, next e) of x; others are left out.
+
+    ``around``: rough means of x and y. Values are taken from there, so that products of two variables that are far from
+    nought but vary little keep their digits.
+    """
     a, b = F.col(x).cast("double"), F.col(y).cast("double") if y else F.lit(None).cast("double")
     valid = a.isNotNull() & ~F.isnan(a) & ((b.isNotNull() & ~F.isnan(b)) if y else F.lit(True))
     a, b = F.when(valid, a), F.when(valid, b)
+    u, v = (c - F.lit(float(m)) if m else c for c, m in zip((a, b), around, strict=True))
     aggs = [
-        F.count(F.lit(1)).alias("size"), F.count(a).alias("count"), F.avg(a).alias("mean_x"), F.avg(b).alias("mean_y"), (F.var_pop(a) * F.count(a)).alias("m2_x"),
-        (F.var_pop(b) * F.count(b)).alias("m2_y"), (F.covar_pop(a, b) * F.count(b)).alias("c_xy"), F.sum((b - a) * (b - a)).alias("sum_dd"),
+        F.count(F.lit(1)).alias("size"), F.count(a).alias("count"), (F.avg(u) + around[0]).alias("mean_x"), (F.avg(v) + around[1]).alias("mean_y"), (F.var_pop(u) * F.count(u)).alias("m2_x"),
+        (F.var_pop(v) * F.count(v)).alias("m2_y"), (F.covar_pop(u, v) * F.count(v)).alias("c_xy"), F.avg(b - a).alias("mean_d"), F.sum((b - a) * (b - a)).alias("sum_dd"),
         F.min(a).alias("min_x"), F.max(a).alias("max_x"), F.min(b).alias("min_y"), F.max(b).alias("max_y"),
     ]
     if edges:
@@ -31,14 +36,18 @@ def accumulate(df: DataFrame, by: list[str], x: str, y: str | None = None, edges
 
 
 def merge(partials: DataFrame, by: list[str], bins: int = 0) -> DataFrame:
-    """Joins the moments of several batches, a row a batch and group; ``bins``: of the histogram, if there is one."""
+    """Joins the moments of several batches, a row a batch and group; ``bins``: of the histogram, if there is one.
+
+    Means are joined by how far they are from one of them, so that large ones keep their digits."""
     n, group = F.col("count"), W.partitionBy(*by)
-    mean = lambda c: F.sum(n * F.col(c)).over(group) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), n)).over(group), F.lit(0))
-    both = partials.withColumns({"_mx": mean("mean_x"), "_my": mean("mean_y")})
+    both = partials.withColumns({f"_l{c}": F.min(c).over(group) for c in ("mean_x", "mean_y")})
+    mean = lambda c: F.col(f"_l{c}") + F.sum(n * (F.col(c) - F.col(f"_l{c}"))).over(group) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), n)).over(group), F.lit(0))
+    both = both.withColumns({"_mx": mean("mean_x"), "_my": mean("mean_y")})
     dx, dy = F.col("mean_x") - F.col("_mx"), F.col("mean_y") - F.col("_my")
     aggs = [
         F.sum("size").alias("size"), F.sum("count").alias("count"), F.max("_mx").alias("mean_x"), F.max("_my").alias("mean_y"), F.sum(F.col("m2_x") + n * dx * dx).alias("m2_x"),
-        F.sum(F.col("m2_y") + n * dy * dy).alias("m2_y"), F.sum(F.col("c_xy") + n * dx * dy).alias("c_xy"), F.sum("sum_dd").alias("sum_dd"),
+        F.sum(F.col("m2_y") + n * dy * dy).alias("m2_y"), F.sum(F.col("c_xy") + n * dx * dy).alias("c_xy"),
+        (F.sum(n * F.col("mean_d")) / F.nullif(F.sum(F.when(F.col("mean_d").isNotNull(), n)), F.lit(0))).alias("mean_d"), F.sum("sum_dd").alias("sum_dd"),
     ]
     aggs += [F.min(c).alias(c) for c in ("min_x", "min_y")] + [F.max(c).alias(c) for c in ("max_x", "max_y")]
     if "hist" in partials.columns:
@@ -53,7 +62,7 @@ def statistics(partials: DataFrame, by: list[str]) -> DataFrame:
     zero = F.lit(0.0)
     out = {
         "avail": F.col("count") / F.col("size"), "count": F.col("count"), "mean": F.col("mean_x"), "std": F.sqrt(vx), "min": F.col("min_x"), "max": F.col("max_x"), "mean_y": F.col("mean_y"), "std_y": F.sqrt(vy),
-        "bias": F.col("mean_y") - F.col("mean_x"), "rms": F.sqrt(F.col("sum_dd") / n), "crms": F.sqrt(F.greatest(vx + vy - 2 * cov, zero)), "corr": cov / F.nullif(F.sqrt(vx * vy), zero),
+        "bias": F.col("mean_d"), "rms": F.sqrt(F.col("sum_dd") / n), "crms": F.sqrt(F.greatest(vx + vy - 2 * cov, zero)), "corr": cov / F.nullif(F.sqrt(vx * vy), zero),
     }
     hist = ["hist"] if "hist" in partials.columns else []
     return partials.select(*by, *[c.alias(k) for k, c in out.items()], *hist)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halocline.plans import fields, gridding, more, points, series, statistics, streams
+from halocline.plans import fields, gridding, more, points, scattered, series, statistics, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for part in (statistics, series, fields, points, gridding, more, streams):
+for part in (statistics, series, fields, points, gridding, scattered, more, streams):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
 FLAGSHIP = "accumulate_cells"

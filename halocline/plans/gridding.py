@@ -54,15 +54,18 @@ def regrid2d_nearest(spark, d):
     return _regrid(spark, d, "nearest")
 
 
-# a grid with two-dimensional axes: 6 x 9 centres
+# a grid with two-dimensional axes
 
-_GRID = "g AS (SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, i + 0.1::DOUBLE * j + 0.01::DOUBLE * i * i AS x, j + 0.05::DOUBLE * i * j AS y FROM range(6) a(j), range(9) b(i))"
+# NJ x NI of them, for every line number and month of lineitem; places hang on the mean quantity
+NJ, NI = 7, 12
+_GRID = """g AS (SELECT j, i, i + 0.1::DOUBLE * j + 0.01::DOUBLE * i * i + (q - 25) / 1000 AS x, j + 0.05::DOUBLE * i * j AS y FROM (
+  SELECT CAST(l_linenumber - 1 AS INT) AS j, CAST(month(l_shipdate) - 1 AS INT) AS i, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2))"""
 _C = "j AS j, i AS i, x, y"
 
 
-def _grid(spark):
-    cells = spark.range(54).select(F.floor(F.col("id") / 9).cast("int").alias("j"), (F.col("id") % 9).cast("int").alias("i"))
-    return cells.withColumns({"x": F.col("i") + 0.1 * F.col("j") + 0.01 * F.col("i") * F.col("i"), "y": F.col("j") + 0.05 * F.col("i") * F.col("j")})
+def _grid(spark, d):
+    cells = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("int").alias("j"), (F.month("l_shipdate") - 1).cast("int").alias("i")).agg(F.avg("l_quantity").alias("q"))
+    return cells.select("j", "i", (F.col("i") + 0.1 * F.col("j") + 0.01 * F.col("i") * F.col("i") + (F.col("q") - 25) / 1000).alias("x"), (F.col("j") + 0.05 * F.col("i") * F.col("j")).alias("y"))
 
 
 def _edge(v: str) -> str:
@@ -72,9 +75,9 @@ def _edge(v: str) -> str:
 
 _MESH = f"""{_GRID}, mesh AS (
   SELECT a.j + 1 AS j, a.i + 1 AS i, (a.x + b.x + c.x + d.x) / 4 AS x, (a.y + b.y + c.y + d.y) / 4 AS y FROM g a JOIN g b ON b.j = a.j AND b.i = a.i + 1 JOIN g c ON c.j = a.j + 1 AND c.i = a.i JOIN g d ON d.j = a.j + 1 AND d.i = a.i + 1
-  UNION ALL SELECT a.j + 1, CASE WHEN a.i = 0 THEN 0 ELSE 9 END, {_edge("x")}, {_edge("y")} FROM g a JOIN g b ON b.i = a.i AND b.j = a.j + 1 JOIN g c ON c.j = a.j AND c.i = CASE WHEN a.i = 0 THEN 1 ELSE 7 END JOIN g d ON d.j = a.j + 1 AND d.i = c.i WHERE a.i IN (0, 8)
-  UNION ALL SELECT CASE WHEN a.j = 0 THEN 0 ELSE 6 END, a.i + 1, {_edge("x")}, {_edge("y")} FROM g a JOIN g b ON b.j = a.j AND b.i = a.i + 1 JOIN g c ON c.i = a.i AND c.j = CASE WHEN a.j = 0 THEN 1 ELSE 4 END JOIN g d ON d.i = a.i + 1 AND d.j = c.j WHERE a.j IN (0, 5)
-  UNION ALL SELECT CASE WHEN a.j = 0 THEN 0 ELSE 6 END, CASE WHEN a.i = 0 THEN 0 ELSE 9 END, 1.5::DOUBLE * a.x - 0.5::DOUBLE * b.x, 1.5::DOUBLE * a.y - 0.5::DOUBLE * b.y FROM g a JOIN g b ON b.j = CASE WHEN a.j = 0 THEN 1 ELSE 4 END AND b.i = CASE WHEN a.i = 0 THEN 1 ELSE 7 END WHERE a.j IN (0, 5) AND a.i IN (0, 8))"""
+  UNION ALL SELECT a.j + 1, CASE WHEN a.i = 0 THEN 0 ELSE {NI} END, {_edge("x")}, {_edge("y")} FROM g a JOIN g b ON b.i = a.i AND b.j = a.j + 1 JOIN g c ON c.j = a.j AND c.i = CASE WHEN a.i = 0 THEN 1 ELSE {NI - 2} END JOIN g d ON d.j = a.j + 1 AND d.i = c.i WHERE a.i IN (0, {NI - 1})
+  UNION ALL SELECT CASE WHEN a.j = 0 THEN 0 ELSE {NJ} END, a.i + 1, {_edge("x")}, {_edge("y")} FROM g a JOIN g b ON b.j = a.j AND b.i = a.i + 1 JOIN g c ON c.i = a.i AND c.j = CASE WHEN a.j = 0 THEN 1 ELSE {NJ - 2} END JOIN g d ON d.i = a.i + 1 AND d.j = c.j WHERE a.j IN (0, {NJ - 1})
+  UNION ALL SELECT CASE WHEN a.j = 0 THEN 0 ELSE {NJ} END, CASE WHEN a.i = 0 THEN 0 ELSE {NI} END, 1.5::DOUBLE * a.x - 0.5::DOUBLE * b.x, 1.5::DOUBLE * a.y - 0.5::DOUBLE * b.y FROM g a JOIN g b ON b.j = CASE WHEN a.j = 0 THEN 1 ELSE {NJ - 2} END AND b.i = CASE WHEN a.i = 0 THEN 1 ELSE {NI - 2} END WHERE a.j IN (0, {NJ - 1}) AND a.i IN (0, {NI - 1}))"""
 _XY = "round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y"
 
 
@@ -84,38 +87,39 @@ def _xy(df, *columns):
 
 @query(f"WITH {_MESH} SELECT j, i, {_XY} FROM mesh")
 def mesh_corners(spark, d):
-    return _xy(regrid.corners(_grid(spark), 6, 9), "j", "i")
+    return _xy(regrid.corners(_grid(spark, d), NJ, NI), "j", "i")
 
 
 @query(f"WITH {_MESH}, p(n, b, a) AS (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) SELECT g.j, g.i, n, round(m.x, 6) + 0.0::DOUBLE AS x, round(m.y, 6) + 0.0::DOUBLE AS y FROM g, p JOIN mesh m ON m.j = g.j + b AND m.i = g.i + a")
 def bounds_of_cells(spark, d):
-    return _xy(regrid.cell_bounds2d(regrid.corners(_grid(spark), 6, 9)), "j", "i", "n")
+    return _xy(regrid.cell_bounds2d(regrid.corners(_grid(spark, d), NJ, NI)), "j", "i", "n")
 
 
 @query(f"WITH {_MESH} SELECT j, i, {_XY} FROM mesh")
 def mesh_from_bounds(spark, d):
-    return _xy(regrid.mesh_of_bounds(regrid.cell_bounds2d(regrid.corners(_grid(spark), 6, 9))), "j", "i")
+    return _xy(regrid.mesh_of_bounds(regrid.cell_bounds2d(regrid.corners(_grid(spark, d), NJ, NI))), "j", "i")
 
 
 @query(f"WITH {_MESH} SELECT g.j, g.i, round(avg(m.x), 6) + 0.0::DOUBLE AS x, round(avg(m.y), 6) + 0.0::DOUBLE AS y FROM g JOIN mesh m ON m.j - g.j IN (0, 1) AND m.i - g.i IN (0, 1) GROUP BY 1, 2")
 def centres_of_mesh(spark, d):
-    return _xy(regrid.centres(regrid.corners(_grid(spark), 6, 9)), "j", "i")
+    return _xy(regrid.centres(regrid.corners(_grid(spark, d), NJ, NI)), "j", "i")
 
 
-@query(f"WITH {_GRID} SELECT j, i, round(CASE WHEN i = 8 THEN x + (x - lag(x) OVER w) / 2 ELSE (x + lead(x) OVER w) / 2 END, 6) AS x, round(CASE WHEN i = 8 THEN y + (y - lag(y) OVER w) / 2 ELSE (y + lead(y) OVER w) / 2 END, 6) AS y FROM g WINDOW w AS (PARTITION BY j ORDER BY i)")
+@query(f"WITH {_GRID} SELECT j, i, round(CASE WHEN i = {NI - 1} THEN x + (x - lag(x) OVER w) / 2 ELSE (x + lead(x) OVER w) / 2 END, 6) AS x, round(CASE WHEN i = {NI - 1} THEN y + (y - lag(y) OVER w) / 2 ELSE (y + lead(y) OVER w) / 2 END, 6) AS y FROM g WINDOW w AS (PARTITION BY j ORDER BY i)")
 def shifted_grid(spark, d):
-    return _xy(regrid.shift_grid(_grid(spark)), "j", "i")
+    return _xy(regrid.shift_grid(_grid(spark, d)), "j", "i")
 
 
 @query(f"""WITH {_GRID}, e AS (SELECT j, i, x, y FROM g UNION ALL SELECT a.j, -CAST(k AS INT), a.x + k * (a.x - b.x), a.y + k * (a.y - b.y) FROM g a JOIN g b ON b.j = a.j AND a.i = 0 AND b.i = 1, range(1, 3) r(k)
-  UNION ALL SELECT a.j, 8 + CAST(k AS INT), a.x + k * (a.x - b.x), a.y + k * (a.y - b.y) FROM g a JOIN g b ON b.j = a.j AND a.i = 8 AND b.i = 7, range(1, 3) r(k)) SELECT j, i, {_XY} FROM e""")
+  UNION ALL SELECT a.j, {NI - 1} + CAST(k AS INT), a.x + k * (a.x - b.x), a.y + k * (a.y - b.y) FROM g a JOIN g b ON b.j = a.j AND a.i = {NI - 1} AND b.i = {NI - 2}, range(1, 3) r(k)) SELECT j, i, {_XY} FROM e""")
 def extended_grid(spark, d):
-    return _xy(regrid.extend_grid(_grid(spark), 9, 2), "j", "i")
+    return _xy(regrid.extend_grid(_grid(spark, d), NI, 2), "j", "i")
 
 
-@query("SELECT 'itself' AS other, true AS same UNION ALL SELECT 'moved a little', true UNION ALL SELECT 'moved', false UNION ALL SELECT 'smaller', false")
+@query(f"""WITH {_GRID}, o AS (SELECT 'itself' AS other, j, i, x, y FROM g UNION ALL SELECT 'moved a little', j, i, x + 1e-9, y FROM g UNION ALL SELECT 'moved', j, i, x, y + 0.1 FROM g UNION ALL SELECT 'smaller', j, i, x, y FROM g WHERE i > 0)
+  SELECT other, count(*) = (SELECT count(*) FROM g) AND max(greatest(abs(o.x - g.x), abs(o.y - g.y))) < 1e-6 AS same FROM o JOIN g USING (j, i) GROUP BY 1""")
 def same_grids(spark, d):
-    g = _grid(spark)
+    g = _grid(spark, d)
     others = {"itself": g, "moved a little": g.withColumn("x", F.col("x") + 1e-9), "moved": g.withColumn("y", F.col("y") + 0.1), "smaller": g.filter("i > 0")}
     out = None
     for name, other in others.items():
@@ -129,9 +133,11 @@ def _field_mesh(spark):
     return regrid.corners(cells.withColumns({"x": F.col("i") * 12.0 - 180, "y": F.col("j") * 8.0 - 80}), 20, 30)
 
 
-@query("SELECT CAST(n AS INT) AS n, CASE WHEN n < 30 THEN n * 12.0 - 186 WHEN n < 50 THEN 174 WHEN n < 80 THEN 174 - (n - 50) * 12.0 ELSE -186 END::DOUBLE AS x, CASE WHEN n < 30 THEN -84 WHEN n < 50 THEN (n - 30) * 8.0 - 84 WHEN n < 80 THEN 76 ELSE 76 - (n - 80) * 8.0 END::DOUBLE AS y FROM range(100) r(n)")
+@query(f"""WITH {_MESH} SELECT CAST(n AS INT) AS n, {_XY} FROM (
+  SELECT i AS n, x, y FROM mesh WHERE j = 0 AND i < {NI} UNION ALL SELECT {NI} + j, x, y FROM mesh WHERE i = {NI} AND j < {NJ}
+  UNION ALL SELECT 2 * {NI} + {NJ} - i, x, y FROM mesh WHERE j = {NJ} AND i > 0 UNION ALL SELECT 2 * {NI} + 2 * {NJ} - j, x, y FROM mesh WHERE i = 0 AND j > 0)""")
 def grid_envelope(spark, d):
-    return _xy(regrid.envelope(_field_mesh(spark)), "n")
+    return _xy(regrid.envelope(regrid.corners(_grid(spark, d), NJ, NI)), "n")
 
 
 @query(with_("buoys", "SELECT buoy, lon * 1.1::DOUBLE > -186 AND lon * 1.1::DOUBLE < 174 AND lat * 1.1::DOUBLE > -84 AND lat * 1.1::DOUBLE < 76 AS inside FROM buoys"))
@@ -234,7 +240,7 @@ def _moved(spark, d):
   f AS (SELECT buoy, any_value(az * (1 - u - w) + bz * u + cz * w) AS value FROM h WHERE u >= 0 AND w >= 0 AND u + w <= 1 GROUP BY 1) SELECT buoy, round(value, 4) AS value FROM q LEFT JOIN f USING (buoy)"""))
 def scattered_linear(spark, d):
     at = buoys(spark, d).select("buoy", (F.col("lon") * 0.97 + 0.123).alias("x"), (F.col("lat") * 0.97 + 0.321).alias("y"))
-    return scatter.linear(_moved(spark, d), at, "buoy", 30.0).select("buoy", F.round("value", 4).alias("value"))
+    return scatter.linear(_moved(spark, d), at, "buoy").select("buoy", F.round("value", 4).alias("value"))
 
 
 @query(with_("stations", f"""&{_TRIANGLES}, q AS (SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, i * 30.0::DOUBLE - 165.37::DOUBLE AS x, j * 20.0::DOUBLE - 70.91::DOUBLE AS y FROM range(8) a(j), range(12) b(i)),

@@ -12,7 +12,7 @@ from halocline.operators import kriging, points, profiles as prof, sections, sel
 from halocline.operators.cut import shared_folder
 from halocline.plans.inputs import buoys, field, masked, profiles, r6, series, stations, table, with_
 from halocline.plans.registry import register
-from halocline.sources import files
+from halocline.sources import dated, files
 from halocline.sources.bank import Bank
 from halocline.sources.dataset import Dataset, append_missing, open_dataset
 
@@ -330,12 +330,43 @@ def namelist_file(spark, d):
     return files.read(spark, path, "namelist").select("name", "key", "value")
 
 
-@query("SELECT strftime(t, 'run_%Y%m%d.nc') AS name FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-27', TIMESTAMP '2024-03-02', INTERVAL 1 DAY)) AS t)")
+@query("SELECT DISTINCT strftime(ts, 'run_%Y%m%d.nc') AS name FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), max(ts), INTERVAL 1 DAY)) AS ts FROM events)")
 def dated_files(spark, d):
+    """Names of the files of a day each from the first event to the last."""
+    lo, hi = table(spark, d, "events").agg(F.min(F.date_trunc("day", "ts")), F.max("ts")).first()
+    found = files.dated_names("run_%Y%m%d.nc", lo, hi)
+    return spark.createDataFrame([(n,) for n in found], "name string")
+
+
+def _runs(spark, d):
+    """A forecast a day, over that day and the next: the folder of its files. Values of the second day are off by 1000."""
+    path = _folder(spark, "runs")
+    e = table(spark, d, "events").select("event_id", "ts", "value")
+    both = e.withColumn("lead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("day", F.date_sub(F.col("ts").cast("date"), F.col("lead")))
+    both = both.select("event_id", "ts", (F.col("value") + 1000 * F.col("lead")).alias("value"), F.concat(F.lit("run_"), F.date_format("day", "yyyyMMdd")).alias("file"))
+    both.repartition("file").write.partitionBy("file").parquet(path)
+    return path
+
+
+_SPAN = "ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts <= TIMESTAMP '2024-01-09 18:00:00'"
+
+
+@query(f"SELECT event_id, ts, round(value, 6) AS value, CAST(date_trunc('day', ts) AS TIMESTAMP) AS file_date FROM events WHERE {_SPAN}")
+def dated_scan(spark, d):
+    """The best estimate of some days from forecasts that overlap; files of other days are not opened."""
     from datetime import datetime
 
-    found = files.dated_names("run_%Y%m%d.nc", datetime(2024, 2, 27), datetime(2024, 3, 2))
-    return spark.createDataFrame([(n,) for n in found], "name string")
+    found = dated.scan(spark, _runs(spark, d), "file=run_%Y%m%d", "ts", datetime(2024, 1, 5, 6), datetime(2024, 1, 9, 18))
+    return found.select("event_id", "ts", r6("value").alias("value"), "file_date")
+
+
+@query(f"SELECT event_id, round(value + 1000 * n, 6) AS value, CAST(date_trunc('day', ts) - to_days(CAST(n AS INT)) AS TIMESTAMP) AS file_date FROM events, (SELECT unnest([0, 1]) AS n) WHERE {_SPAN}")
+def dated_scan_of_all_runs(spark, d):
+    """Without cutting: every forecast that holds the time."""
+    from datetime import datetime
+
+    found = dated.scan(spark, _runs(spark, d), "file=run_%Y%m%d", "ts", datetime(2024, 1, 5, 6), datetime(2024, 1, 9, 18), cut=False)
+    return found.select("event_id", r6("value").alias("value"), "file_date")
 
 
 @query("SELECT * FROM (VALUES ('a_%Y.nc', 'year', 'a_[0-9][0-9][0-9][0-9].nc'), ('b_%m%d%H', 'hour', 'b_[0-1][0-9][0-3][0-9][0-2][0-9]'), ('plain', NULL, 'plain')) q(pattern, unit, \"glob\")")

@@ -27,11 +27,19 @@ def test_nearest_knows_poles_and_the_date_line(spark):
     assert all(r["distance"] == pytest.approx(best[r["p"]][0], rel=1e-9) for r in got)
 
 
+def triangles(x, y, tx, ty):
+    """Corners, -1 outside the hull, and weights, by all points for every target."""
+    far = 1e4 * (np.ptp(x) + np.ptp(y) + np.ptp(tx) + np.ptp(ty))
+    tri, w, *_ = scatter.enclosing(x[None, :] - tx[:, None], y[None, :] - ty[:, None], far)
+    tri[(tri >= len(x)).any(1)] = -1
+    return tri, w
+
+
 def test_triangles_are_those_of_empty_circles():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=40), rng.normal(size=40)
     tx, ty = rng.normal(size=200), rng.normal(size=200)
-    tri, w = scatter.triangles(x, y, tx, ty)
+    tri, w = triangles(x, y, tx, ty)
     inside = tri[:, 0] >= 0
     assert 80 < inside.sum() < 200
     for t, k in zip(tri[inside], np.flatnonzero(inside), strict=True):
@@ -43,19 +51,34 @@ def test_triangles_are_those_of_empty_circles():
         assert (w[k] @ x[t], w[k] @ y[t]) == (pytest.approx(tx[k]), pytest.approx(ty[k]))
 
 
-@pytest.mark.parametrize("size", [0.3, 1.0, 50.0])
-def test_linear_is_the_same_for_all_squares(spark, size):
+@pytest.mark.parametrize(("near", "more"), [(3, 1), (8, 4), (24, 8), (500, 8)])
+def test_linear_is_the_same_however_few_points_are_met(spark, near, more):
     rng = np.random.default_rng(2)
     x, y = rng.uniform(0, 5, 120), rng.uniform(0, 5, 120)
     z, at = np.sin(x) + y, rng.uniform(-0.5, 5.5, (80, 2))
-    tri, w = scatter.triangles(x, y, at[:, 0], at[:, 1])
+    tri, w = triangles(x, y, at[:, 0], at[:, 1])
     truth = [None if t[0] < 0 else float(v @ z[t]) for t, v in zip(tri, w, strict=True)]
     p = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z}))
-    t = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)], "id int, x double, y double")
-    got = {r["id"]: r["value"] for r in scatter.linear(p, t, "id", size).collect()}
+    t = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)] + [(99, None, 1.0)], "id int, x double, y double")
+    got = {r["id"]: r["value"] for r in scatter.linear(p, t, "id", near, more=more).collect()}
+    assert got.pop(99) is None
     assert got == {k: v if v is None else pytest.approx(v) for k, v in enumerate(truth)}
 
 
+def test_thin_triangles_of_a_crowded_set(spark):
+    """Most points in one small place and a sparse rim: triangles at the hull are thin, their circles wide."""
+    rng = np.random.default_rng(8)
+    a = np.linspace(0, 2 * np.pi, 40, endpoint=False) + rng.uniform(0, 0.1, 40)
+    x = np.r_[rng.normal(0.3, 0.001, 1500), 50 * np.cos(a), rng.uniform(-20, 20, 30)]
+    y = np.r_[rng.normal(-0.2, 0.001, 1500), 50 * np.sin(a), rng.uniform(-20, 20, 30)]
+    z, at = x - 2 * y + np.cos(x), np.r_[rng.uniform(-45, 45, (60, 2)), rng.normal([0.3, -0.2], 0.002, (40, 2))]
+    tri, w = triangles(x, y, at[:, 0], at[:, 1])
+    truth = {k: None if t[0] < 0 else pytest.approx(float(v @ z[t]), rel=1e-6, abs=1e-6) for k, (t, v) in enumerate(zip(tri, w, strict=True))}
+    p = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z}))
+    t = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)], "id int, x double, y double")
+    assert {r["id"]: r["value"] for r in scatter.linear(p, t, "id").collect()} == truth
+
+
 def test_kriging_of_crowded_places(spark):
     """A third of all points in one small place, and many at one point: systems stay small, and estimates meet the points."""
     rng = np.random.default_rng(4)
