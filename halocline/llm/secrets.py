@@ -1,10 +1,10 @@
 """Secret scan: known patterns, and strings whose characters are too evenly spread to be words.
 
-DataFrame functions only. Where no base span and no sample word stands, a run of 20 or more key characters is a
-candidate. Of each character class it belongs to (hex digits, base64 letters) a window of 20 characters slides over
-it; the counts of the characters in the window are updated by the one that enters and the one that leaves, and with
-them the Shannon entropy. A candidate is a secret if a window's entropy reaches its class's threshold, unless the
-allow-list knows it. Every pattern is matched without a step back over a repeated group, in time and stack that do not
+DataFrame functions only. Where no base span and no word with a sample in it stands, a run of 20 or more key characters
+is a candidate. Over each of its longest runs of a character class (hex digits, base64 letters) a window of 20
+characters slides; the counts of the characters in the window are updated by the one that enters and the one that
+leaves, and with them the Shannon entropy. A candidate is a secret if a window's entropy reaches its class's threshold,
+unless the allow-list knows it. Every pattern is matched without a step back over a repeated group, in time and stack that do not
 grow with what it repeats.
 """
 
@@ -23,16 +23,18 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 WINDOW = 20
-#: class name, whole-candidate pattern, entropy in bits a character that a window must reach
-CLASSES = [("hex", "^[0-9a-fA-F]+$", 3.0), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.8)]
-#: A word that says that what stands beside it is no sample itself, as in a path: candidates end there.
-SAMPLE_WORD = r"\b(?:EXAMPLE|example)\b"
-#: Candidates that are no secrets: words, numbers, lines of signs, UUIDs, samples, words joined by hyphens or slashes.
+#: class name, longest runs of it, entropy in bits a character that a window must reach
+CLASSES = [("hex", r"[0-9a-fA-F]{20,}+", 3.0), ("base64", r"[A-Za-z0-9+/_=-]{20,}+", 3.8)]
+#: What a run must have as well: digits alone are a number, letters alone a word.
+MIXED = r"^(?=[0-9]*+[A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])"
+#: Words with a sample in them are no secrets, and candidates end there. What stands beside them is judged on its own.
+SAMPLE = "EXAMPLE|example|0123456789|abcdefghij"
+SAMPLE_WORD = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*?(?:{SAMPLE}))[A-Za-z0-9]++"
+#: Candidates that are no secrets: words, numbers, lines of signs, UUIDs, words joined by hyphens or slashes.
 ALLOWED = [
     "^[A-Za-z_=+/-]*+$",
     "^[0-9_=+/-]*+$",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "EXAMPLE|example|0123456789|abcdefghij",
     "^[A-Za-z]++(?:[/_=-]++[A-Za-z0-9]{1,4}+)++$",
     "^(?:[A-Za-z]++|[0-9]++)(?:[/_=-]++(?:[A-Za-z]++|[0-9]++))*+$",
 ]
@@ -112,20 +114,22 @@ def _suspect(match: Column) -> Column:
     for pattern in ALLOWED:
         allowed = allowed | match.rlike(pattern)
 
-    def high(entropy: Column) -> Column:
-        found = F.lit(False)
-        for _, whole, least in CLASSES:
-            found = found | (match.rlike(whole) & (entropy >= least))
-        return found
 
-    return ~allowed & F.exists(F.array(max_entropy(match)), high)
+    def high(run: str, least: float) -> Column:
+        runs = F.filter(F.regexp_extract_all(match, F.lit(run), F.lit(0)), lambda r: r.rlike(MIXED))
+        return F.exists(runs, lambda r: max_entropy(r) >= least)
+
+    found = F.lit(False)
+    for _, run, least in CLASSES:
+        found = found | high(run, least)
+    return ~allowed & found
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """Adds ``out``, array<struct<start, kind, end, match>> sorted by start, then kind, to every row.
 
-    kind is an index of KINDS. Candidates are sought in what base spans and sample words leave of the text, so they
-    touch none. A null text is as an empty one: no spans. Texts are scanned whole, whatever their length; repeated rows
+    kind is an index of KINDS. Candidates are sought in what base spans and words with a sample leave of the text, so
+    they touch none. A null text is as an empty one: no spans. Texts are scanned whole, whatever their length; repeated rows
     stay, each scanned alike; of spans that start together the base one comes first. An empty table gives no rows. A
     column named ``out`` is replaced; no other is touched.
     """
@@ -134,7 +138,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans")
     assign = F.filter(s["assign"], lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
     base = hits.withColumn(out, F.array_sort(F.concat(assign, s["access"], s["hex"])))
     # what is blanked is as long as before, so that positions hold
-    left = F.when(t.rlike(SAMPLE_WORD), F.regexp_replace(blanked(t, s), SAMPLE_WORD, " " * len("example"))).otherwise(blanked(t, s))
+    samples = F.when(t.rlike(SAMPLE), F.array_sort(F.concat(s, spans_of(t, SAMPLE_WORD, len(KINDS))))).otherwise(s)
+    left = blanked(t, samples)
     rest = F.filter(spans_of(left, CANDIDATE, 3), lambda x: _suspect(x["match"]))
     return base.withColumn(out, F.array_sort(F.concat(s, rest)))
 

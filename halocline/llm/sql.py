@@ -44,15 +44,15 @@ FROM r
 
 
 # As the operator should have them, written once more.
-_COPYRIGHT_LINE = r"(^|\n)[\t *#/;-]*(copyright |\(c\)|©|all rights reserved)[^\n]*"
+_COPYRIGHT_LINE = r"(^|\n)[\t *#/;-]*(?:copyright\b[^\n]*(?:\(c\)|©|\b[12][0-9]{3}\b|\[yyyy\]|<year>)|\(c\) *(?:copyright|[12][0-9]{3}|<year>)|©|all rights reserved[^a-z\n]*(?:\n|$))[^\n]*"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—•]+"
 _SPELLINGS = """licence=license licences=licenses licenced=licensed sub_license=sublicense sub_licence=sublicense sublicence=sublicense acknowledgement=acknowledgment
 analogue=analog authorisation=authorization authorised=authorized favour=favor favourite=favorite fulfil=fulfill non_infringement=noninfringement organisation=organization
 recognised=recognized while=whilst copyright_holder=copyright_owner copyright_holders=copyright_owners https=http v2_0=version_2_0 v3=version_3"""
 
 
-def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_q(_COPYRIGHT_LINE)}, '\\1', 'g')"
+def _canonical(text: str, notices: bool = False) -> str:
+    out = f"lower({text})" if notices else f"regexp_replace(lower({text}), {_q(_COPYRIGHT_LINE)}, '\\1', 'g')"
     out = f"' ' || regexp_replace({out}, {_q(_SEPARATORS)}, '  ', 'g') || ' '"
     for pair in _SPELLINGS.split():
         there, instead = (x.replace("_", "  ") for x in pair.split("="))
@@ -61,21 +61,21 @@ def _canonical(text: str) -> str:
 
 
 LICENSE_SQL = f"""
-WITH known AS (SELECT sha256({_canonical("text")}) AS d, min(license_id) AS license_id
-               FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in [*licenses.LICENSES.items(), *licenses.published()])}) v(license_id, text) GROUP BY 1),
+WITH texts AS (FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in [*licenses.LICENSES.items(), *licenses.published()])}) v(license_id, text)),
+known AS (SELECT sha256(form) AS d, min(license_id) AS license_id FROM (SELECT license_id, {_canonical("text")} AS form FROM texts UNION ALL SELECT license_id, {_canonical("text", True)} FROM texts) WHERE form <> '' GROUP BY 1),
 rows AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-whole AS (SELECT rid, doc_id, sha256({_canonical("coalesce(text, '')")}) AS license_digest FROM rows),
+whole AS (SELECT rid, doc_id, sha256({_canonical("coalesce(text, '')")}) AS license_digest, sha256({_canonical("coalesce(text, '')", True)}) AS full_digest FROM rows),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows),
 hits AS (SELECT DISTINCT rid, license_id FROM lines JOIN known ON sha256({_canonical("line")}) = d),
 notices AS (SELECT rid, string_agg(license_id, ',' ORDER BY license_id) AS notices FROM hits GROUP BY 1)
-SELECT doc_id, license_digest, license_id, coalesce(notices, '') AS notices
-FROM whole w LEFT JOIN known ON license_digest = d LEFT JOIN notices USING (rid)
+SELECT doc_id, license_digest, coalesce(a.license_id, b.license_id) AS license_id, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known a ON license_digest = a.d LEFT JOIN known b ON full_digest = b.d LEFT JOIN notices USING (rid)
 """
 
 # The patterns and bounds of the SQL are its own, so that a change of the operator's shows.
 _ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ALLOWED = [
-    "^[A-Za-z_=+/-]*$", "^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "EXAMPLE|example|0123456789|abcdefghij",
+    "^[A-Za-z_=+/-]*$", "^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[A-Za-z]+([/_=-]+[A-Za-z0-9]{1,4})+$", "^([A-Za-z]+|[0-9]+)([/_=-]+([A-Za-z]+|[0-9]+))*$",
 ]
 _suspect = " AND ".join(f"NOT regexp_matches(m, {_q(p)})" for p in _ALLOWED)
@@ -85,24 +85,27 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 {_spans("s0", 0, _ASSIGN)},
 {_spans("s1", 1, "AKIA[A-Z0-9]{12,}")},
 {_spans("s2", 2, "[0-9a-f]{32,}")},
+{_spans("s4", 4, "[A-Za-z0-9]*(?:EXAMPLE|example|0123456789|abcdefghij)[A-Za-z0-9]*")},
 base AS (
   SELECT rid, kind, a, a + length(m) AS e FROM s0 WHERE length(regexp_extract(m, {_q(_ASSIGN)}, 2)) >= 8
   UNION ALL SELECT rid, kind, a, a + length(m) FROM s1 UNION ALL SELECT rid, kind, a, a + length(m) FROM s2),
-ends AS (SELECT rid, kind, a, e, coalesce(max(e) OVER (PARTITION BY rid ORDER BY a, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM base),
+ends AS (SELECT rid, kind, a, e, coalesce(max(e) OVER (PARTITION BY rid ORDER BY a, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM (SELECT * FROM base UNION ALL SELECT rid, kind, a, a + length(m) FROM s4)),
 gone AS (
   SELECT rid, string_agg(substr(text, CAST(upto + 1 AS BIGINT), CAST(greatest(a - upto, 0) AS BIGINT)) || repeat(' ', CAST(greatest(e - greatest(a, upto), 0) AS BIGINT)), '' ORDER BY a, kind, e) AS front, max(e) AS upto
   FROM ends JOIN t USING (rid) GROUP BY rid),
-rest AS (
-  SELECT rid, regexp_replace(CASE WHEN front IS NULL THEN text ELSE front || substr(text, CAST(upto + 1 AS BIGINT)) END, '\\b(?:EXAMPLE|example)\\b', '       ', 'g') AS text
-  FROM t LEFT JOIN gone USING (rid)),
+rest AS (SELECT rid, CASE WHEN front IS NULL THEN text ELSE front || substr(text, CAST(upto + 1 AS BIGINT)) END AS text FROM t LEFT JOIN gone USING (rid)),
 {_spans("s3", 3, "[A-Za-z0-9+/_=-]{20,}", "rest")},
-windows AS (SELECT rid, i, a, m, unnest(range(1, length(m) - 18)) AS w FROM s3 WHERE {_suspect}),
+runs AS (
+  SELECT rid, i, a, m, r, least FROM (
+    SELECT rid, i, a, m, unnest(regexp_extract_all(m, '[0-9a-fA-F]{{20,}}')) AS r, 3.0 AS least FROM s3 WHERE {_suspect}
+    UNION ALL SELECT rid, i, a, m, m, 3.8 FROM s3 WHERE {_suspect})
+  WHERE regexp_matches(r, '[0-9]') AND regexp_matches(r, '[^0-9]')),
+windows AS (SELECT *, unnest(range(1, length(r) - 18)) AS w FROM runs),
 chars AS (
-  SELECT rid, i, a, m, w, c, count(*) AS n
-  FROM (SELECT *, unnest(string_split(substr(m, w, 20), '')) AS c FROM windows) GROUP BY ALL),
-entropies AS (SELECT rid, i, a, m, w, -sum(n / 20.0 * log2(n / 20.0)) AS h FROM chars GROUP BY ALL),
-best AS (SELECT rid, a, m, max(h) AS best FROM entropies GROUP BY rid, i, a, m),
-high AS (SELECT rid, 3 AS kind, a, a + length(m) AS e FROM best WHERE (regexp_matches(m, '^[0-9a-fA-F]+$') AND best >= 3.0) OR best >= 3.8),
+  SELECT rid, i, a, m, r, least, w, c, count(*) AS n
+  FROM (SELECT DISTINCT rid, i, a, m, r, least, w FROM windows) x, LATERAL (SELECT unnest(string_split(substr(x.r, CAST(x.w AS BIGINT), 20), '')) AS c) u GROUP BY ALL),
+entropies AS (SELECT rid, i, a, m, least, r, w, -sum(n / 20.0 * log2(n / 20.0)) AS h FROM chars GROUP BY ALL),
+high AS (SELECT rid, 3 AS kind, a, a + length(m) AS e FROM entropies GROUP BY rid, i, a, m HAVING max(h - least) >= -1e-12),
 found AS (
   SELECT rid, kind, a, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(e AS BIGINT) AS s
   FROM (SELECT * FROM base UNION ALL SELECT * FROM high)),

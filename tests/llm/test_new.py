@@ -9,12 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.llm import clusters, queries, runindex, tries
-from tests.compare import same
+from halocline.llm import clusters, runindex, tries
 from tests.llm.conftest import MESSY
 
-DATA = "/root/testdata/sf0.001"
-
 
 def repeats_by_hand(rows, length):
     """rows: (doc_id, bytes) in order."""
@@ -232,8 +229,3 @@ def test_louds_round_trip():
                 below.append(i)
         assert total[place] == len(below)
     assert len(bits) == -(-401 // 8) and len(labels) == 200
-
-
-@pytest.mark.parametrize("name", ["op11_run_length_index", "op12_sort_means", "op13_prefix_tries"])
-def test_new_queries_match_sql(spark, name):
-    same(spark, queries.QUERIES[name], queries.ORACLE[name], DATA)

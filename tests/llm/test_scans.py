@@ -57,6 +57,22 @@ def test_sample_words_and_base_spans_end_candidates(spark):
 LONG_SECRETS = ["x " + "a-1-" * 100_000 + " y", "x " + "ab/" * 50_000 + "1 y", "a1_" * 60_000 + "=", "'" * 100_000 + "token=" * 20_000]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("example_q7Zt9KxV2mLw8RbNc4YhJd6TfGs1", "_q7Zt9KxV2mLw8RbNc4YhJd6TfGs1"),
+        ("myexample-q7Zt9KxV2mLw8RbNc4YhJd6TfGs1", "-q7Zt9KxV2mLw8RbNc4YhJd6TfGs1"),
+        ("0123456789/q7Zt9KxV2mLw8RbNc4YhJd6TfGs1", "/q7Zt9KxV2mLw8RbNc4YhJd6TfGs1"),
+        ("sig-9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "sig-9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"),
+        ("run 20240101-9f86d081884c7d659a2feaa0c55ad0 end", "20240101-9f86d081884c7d659a2feaa0c55ad0"),
+        ("order-20240101123456789012-of-2024", None),
+        ("q7Zt9KxVexample2mLw8RbNc4YhJd6TfGs1", None),
+    ],
+)
+def test_samples_and_prefixes_hide_no_secret(spark, text, found):
+    assert spans(spark, text)[0] == ([] if found is None else [("entropy", found)])
+
+
 @pytest.mark.parametrize("text", LONG_SECRETS, ids=range(len(LONG_SECRETS)))
 def test_long_runs_of_groups_end(spark, text):
     assert spans(spark, text)[1] is not None

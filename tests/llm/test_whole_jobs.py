@@ -1,10 +1,12 @@
 """Operators do the whole of their job: cases that an earlier cut left out."""
 
 import random
+import re
 from importlib import resources
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from halocline.llm import jaccard, licenses, pii
 from tests.llm.test_pairs import brute_classes, word_sets
@@ -73,3 +75,27 @@ def test_licences_as_published(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
     assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_licences_wrapped_at_any_width(spark, most):
+    """Paragraphs filled anew at all widths, behind a copyright line where the licence has none of its own."""
+    import textwrap
+
+    rows = []
+    for name, text in licenses.published():
+        text = text if name not in licenses.SHORT else text.replace("\n", "\n\n")
+        for width in range(40, 121) if most else (40, 77, 120):
+            paragraphs = ["\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in re.split(r"\n\s*\n", text)]
+            by = "Copyright (c) 2019-2024, Some One <one@example.org>\n\n" if name in licenses.SHORT else ""
+            rows.append((name, by + "\n\n".join(paragraphs)))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs, licenses.known_licenses(spark), most=most).collect()}
+    assert [(rows[i][0], i) for i in range(len(rows)) if got[i] != rows[i][0]] == []
+
+
+def test_only_notices_are_dropped(spark):
+    lines = ["copyright notice and this permission notice", "(c) you must retain", "copyright 2020 some one", "(c) 2020 some one", "© some one", "# all rights reserved.", "all rights reserved by law stay", "copyright (c) some one", "copyrighted material"]
+    df = spark.createDataFrame([(i, f"a\n{x}\nb") for i, x in enumerate(lines)], "i int, t string")
+    kept = {r["i"] for r in df.filter(licenses.without_notices(F.col("t"))== F.col("t")).collect()}
+    assert kept == {0, 1, 6, 8}
