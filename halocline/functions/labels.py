@@ -56,6 +56,24 @@ def change_location(name: str, place: str | None) -> str:
     return base if place is None else f"{base}_{place}"
 
 
+PLACE = "(?:_at_([tuvwf])_location|_([tuvwf]))$"
+
+
+def place(name: Column) -> Column:
+    """Place on a grid that a variable's name ends with, temp_u and temp_at_u_location; null if it has none."""
+    both = F.concat(F.regexp_extract(name, PLACE, 1), F.regexp_extract(name, PLACE, 2))
+    return F.when(both != "", both)
+
+
+def base_name(name: Column) -> Column:
+    """Without the place."""
+    return F.regexp_replace(name, PLACE, "")
+
+
+def at_place(name: Column, place_: str) -> Column:
+    return F.concat(base_name(name), F.lit(f"_{place_}"))
+
+
 def phase(c: Column, kind: str | None = None, decimals: int | None = None, seconds: bool = True) -> Column:
     """Degrees as 12°30'15''; with ``decimals`` as 12.5°. kind: lon or lat adds E, W, N or S, else a sign stays."""
     size = F.abs(c)

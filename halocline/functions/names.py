@@ -6,6 +6,9 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from halocline.functions.labels import base_name
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,20 @@ def matches(column: str, metadata: dict, name: str) -> bool:
     return bool(spec.long_name) and str(metadata.get("long_name", "")).lower() == spec.long_name.lower()
 
 
+def matching(df: DataFrame, column: str, wanted: str, out: str = "matches") -> DataFrame:
+    """Adds whether the name in ``column`` is one by which the variable in ``wanted`` goes, by its id or standard name,
+    whatever the case and the place on a grid. A name that is not registered is matched as it is."""
+    rows = [(k, i.lower()) for k, spec in REGISTRY.items() for i in dict.fromkeys([*spec.ids, *spec.standard])]
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, "_wanted string, _id string").distinct())  # the registry
+    told = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in REGISTRY], "_told string"))
+    joined = df.withColumns({"_name": F.lower(F.col(column)), "_base": base_name(F.lower(F.col(column)))})
+    joined = joined.join(known, (F.col("_wanted") == F.col(wanted)) & (F.col("_id") == F.col("_name")), "left").withColumn("_own", F.col("_id").isNotNull()).drop("_wanted", "_id")
+    joined = joined.join(known, (F.col("_wanted") == F.col(wanted)) & (F.col("_id") == F.col("_base")), "left").withColumn("_placed", F.col("_id").isNotNull()).drop("_wanted", "_id")
+    joined = joined.join(told, F.col("_told") == F.col(wanted), "left")
+    same = (F.col("_name") == F.lower(F.col(wanted))) | (F.col("_base") == F.lower(F.col(wanted)))
+    return joined.withColumn(out, F.when(F.col("_told").isNull(), same).otherwise(F.col("_own") | F.col("_placed"))).drop("_name", "_base", "_own", "_placed", "_told")
+
+
 def find(df: DataFrame, name: str) -> str | None:
     """The column that is the named variable or axis, or None. One that says so by standard name comes first."""
     found = [f for f in df.schema.fields if matches(f.name, f.metadata or {}, name)]

@@ -1,8 +1,9 @@
 """Scattered data: variogram and kriging, cloud by cloud.
 
-A cloud is what lies in a square and the eight around it. Where that is too much for one linear system, targets go on
-with squares half as wide, and take the nearer points only; so every task solves systems of bounded size. Points at one
-place count as their mean.
+``krige_clouds`` halves the points until no cloud is too large for a linear system; a cloud's system is solved once for
+all targets near it, and a target blends the estimates of several clouds by their errors. ``krige`` takes a square and
+the eight around it instead; where that is too much, targets go on with squares half as wide, and take the nearer points
+only. Either way every task solves systems of bounded size. Points at one place count as their mean.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.operators.cut import Steps
+from halocline.operators.neighbours import k_nearest
 
 
 def variogram(df: DataFrame, key: str, width: float, longest: float, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
@@ -48,6 +50,13 @@ def model(kind: str, h, nugget: float, sill: float, reach: float):
     return np.where(r > 0, nugget + (sill - nugget) * shape, 0.0)
 
 
+def model_column(kind: str, h: Column, nugget: float, sill: float, reach: float) -> Column:
+    """As ``model``, of a column."""
+    r = h / reach
+    shape = {"linear": F.least(r, F.lit(1.0)), "exponential": 1 - F.exp(-3 * r), "spherical": F.when(r < 1, 1.5 * r - 0.5 * r * r * r).otherwise(1.0), "gaussian": 1 - F.exp(-3 * r * r)}[kind]
+    return F.when(r > 0, nugget + (sill - nugget) * shape).otherwise(0.0)
+
+
 def equal_count_bins(df: DataFrame, key: str, longest: float, bins: int = 30, x: str = "x", y: str = "y", value: str = "z", accuracy: int | None = None) -> DataFrame:
     """A variogram whose bins hold equally many pairs of up to ``longest`` apart: bin, distance, gamma, pairs.
 
@@ -109,18 +118,8 @@ def krige(points: DataFrame, targets: DataFrame, key: str, size: float, kind: st
         if not len(mine):
             return pd.DataFrame({"key": there["key"], "value": np.nan, "error": np.nan})
         a, at, z = mine[["x", "y"]].to_numpy(), there[["x", "y"]].to_numpy(), mine["z"].to_numpy()
-        between = model(kind, np.hypot(a[:, None, 0] - a[None, :, 0], a[:, None, 1] - a[None, :, 1]), nugget, sill, reach)
-        to = model(kind, np.hypot(a[:, None, 0] - at[None, :, 0], a[:, None, 1] - at[None, :, 1]), nugget, sill, reach)
-        n = len(a)
-        if mean is not None:  # covariances, which fall from the sill
-            weights = np.linalg.solve(sill - between, sill - to)
-            error = np.sqrt(np.maximum(sill - (weights * (sill - to)).sum(0), 0))
-            return pd.DataFrame({"key": there["key"], "value": mean + weights.T @ (z - mean), "error": error})
-        system, right = np.ones((n + 1, n + 1)), np.ones((n + 1, len(there)))
-        system[:n, :n], right[:n], system[n, n] = between, to, 0
-        weights = np.linalg.solve(system, right)
-        error = np.sqrt(np.maximum((weights * right).sum(0), 0))
-        return pd.DataFrame({"key": there["key"], "value": weights[:n].T @ z, "error": error})
+        value_, variance = estimates(a, z, np.zeros(len(a)), at, kind, nugget, sill, reach, mean)
+        return pd.DataFrame({"key": there["key"], "value": value_, "error": np.sqrt(variance)})
 
     while True:
         cells = p.groupBy(square("x", side).alias("cx"), square("y", side).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
@@ -140,6 +139,81 @@ def krige(points: DataFrame, targets: DataFrame, key: str, size: float, kind: st
     return out.select(F.col("key").alias(key), nan("value"), nan("error"))
 
 
+TURN = 0.7  # the axes that clouds are halved on are turned by so much, so that points of a grid do not share a coordinate
+
+
+def split_clouds(points: DataFrame, most: int, steps: Steps) -> DataFrame:
+    """``points`` (x, y, no two at one place) with ``cloud``, of ``most`` points or fewer.
+
+    Clouds that are too large are halved at the median of their longer axis, all in one round; medians are quantiles of
+    bounded error, so halves differ by a few points.
+    """
+    c, s = float(np.cos(TURN)), float(np.sin(TURN))
+    rows = steps.write(points.withColumns({"_u": F.col("x") * c + F.col("y") * s, "_v": F.col("y") * c - F.col("x") * s, "cloud": F.lit(0).cast("long")}))
+    depth = 0
+    while True:
+        sizes = rows.groupBy("cloud").agg(F.count(F.lit(1)).alias("_n"), (F.max("_u") - F.min("_u") >= F.max("_v") - F.min("_v")).alias("_long"), F.percentile_approx("_u", 0.5, 10_000).alias("_mu"), F.percentile_approx("_v", 0.5, 10_000).alias("_mv"))
+        large = steps.write(sizes.filter(F.col("_n") > most))
+        if large.isEmpty():
+            return rows.drop("_u", "_v")
+        # 2 to the power of the round is how many there are at most
+        joined = rows.join(F.broadcast(large) if depth < 16 else large, "cloud", "left")
+        upper = F.when(F.col("_long"), F.col("_u") > F.col("_mu")).otherwise(F.col("_v") > F.col("_mv"))
+        rows = steps.write(joined.withColumn("cloud", F.col("cloud") * 2 + F.coalesce(upper.cast("long"), F.lit(0))).select(rows.columns))
+        depth += 1
+
+
+def estimates(a: np.ndarray, z: np.ndarray, e: np.ndarray, at: np.ndarray, kind: str, nugget: float, sill: float, reach: float, mean: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Values and variances at ``at`` from points ``a`` of values ``z`` and errors ``e``: ordinary, or simple about ``mean``."""
+    apart = lambda p, q: np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+    between, to = model(kind, apart(a, a), nugget, sill, reach), model(kind, apart(a, at), nugget, sill, reach)
+    n = len(a)
+    if mean is not None:  # covariances, which fall from the sill
+        weights = np.linalg.solve(sill - between + np.diag(e * e), sill - to)
+        return mean + weights.T @ (z - mean), np.maximum(sill - (weights * (sill - to)).sum(0), 0)
+    system, right = np.ones((n + 1, n + 1)), np.ones((n + 1, len(at)))
+    system[:n, :n], right[:n], system[n, n] = between - np.diag(e * e), to, 0
+    weights = np.linalg.solve(system, right)
+    return weights[:n].T @ z, np.maximum((weights * right).sum(0), 0)
+
+
+def krige_clouds(points: DataFrame, targets: DataFrame, key: str, kind: str, nugget: float, sill: float, reach: float, most: int = 1000, clouds: int = 4, x: str = "x", y: str = "y", value: str = "z",
+                 error: str | None = None, mean: float | None = None, at_once: int = 5000) -> DataFrame:
+    """Kriging of ``points`` at ``targets`` (key, x, y) from clouds of ``most`` points: key, value, error.
+
+    Ordinary, or simple about a known ``mean``, which is also the value far from all points. ``error``: a column of the
+    points' errors of observation, null as none: they add to the variance of a point with itself. A target takes its
+    ``clouds`` nearest clouds by their centres; their values are weighted by 1 / variance^2, and the variances of the
+    result add up as such weights. Points at one place count as their mean, and so do their errors. Without any points
+    targets are null, and so are those without a position. A system is solved for ``at_once`` targets.
+    """
+    steps = Steps(points.sparkSession, "krige")
+    e = F.coalesce(F.col(error).cast("double"), F.lit(0.0)) if error else F.lit(0.0)
+    p = points.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    p = p.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.avg(value).alias("z"), F.avg(e).alias("e"))
+    p = split_clouds(p, most, steps)
+    t = steps.write(targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    centres = steps.write(p.groupBy("cloud").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+    near = k_nearest(t, "key", centres, "cloud", clouds).select("key", "cloud")
+    near = steps.write(near.join(t, "key"))
+    parts = near.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / (4 * at_once)).cast("int").alias("parts"))
+    asked = near.join(parts, "cloud").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+    sent = p.join(parts, "cloud").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    kind_ = targets.schema[key].dataType.simpleString()
+
+    def solve(_: tuple, mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(there):
+            return pd.DataFrame({"key": [], "value": [], "weight": []})
+        a, at = mine[["x", "y"]].to_numpy(), there[["x", "y"]].to_numpy()
+        found = [estimates(a, mine["z"].to_numpy(), mine["e"].to_numpy(), at[i : i + at_once], kind, nugget, sill, reach, mean) for i in range(0, len(at), at_once)]
+        value_, variance = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pd.DataFrame({"key": there["key"], "value": value_, "weight": 1 / np.maximum(variance, 1e-9 * sill) ** 2})
+
+    solved = sent.groupBy("cloud", "part").cogroup(asked.groupBy("cloud", "part")).applyInPandas(solve, f"key {kind_}, value double, weight double")
+    blended = solved.groupBy("key").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"), F.pow(F.sum("weight"), F.lit(-0.25)).alias("error"))
+    return t.select("key").join(blended, "key", "left").withColumnRenamed("key", key)
+
+
 def three_gaussians(x: Column, y: Column) -> Column:
     """A smooth test surface: two hills and a hollow."""
     bump = lambda x0, y0, dx, dy, f: f * F.exp(-(F.pow((x - x0) / dx, F.lit(2.0)) + F.pow((y - y0) / dy, F.lit(2.0))))

@@ -126,19 +126,30 @@ def merge_fields(sources: list[DataFrame], value: str) -> DataFrame:
 
 
 def spectrum(field: DataFrame, by: list[str], value: str, dx: float, dy: float) -> DataFrame:
-    """Power of a complete field (j, i) by rings of wavenumber: by, k, power. One field is transformed in one task; fields
-    (times, levels) are dealt out."""
-    def rings(part: pd.DataFrame) -> pd.DataFrame:
-        grid = part.pivot(index="j", columns="i", values=value).to_numpy(float)
-        ny, nx = grid.shape
-        power = np.abs(np.fft.fft2(grid - grid.mean())) ** 2 / (nx * ny) ** 2
-        k = np.hypot(np.fft.fftfreq(nx, dx)[None, :], np.fft.fftfreq(ny, dy)[:, None])
-        ring = np.rint(k * max(nx * dx, ny * dy)).astype(int)
-        total = np.bincount(ring.ravel(), power.ravel())
-        return pd.DataFrame({**{b: part[b].iat[0] for b in by}, "k": np.arange(len(total)) / max(nx * dx, ny * dy), "power": total})
-
-    schema = ", ".join([*[f"`{b}` {field.schema[b].dataType.simpleString()}" for b in by], "k double", "power double"])
-    return field.groupBy(*by).applyInPandas(rings, schema)
+    """Power of complete fields (j, i) by rings of wavenumber: by, k, power. The mean of a field has no power.
+
+    The transform goes along the rows first and then along the columns, so a task holds one line of a field at a time."""
+    kinds = [f"`{b}` {field.schema[b].dataType.simpleString()}" for b in by]
+
+    def rows(part: pd.DataFrame) -> pd.DataFrame:
+        f = np.fft.fft(part.sort_values("i")[value].to_numpy(float))
+        return pd.DataFrame({**{b: part[b].iat[0] for b in by}, "j": part["j"].iat[0], "ki": np.arange(len(f)), "nx": len(f), "re": f.real, "im": f.imag})
+
+    def columns(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("j")
+        f, nx, ki = np.fft.fft(part["re"].to_numpy() + 1j * part["im"].to_numpy()), int(part["nx"].iat[0]), int(part["ki"].iat[0])
+        ny = len(f)
+        power = np.abs(f) ** 2 / (nx * ny) ** 2
+        power[0] *= ki != 0
+        longest = max(nx * dx, ny * dy)
+        ring = np.rint(np.hypot(np.fft.fftfreq(nx, dx)[ki], np.fft.fftfreq(ny, dy)) * longest).astype(int)
+        return pd.DataFrame({**{b: part[b].iat[0] for b in by}, "ring": ring, "longest": longest, "power": power})
+
+    lines = field.groupBy(*by, "j").applyInPandas(rows, ", ".join([*kinds, "j int", "ki int", "nx int", "re double", "im double"]))
+    parts = lines.groupBy(*by, "ki").applyInPandas(columns, ", ".join([*kinds, "ring int", "longest double", "power double"]))
+    found = parts.groupBy(*by, "longest", "ring").agg(F.sum("power").alias("power"))
+    every = found.groupBy(*by, "longest").agg(F.max("ring").alias("last")).withColumn("ring", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    return every.join(found, [*by, "longest", "ring"], "left").select(*by, (F.col("ring") / F.col("longest")).alias("k"), F.coalesce("power", F.lit(0.0)).alias("power"))
 
 
 def wavenumbers(spark, nx: int, ny: int, dx: float, dy: float) -> DataFrame:

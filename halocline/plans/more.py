@@ -139,9 +139,10 @@ def summed_spectrum(spark, d):
     return found.select("level", r6("k").alias("k"), r6("power").alias("power"))
 
 
-@query("SELECT CAST(kj AS INT) AS kj, CAST(ki AS INT) AS ki, round(kx, 9) AS kx, round(ky, 9) AS ky, round(sqrt(kx * kx + ky * ky), 9) AS k FROM (SELECT *, CASE WHEN ki * 2 < 30 THEN ki ELSE ki - 30 END * 2 * pi() / 360 AS kx, CASE WHEN kj * 2 < 20 THEN kj ELSE kj - 20 END * 2 * pi() / 160 AS ky FROM range(20) a(kj), range(30) b(ki))")
+@query(with_("field", "SELECT j AS kj, i AS ki, round(kx, 9) AS kx, round(ky, 9) AS ky, round(sqrt(kx * kx + ky * ky), 9) AS k FROM (SELECT *, CASE WHEN i * 2 < 30 THEN i ELSE i - 30 END * 2 * pi() / 360 AS kx, CASE WHEN j * 2 < 20 THEN j ELSE j - 20 END * 2 * pi() / 160 AS ky FROM field)"))
 def wavenumbers(spark, d):
-    w = sections.wavenumbers(spark, 30, 20, 12.0, 8.0)
+    """Of the field's cells, taken as those of its transform."""
+    w = sections.wavenumbers(spark, 30, 20, 12.0, 8.0).join(field(spark, d).select(F.col("j").alias("kj"), F.col("i").alias("ki")), ["kj", "ki"])
     return w.select("kj", "ki", *[(F.round(c, 9) + 0.0).alias(c) for c in ("kx", "ky", "k")])
 
 
@@ -235,17 +236,21 @@ def formatted_columns(spark, d):
     return spark.createDataFrame([(c, m["standard_name"], m["units"], m["long_name"]) for c, m in told.items()], "name string, standard_name string, units string, long_name string")
 
 
-@query("SELECT * FROM (VALUES ('temp_u', 'u', 'temp_v', 'temp'), ('sal', NULL, 'sal_v', 'sal'), ('ssh_at_t_location', NULL, 'ssh_at_t_location_v', 'ssh'), ('depth_w', 'w', 'depth_v', 'depth')) q(name, place, moved, base)")
+_NAMES = "(SELECT s_suppkey AS station, ['temp_u', 'sal', 'ssh_at_t_location', 'DEPTH_w', 'uvw'][CAST(s_suppkey % 5 + 1 AS INT)] AS name FROM supplier)"
+
+
+@query(f"SELECT station, nullif(regexp_extract(name, '(_at_)?([tuvwf])(_location)?$', 2), '') AS place, regexp_replace(name, '(_at_[tuvwf]_location|_[tuvwf])$', '') || '_v' AS moved, regexp_replace(name, '(_at_[tuvwf]_location|_[tuvwf])$', '') AS base FROM {_NAMES} WHERE name <> 'uvw' AND name <> 'sal' UNION ALL SELECT station, NULL, name || '_v', name FROM {_NAMES} WHERE name IN ('uvw', 'sal')")
 def places_of_names(spark, d):
-    rows = [(n, labels.location_of(n), labels.change_location(n, "v"), names.without_location(n)) for n in ("temp_u", "sal", "ssh_at_t_location", "depth_w")]
-    return spark.createDataFrame(rows, "name string, place string, moved string, base string")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("temp_u", "sal", "ssh_at_t_location", "DEPTH_w", "uvw")]), (F.col("station") % 5 + 1).cast("int"))
+    return stations(spark, d).select("station", labels.place(name).alias("place"), labels.at_place(name, "v").alias("moved"), labels.base_name(name).alias("base"))
 
 
-@query("SELECT * FROM (VALUES ('VOTEMPER', 'temp', true), ('x', 'lon', true), ('votemper', 'sal', false), ('own', 'own', true)) q(name, wanted, matches)")
+@query("SELECT s_suppkey AS station, [true, true, false, true, true, false][CAST(s_suppkey % 6 + 1 AS INT)] AS matches FROM supplier")
 def matched_names(spark, d):
     names.register("swell", names.Spec(("hs", "swell"), ("sea_surface_swell_wave_significant_height",), "m", "Swell"))
-    rows = [(n, w, names.matches(n, {}, w)) for n, w in (("VOTEMPER", "temp"), ("x", "lon"), ("votemper", "sal"), ("own", "own"))]
-    return spark.createDataFrame(rows, "name string, wanted string, matches boolean")
+    pairs = [("VOTEMPER", "temp"), ("x", "lon"), ("votemper", "sal"), ("own", "own"), ("Swell_t", "swell"), ("other", "own")]
+    told = stations(spark, d).select("station", *[F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), (F.col("station") % 6 + 1).cast("int")).alias(c) for i, c in enumerate(("name", "wanted"))])
+    return names.matching(told, "name", "wanted").select("station", "matches")
 
 
 # profiles
@@ -323,10 +328,11 @@ def mean_sea_levels(spark, d):
     return files.mean_sea_level(spark, _station_file(spark, d), (-90.0, -40.0, 90.0, 40.0), inverse=True).withColumn("z", F.round("z", 2))
 
 
-@query("SELECT * FROM (VALUES ('grid', 'nx', '12'), ('grid', 'title', 'a name'), ('time', 'step', '3.5')) q(name, key, value)")
+@query("SELECT lower(replace(s_name, '#', '_')) AS name, unnest(['nation', 'title']) AS key, unnest([CAST(s_nationkey AS VARCHAR), s_name || ', a name']) AS value FROM supplier")
 def namelist_file(spark, d):
     path = _folder(spark, "namelist")
-    spark.createDataFrame([("&grid\n nx = 12,\n title = 'a name' ! said\n/\n&time\n step = 3.5\n/\n",)], "value string").coalesce(1).write.text(path)
+    group = F.format_string("&%s\n Nation = %s,\n title = '%s, a name' ! as said\n/\n", F.replace("s_name", F.lit("#"), F.lit("_")), F.col("s_nationkey").cast("string"), F.col("s_name"))
+    table(spark, d, "supplier").select(group.alias("value")).write.text(path)
     return files.read(spark, path, "namelist").select("name", "key", "value")
 
 
@@ -369,9 +375,14 @@ def dated_scan_of_all_runs(spark, d):
     return found.select("event_id", r6("value").alias("value"), "file_date")
 
 
-@query("SELECT * FROM (VALUES ('a_%Y.nc', 'year', 'a_[0-9][0-9][0-9][0-9].nc'), ('b_%m%d%H', 'hour', 'b_[0-1][0-9][0-3][0-9][0-2][0-9]'), ('plain', NULL, 'plain')) q(pattern, unit, \"glob\")")
+_PATTERN = "event_type || ['_%Y.nc', '_%Y%m', '_%m%d%H', ''][CAST(event_id % 4 + 1 AS INT)]"
+
+
+@query(f"SELECT event_id, ['year', 'month', 'hour', NULL][CAST(event_id % 4 + 1 AS INT)] AS unit, replace(replace(replace(replace({_PATTERN}, '%Y', '[0-9][0-9][0-9][0-9]'), '%m', '[0-1][0-9]'), '%d', '[0-3][0-9]'), '%H', '[0-2][0-9]') AS \"glob\" FROM events")
 def patterns_of_files(spark, d):
-    return spark.createDataFrame([(p, files.frequency(p), files.glob_of(p)) for p in ("a_%Y.nc", "b_%m%d%H", "plain")], "pattern string, unit string, glob string")
+    ends = F.array(*[F.lit(e) for e in ("_%Y.nc", "_%Y%m", "_%m%d%H", "")])
+    pattern = F.concat("event_type", F.element_at(ends, (F.col("event_id") % 4 + 1).cast("int")))
+    return table(spark, d, "events").select("event_id", files.frequencies(pattern).alias("unit"), files.globs(pattern).alias("glob"))
 
 
 @query("SELECT 'orders' AS name, true AS found UNION ALL SELECT 'lineitem', true UNION ALL SELECT 'nothing', false")
@@ -383,9 +394,10 @@ def found_files(spark, d):
     return spark.createDataFrame(rows, "name string, found boolean")
 
 
-@query("SELECT * FROM (VALUES ('12 Mo', 12582912.0::DOUBLE), ('3kio', 3072.0), ('100', 100.0), ('2.5 Gio', 2684354560.0)) q(text, bytes)")
+@query("SELECT p_partkey AS part, p_size * [1048576, 1024, 1, 1073741824][CAST(p_partkey % 4 + 1 AS INT)]::DOUBLE AS bytes FROM part")
 def parsed_sizes(spark, d):
-    return spark.createDataFrame([(t, files.parse_size(t)) for t in ("12 Mo", "3kio", "100", "2.5 Gio")], "text string, bytes double")
+    unit = F.element_at(F.array(*[F.lit(u) for u in (" Mo", "kio", "", ".0 Gio")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), files.sizes(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
 
 
 @query("SELECT count(*) AS n FROM nation")
@@ -532,10 +544,11 @@ def phase_labels(spark, d):
     return buoys(spark, d).select("buoy", labels.phase(c, "lon").alias("dms"), labels.phase(c, decimals=2).alias("plain"))
 
 
-@query("SELECT k AS place, TIMESTAMP '2024-01-01' + to_microseconds(CAST(round(k * 86400000000::DOUBLE / 7) AS BIGINT)) AS t FROM range(8) q(k)")
+@query("SELECT kind, k AS place, lo + to_microseconds(CAST(round(k * date_diff('microsecond', lo, hi) / 7.0::DOUBLE) AS BIGINT)) AS t FROM (SELECT event_type AS kind, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1), range(8) q(k)")
 def linear_dates(spark, d):
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
-    return spark.range(1).select(F.posexplode(times.linear_dates(at("2024-01-01"), at("2024-01-02"), 8)).alias("place", "t")).select(F.col("place").cast("long").alias("place"), "t")
+    """Eight times from the first event of a kind to the last."""
+    ends = table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return ends.select("kind", F.posexplode(times.linear_dates(F.col("lo"), F.col("hi"), 8)).alias("place", "t")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT event_id, CAST(dayofyear(ts) AS INT) AS day FROM events")
@@ -552,22 +565,20 @@ def smart_split(spark, d):
     return times.smart_split(e, "ts", -(-e.count() // 4))
 
 
-@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i FROM range(5) a(j), range(30) b(i) WHERE i % 3 = 0")
+@query(with_("field", "SELECT j, i FROM (SELECT j, i, floor((i - min(i) OVER (PARTITION BY j)) / 3) AS k, lag(i) OVER (PARTITION BY j ORDER BY i) AS b, min(i) OVER (PARTITION BY j) AS a FROM field) WHERE b IS NULL OR k <> floor((b - a) / 3)"))
 def thinned_grid(spark, d):
-    """Cells at every third step of a grid of unit steps."""
-    cells = spark.range(150).select(F.floor(F.col("id") / 30).cast("int").alias("j"), (F.col("id") % 30).cast("int").alias("i"))
-    grid = cells.withColumns({"x": F.col("i").cast("double"), "y": F.col("j").cast("double")})
+    """Cells of each row of the field at which the way along it passes a multiple of three steps."""
+    grid = field(spark, d).withColumns({"x": F.col("i").cast("double"), "y": F.col("j").cast("double")})
     return select.thin_by_distance(grid, ["j"], "i", "x", "y", 3.0).select("j", "i")
 
 
-@query(with_("field", "SELECT CAST(k * 0.25 AS DOUBLE) AS h, round(0.1 + 0.9 * (1 - exp(-3 * k * 0.25 / 4)), 6) AS exponential, round(0.1 + 0.9 * least(k * 0.25 / 4, 1), 6) AS linear, round(CASE WHEN k < 16 THEN 0.1 + 0.9 * (1.5 * k / 16 - 0.5 * pow(k / 16, 3)) ELSE 1 END, 6) AS spherical, round(0.1 + 0.9 * (1 - exp(-3 * pow(k / 16, 2))), 6) AS gaussian FROM range(1, 30) q(k)"))
-def variogram_models(spark, d):
-    import numpy as np
+_H = "buoy % 31 / 4.0::DOUBLE"
+
 
-    h = np.arange(1, 30) * 0.25
-    values = {k: kriging.model(k, h, 0.1, 1.0, 4.0) for k in ("exponential", "linear", "spherical", "gaussian")}
-    rows = [(float(a), *[round(float(values[k][i]), 6) for k in values]) for i, a in enumerate(h)]
-    return spark.createDataFrame(rows, "h double, exponential double, linear double, spherical double, gaussian double")
+@query(with_("buoys", f"SELECT buoy, CASE WHEN h > 0 THEN round(0.1 + 0.9 * (1 - exp(-3 * h / 4)), 6) ELSE 0 END AS exponential, CASE WHEN h > 0 THEN round(0.1 + 0.9 * least(h / 4, 1), 6) ELSE 0 END AS linear, CASE WHEN h > 0 THEN round(CASE WHEN h < 4 THEN 0.1 + 0.9 * (1.5 * h / 4 - 0.5 * pow(h / 4, 3)) ELSE 1 END, 6) ELSE 0 END AS spherical, CASE WHEN h > 0 THEN round(0.1 + 0.9 * (1 - exp(-3 * pow(h / 4, 2))), 6) ELSE 0 END AS gaussian FROM (SELECT buoy, {_H} AS h FROM buoys)"))
+def variogram_models(spark, d):
+    h = F.col("buoy") % 31 / 4.0
+    return buoys(spark, d).select("buoy", *[r6(kriging.model_column(k, h, 0.1, 1.0, 4.0)).alias(k) for k in ("exponential", "linear", "spherical", "gaussian")])
 
 
 @query(with_("buoys", "SELECT buoy, round(exp(-(pow((x + 1) / 1, 2) + pow(y - 0.5, 2))) - exp(-(pow((x - 1) / 2, 2) + pow((y - 1) / 0.5, 2))) + 0.8 * exp(-(pow(x / 0.5, 2) + pow((y + 1.5) / 0.5, 2))), 6) AS z FROM (SELECT buoy, lon / 90 AS x, lat / 40 AS y FROM buoys)"))
@@ -627,13 +638,15 @@ def altitudes(spark, d):
     return p.select("profile", "level", r6(sigma_altitude(F.col("level") * 0.1, F.lit(40.0), (F.col("profile") % 7) * 100)).alias("altitude"))
 
 
-@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, i * 2.5::DOUBLE - 10 AS x, j * 1.5::DOUBLE + 40 AS y FROM range(7) a(j), range(9) b(i)")
+@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT l_linenumber AS j, avg(l_quantity) AS y FROM lineitem GROUP BY 1), (SELECT month(l_shipdate) AS i, avg(l_discount) AS x FROM lineitem GROUP BY 1)")
 def grid_from_axes(spark, d):
+    """Every line number with every month, at their means."""
     from halocline.operators.grid import grid_of_axes
 
-    x = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 2.5 - 10).alias("x"))
-    y = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 1.5 + 40).alias("x"))
-    return grid_of_axes(x, y)
+    li = table(spark, d, "lineitem")
+    x = li.groupBy(F.month("l_shipdate").alias("k")).agg(F.avg("l_discount").alias("x"))
+    y = li.groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_quantity").alias("x"))
+    return grid_of_axes(x, y).select("j", "i", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query(with_("field", "SELECT j, i, round(v, 6) AS v, i * 12.0::DOUBLE - 180 AS x, j * 8.0::DOUBLE - 80 AS y FROM field"))
@@ -660,18 +673,19 @@ def distance_weights_on_the_sphere(spark, d):
     return at_points(masked(spark, d), at, [], "v", -180.0, 12.0, -80.0, 8.0, "dstwgt", "lon", "lat", geo=True).select("station", r6("value").alias("value"))
 
 
-@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, 1.5::DOUBLE * j + 0.5::DOUBLE * i AS v FROM range(9) a(j), range(13) b(i)")
+@query("""WITH g AS (SELECT CAST(l_linenumber - 1 AS INT) AS j, CAST(month(l_shipdate) - 1 AS INT) AS i, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+  SELECT CAST(a AS INT) AS j, CAST(b AS INT) AS i, round(avg(v), 6) AS v FROM range(13) p(a), range(23) q(b), range(2) r(y), range(2) s(x) JOIN g ON g.j = (a + y) // 2 AND g.i = (b + x) // 2 GROUP BY 1, 2""")
 def refined_field(spark, d):
-    """A plane on a grid twice as fine."""
-    from halocline.operators.grid import make_grid
-
-    plane = make_grid(spark, 7, 5).select("j", "i", (3.0 * F.col("j") + F.col("i")).alias("v"))
-    return sections.refine(plane, "v", 2, 5, 7)
+    """A field of line numbers and months on a grid twice as fine."""
+    li = table(spark, d, "lineitem")
+    rough = li.groupBy((F.col("l_linenumber") - 1).cast("int").alias("j"), (F.month("l_shipdate") - 1).cast("int").alias("i")).agg(F.avg("l_quantity").alias("v"))
+    return sections.refine(rough, "v", 2, 7, 12).select("j", "i", r6("v").alias("v"))
 
 
-@query("SELECT 1.0::DOUBLE AS spacing")
+@query(with_("stations", """&s AS (SELECT station AS k, lon + sin(station * 1.7::DOUBLE) AS x, lat + cos(station * 2.3::DOUBLE) AS y FROM stations),
+  n AS (SELECT a.k, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM s a JOIN s b ON a.x <> b.x OR a.y <> b.y GROUP BY 1) SELECT round(d, 6) AS spacing FROM (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS m FROM n) WHERE r = (m + 1) // 2"""))
 def spacing_of_points(spark, d):
-    from halocline.operators.grid import make_grid
     from halocline.operators.scatter import spacing
+    from halocline.plans.gridding import _moved
 
-    return spacing(make_grid(spark, 30, 20).withColumn("k", F.col("j") * 30 + F.col("i")), "k", 2.0)
+    return spacing(_moved(spark, d), "k", 400.0).select(r6("spacing").alias("spacing"))

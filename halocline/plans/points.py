@@ -121,10 +121,23 @@ def variogram(spark, d):
 
 @query()
 def kriged_stations(spark, d):
-    """Buoys' values at the stations, by ordinary kriging."""
+    """Buoys' values at the stations, by ordinary kriging from clouds."""
+    return kriging.krige_clouds(buoys(spark, d), stations(spark, d), "station", "exponential", 0.1, 1.0, 30.0, x="lon", y="lat", value="v")
+
+
+@query()
+def kriged_in_squares(spark, d):
+    """The same from the squares around each station."""
     return kriging.krige(buoys(spark, d), stations(spark, d), "station", 20.0, "exponential", 0.1, 1.0, 30.0, x="lon", y="lat", value="v")
 
 
+@query()
+def kriged_with_errors(spark, d):
+    """Simple kriging about a known mean, observations with errors of their own."""
+    at = buoys(spark, d).withColumn("e", (F.col("buoy") % 7) / 10.0)
+    return kriging.krige_clouds(at, stations(spark, d), "station", "spherical", 0.0, 1.0, 40.0, x="lon", y="lat", value="v", error="e", mean=4500.0)
+
+
 @query(with_("stations", """SELECT station, round(lon + 10, 6) AS x, round(-lat, 6) + 0.0::DOUBLE AS y, round(abs(10 * (0 - lat) - (-lon) * 10) / sqrt(200::DOUBLE), 6) + 0.0::DOUBLE AS line FROM stations"""))
 def plane_geometry(spark, d):
     x, y = geo.rotate(F.col("lon"), F.col("lat"), 180.0, 0.0, 0.0)

@@ -142,4 +142,28 @@ def parse_size(text: str, si: bool = False) -> float:
     return float(m[1]) * (1024 if m[3] or not si else 1000) ** ("kmgtp".index(m[2]) + 1 if m[2] else 0)
 
 
+def sizes(text: Column, si: bool = False) -> Column:
+    """As ``parse_size``, of a column; null where a text is no size."""
+    pattern = r"^\s*([0-9.]+)\s*([kmgtp]?)(i?)o?\s*$"
+    number, unit, binary = (F.regexp_extract(F.lower(text), pattern, i) for i in (1, 2, 3))
+    step = F.when((binary == "") & F.lit(si), 1000.0).otherwise(1024.0)
+    power = F.instr(F.lit("kmgtp"), F.when(unit != "", unit))
+    return number.try_cast("double") * F.pow(step, F.coalesce(power, F.lit(0)).cast("double"))
+
+
+def frequencies(pattern: Column) -> Column:
+    """As ``frequency``, of a column."""
+    out = F.lit(None).cast("string")
+    for token, unit in STEPS:
+        out = F.when(pattern.contains(token), unit).otherwise(out)
+    return out
+
+
+def globs(pattern: Column) -> Column:
+    """As ``glob_of``, of a column."""
+    for token, there in GLOBS.items():
+        pattern = F.replace(pattern, F.lit(token), F.lit(there))
+    return pattern
+
+
 READERS = {"stations": station_table, "xyz": xyz, "namelist": namelist, "mean_sea_level": mean_sea_level, "casts": casts_csv}

@@ -91,6 +91,47 @@ def test_kriging_of_crowded_places(spark):
     assert got[3]["value"] == pytest.approx(9.4, abs=0.5)
 
 
+@pytest.mark.parametrize(("most", "clouds", "mean"), [(1000, 4, None), (40, 1, None), (40, 3, None), (25, 4, 2.0)])
+def test_kriging_from_clouds(spark, most, clouds, mean):
+    """By hand: the same clouds, one system each, blended by 1 / variance^2. Points of a grid, repeated ones, errors."""
+    from halocline.operators.cut import Steps
+
+    rng = np.random.default_rng(11)
+    x, y = np.r_[np.repeat(np.arange(10.0), 8), rng.uniform(0, 9, 40)], np.r_[np.tile(np.arange(8.0), 10), rng.uniform(0, 7, 40)]
+    z, e = np.sin(x) + 0.3 * y, rng.uniform(0, 0.4, 120)
+    p = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z, "e": e}))
+    at = rng.uniform(0, 8, (30, 2))
+    t = spark.createDataFrame([*[(k, float(a), float(b)) for k, (a, b) in enumerate(at)], (99, None, 0.0)], "id int, x double, y double")
+    got = {r["id"]: (r["value"], r["error"]) for r in kriging.krige_clouds(p.union(p), t, "id", "spherical", 0.1, 1.5, 6.0, most, clouds, error="e", mean=mean).collect()}
+    assert got.pop(99) == (None, None)
+    parts = kriging.split_clouds(p, most, Steps(spark, "test")).toPandas()
+    sizes = parts.groupby("cloud").size()
+    assert sizes.sum() == 120 and sizes.max() <= most and sizes.min() >= min(most, 120) // 3
+    cloud = [g for _, g in parts.groupby("cloud")]
+    centres = np.array([(g["x"].mean(), g["y"].mean()) for g in cloud])
+
+    def gamma(h):
+        r = h / 6.0
+        return np.where(h > 0, 0.1 + 1.4 * np.where(r < 1, 1.5 * r - 0.5 * r**3, 1.0), 0.0)
+
+    for k, (a, b) in enumerate(at):
+        top = bottom = 0.0
+        for i in np.argsort(np.hypot(centres[:, 0] - a, centres[:, 1] - b))[:clouds]:
+            g = cloud[i]
+            d = gamma(np.hypot(g["x"].to_numpy()[:, None] - g["x"].to_numpy(), g["y"].to_numpy()[:, None] - g["y"].to_numpy()))
+            d0, n, zz = gamma(np.hypot(g["x"] - a, g["y"] - b).to_numpy()), len(g), g["z"].to_numpy()
+            err = np.diag(g["e"].to_numpy() ** 2)
+            if mean is None:
+                m = np.block([[d - err, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+                w = np.linalg.inv(m) @ np.r_[d0, 1.0]
+                v, s = w[:n] @ zz, w @ np.r_[d0, 1.0]
+            else:
+                w = np.linalg.inv(1.5 - d + err) @ (1.5 - d0)
+                v, s = mean + w @ (zz - mean), 1.5 - w @ (1.5 - d0)
+            top, bottom = top + v / s**2, bottom + 1 / s**2
+        assert got[k] == (pytest.approx(top / bottom, rel=1e-6), pytest.approx(bottom**-0.25, rel=1e-6))
+
+
 def test_simple_kriging_falls_back_to_the_mean(spark):
     df = spark.createDataFrame([(0.0, 0.0, 3.0), (1.0, 0.0, 5.0)], "x double, y double, z double")
     t = spark.createDataFrame([(1, 0.0, 0.0), (2, 40.0, 0.0)], "id int, x double, y double")
