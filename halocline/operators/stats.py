@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+def mask_nan(c: Column) -> Column:
+    """Null where a value is not a number."""
+    return F.when(~F.isnan(c), c)
+
+
 MOMENTS = ["m2_x", "m2_y", "c_xy"]  # sums of products of deviations from the means
 
 

@@ -252,6 +252,21 @@ def scattered_to_grid(spark, d):
     return scatter.to_grid(_moved(spark, d), grid, 30.0).select("j", "i", F.round("value", 4).alias("value"))
 
 
+@query(with_("stations buoys", f"""&{_TRIANGLES}, q AS (SELECT buoy, lon * 0.97::DOUBLE + 0.123::DOUBLE AS x, lat * 0.97::DOUBLE + 0.321::DOUBLE AS y, v FROM buoys),
+  h AS (SELECT buoy, ((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / det AS u, ((bx - ax) * (y - ay) - (x - ax) * (by_ - ay)) / det AS w FROM q, tri)
+  SELECT 'buoys' AS id, round(x, 6) AS x, round(y, 6) AS y, round(v, 2) AS z FROM q WHERE buoy NOT IN (SELECT buoy FROM h WHERE u >= 0 AND w >= 0 AND u + w <= 1) UNION ALL SELECT 'stations', round(x, 6), round(y, 6), round(z, 2) FROM s"""))
+def bank_merged_opaque(spark, d):
+    """Two sets of soundings, of which the upper one hides what lies in its hull."""
+    from halocline.operators.cut import Steps
+    from halocline.sources.bank import Bank
+
+    bank = Bank(spark, Steps(spark, "bank").root)
+    bank.add(buoys(spark, d).select((F.col("lon") * 0.97 + 0.123).alias("x"), (F.col("lat") * 0.97 + 0.321).alias("y"), F.col("v").cast("double").alias("z")), "buoys")
+    bank.add(_moved(spark, d).select("x", "y", "z"), "stations")
+    found = bank.merged(["buoys", "stations"], opaque=["stations"])
+    return found.select("id", r6("x").alias("x"), r6("y").alias("y"), F.round("z", 2).alias("z"))
+
+
 @query(with_("stations buoys", f"&{_MOVED}, n AS (SELECT buoy, z, row_number() OVER (PARTITION BY buoy ORDER BY sqrt(pow(s.x - b.lon, 2) + pow(s.y - b.lat, 2)), k) AS n FROM buoys b, s) SELECT buoy, round(z, 6) AS value FROM n WHERE n = 1"))
 def scattered_nearest(spark, d):
     at = buoys(spark, d).select("buoy", F.col("lon").alias("x"), F.col("lat").alias("y"))

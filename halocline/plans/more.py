@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions import labels, maps, names, times
-from halocline.operators import kriging, points, profiles as prof, sections, select, splines, stats
+from halocline.functions import labels, maps, names, seawater, times
+from halocline.operators import colocate, kriging, points, profiles as prof, sections, select, splines, stats
 from halocline.operators.cut import shared_folder
+from halocline.plans import fields
 from halocline.plans.inputs import buoys, field, masked, profiles, r6, series, stations, table, with_
 from halocline.plans.registry import register
 from halocline.sources import dated, files
@@ -190,6 +191,12 @@ def dataset_derived(spark, d):
     return _dataset(spark, d).get("speed").withColumn("speed", r6("speed"))
 
 
+@query(with_("profiles", f"&{_DS} SELECT profile, time, lat, lon, round(arg_max({fields._RHO0}, depth), 6) AS ssd FROM ds GROUP BY ALL"))
+def dataset_surface_density(spark, d):
+    """Potential density of each column's uppermost level."""
+    return _dataset(spark, d).get("ssd").withColumn("ssd", r6("ssd"))
+
+
 for _name, _type in (("time", "TIMESTAMP"), ("depth", "DOUBLE"), ("lat", "DOUBLE"), ("lon", "DOUBLE")):
     QUERIES[f"dataset_{_name}_axis"] = lambda spark, d, n=_name: _dataset(spark, d).axis(n)
     ORACLE[f"dataset_{_name}_axis"] = with_("profiles", f"&{_DS} SELECT DISTINCT {_name} FROM ds")
@@ -281,17 +288,33 @@ def casts_of_csv(spark, d):
     return read.select(F.substring("platform", 2, 20).cast("long").alias("profile"), F.col("depth").cast("int").alias("level"), F.round("temp", 3).alias("temp"))
 
 
-@query(with_("profiles stations", """&m AS (SELECT station, lon, lat, 5 + station % 20 AS temp, 34.5::DOUBLE AS sal FROM stations), p AS (SELECT station, lon + 0.25::DOUBLE AS lon, lat AS lat FROM stations),
-  r AS (SELECT station, temp AS t FROM m) SELECT station, round(t, 6) AS temp FROM r"""))
+_PRES = "(((1 - c) - sqrt((1 - c) * (1 - c) - 8.84e-6::DOUBLE * -depth)) / 4.42e-6::DOUBLE / 10)"
+_KA = f"({fields._poly(seawater.A_W, 'temp')} + {fields._poly(seawater.A_S, 'temp')} * sal + {seawater.A_S32!r}::DOUBLE * pow(sal, 1.5))"
+_KB = f"({fields._poly(seawater.B_W, 'temp')} + {fields._poly(seawater.B_S, 'temp')} * sal)"
+_COLUMNS = "m AS (SELECT l_suppkey AS station, month(l_shipdate) AS t, -10.0::DOUBLE * l_linenumber AS z, avg(l_quantity) / 2 AS temp, 30 + avg(l_discount) * 50 AS sal FROM lineitem GROUP BY 1, 2, 3)"
+_ASKED = "a AS (SELECT buoy, lon, lat, 1 + (buoy % 100) / 9.1::DOUBLE AS t, unnest([-12.5, -33.3, -71.0])::DOUBLE AS z FROM buoys)"
+_HAV = "asin(least(1, sqrt(pow(sin(radians(s.lat - b.lat) / 2), 2) + cos(radians(b.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - b.lon) / 2), 2))))"
+
+
+@query(with_("buoys stations", f"""&{_COLUMNS}, {_ASKED}, n AS (SELECT buoy, station FROM (SELECT buoy, station, row_number() OVER (PARTITION BY buoy ORDER BY {_HAV}, station) AS k FROM buoys b, stations s) WHERE k = 1),
+  w AS (SELECT a.*, n.station, (SELECT max(m.t) FROM m WHERE m.station = n.station AND m.t <= a.t) AS t0, (SELECT min(m.t) FROM m WHERE m.station = n.station AND m.t >= a.t) AS t1 FROM a JOIN n USING (buoy)),
+  d AS (SELECT w.*, e, CASE e WHEN 0 THEN t0 ELSE t1 END AS te FROM w, (SELECT unnest([0, 1]) AS e)),
+  g AS (SELECT buoy, d.z, d.e, any_value(d.t) AS t, any_value(t0) AS t0, any_value(t1) AS t1, any_value(d.station) AS station, max(m.z) FILTER (m.z <= d.z) AS z0, min(m.z) FILTER (m.z >= d.z) AS z1,
+    arg_max(m.temp, m.z) FILTER (m.z <= d.z) AS a0, arg_min(m.temp, m.z) FILTER (m.z >= d.z) AS a1, arg_max(m.sal, m.z) FILTER (m.z <= d.z) AS b0, arg_min(m.sal, m.z) FILTER (m.z >= d.z) AS b1 FROM d LEFT JOIN m ON m.station = d.station AND m.t = d.te GROUP BY 1, 2, 3),
+  h AS (SELECT *, CASE WHEN z1 > z0 THEN (z - z0) / (z1 - z0) ELSE 0 END AS f, CASE WHEN t1 > t0 THEN (t - t0) / (t1 - t0) ELSE 0 END AS q FROM g),
+  i AS (SELECT buoy, z, e, station, q, a0 + f * (a1 - a0) AS temp, b0 + f * (b1 - b0) AS sal FROM h),
+  k AS (SELECT buoy, p.z, p.station, p.temp + p.q * (r.temp - p.temp) AS temp, p.sal + p.q * (r.sal - p.sal) AS sal FROM i p JOIN i r USING (buoy) WHERE p.e = 0 AND r.e = 1 AND p.z = r.z),
+  o AS (SELECT buoy, k.z AS depth, k.station, temp, sal, 5.92e-3::DOUBLE + 5.25e-3::DOUBLE * pow(sin(radians(buoys.lat)), 2) AS c FROM k JOIN buoys USING (buoy)),
+  x AS (SELECT buoy, depth, station, temp, sal, {_PRES} AS p, {fields._RHO0} AS rho0, {fields._K0} AS k0, {_KA} AS ka, {_KB} AS kb FROM o)
+  SELECT buoy, round(depth, 6) AS depth, station, round(temp, 6) AS temp, round(sal, 6) AS sal, round(p * 10, 5) AS pres, round(rho0 / (1 - p / (k0 + ka * p + kb * p * p)), 5) AS dens FROM x"""))
 def colocated_stratification(spark, d):
-    """The model column next to each profile, with its density; here every profile lies a quarter of a degree off its own."""
-    m = stations(spark, d).select(F.col("station").alias("column_"), "lon", "lat", (5 + F.col("station") % 20).cast("double").alias("temp"), F.lit(34.5).alias("sal"))
-    p = stations(spark, d).select("station", (F.col("lon") + 0.25).alias("lon"), "lat")
-    near = points.nearest(p, "station", m, "column_", 4.0, out="column_")
-    levels = m.withColumn("depth", F.explode(F.array(F.lit(-5.0), F.lit(-50.0))))
-    both = near.join(prof.with_density(levels, "temp", "sal", "depth", F.col("lat")), "column_")
-    found = both.groupBy("station").agg(F.max("temp").alias("temp"), F.min("dens").alias("d"), F.max("dens").alias("e")).filter("d < e")
-    return found.select("station", r6("temp").alias("temp"))
+    """Temperature, salinity, pressure and density of the nearest model column at the depths and times of profiles."""
+    li = table(spark, d, "lineitem")
+    model = li.groupBy(F.col("l_suppkey").alias("station"), F.month("l_shipdate").alias("time"), (-10.0 * F.col("l_linenumber")).alias("depth")).agg((F.avg("l_quantity") / 2).alias("temp"), (30 + F.avg("l_discount") * 50).alias("sal"))
+    model = model.join(stations(spark, d).select("station", "lon", "lat"), "station")
+    asked = buoys(spark, d).select("buoy", "lon", "lat", (1 + (F.col("buoy") % 100) / 9.1).alias("time"), F.explode(F.array(F.lit(-12.5), F.lit(-33.3), F.lit(-71.0))).alias("depth"))
+    found = colocate.with_pressure_and_density(colocate.colocate_strata(model, "station", asked, "buoy", 8.0))
+    return found.select("buoy", "depth", "station", r6("temp").alias("temp"), r6("sal").alias("sal"), F.round("pres", 5).alias("pres"), F.round("dens", 5).alias("dens"))
 
 
 # text formats, file sets and tables that grow
@@ -656,6 +679,15 @@ def field_on_grid(spark, d):
     return on_grid(field(spark, d), make_grid(spark, 30, 20, -180.0, 12.0, -80.0, 8.0)).select("j", "i", r6("v").alias("v"), "x", "y")
 
 
+@query(with_("field masked", "SELECT j, i, i * 12.0::DOUBLE - 180 AS x, j * 8.0::DOUBLE - 80 AS y, round(v, 6) AS z FROM masked"))
+def saved_bathymetry(spark, d):
+    """A gridded bathymetry written and read again, masked cells as nulls."""
+    grid = masked(spark, d).select("j", "i", (F.col("i") * 12.0 - 180).alias("x"), (F.col("j") * 8.0 - 80).alias("y"), F.col("v").alias("z"))
+    path = _folder(spark, "bathymetry")
+    files.save_grid(grid, path)
+    return files.read(spark, path).withColumn("z", r6("z"))
+
+
 @query(with_("field masked", "SELECT j, i, CASE WHEN NOT (i * 12.0 - 180 >= -101.3 AND i * 12.0 - 180 < 48.9 AND j * 8.0 - 80 >= -41.7 AND j * 8.0 - 80 < 29.3) THEN round(v, 6) END AS v FROM masked"))
 def masked_bathymetry(spark, d):
     cells = masked(spark, d).withColumns({"lon": F.col("i") * 12.0 - 180, "lat": F.col("j") * 8.0 - 80})

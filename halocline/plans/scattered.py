@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.operators import neighbours, overlaps, thinning
+from halocline.functions.units import compass
+from halocline.operators import coast, neighbours, overlaps, thinning
 from halocline.plans.gridding import _MOVED, _moved
-from halocline.plans.inputs import buoys, field, masked, r6, with_
+from halocline.plans.inputs import buoys, field, masked, r6, table, with_
 from halocline.plans.registry import register
 
 QUERIES: dict = {}
@@ -133,3 +134,71 @@ def curved_conservative(spark, d):
     source, target = _cells(spark, d)
     weights = overlaps.shared_areas(source, target, 5.0).filter("area > 1e-6")
     return overlaps.regrid(masked(spark, d), [], "v", weights, target, "conserve").select("j", "i", r6("v").alias("v"))
+
+
+# a coast a nation, of the places of its customers, and stations along it
+
+_COAST = """corners AS (SELECT nation, n, n + 0.3::DOUBLE * sin(c) AS x, nation * 5 + cos(c * 0.7::DOUBLE) AS y FROM (SELECT c_nationkey AS nation, c_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)),
+  arc AS (SELECT *, sum(d) OVER (PARTITION BY nation ORDER BY n) AS s FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM corners WINDOW w AS (PARTITION BY nation ORDER BY n))),
+  seg AS (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM arc WINDOW w AS (PARTITION BY nation ORDER BY n)),
+  st AS (SELECT s_suppkey AS station, s_acctbal AS z, (s_suppkey * 7) % 61 + 0.4::DOUBLE AS px, s_nationkey * 5 + 0.5::DOUBLE AS py FROM supplier),
+  f AS (SELECT *, greatest(0, least(1, ((px - x) * (bx - x) + (py - y) * (by_ - y)) / (pow(bx - x, 2) + pow(by_ - y, 2)))) AS f FROM st, seg WHERE bx IS NOT NULL),
+  g AS (SELECT station, z, nation, s + f * sqrt(pow(bx - x, 2) + pow(by_ - y, 2)) AS s, sqrt(pow(px - x - f * (bx - x), 2) + pow(py - y - f * (by_ - y), 2)) AS d FROM f),
+  placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY d, nation, s) AS k FROM g WHERE d <= 3) WHERE k = 1)"""
+
+
+def _coast(spark, d):
+    from pyspark.sql import Window as W
+
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("line"), F.col("c_custkey").alias("c")).withColumn("n", F.row_number().over(W.partitionBy("line").orderBy("c")))
+    lines = c.select("line", "n", (F.col("n") + 0.3 * F.sin("c")).alias("x"), (F.col("line") * 5 + F.cos(F.col("c") * 0.7)).alias("y"))
+    s = table(spark, d, "supplier")
+    at = s.select(F.col("s_suppkey").alias("station"), F.col("s_acctbal").alias("level"), ((F.col("s_suppkey") * 7) % 61 + 0.4).alias("x"), (F.col("s_nationkey") * 5 + 0.5).alias("y"))
+    coast.register_shoreline("customers", lambda spark, **_: lines)
+    return coast.shoreline(spark, "customers"), at
+
+
+@query(f"WITH {_COAST} SELECT station, nation, round(s, 6) AS s, round(d, 6) AS distance FROM placed")
+def stations_along_coasts(spark, d):
+    lines, at = _coast(spark, d)
+    found = coast.along(at, "station", coast.measured(lines), 3.0)
+    return found.select("station", F.col("line").alias("nation"), r6("s").alias("s"), r6("distance").alias("distance"))
+
+
+def _levels(smooth: bool, beyond: str) -> str:
+    w = "w * w * (3 - 2 * w)" if smooth else "w"
+    return f"""WITH {_COAST}, e AS (SELECT a.nation, n, a.s, max(p.s) FILTER (p.s <= a.s) AS s0, arg_max(p.z, p.s) FILTER (p.s <= a.s) AS z0, min(p.s) FILTER (p.s >= a.s) AS s1, arg_min(p.z, p.s) FILTER (p.s >= a.s) AS z1
+      FROM arc a LEFT JOIN (SELECT nation, s, avg(z) AS z FROM placed GROUP BY 1, 2) p ON p.nation = a.nation GROUP BY 1, 2, 3),
+    h AS (SELECT *, CASE WHEN s1 > s0 THEN (s - s0) / (s1 - s0) ELSE 0 END AS w FROM e)
+    SELECT nation, n, round(2 * CASE WHEN s0 IS NOT NULL AND s1 IS NOT NULL THEN z0 + {w} * (z1 - z0) ELSE {beyond} END, 5) AS z FROM h"""
+
+
+@query(_levels(False, "coalesce(z0, z1)"))
+def coastal_soundings(spark, d):
+    """Twice the level between the stations of each coast, beyond the last ones theirs."""
+    lines, at = _coast(spark, d)
+    return coast.coastal_depths(at, "station", "level", lines, 3.0).select(F.col("line").alias("nation"), "n", F.round("z", 5).alias("z"))
+
+
+@query(_levels(True, "NULL"))
+def coastal_soundings_smooth(spark, d):
+    lines, at = _coast(spark, d)
+    return coast.coastal_depths(at, "station", "level", lines, 3.0, extrapolate=False, smooth=True).select(F.col("line").alias("nation"), "n", F.round("z", 5).alias("z"))
+
+
+# small ones
+
+@query("SELECT event_id, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][CAST(floor((event_id * 7.3::DOUBLE % 360 + 11.25) / 22.5) % 16 + 1 AS INT)] AS clockwise, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][CAST((floor((90 - event_id * 7.3::DOUBLE % 360 + 11.25) / 22.5) + 16) % 16 + 1 AS INT)] AS mathematical FROM events")
+def compass_points(spark, d):
+    angle = F.col("event_id") * 7.3 % 360
+    return table(spark, d, "events").select("event_id", compass(angle).alias("clockwise"), compass(angle, False).alias("mathematical"))
+
+
+@query("SELECT event_type AS kind, count(*) AS size, count(*) FILTER (event_id % 4 <> 0) AS n, round(avg(value) FILTER (event_id % 4 <> 0), 6) AS mean FROM events GROUP BY 1")
+def masked_nans(spark, d):
+    """Not-a-numbers count as missing: here every fourth value is one."""
+    from halocline.operators import stats
+
+    e = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"))
+    found = stats.accumulate(e.withColumn("v", stats.mask_nan(F.col("v"))), ["kind"], "v")
+    return found.select("kind", "size", F.col("count").alias("n"), r6("mean_x").alias("mean"))

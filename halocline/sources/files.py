@@ -122,6 +122,12 @@ def write_xyz(df: DataFrame, path: str, x: str = "x", y: str = "y", z: str = "z"
     df.select(F.format_string("%10f %10f %10f", x, y, z)).write.text(path)
 
 
+def save_grid(grid: DataFrame, path: str, z: str = "z", masked: bool = True, kind: str = "parquet") -> None:
+    """Writes a gridded field, rows in order of its cells; without ``masked`` cells of no value are left out."""
+    rows = grid if masked else grid.filter(F.col(z).isNotNull())
+    rows.repartitionByRange("j", "i").sortWithinPartitions("j", "i").write.format(kind).mode("overwrite").save(path)
+
+
 def total_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a path, from their metadata alone."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
