@@ -211,7 +211,8 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     equal texts the scores are equal. ``depth`` is 6 at most, as a context and its byte are one key of 64 bits; there
     the bytes before a text are NUL, which a NUL in a text is taken for. A block's share of a task's memory is some 12
     times ``block_bytes``, or of its longest text. Words are counted by 64-bit hashes: of some 10^9 distinct words the
-    first may share one, and would be counted together. The model's answers travel as 32-bit floats. A key that is in
+    first may share one, and would be counted together. Counts are exact up to 2^53; probabilities are rounded to 32-bit
+    floats, which keeps the tables small. A key that is in
     every block has a row a block in the join that answers it, 6 million at 100 TB, which skew handling may split.
     """
     if not 1 <= depth <= 6:
@@ -228,8 +229,8 @@ def score(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 16
     model = work.write(train_model(counted, depth, work), "model")
     work.drop("counted", *[f"depth{d}" for d in range(depth + 1)])
     # what a block is told: of a word (token) its count, of a gram log10 of its probability
-    learned = words.select(F.lit(True).alias("token"), "key", F.col("n").cast("float").alias("value"))
-    learned = learned.unionByName(model.select(F.lit(False).alias("token"), F.col("gram").alias("key"), F.col("log10_p").cast("float").alias("value")))
+    learned = words.select(F.lit(True).alias("token"), "key", F.col("n").cast("double").alias("value"))
+    learned = learned.unionByName(model.select(F.lit(False).alias("token"), F.col("gram").alias("key"), F.col("log10_p").cast("float").cast("double").alias("value")))
     told = work.write(lists.select("block", "token", "key").join(learned.hint("merge"), ["token", "key"]).select("block", "token", "key", "value"), "told")
     work.keep("staged", "told")
 

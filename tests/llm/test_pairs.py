@@ -333,8 +333,25 @@ def test_pipeline_stage_by_stage(spark):
     assert mixed.filter("copies < 1 or copies > 3").count() == 0
 
 
+def stays(rows) -> list:
+    return sorted((r["doc_id"] for r in rows), key=lambda i: (i is None, i))
+
+
 def test_pipeline_stages_on_awkward_rows(spark, messy, empty, clashing, tmp_path):
-    spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in messy.collect()}
+    for docs in (messy, clashing):
+        spoken = stays(stage["language"](spark, docs, str(tmp_path)).collect())
+        assert spoken.count(1) == 2 and 5 in spoken and not {2, 3, 4, 6} & set(spoken)  # those without a letter go
+        apart = stage["near copies"](spark, docs, str(tmp_path)).collect()
+        assert stays(apart) == [1, 2, 3, 4, 5, 6, 7, None]  # one of the repeated rows; wordless ones are no copies
+        clean = stage["benchmark"](spark, docs, str(tmp_path)).collect()
+        assert stays(clean) == [2, 3, 4, 5, 6, 7, None]  # both repeated rows leak
+        safe = stage["secrets"](spark, docs, str(tmp_path)).collect()
+        assert stays(safe) == [1, 1, 2, 3, 4, 5, 6, 7, None] and all(r["text"] == texts[r["doc_id"]] for r in safe if r["doc_id"] != 5)
+        mixed = stage["mix"](spark, docs, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in mixed} <= set(texts) and all(1 <= r["copies"] <= 3 and r["text"] == texts[r["doc_id"]] for r in mixed)
     for docs in (messy, empty, clashing):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
