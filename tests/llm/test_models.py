@@ -236,3 +236,90 @@ def test_mix_of_awkward_rows(messy, empty, clashing):
         assert mixing.rows_of_mix(mixing.mix(docs), 1).count() == 9
         assert all(r["copies"] <= 3 for r in got)
     assert mixing.mix(empty).count() == 0
+
+
+def mix_by_hand(docs, weights, cap, fan_in):
+    """The mix in plain Python: the same hash draws, everything else worked out anew."""
+    key = mixing.KEY
+    drawn = {(level, use): F.xxhash64(*key, F.lit(0), F.lit(level), F.lit(use)) for level in range(4) for use in range(3)}
+    keyed = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    units = keyed.groupBy(*key).count().select(*key, "count", F.xxhash64(*key, F.lit(0)).alias("deal"), *[c.alias(f"d{level}{use}") for (level, use), c in drawn.items()]).collect()
+    by_source = defaultdict(list)
+    for u in units:
+        by_source[u["source"]].append(u)
+    order = sorted(by_source, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(u["size"] * u["count"] for u in by_source[s]) for s in order}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, free, rest = {}, list(order), float(sum(size.values()))
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = [s for s in free if weight[s] * level > cap * size[s]]
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: cap * size[s] for s in full}
+        rest -= sum(target[s] for s in full)
+        free = [s for s in free if s not in full]
+    out, largest = defaultdict(int), max(map(len, by_source.values()))
+    for s in order:
+        ratio = target[s] / size[s] if size[s] else 0.0
+        state = []
+        for u in by_source[s]:
+            share, whole = ratio - math.floor(ratio), math.floor(ratio)
+            open_ = share > 0 and u["size"] > 0
+            over = u["count"] * share if open_ else 0.0
+            state.append({"u": u, "whole": whole, "more": math.floor(over), "share": over - math.floor(over), "chunk": u["deal"] % math.ceil(len(by_source[s]) / fan_in)})
+        level, chunks = 0, max(1, math.ceil(largest / fan_in))
+        while True:
+            groups = defaultdict(list)
+            for x in state:
+                if 0 < x["share"] < 1:
+                    groups[x["chunk"]].append(x)
+            for group in groups.values():
+                group.sort(key=lambda x: (-x["u"]["size"], x["u"][f"d{level}0"], x["u"]["text_hash"], x["u"][f"d{level}1"]))
+                held = None
+                for x in group:
+                    if held is None:
+                        held = x
+                        continue
+                    big, small = held["u"]["size"], x["u"]["size"]
+                    a, b = held["share"] * big, x["share"] * small
+                    up, down = min(big - a, b), min(a, small - b)  # what the held one can gain, and lose
+                    draw = ((x["u"][f"d{level}1"] % 2**64) >> 11) / 2**53
+                    move = up if draw < down / (up + down) else -down
+                    for y, old, most in ((held, a + move, big), (x, b - move, small)):
+                        y["share"] = 0.0 if old < 1e-9 else 1.0 if old > most - 1e-9 else old / most
+                    held = held if 0 < held["share"] < 1 else x if 0 < x["share"] < 1 else None
+            if chunks == 1:
+                break
+            level, chunks = level + 1, math.ceil(chunks / fan_in)
+            for x in state:
+                x["chunk"] %= chunks
+        for x in state:
+            u = x["u"]
+            if 0 < x["share"] < 1:
+                x["share"] = float(((u[f"d{level}2"] % 2**64) >> 11) / 2**53 < x["share"])
+            taken = x["more"] + int(x["share"])
+            for n, extra in ((u["count"] - taken, 0), (taken, 1)):
+                if n:
+                    out[(*[u[k] for k in key], x["whole"] + extra)] += n
+    return dict(out), target
+
+
+@pytest.mark.parametrize("fan_in", [1024, 8])
+def test_mix_equals_one_worked_out_by_hand(spark, fan_in):
+    """Repeated rows, rows without an id, a null source, texts without words, a source that its cap stops."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        source = rng.choice(["big", "big", "big", "mid", "Tiny" if i % 10 == 0 else "mid", None])
+        rows += [(i if rng.random() < 0.9 else None, source, " ".join(["w"] * rng.randint(0, 90)))] * rng.choice([1, 1, 1, 4])
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    want, target = mix_by_hand(docs, (5, 2, 1), 3.0, fan_in)
+    got = mixing.mix(docs, fan_in=fan_in).collect()
+    assert {(*[r[k] for k in mixing.KEY], r["copies"]): r["n"] for r in got} == want
+    assert {r["source"]: r["target"] for r in got} == {s: pytest.approx(t) for s, t in target.items()}
+    words = defaultdict(int)
+    for (_, source, size, _, copies), n in want.items():
+        words[source] += size * copies * n
+    assert all(abs(words[s] - target[s]) <= 90 for s in target)
