@@ -1,4 +1,5 @@
-"""Lines and what lies along them: positions of points on polylines, and values between stations of a coast.
+"""Lines and what lies along them: positions of points on polylines, values between stations of a coast, and sections
+through curvilinear grids.
 
 A polyline is rows (line, n, x, y) of its corners in order. Points and segments meet in squares as wide as the reach
 within which a point may belong to a line; places on a line are told by the length from its first corner.
@@ -6,10 +7,13 @@ within which a point may belong to a line; places on a line are told by the leng
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halocline.functions.geo import in_quadrangle
+from halocline.operators.overlaps import signed_area
+
 _LINES: dict[str, object] = {}
 
 
@@ -75,3 +79,58 @@ def coastal_depths(stations: DataFrame, key: str, level: str, lines: DataFrame,
     """Soundings along a coast from mean sea levels at stations: line, n, x, y, z, the level times ``factor``."""
     found = values_along(stations, key, level, lines, reach, **options)
     return lines.join(found, ["line", "n"]).select("line", "n", "x", "y", (F.col(level) * factor).alias("z"))
+
+
+def pieces(lines: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """Parts of lines within the quadrangles of a curvilinear grid: line, s (of the middle), length, j, i, p, q.
+
+    ``lines`` as ``measured`` gives them; ``grid``: j, i, x, y of its nodes. A quadrangle is named by its node of least
+    j and i; p and q place the middle in it, as weights of its nodes along i and j. Quadrangles are convex, and one
+    without a node is none. ``size``: side of the squares in which segments and quadrangles meet.
+    """
+    nodes = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("j") - b).alias("j"), (F.col("i") - a).alias("i")) for k, (b, a) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0)))])
+    spread = grid.filter("x is not null and y is not null").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.explode(nodes).alias("n")).select("n.j", "n.i", "n.k", "x", "y")
+    quads = spread.groupBy("j", "i").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("c")).filter(F.size("c") == 4)
+    ring = F.transform("c", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    quads = quads.withColumn("sides", F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring))
+    w = W.partitionBy("line").orderBy("n")
+    parts = lines.withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).filter("bx is not null and (bx != x or by != y)")
+    square = lambda c: F.floor(c / size).cast("long")
+    for c in ("x", "y"):
+        parts = parts.withColumn(f"q{c}", F.explode(F.sequence(square(F.least(c, f"b{c}")), square(F.greatest(c, f"b{c}")))))
+        ends = F.col(f"c.{c}")
+        quads = quads.withColumn(f"q{c}", F.explode(F.sequence(square(F.array_min(ends)), square(F.array_max(ends)))))
+    met = parts.join(quads, ["qx", "qy"]).dropDuplicates(["line", "n", "j", "i"])
+    dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
+    corner = lambda k: F.get("c", F.lit(k))
+
+    def cut(span: Column, k: Column) -> Column:
+        """What a side leaves of the span of the segment: the part to its left."""
+        a, b = F.element_at("sides", k), F.element_at("sides", k % 4 + 1)
+        here = (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"])
+        grows = (b["x"] - a["x"]) * dy - (b["y"] - a["y"]) * dx
+        low = F.when(grows > 0, -here / grows).when((grows == 0) & (here < 0), 2.0).otherwise(0.0)
+        return F.struct(F.greatest(span["t0"], low).alias("t0"), F.least(span["t1"], F.when(grows < 0, -here / grows).otherwise(1.0)).alias("t1"))
+
+    whole = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))
+    met = met.withColumn("span", F.aggregate(F.sequence(F.lit(1), F.lit(4)), whole, cut)).select("*", "span.t0", "span.t1").filter("t1 - t0 > 1e-12")
+    middle = (F.col("t0") + F.col("t1")) / 2
+    long = F.hypot(dx, dy)
+    met = met.select("line", (F.col("s") + middle * long).alias("s"), ((F.col("t1") - F.col("t0")) * long).alias("length"), "j", "i", (F.col("x") + middle * dx).alias("mx"), (F.col("y") + middle * dy).alias("my"), "c")
+    # a piece along a side lies in two quadrangles, and counts in one
+    met = met.groupBy("line", F.round("s", 9).alias("_s")).agg(F.min(F.struct("j", "i", "s", "length", "mx", "my", "c")).alias("b")).select("line", "b.*")
+    found = met.withColumn("_at", in_quadrangle(F.col("mx"), F.col("my"), [(corner(k)["x"], corner(k)["y"]) for k in range(4)]))
+    return found.select("line", "s", "length", "j", "i", "_at.p", "_at.q")
+
+
+def along_section(found: DataFrame, field: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """Values of a field (by, j, i, values) along ``pieces``: by, line, s, length and values, bilinear in a piece's
+    quadrangle; null where a node is null or missing that has weight. Depths, as those of sigma levels, are values."""
+    by = by or []
+    p, q = F.col("p"), F.col("q")
+    product = {(0, 0): (1 - p) * (1 - q), (0, 1): p * (1 - q), (1, 1): p * q, (1, 0): (1 - p) * q}
+    weights = F.array(*[F.struct((F.col("j") + b).alias("j"), (F.col("i") + a).alias("i"), w.alias("_weight")) for (b, a), w in product.items()])
+    heavy = found.withColumn("_w", F.filter(weights, lambda c: F.abs(c["_weight"]) > 1e-12))
+    spread = heavy.select("line", "s", "length", F.size("_w").alias("_n"), F.explode("_w").alias("c")).select("line", "s", "length", "_n", "c.j", "c.i", "c._weight")
+    joined = spread.join(field.select(*by, "j", "i", *values), ["j", "i"])
+    return joined.groupBy(*by, "line", "s", "length", "_n").agg(*[F.when(F.count(v) == F.col("_n"), F.sum(F.col(v) * F.col("_weight"))).alias(v) for v in values]).drop("_n")

@@ -186,6 +186,41 @@ def coastal_soundings_smooth(spark, d):
     return coast.coastal_depths(at, "station", "level", lines, 3.0, extrapolate=False, smooth=True).select(F.col("line").alias("nation"), "n", F.round("z", 5).alias("z"))
 
 
+# sections along the ways of a nation's suppliers, through a grid that is turned and stretched
+
+_WAY = """v AS (SELECT line, n, u, w, u + 0.3::DOUBLE * w AS x, w - 0.2::DOUBLE * u AS y FROM (SELECT s_nationkey AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, (s_suppkey * 7 % 290) / 10.0::DOUBLE + 0.013::DOUBLE AS u, (s_suppkey * 11 % 190) / 10.0::DOUBLE + 0.017::DOUBLE AS w FROM supplier)),
+  sg AS (SELECT *, lead(u) OVER p AS bu, lead(w) OVER p AS bw, sqrt(pow(lead(x) OVER p - x, 2) + pow(lead(y) OVER p - y, 2)) AS len FROM v WINDOW p AS (PARTITION BY line ORDER BY n)),
+  sl AS (SELECT *, sum(len) OVER (PARTITION BY line ORDER BY n) - len AS s FROM sg WHERE bu IS NOT NULL),
+  t AS (SELECT line, n, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS t FROM sl UNION SELECT line, n, (k - u) / (bu - u) FROM sl, range(31) r(k) WHERE bu <> u AND (k - u) / (bu - u) BETWEEN 0 AND 1 UNION SELECT line, n, (k - w) / (bw - w) FROM sl, range(21) r(k) WHERE bw <> w AND (k - w) / (bw - w) BETWEEN 0 AND 1),
+  pc AS (SELECT line, n, t, lead(t) OVER (PARTITION BY line, n ORDER BY t) AS t1 FROM t),
+  m AS (SELECT line, s + (t + t1) / 2 * len AS s, (t1 - t) * len AS length, u + (t + t1) / 2 * (bu - u) AS mu, w + (t + t1) / 2 * (bw - w) AS mw FROM pc JOIN sl USING (line, n) WHERE t1 - t > 1e-12),
+  q AS (SELECT line, s, length, CAST(floor(mw) AS INT) + b AS j, CAST(floor(mu) AS INT) + a AS i, abs(1 - a - (mu - floor(mu))) * abs(1 - b - (mw - floor(mw))) AS wt FROM m, range(2) r(a), range(2) z(b))"""
+
+
+def _ways(spark, d):
+    from pyspark.sql import Window as W
+
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("line"), F.col("s_suppkey").alias("k"))
+    s = s.select("line", F.row_number().over(W.partitionBy("line").orderBy("k")).alias("n"), ((F.col("k") * 7 % 290) / 10.0 + 0.013).alias("u"), ((F.col("k") * 11 % 190) / 10.0 + 0.017).alias("w"))
+    lines = coast.measured(s.select("line", "n", (F.col("u") + 0.3 * F.col("w")).alias("x"), (F.col("w") - 0.2 * F.col("u")).alias("y")))
+    grid = field(spark, d).select("j", "i", (F.col("i") + 0.3 * F.col("j")).alias("x"), (F.col("j") - 0.2 * F.col("i")).alias("y"))
+    return coast.pieces(lines, grid, 3.0)
+
+
+@query(with_("field", f"&{_WAY} SELECT line, round(s, 6) AS s, round(any_value(length), 6) AS length FROM q JOIN field USING (j, i) GROUP BY line, q.s HAVING count(*) = 4"))
+def pieces_of_ways(spark, d):
+    return _ways(spark, d).select("line", r6("s").alias("s"), r6("length").alias("length"))
+
+
+@query(with_("field masked", f"&{_WAY} SELECT line, level, round(s, 6) AS s, CASE WHEN count(v) = 4 THEN round(sum(v * wt) * (1 + level), 6) END AS v, round(-10.0::DOUBLE * level * sum((20 + j) * wt), 6) AS depth FROM q JOIN masked USING (j, i), range(3) l(level) GROUP BY line, level, q.s HAVING count(*) = 4"))
+def section_of_bent_grid(spark, d):
+    """Three levels along each way, with the depths of levels that follow the ground."""
+    levels = masked(spark, d).withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    levels = levels.withColumns({"v": F.col("v") * (1 + F.col("level")), "depth": -10.0 * F.col("level") * (20 + F.col("j"))})
+    found = coast.along_section(_ways(spark, d), levels, ["v", "depth"], ["level"])
+    return found.select("line", "level", r6("s").alias("s"), r6("v").alias("v"), (r6("depth") + 0.0).alias("depth"))
+
+
 # small ones
 
 @query("SELECT event_id, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][CAST(floor((event_id * 7.3::DOUBLE % 360 + 11.25) / 22.5) % 16 + 1 AS INT)] AS clockwise, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][CAST((floor((90 - event_id * 7.3::DOUBLE % 360 + 11.25) / 22.5) + 16) % 16 + 1 AS INT)] AS mathematical FROM events")

@@ -75,3 +75,25 @@ def test_colocation_knows_its_limits(spark):
     assert {k: r["temp"] for k, r in got.items()} == {1: pytest.approx(30 - 1.5 + 1), 2: None, 3: None, 4: None, 5: pytest.approx(-2.0), 6: None}
     assert got[1]["c"] == 1 and got[4]["c"] == 2 and got[6]["c"] is None
     assert got[1]["dens"] > 1000 and got[2]["dens"] is None
+
+
+def test_sections_through_a_bent_grid(spark):
+    """Pieces are as long as the way inside, run on without gaps, and a plane is met exactly."""
+    grid = spark.range(80).select(F.floor(F.col("id") / 10).cast("int").alias("j"), (F.col("id") % 10).cast("int").alias("i"))
+    grid = grid.withColumns({"x": F.col("i") + 0.3 * F.col("j") + 0.02 * F.col("i") * F.col("i"), "y": F.col("j") - 0.2 * F.col("i") + 0.01 * F.col("i") * F.col("j")})
+    ways = spark.createDataFrame([("a", 1, 1.5, 0.5), ("a", 2, 7.0, 4.0), ("a", 3, 4.0, 4.5), ("b", 1, 3.0, 1.0), ("b", 2, 100.0, 1.0), ("c", 1, 500.0, 500.0), ("c", 2, 501.0, 500.0)], "line string, n int, x double, y double")
+    lines = coast.measured(ways)
+    found = coast.pieces(lines, grid, 1.5).cache()
+    assert {r["line"] for r in found.select("line").distinct().collect()} == {"a", "b"}
+    a = sorted((r["s"], r["length"]) for r in found.filter("line = 'a'").collect())
+    whole = (5.5**2 + 3.5**2) ** 0.5 + (9.25) ** 0.5
+    assert sum(n for _, n in a) == pytest.approx(whole)
+    assert all(s + n / 2 == pytest.approx(t - m / 2, abs=1e-8) for (s, n), (t, m) in zip(a, a[1:], strict=False))
+    plane = grid.withColumn("v", 2 * F.col("x") - F.col("y")).withColumn("w", F.when(F.col("i") != 4, F.lit(1.0)))
+    got = coast.along_section(found, plane, ["v", "w"]).collect()
+    assert len(got) == found.count()
+    for r in got:
+        if r["line"] == "a" and r["s"] < (5.5**2 + 3.5**2) ** 0.5:
+            t = r["s"] / (5.5**2 + 3.5**2) ** 0.5
+            assert r["v"] == pytest.approx(2 * (1.5 + 5.5 * t) - (0.5 + 3.5 * t))
+    assert {r["w"] and round(r["w"], 9) for r in got} == {None, 1.0}
