@@ -97,17 +97,15 @@ def filter_long(df: DataFrame, by: list[str], order: str, value: str, weights: l
 
 def running_average(df: DataFrame, by: list[str], order: str, value: str, length: int, out: str = "average", keep_nulls: bool = True) -> DataFrame:
     """Mean of the valid values of ``length`` cells around each; the span shrinks evenly near the ends."""
-    w = _window(by, order)
-    place, n = F.row_number().over(w), F.count(F.lit(1)).over(W.partitionBy(*by))
     half = length // 2
-    reach = F.least(place - 1, n - place, F.lit(half))
-    total, count = F.lit(0.0), F.lit(0)
-    for d in range(-half, half + 1):
-        x = F.lag(value, -d).over(w) if d < 0 else F.lead(value, d).over(w)
-        use = (F.lit(abs(d)) <= reach) & x.isNotNull()
-        total, count = total + F.when(use, x).otherwise(0.0), count + F.when(use, 1).otherwise(0)
-    mean = total / F.nullif(count, F.lit(0))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), mean) if keep_nulls else mean)
+    held = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(_window(by, order).rowsBetween(-half, half))
+    before = F.count(F.lit(1)).over(_window(by, order).rowsBetween(-half, -1)) if half else F.lit(0)
+    df = df.withColumns({"_held": held, "_before": before})
+    reach = F.least(F.col("_before"), F.size("_held") - F.col("_before") - 1)
+    near = F.slice("_held", (F.col("_before") - reach + 1).cast("int"), (2 * reach + 1).cast("int"))
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    mean = F.aggregate(near, zero, lambda acc, c: F.struct((acc["total"] + F.coalesce(c["v"], F.lit(0.0))).alias("total"), (acc["n"] + c["v"].isNotNull().cast("int")).alias("n")), lambda acc: acc["total"] / F.nullif(acc["n"], F.lit(0)))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), mean) if keep_nulls else mean).drop("_held", "_before")
 
 
 def derivative(df: DataFrame, by: list[str], order: str, value: str, position: str | None = None, out: str = "derivative") -> DataFrame:

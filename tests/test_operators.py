@@ -268,3 +268,15 @@ def test_units_of_other_kinds_are_refused(spark):
         convert(F.lit(1.0), "kg m-3", "m")
     with pytest.raises(ValueError, match="no unit"):
         parse_unit("furlong")
+
+
+@pytest.mark.parametrize("length", [1, 2, 9, 100])
+def test_running_average_shrinks_at_the_ends(spark, length):
+    values = [None if i % 7 == 3 else float(i * i % 11) for i in range(25)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").withColumn("g", F.lit("a"))
+    for keep in (True, False):
+        got = {r["i"]: r["average"] for r in windows.running_average(df, ["g"], "i", "v", length, keep_nulls=keep).collect()}
+        for i, v in enumerate(values):
+            reach = min(i, 24 - i, length // 2)
+            near = [x for x in values[i - reach : i + reach + 1] if x is not None]
+            assert got[i] == (pytest.approx(sum(near) / len(near)) if near and (v is not None or not keep) else None)
