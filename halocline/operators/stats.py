@@ -7,6 +7,7 @@ a grouped aggregation, partial on the map side.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,16 +167,18 @@ def arctan_normal(df: DataFrame, by: list[str], value: str, stretch: float = 1.0
 
 def correlation_probability(df: DataFrame, r: str, n: str, datasets: int = 2, out: str = "probability") -> DataFrame:
     """Percent of confidence that a correlation of ``n`` values differs from none: Student's t with n - 2 - datasets
-    degrees of freedom, its two-sided integral taken by 2000 trapezoids of the angle arctan(t / sqrt(dof))."""
+    degrees of freedom, its two-sided integral taken over the angle arctan(t / sqrt(dof)) by Gauss's rule of 64 places.
+
+    The angle is arcsin |r|, and the density is proportional to cos(a)^(dof - 1): beyond 9 / sqrt(dof - 1) it is less than
+    1e-17 of that at 0, and left out, so that the places stand as close for many values as for few.
+    """
     dof = F.col(n) - 2 - datasets
-    t2 = F.col(r) * F.col(r) * dof / (1 - F.col(r) * F.col(r))
-    # with t = sqrt(dof) tan(a), the density is proportional to cos(a)^(dof - 1)
-    top = F.atan(F.sqrt(t2 / dof))
-    steps = 2000
+    at, weight = np.polynomial.legendre.leggauss(64)
+    places = F.array(*[F.struct(F.lit(float(a + 1) / 2).alias("a"), F.lit(float(w) / 2).alias("w")) for a, w in zip(at, weight, strict=True)])
+    wide = F.when(dof > 1, 9 / F.sqrt(dof - 1))
 
     def area(to: Column) -> Column:
-        f = lambda i: F.pow(F.cos(to * i / steps), dof - 1)
-        inner = F.aggregate(F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda acc, i: acc + f(i))
-        return (inner + (f(F.lit(0)) + f(F.lit(steps))) / 2) * to / steps
+        end = F.least(to, wide)  # of one degree of freedom there is no bound, and a null is passed over
+        return end * F.aggregate(places, F.lit(0.0), lambda acc, p: acc + p["w"] * F.pow(F.cos(end * p["a"]), dof - 1))
 
-    return df.withColumn(out, F.when(dof > 0, 100 * F.least(F.lit(1.0), area(top) / area(F.lit(1.5707963267948966)))))
+    return df.withColumn(out, F.when(dof > 0, 100 * F.least(F.lit(1.0), area(F.asin(F.abs(F.col(r)))) / area(F.lit(1.5707963267948966)))))
