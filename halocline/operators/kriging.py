@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from halocline.operators.cut import Steps
 from halocline.operators.neighbours import k_nearest
+from halocline.operators.stats import quantiles
 
 
 def variogram(df: DataFrame, key: str, width: float, longest: float, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
@@ -22,25 +23,37 @@ def variogram(df: DataFrame, key: str, width: float, longest: float, x: str = "x
 
     Bins of equal width; ``equal_count_bins`` has bins of equally many pairs.
     """
-    binned = _pairs(df, key, longest, x, y, value).groupBy(F.floor(F.col("d") / width).cast("int").alias("bin"))
-    return binned.agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs"))
+    return _mean_pairs(_pairs(df, longest, x, y, value), F.floor(F.col("d") / width).cast("int").alias("bin"))
 
 
-def _pairs(df: DataFrame, key: str, longest: float, x: str, y: str, value: str) -> DataFrame:
-    """d, g: distance and half squared difference of all pairs nearer than ``longest``.
+def _mean_pairs(pairs: DataFrame, bin_: Column) -> DataFrame:
+    n = F.sum("n")
+    return pairs.groupBy(bin_).agg((F.sum(F.col("d") * F.col("n")) / n).alias("distance"), (F.sum("g") / n).alias("gamma"), n.alias("pairs"))
 
-    Pairs meet in coarse cells as wide as ``longest``: each point goes to its own cell, and to the neighbours on one
-    side to meet theirs, so no pair is made twice and none that is farther.
+
+def _pairs(df: DataFrame, longest: float, x: str, y: str, value: str) -> DataFrame:
+    """d, n, g: of all pairs nearer than ``longest`` distances, how many pairs, and the sum of their half squared differences.
+
+    Points at one place count together, by their number, mean and squared deviations, which tell the squared differences
+    to those of another place, and among each other. Places meet in coarse cells as wide as ``longest``: each goes to its
+    own cell, and to the neighbours on one side to meet theirs, so no pair is made twice and none that is farther.
     """
-    p = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).cast("double").alias("z"))
+    p = df.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    p = p.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    z = F.col(value).cast("double")
+    p = Steps(df.sparkSession, "variogram").write(p.agg(F.count(F.lit(1)).alias("n"), F.avg(z).alias("m"), (F.var_pop(z) * F.count(F.lit(1))).alias("q")))
     cx, cy = F.floor(F.col("x") / longest), F.floor(F.col("y") / longest)
     own = p.select(*[F.col(c).alias(f"{c}1") for c in p.columns], cx.alias("cx"), cy.alias("cy"))
     sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (-1, 1))])
     other = p.withColumn("s", F.explode(sides)).select(*[F.col(c).alias(f"{c}2") for c in p.columns], (cx - F.col("s.a")).alias("cx"), (cy - F.col("s.b")).alias("cy"), (F.col("s.a") == 0).alias("ha"), (F.col("s.b") == 0).alias("hb"))
-    pairs = own.join(other, ["cx", "cy"]).filter((~(F.col("ha") & F.col("hb"))) | (F.col("k1") < F.col("k2")))
+    first = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    pairs = own.join(other, ["cx", "cy"]).filter((~(F.col("ha") & F.col("hb"))) | first)
     d = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
-    half = (F.col("z2") - F.col("z1")) * (F.col("z2") - F.col("z1")) / 2
-    return pairs.select(d.alias("d"), half.alias("g")).filter(F.col("d") < longest)
+    apart = F.col("m2") - F.col("m1")
+    g = (F.col("n1") * F.col("n2") * apart * apart + F.col("n1") * F.col("q2") + F.col("n2") * F.col("q1")) / 2
+    between = pairs.select(d.alias("d"), (F.col("n1") * F.col("n2")).alias("n"), g.alias("g")).filter(F.col("d") < longest)
+    within = p.filter("n > 1").select(F.lit(0.0).alias("d"), F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), (F.col("n") * F.col("q") / 2).alias("g"))
+    return between.unionByName(within)
 
 
 def model(kind: str, h, nugget: float, sill: float, reach: float):
@@ -60,14 +73,14 @@ def model_column(kind: str, h: Column, nugget: float, sill: float, reach: float)
 def equal_count_bins(df: DataFrame, key: str, longest: float, bins: int = 30, x: str = "x", y: str = "y", value: str = "z", accuracy: int | None = None) -> DataFrame:
     """A variogram whose bins hold equally many pairs of up to ``longest`` apart: bin, distance, gamma, pairs.
 
-    The edges are quantiles of the distances, of ranks at most 1 / accuracy of the pairs (a hundredth of a bin) off, so
-    that pairs are never sorted as a whole; pairs at one distance are in one bin.
+    The edges are quantiles of the distances, exact ones, found in ``accuracy`` slices of them (a hundredth of a bin
+    unless given, 65,536 at most), so that pairs are never sorted as a whole; pairs at one distance are in one bin.
     """
-    p = _pairs(df, key, longest, x, y, value)
-    at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = p.agg(F.percentile_approx("d", at, accuracy or 100 * bins).alias("_edges"))
+    steps = Steps(df.sparkSession, "equal_counts")
+    p = steps.write(_pairs(df, longest, x, y, value).groupBy("d").agg(F.sum("n").alias("n"), F.sum("g").alias("g")))
+    edges = quantiles(p, "d", "n", [k / bins for k in range(1, bins)], min(accuracy or 100 * bins, 65_536), steps).agg(F.array_sort(F.collect_list("value")).alias("_edges"))
     bin_ = F.size(F.filter("_edges", lambda e: e < F.col("d")))
-    return p.crossJoin(F.broadcast(edges)).groupBy(bin_.alias("bin")).agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs"))  # a single row
+    return _mean_pairs(p.crossJoin(F.broadcast(edges)), bin_.alias("bin"))  # a single row
 
 
 def fit_variogram(binned: pd.DataFrame, kind: str = "exponential", most_nugget: float = 0.2) -> tuple[float, float, float]:

@@ -7,11 +7,16 @@ a grouped aggregation, partial on the map side.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halocline.operators.cut import Steps
+
+
 def mask_nan(c: Column) -> Column:
     """Null where a value is not a number."""
     return F.when(~F.isnan(c), c)
@@ -165,6 +170,27 @@ def arctan_normal(df: DataFrame, by: list[str], value: str, stretch: float = 1.0
     return joined.withColumn(out, F.atan(stretch * F.col(value) / F.nullif(F.col("_std"), F.lit(0.0))) * F.lit(2 / 3.141592653589793)).drop("_std")
 
 
+def quantiles(counted: DataFrame, value: str, n: str, shares: list[float], slices: int, steps: Steps) -> DataFrame:
+    """share, value: of values, each of which counts ``n`` times, the smallest that with those below makes up a share of
+    all, exactly. ``counted`` is a written table with a row a value.
+
+    Counts of ``slices`` equal parts of the range tell in which of them a share is reached; only the values there are sorted.
+    """
+    v = F.col(value).cast("double")
+    low, high, total = counted.agg(F.min(v), F.max(v), F.sum(n)).first()
+    if not total:
+        return counted.select(F.lit(0.0).alias("share"), v.alias("value")).limit(0)
+    part = F.least(F.floor((v - low) / ((high - low) / slices)), F.lit(slices - 1)).cast("int") if high > low else F.lit(0)
+    rows = counted.select(v.alias("value"), F.col(n).alias("n"), part.alias("part"))
+    upto = F.sum("n").over(W.orderBy("part"))  # as many rows as slices
+    parts = steps.write(rows.groupBy("part").agg(F.sum("n").alias("n")).withColumn("below", upto - F.col("n")))
+    asked = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(max(1, math.ceil(s * total - 1e-9))).cast("long").alias("rank")) for s in shares])).alias("a")
+    asked = parts.select("part", "n", "below", asked).filter("a.rank > below and a.rank <= below + n").select("part", "below", "a.share", "a.rank")
+    here = rows.join(F.broadcast(asked.select("part", "below").distinct()), "part")  # no more rows than shares
+    here = here.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("part").orderBy("value"))).select("part", "value", "upto")
+    return here.join(F.broadcast(asked), "part").filter("upto >= rank").groupBy("share").agg(F.min("value").alias("value"))
+
+
 def correlation_probability(df: DataFrame, r: str, n: str, datasets: int = 2, out: str = "probability") -> DataFrame:
     """Percent of confidence that a correlation of ``n`` values differs from none: Student's t with n - 2 - datasets
     degrees of freedom, its two-sided integral taken over the angle arctan(t / sqrt(dof)) by Gauss's rule of 64 places.

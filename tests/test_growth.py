@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import stats
+from halocline.operators import kriging, stats
 
 
 def test_correlation_probability_of_many_values(spark):
@@ -17,3 +17,42 @@ def test_correlation_probability_of_many_values(spark):
     want = [100 * math.erf(z / math.sqrt(2)) for z in (0.5, 1.0, 2.0)] + [100.0] + [200 / math.pi * math.asin(0.6)] * 2
     assert got[:-1] == pytest.approx(want, abs=1e-5)
     assert got[-1] is None
+
+
+def _heaps(spark):
+    """4,000 points at seven places: 8 million pairs, but 28 of places."""
+    at = (F.col("id") * F.col("id") % 7).cast("double")
+    return spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7 * 1.5).alias("x"), (F.col("id") % 7 % 3 * 1.0).alias("y"), (at + F.col("id") / 500).alias("z"))
+
+
+def _plain_pairs(spark):
+    import numpy as np
+
+    rows = np.array([(r["x"], r["y"], r["z"]) for r in _heaps(spark).collect()])
+    i, j = np.triu_indices(len(rows), 1)
+    d = np.sqrt((rows[i, 0] - rows[j, 0]) ** 2 + (rows[i, 1] - rows[j, 1]) ** 2)
+    return d, (rows[i, 2] - rows[j, 2]) ** 2 / 2
+
+
+def test_variogram_counts_pairs_by_places(spark):
+    pairs = kriging._pairs(_heaps(spark), 5.0, "x", "y", "z")
+    assert pairs.count() <= 28
+    d, g = _plain_pairs(spark)
+    for r in kriging.variogram(_heaps(spark), "k", 2.0, 5.0).collect():
+        here = (d < 5) & (d // 2 == r["bin"])
+        assert r["pairs"] == here.sum()
+        assert (r["distance"], r["gamma"]) == pytest.approx((d[here].mean(), g[here].mean()), rel=1e-9)
+
+
+def test_equal_counts_have_exact_edges(spark):
+    import numpy as np
+
+    d, g = _plain_pairs(spark)
+    d, g = d[d < 5], g[d < 5]
+    edges = [np.sort(d)[math.ceil(k * len(d) / 5) - 1] for k in range(1, 5)]
+    bins = np.searchsorted(edges, d, "left")
+    got = {r["bin"]: r for r in kriging.equal_count_bins(_heaps(spark), "k", 5.0, 5, accuracy=4).collect()}
+    assert got.keys() == set(bins.tolist())
+    for b, r in got.items():
+        assert r["pairs"] == (bins == b).sum()
+        assert (r["distance"], r["gamma"]) == pytest.approx((d[bins == b].mean(), g[bins == b].mean()), rel=1e-9)
