@@ -17,6 +17,9 @@ from halocline.functions.units import EARTH_RADIUS
 from halocline.operators.cut import Steps
 
 
+CROWD = 16  # targets that a cell may hold where a search begins
+
+
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("int")
 
@@ -29,9 +32,15 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
     cells three times as wide, up to the whole: one target of each inner cell bounds the distance, and only inner cells
     that may hold a nearer one are opened. On the sphere cells are cubes around the unit sphere, which know
     neither poles nor date line. Points and targets without a position are left out, the latter as candidates.
+
+    Points at one place ask once, targets at one place are one, that of the smallest key. Where cells of ``size`` hold
+    more than ``CROWD`` targets in the mean over targets, the search begins with smaller ones.
     """
-    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+    steps = Steps(points.sparkSession, "nearest")
+    every = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+    p = steps.write(every.select("_px", "_py").distinct())
     t = targets.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(target_key).alias("_t"), F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
+    t = steps.write(t.groupBy("_tx", "_ty").agg(F.min("_t").alias("_t")))
     if geo:
         distance, place = haversine(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty")), _on_sphere
         side, widest = 2 * math.sin(math.radians(min(size, 180.0)) / 2), 2.0
@@ -42,42 +51,48 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, si
         widest = max(span[0] or 0.0, span[1] or 0.0)
     axes = range(3 if geo else 2)
     line = (lambda d: 2 * F.sin(d / (2 * EARTH_RADIUS))) if geo else (lambda d: d)  # through the sphere
-    done, steps, around, level = None, Steps(points.sparkSession, "nearest"), F.sequence(F.lit(-rings), F.lit(rings)), 0
+    done, around, level = None, F.sequence(F.lit(-rings), F.lit(rings)), 0
     on = [f"_c{k}" for k in axes]
+    while side > widest * 1e-6:
+        held = t.groupBy(*[F.floor(c / side).cast("long").alias(on[k]) for k, c in enumerate(place(F.col("_tx"), F.col("_ty")))]).agg(F.count(F.lit(1)).alias("n"))
+        if (held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= CROWD:
+            break
+        side /= 3
     while True:
         wide = 3 if level else 1  # later cells are three cells of the level before each way
-        fine = lambda a, b: [F.floor(c / (side / wide)).cast("int") for c in place(F.col(a), F.col(b))]  # noqa: E731,B023
-        coarse = lambda a, b: [F.floor(c / wide).cast("int") for c in fine(a, b)]  # noqa: E731,B023
+        fine = lambda a, b: [F.floor(c / (side / wide)).cast("long") for c in place(F.col(a), F.col(b))]  # noqa: E731,B023
+        coarse = lambda a, b: [F.floor(c / wide).cast("long") for c in fine(a, b)]  # noqa: E731,B023
         last = side * rings >= widest
         cells = p
         for k in axes:
             cells = cells.withColumn(f"_d{k}", F.explode(around))
-        cells = cells.select(key, "_px", "_py", *[(c + F.col(f"_d{k}")).alias(f"_c{k}") for k, c in enumerate(coarse("_px", "_py"))])
+        cells = cells.select("_px", "_py", *[(c + F.col(f"_d{k}")).alias(f"_c{k}") for k, c in enumerate(coarse("_px", "_py"))])
         there = t.withColumns({f"_f{k}": c for k, c in enumerate(fine("_tx", "_ty"))})
         if level:
             # of the inner cells around a point those that may hold what is nearer than one target of each
             held = there.groupBy(*[f"_f{k}" for k in axes]).agg(F.min(F.struct("_t", "_tx", "_ty")).alias("_one"))
-            held = held.select("*", "_one._tx", "_one._ty", *[F.floor(F.col(f"_f{k}") / wide).cast("int").alias(f"_c{k}") for k in axes])
+            held = held.select("*", "_one._tx", "_one._ty", *[F.floor(F.col(f"_f{k}") / wide).cast("long").alias(f"_c{k}") for k in axes])
             least = F.lit(0.0)
             for k, c in enumerate(place(F.col("_px"), F.col("_py"))):
                 lo = F.col(f"_f{k}") * (side / wide)
                 gap = F.greatest(lo - c, c - lo - side / wide, F.lit(0.0))
                 least = least + gap * gap
-            near = cells.join(held, on).withColumns({"_least": F.sqrt(least), "_most": F.min(line(distance)).over(W.partitionBy(key))})
-            near = near.filter(F.col("_least") <= F.col("_most") * (1 + 1e-9)).select(key, "_px", "_py", *[f"_f{k}" for k in axes])
+            near = cells.join(held, on).withColumns({"_least": F.sqrt(least), "_most": F.min(line(distance)).over(W.partitionBy("_px", "_py"))})
+            near = near.filter(F.col("_least") <= F.col("_most") * (1 + 1e-9)).select("_px", "_py", *[f"_f{k}" for k in axes])
             found = near.join(there, [f"_f{k}" for k in axes])
         else:
             found = cells.join(there.select("_t", "_tx", "_ty", *[F.col(f"_f{k}").alias(f"_c{k}") for k in axes]), on)
-        best = steps.write(found.groupBy(key, "_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b")))
+        best = steps.write(found.groupBy("_px", "_py").agg(F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("b")))
         sure = best if last else best.filter(F.col("b.d") <= reach(side * rings))
-        part = sure.select(key, F.col("b.t").alias(out), F.col("b.d").alias("distance"))
+        part = sure.select("_px", "_py", F.col("b.t").alias(out), F.col("b.d").alias("distance"))
         done = part if done is None else done.unionByName(part)
         if last:
-            return done
-        p = steps.write(p.join(sure.select(key), key, "left_anti"))
+            break
+        p = steps.write(p.join(sure.select("_px", "_py"), ["_px", "_py"], "left_anti"))
         if p.isEmpty():
-            return done
+            break
         side, level = side * 3, level + 1
+    return every.join(done, ["_px", "_py"]).select(key, out, "distance")
 
 
 def _on_sphere(lon: Column, lat: Column) -> list[Column]:

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import kriging, stats
+from halocline.operators import cut, kriging, points, scatter, stats
 
 
 def test_correlation_probability_of_many_values(spark):
@@ -56,3 +56,52 @@ def test_equal_counts_have_exact_edges(spark):
     for b, r in got.items():
         assert r["pairs"] == (bins == b).sum()
         assert (r["distance"], r["gamma"]) == pytest.approx((d[bins == b].mean(), g[bins == b].mean()), rel=1e-9)
+
+
+def test_nearest_asks_once_a_place(spark, monkeypatch):
+    """3,000 points and 3,000 targets at a few places each: the steps hold places, not points."""
+    at = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 5 * 10.0).alias("lon"), (F.col("id") % 3 * 10.0).alias("lat"))
+    to = spark.range(3000).select((3000 - F.col("id")).alias("t"), (F.col("id") % 4 * 10.0 + 1).alias("lon"), F.lit(10.0).alias("lat"))
+    most = []
+    written = cut.Steps.write
+    monkeypatch.setattr(cut.Steps, "write", lambda self, df: (lambda out: most.append(out.count()) or out)(written(self, df)))
+    for geo in (True, False):
+        got = points.nearest(at, "k", to, "t", 5.0, geo=geo).collect()
+        assert len(got) == 3000
+        assert all(r["nearest"] == {0: 4, 1: 3, 2: 2, 3: 1, 4: 1}[r["k"] % 5] for r in got)
+    assert max(most) <= 15
+
+
+def test_nearest_begins_with_small_cells(spark):
+    """4,000 targets in one cell of the given size: the pairs that meet stay in proportion to the points."""
+    place = lambda m: ((F.col("id") * m) % 997 / 997.0)
+    at = spark.range(500).select(F.col("id").alias("k"), place(31).alias("x"), place(57).alias("y"))
+    to = spark.range(4000).select(F.col("id").alias("t"), (place(73) + F.col("id") * 1e-7).alias("x"), place(91).alias("y"))
+    got = {r["k"]: r["nearest"] for r in points.nearest(at, "k", to, "t", 100.0, "x", "y", geo=False).collect()}
+    rows = [(r["t"], r["x"], r["y"]) for r in to.collect()]
+    for r in at.filter("k % 50 = 0").collect():
+        assert got[r["k"]] == min(rows, key=lambda v: (math.sqrt((v[1] - r["x"]) ** 2 + (v[2] - r["y"]) ** 2), v[0]))[0]
+
+
+def test_spacing_counts_lone_points_by_their_squares(spark):
+    rows = [(0.0, 0.0), (0.1, 0.0), (0.3, 0.0), (0.9, 0.9), (2.95, 0.9), (50.0, 50.0), (0.1, 0.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, x double, y double")
+    near = []
+    places = sorted(set(rows))
+    for a in places:
+        inside = [b for b in places if b != a and all(abs(math.floor(p) - math.floor(q)) <= 1 for p, q in zip(a, b, strict=True))]
+        near += [min(math.dist(a, b) for b in inside)] if inside else []
+    want = sorted(near)[(len(near) + 1) // 2 - 1]
+    assert scatter.spacing(df, "k", 1.0).collect()[0]["spacing"] == pytest.approx(want, abs=1e-12)
+    assert scatter.spacing(df.limit(1), "k", 1.0).collect()[0]["spacing"] is None
+
+
+def test_linear_asks_once_a_place(spark, monkeypatch):
+    src = spark.createDataFrame([(0.0, 0.0, 0.0), (4.0, 0.0, 4.0), (0.0, 4.0, 8.0), (4.0, 4.0, 12.0), (2.0, 1.5, 5.0)], "x double, y double, z double")
+    at = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 4 * 1.0 + 0.5).alias("x"), F.lit(1.0).alias("y"))
+    most = []
+    written = cut.Steps.write
+    monkeypatch.setattr(cut.Steps, "write", lambda self, df: (lambda out: most.append(out.count()) or out)(written(self, df)))
+    got = scatter.linear(src, at, "k").collect()
+    assert len(got) == 2000 and all(r["value"] == pytest.approx(r["k"] % 4 + 2.5) for r in got)
+    assert max(most) <= 64
