@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from halocline.operators import points as pts
 from halocline.operators.cut import Steps
-from halocline.operators.neighbours import Quadtree
+from halocline.operators.neighbours import Quadtree, k_nearest
+from halocline.operators.stats import quantiles
 
 
 FAR = np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])  # where the three corners lie that stand for outside
@@ -82,21 +83,22 @@ def linear(points: DataFrame, targets: DataFrame, key: str, near: int = 24, x: s
 
     Targets outside the hull are null, and so are those without a position. Points without a value do not count, those
     at one place as their mean. A target meets its ``near`` nearest points and, in each further round, the ``more`` that
-    are nearest to its circle's centre, wherever they are; no task holds more than those of its targets.
+    are nearest to its circle's centre, wherever they are; no task holds more than those of its targets. Targets at one
+    place ask once.
     """
     p = points.filter(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     p = p.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.avg(value).alias("z")).withColumn("place", F.struct("x", "y"))
     tree = Quadtree(p, "place", near, depth=None, carry=["z"])
     steps = Steps(points.sparkSession, "linear")
     t = targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    placed = steps.write(t.filter("x is not null and y is not null").dropDuplicates(["key"]))
+    placed = steps.write(t.filter("x is not null and y is not null").select(F.struct("x", "y").alias("key"), "x", "y").distinct())
     if tree.n < 3 or placed.isEmpty():
         return t.select(F.col("key").alias(key), F.lit(None).cast("double").alias("value"))
     ends = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     x0, y0 = tree.corner
     far = 1e4 * (tree.wide + max(ends[1], x0 + tree.wide) - min(ends[0], x0) + max(ends[3], y0 + tree.wide) - min(ends[2], y0))
     state = "x double, y double, met array<struct<x:double,y:double,z:double>>, known double, value double, cx double, cy double, sure boolean"
-    schema = placed.select("key").schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", " + state
+    schema = "key struct<x:double,y:double>, " + state
 
     def solve(batches):
         for rows in (b.iloc[i : i + batch] for b in batches for i in range(0, len(b), batch)):
@@ -132,7 +134,8 @@ def linear(points: DataFrame, targets: DataFrame, key: str, near: int = 24, x: s
             break
         asked = tree.nearest(open_, "key", more, "cx", "cy").groupBy("target").agg(met)
         rest = open_.join(asked.withColumnRenamed("target", "key"), "key").withColumn("met", F.array_distinct(F.concat("met", "new"))).drop("new")
-    return t.join(out, "key", "left").select(F.col("key").alias(key), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    out = out.select("key.x", "key.y", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    return t.join(out, ["x", "y"], "left").select(F.col("key").alias(key), "value")
 
 
 def nearest_value(points: DataFrame, point_key: str, targets: DataFrame, key: str, size: float, x: str = "x", y: str = "y", value: str = "z") -> DataFrame:
@@ -168,13 +171,22 @@ def fill2d(field: DataFrame, value: str, size: float = 3.0, method: str = "linea
 
 
 def spacing(points: DataFrame, key: str, size: float, x: str = "x", y: str = "y", accuracy: int = 10_000) -> DataFrame:
-    """The median distance of points from their nearest neighbour at another place: one row, spacing. Points that have
-    none in the squares of side ``size`` around them do not count."""
-    at = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct().withColumn("k", F.struct("x", "y"))
+    """The median distance of points from their nearest neighbour at another place: one row, spacing, the lower one of an
+    even number, found in ``accuracy`` slices of the distances. Points that have none in the squares of side ``size``
+    around them do not count.
+
+    A neighbour nearer than ``size`` is in these squares, and is found by a quadtree. Points that have none so near are
+    few to a square, and look through theirs.
+    """
+    steps = Steps(points.sparkSession, "spacing")
+    at = steps.write(points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null").distinct().withColumn("k", F.struct("x", "y")))
+    two = steps.write(k_nearest(at, "k", at.withColumn("place", F.col("k")), "place", 2).filter("place != k").groupBy("k").agg(F.min("distance").alias("d")))
     eight = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    near = at.withColumn("s", F.explode(eight)).select("k", "x", "y", (cell("x") + F.col("s.a")).alias("cx"), (cell("y") + F.col("s.b")).alias("cy"))
+    alone = two.filter(F.col("d") >= size).select("k", "k.x", "k.y")
+    near = alone.withColumn("s", F.explode(eight)).select("k", "x", "y", (cell("x") + F.col("s.a")).alias("cx"), (cell("y") + F.col("s.b")).alias("cy"))
     other = at.select(F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-    best = near.join(other, ["cx", "cy"]).filter((F.col("x") != F.col("ox")) | (F.col("y") != F.col("oy"))).groupBy("k").agg(F.min(d).alias("d"))
-    return best.agg(F.percentile_approx("d", 0.5, accuracy).alias("spacing"))
+    far = near.join(other, ["cx", "cy"]).filter((F.col("x") != F.col("ox")) | (F.col("y") != F.col("oy"))).groupBy("k").agg(F.min(d).alias("d"))
+    counted = steps.write(two.filter(F.col("d") < size).unionByName(far).groupBy("d").agg(F.count(F.lit(1)).alias("n")))
+    return quantiles(counted, "d", "n", [0.5], accuracy, steps).agg(F.first("value").alias("spacing"))
