@@ -266,17 +266,17 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _parts(batches):
             on = [choose(np.frombuffer(s, np.uint64), np.array([p], np.int64).view(np.uint64), threshold, later) for s, p in zip(batch["tokens"], batch["leaf"], strict=True)]
-            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(x) for x in on]), "leaf": np.concatenate(on).view(np.int64) if on else []})
+            yield pd.DataFrame({**{c: np.repeat(batch[c].to_numpy(), [len(x) for x in on]) for c in ("key", "tokens_n")}, "leaf": np.concatenate(on).view(np.int64) if on else []})
 
     def crowded(level: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows of the buckets of two sets or more, and of these of the large ones, with the ``size`` of each. Of buckets
+        """Rows (key, leaf) of the small buckets of two sets or more, and those of the large ones. Of buckets
         that hold the same sets one stays: whatever the others would find, it finds."""
         counted = work.write(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("print")), f"{name}_counted")
         once = work.write(counted.filter("size > 1").groupBy("size", "print").agg(F.min("leaf").alias("leaf")).select("leaf", "size"), f"{name}_sizes")
         shared = work.write(join_counted(level, once, ["leaf"], "size", rows_of(counted, "size")), f"{name}_shared")
-        return shared.filter(F.col("size") <= small).select("key", "leaf"), shared.filter(F.col("size") > small)
+        return shared.filter(F.col("size") <= small).select("key", "leaf"), shared.filter(F.col("size") > small).drop("size")
 
-    level = work.write(classes.select("key", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
+    level = work.write(classes.select("key", "tokens_n", F.explode(F.array_distinct("paths")).alias("leaf")), "level1")
     leaves, sets, size_class = None, None, F.floor(F.log("tokens_n") / (math.log(1 / threshold) + 1e-9)).cast("int")
     for at in range(1, depth + 1):
         found, large = crowded(level, f"level{at}")
@@ -286,28 +286,29 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
         if at == depth:
             leaves = leaves.union(large.select("key", "leaf"))
             break
-        # mean similarity of a bucket, from eight of its members
-        large = large.select("key", "leaf")
-        some = large.join(sketches, "key").groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *[F.min_by("sketch", F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in range(8)])
+        # mean similarity of a bucket, from eight of its members: they alone get their sketches
+        some = large.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(8)]).alias("some"))
+        some = some.select("leaf", "size", F.posexplode("some").alias("k", "key")).join(sketches, "key")
+        some = some.groupBy("leaf", "size").agg(*[F.max(F.when(F.col("k") == k, F.col("sketch"))).alias(f"s{k}") for k in range(8)])
         pairs = [_agreement(F.col(f"s{i}"), F.col(f"s{k}")) for k in range(8) for i in range(k)]
         mean = work.write(some.select("leaf", "size", (sum(pairs, F.lit(0.0)) / len(pairs)).alias("mean")), f"mean{at}")
         large = work.write(join_counted(large, mean, ["leaf"], "size", rows_of(mean, "size")), f"large{at}")
         leaves = leaves.union(large.filter(F.col("mean") >= alike).select("key", "leaf"))
         # sets that are similar enough are of the same class of sizes, or of one next to it
-        apart = large.filter(F.col("mean") < alike).select("key", "leaf").join(classes.select("key", "tokens_n"), "key")
-        dealt = apart.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select("key", F.xxhash64("leaf", "class").alias("leaf"))
+        apart = large.filter(F.col("mean") < alike).select("key", "tokens_n", "leaf")
+        dealt = apart.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select("key", "tokens_n", F.xxhash64("leaf", "class").alias("leaf"))
         found, rest = crowded(work.write(dealt, f"dealt{at}"), f"dealt{at}")
-        leaves, rest = leaves.union(found), rest.select("key", "leaf")
+        leaves = leaves.union(found)
         if rest.isEmpty():
             break
         if sets is None:  # deeper buckets hold no others
             sets = work.write(sets_of(rest.select("key").distinct(), "split"), "split_sets").drop("n")
-        level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, leaf long").distinct(), f"level{at + 1}")
+        level = work.write(rest.join(sets, "key").mapInPandas(split, "key binary, tokens_n int, leaf long").distinct(), f"level{at + 1}")
     leaves = work.write(leaves, "leaves")
     work.keep("rows", "classes", "leaves")
 
     order = ["leaf", "bi", "bj"]
-    members = leaves.join(leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "key").join(sketches, "key")
+    members = leaves.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")).join(sketches, "key").withColumn("leaf", F.explode("leaves"))
     members = members.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf")))  # only earlier ones are asked for
     cleared = in_blocks(members, ["leaf"], F.col("key"), block, work, leaves).repartition(*order).sortWithinPartitions(*order)
     cleared = work.write(cleared.mapInPandas(clear(threshold), "leaf long, bi int, bj int, side boolean, leaves array<long>, key binary"), "cleared")
