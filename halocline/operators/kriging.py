@@ -59,8 +59,8 @@ def _pairs(df: DataFrame, longest: float, x: str, y: str, value: str) -> DataFra
 def model(kind: str, h, nugget: float, sill: float, reach: float):
     """Variogram value at the distance h, a numpy array: linear, exponential, spherical or gaussian."""
     r = np.asarray(h, float) / reach
-    shape = {"linear": np.minimum(r, 1), "exponential": 1 - np.exp(-3 * r), "spherical": np.where(r < 1, 1.5 * r - 0.5 * r**3, 1.0), "gaussian": 1 - np.exp(-3 * r * r)}[kind]
-    return np.where(r > 0, nugget + (sill - nugget) * shape, 0.0)
+    shapes = {"linear": lambda: np.minimum(r, 1), "exponential": lambda: 1 - np.exp(-3 * r), "spherical": lambda: np.where(r < 1, 1.5 * r - 0.5 * r**3, 1.0), "gaussian": lambda: 1 - np.exp(-3 * r * r)}
+    return np.where(r > 0, nugget + (sill - nugget) * shapes[kind](), 0.0)
 
 
 def model_column(kind: str, h: Column, nugget: float, sill: float, reach: float) -> Column:
@@ -191,14 +191,15 @@ def estimates(a: np.ndarray, z: np.ndarray, e: np.ndarray, at: np.ndarray, kind:
 
 
 def krige_clouds(points: DataFrame, targets: DataFrame, key: str, kind: str, nugget: float, sill: float, reach: float, most: int = 1000, clouds: int = 4, x: str = "x", y: str = "y", value: str = "z",
-                 error: str | None = None, mean: float | None = None, at_once: int = 5000) -> DataFrame:
+                 error: str | None = None, mean: float | None = None, at_once: int = 500) -> DataFrame:
     """Kriging of ``points`` at ``targets`` (key, x, y) from clouds of ``most`` points: key, value, error.
 
     Ordinary, or simple about a known ``mean``, which is also the value far from all points. ``error``: a column of the
     points' errors of observation, null as none: they add to the variance of a point with itself. A target takes its
     ``clouds`` nearest clouds by their centres; their values are weighted by 1 / variance^2, and the variances of the
     result add up as such weights. Points at one place count as their mean, and so do their errors. Without any points
-    targets are null, and so are those without a position. A system is solved for ``at_once`` targets.
+    targets are null, and so are those without a position. Targets at one place ask once; a system is solved for
+    ``at_once`` of them.
     """
     steps = Steps(points.sparkSession, "krige")
     e = F.coalesce(F.col(error).cast("double"), F.lit(0.0)) if error else F.lit(0.0)
@@ -207,24 +208,24 @@ def krige_clouds(points: DataFrame, targets: DataFrame, key: str, kind: str, nug
     p = split_clouds(p, most, steps)
     t = steps.write(targets.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
     centres = steps.write(p.groupBy("cloud").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
-    near = k_nearest(t, "key", centres, "cloud", clouds).select("key", "cloud")
-    near = steps.write(near.join(t, "key"))
+    places = steps.write(t.filter("x is not null and y is not null").select("x", "y").distinct().withColumn("key", F.struct("x", "y")))
+    near = k_nearest(places, "key", centres, "cloud", clouds).select("key", "cloud")
+    near = steps.write(near.select("cloud", F.xxhash64("key").alias("hash"), "key.x", "key.y"))
     parts = near.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / (4 * at_once)).cast("int").alias("parts"))
-    asked = near.join(parts, "cloud").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+    asked = near.join(parts, "cloud").withColumn("part", F.pmod("hash", F.col("parts")).cast("int")).drop("parts", "hash")
     sent = p.join(parts, "cloud").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    kind_ = targets.schema[key].dataType.simpleString()
 
     def solve(_: tuple, mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(there):
-            return pd.DataFrame({"key": [], "value": [], "weight": []})
+            return pd.DataFrame({"x": [], "y": [], "value": [], "weight": []})
         a, at = mine[["x", "y"]].to_numpy(), there[["x", "y"]].to_numpy()
         found = [estimates(a, mine["z"].to_numpy(), mine["e"].to_numpy(), at[i : i + at_once], kind, nugget, sill, reach, mean) for i in range(0, len(at), at_once)]
         value_, variance = (np.concatenate(v) for v in zip(*found, strict=True))
-        return pd.DataFrame({"key": there["key"], "value": value_, "weight": 1 / np.maximum(variance, 1e-9 * sill) ** 2})
+        return pd.DataFrame({"x": there["x"], "y": there["y"], "value": value_, "weight": 1 / np.maximum(variance, 1e-9 * sill) ** 2})
 
-    solved = sent.groupBy("cloud", "part").cogroup(asked.groupBy("cloud", "part")).applyInPandas(solve, f"key {kind_}, value double, weight double")
-    blended = solved.groupBy("key").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"), F.pow(F.sum("weight"), F.lit(-0.25)).alias("error"))
-    return t.select("key").join(blended, "key", "left").withColumnRenamed("key", key)
+    solved = sent.groupBy("cloud", "part").cogroup(asked.groupBy("cloud", "part")).applyInPandas(solve, "x double, y double, value double, weight double")
+    blended = solved.groupBy("x", "y").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"), F.pow(F.sum("weight"), F.lit(-0.25)).alias("error"))
+    return t.join(blended, ["x", "y"], "left").select(F.col("key").alias(key), "value", "error")
 
 
 def three_gaussians(x: Column, y: Column) -> Column:

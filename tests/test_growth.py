@@ -105,3 +105,25 @@ def test_linear_asks_once_a_place(spark, monkeypatch):
     got = scatter.linear(src, at, "k").collect()
     assert len(got) == 2000 and all(r["value"] == pytest.approx(r["k"] % 4 + 2.5) for r in got)
     assert max(most) <= 64
+
+
+def test_kriging_solves_once_a_place(spark, monkeypatch):
+    """3,000 targets at six places: what is asked of the clouds is no more than those times the clouds."""
+    src = spark.range(60).select((F.col("id") % 10 * 1.0).alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"), (F.col("id") % 7 * 1.0).alias("z"))
+    at = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 6 + 0.5).alias("x"), F.lit(2.5).alias("y"))
+    most = []
+    written = cut.Steps.write
+
+    def write(self, df):
+        out = written(self, df)
+        if "cloud" in out.columns:
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(cut.Steps, "write", write)
+    got = kriging.krige_clouds(src, at, "k", "exponential", 0.1, 1.0, 5.0, most=20).collect()
+    assert len(got) == 3000 and max(most) <= 60
+    values = {}
+    for r in got:
+        values.setdefault(r["k"] % 6, set()).add((r["value"], r["error"]))
+    assert all(len(v) == 1 for v in values.values()) and all(None not in next(iter(v)) for v in values.values())
