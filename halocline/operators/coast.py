@@ -97,10 +97,11 @@ def pieces(lines: DataFrame, grid: DataFrame, size: float) -> DataFrame:
     parts = lines.withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).filter("bx is not null and (bx != x or by != y)")
     square = lambda c: F.floor(c / size).cast("long")
     for c in ("x", "y"):
-        parts = parts.withColumn(f"q{c}", F.explode(F.sequence(square(F.least(c, f"b{c}")), square(F.greatest(c, f"b{c}")))))
         ends = F.col(f"c.{c}")
-        quads = quads.withColumn(f"q{c}", F.explode(F.sequence(square(F.array_min(ends)), square(F.array_max(ends)))))
-    met = parts.join(quads, ["qx", "qy"]).dropDuplicates(["line", "n", "j", "i"])
+        parts = parts.withColumn(f"a{c}", square(F.least(c, f"b{c}"))).withColumn(f"q{c}", F.explode(F.sequence(F.col(f"a{c}"), square(F.greatest(c, f"b{c}")))))
+        quads = quads.withColumn(f"g{c}", square(F.array_min(ends))).withColumn(f"q{c}", F.explode(F.sequence(F.col(f"g{c}"), square(F.array_max(ends)))))
+    # of the squares that both lie in the first one counts, so that no pair is met twice
+    met = parts.join(quads, ["qx", "qy"]).filter("qx = greatest(ax, gx) and qy = greatest(ay, gy)").drop("qx", "qy", "ax", "ay", "gx", "gy")
     dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
     corner = lambda k: F.get("c", F.lit(k))
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import cut, kriging, points, scatter, stats
+from halocline.operators import coast, cut, kriging, points, scatter, stats
 
 
 def test_correlation_probability_of_many_values(spark):
@@ -127,3 +127,13 @@ def test_kriging_solves_once_a_place(spark, monkeypatch):
     for r in got:
         values.setdefault(r["k"] % 6, set()).add((r["value"], r["error"]))
     assert all(len(v) == 1 for v in values.values()) and all(None not in next(iter(v)) for v in values.values())
+
+
+def test_pieces_meet_once_without_a_shuffle_of_pairs(spark):
+    grid = spark.range(30).select(F.floor(F.col("id") / 6).alias("j"), (F.col("id") % 6).alias("i"), (F.col("id") % 6 * 1.0).alias("x"), F.floor(F.col("id") / 6).cast("double").alias("y"))
+    lines = spark.createDataFrame([("a", 0, 0.1, 0.2), ("a", 1, 4.9, 3.7), ("a", 2, 0.3, 3.1)], "line string, n int, x double, y double")
+    found = coast.pieces(coast.measured(lines), grid, 0.7)
+    assert "dropDuplicates" not in str(found) and "Deduplicate" not in found._jdf.queryExecution().analyzed().toString()
+    rows = found.collect()
+    assert sum(r["length"] for r in rows) == pytest.approx(math.hypot(4.8, 3.5) + math.hypot(4.6, 0.6))
+    assert len({(r["s"], r["j"], r["i"]) for r in rows}) == len(rows) > 10
