@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halocline.llm.groups import components, in_blocks, join_counted, local_roots, lowest_of, rows_of, runs_for
+from halocline.llm.groups import components, in_blocks, join_counted, local_roots, lowest_of, marked, rows_of, runs_for
 from halocline.llm.hashing import mix, normalize, word_hashes
 from halocline.llm.workspace import Workspace
 
@@ -252,10 +252,12 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     sketches = classes.select("key", "sketch")
 
     def sets_of(keys: DataFrame, name: str) -> DataFrame:
-        """key, n, tokens of some classes, made anew from the text of a row with their copy_of."""
+        """key, n, tokens of some classes, made anew from the text of a row with their copy_of. Other texts stay where
+        they are."""
         first = F.xxhash64("copy_of").alias("at")
         wanted = work.write(classes.join(keys, "key", "left_semi").select("key", first, "n", "copy_of"), f"{name}_wanted")
         texts = keyed.filter("key is not null").withColumn("at", F.xxhash64("doc_id"))
+        texts = marked(texts, wanted, ["key", "at"], "may_be").filter("may_be").drop("may_be")
         found = join_counted(texts, wanted, ["key", "at"], "n", worded).filter(F.col("doc_id").eqNullSafe(F.col("copy_of")))
         return found.select("key", "n", "text").dropDuplicates(["key"]).mapInPandas(fill, "key binary, n long, tokens binary")
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.llm import jaccard, licenses, pii
+from halocline.llm import groups, jaccard, licenses, pii
+from halocline.llm.workspace import Workspace
 from tests.llm.test_pairs import brute_classes, word_sets
 
 
@@ -99,3 +100,43 @@ def test_only_notices_are_dropped(spark):
     df = spark.createDataFrame([(i, f"a\n{x}\nb") for i, x in enumerate(lines)], "i int, t string")
     kept = {r["i"] for r in df.filter(licenses.without_notices(F.col("t"))== F.col("t")).collect()}
     assert kept == {0, 1, 6, 8}
+
+
+def _sent(monkeypatch, module):
+    """How many rows with a text are given to each counted join of a module."""
+    sent = []
+    joined = module.join_counted
+
+    def join(rows, *args, **how):
+        if "text" in rows.columns:
+            sent.append(rows.count())
+        return joined(rows, *args, **how)
+
+    monkeypatch.setattr(module, "join_counted", join)
+    return sent
+
+
+def _few_copies():
+    """1,000 texts of their own, and five pairs of near copies, a repeated row, a copy under another id, no words, no id."""
+    rows = [(i, " ".join(f"t{i}w{k}" for k in range(30))) for i in range(1000)]
+    near = [(2000 + i, rows[i][1] + " more") for i in range(5)]
+    return rows + near + [rows[7], (3000, rows[8][1]), (None, rows[9][1]), (3001, None), (3001, " "), (3001, None)]
+
+
+def test_only_texts_in_doubt_are_sent_to_be_compared(spark, monkeypatch):
+    sent = _sent(monkeypatch, jaccard)
+    docs = spark.createDataFrame(_few_copies(), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_links"]) for r in jaccard.join_similar(docs).collect()}
+    assert {(i, 1) for i in (*range(5), *range(2000, 2005), 7, 8, 9, 3000, None)} | {(3001, 0), (5, 0), (6, 0)} <= got
+    assert len(got) == 1008
+    assert sent and max(sent) <= 100
+
+
+def test_marked_rows_hold_all_keys(spark):
+    work = Workspace(spark, "test")
+    keyed = work.write(spark.range(0, 4000, 40).select(F.col("id").alias("a"), F.when(F.col("id") % 80 > 0, F.col("id")).alias("b")), "keyed")
+    rows = spark.range(4000).select(F.col("id").alias("a"), F.when(F.col("id") % 80 > 0, F.col("id")).alias("b"))
+    found = {r["a"] for r in groups.marked(rows, keyed, ["a", "b"], "there").filter("there").collect()}
+    assert set(range(0, 4000, 40)) <= found and len(found) <= 100 + 4000 / 16
+    assert groups.marked(rows, keyed.limit(0), ["a", "b"], "there").filter("there").isEmpty()
+    assert groups.marked(rows, keyed, ["a", "b"], "there", most=1).count() == 4000
