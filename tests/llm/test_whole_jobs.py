@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from halocline.llm import groups, jaccard, licenses, pii
 from halocline.llm.workspace import Workspace
 from tests.llm.test_pairs import brute_classes, word_sets
@@ -132,6 +133,14 @@ def test_only_texts_in_doubt_are_sent_to_be_compared(spark, monkeypatch):
     assert sent and max(sent) <= 100
 
 
+def test_texts_that_stay_are_sent_nowhere(spark, monkeypatch):
+    sent = _sent(monkeypatch, groups)
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in _few_copies()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(i, " ".join(f"t{i}w{k}" for k in range(30))) for i in range(1000)] + [(3001, ""), (3001, " "), (3001, "")])
+    assert sent and max(sent) <= 100
+
+
 def test_marked_rows_hold_all_keys(spark):
     work = Workspace(spark, "test")
     keyed = work.write(spark.range(0, 4000, 40).select(F.col("id").alias("a"), F.when(F.col("id") % 80 > 0, F.col("id")).alias("b")), "keyed")
