@@ -66,6 +66,18 @@ def interp1d(src: DataFrame, dst: DataFrame, by: list[str], x: str, value: str,
     return rows.select(*by, F.col("_x").alias(x), result.alias(out))
 
 
+def at_position(src: DataFrame, by: list[str], x: str, value: str, at: float, out: str = "value") -> DataFrame:
+    """``interp1d``'s linear values at one position, the same in all groups, for one row a group of ``by``.
+
+    The nodes next to it are two extremes, so this is an aggregation: no row is sorted, none is added for the target.
+    """
+    here, v = F.col(x), F.col(value).cast("double")
+    lo, hi, at = F.when(here <= at, here), F.when(here >= at, here), F.lit(at)
+    nodes = src.groupBy(*by).agg(F.max(lo).alias("_lo"), F.max_by(v, lo).alias("_a"), F.min(hi).alias("_hi"), F.min_by(v, hi).alias("_b"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * ((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return nodes.select(*by, F.when(F.col("_lo") == at, F.col("_a")).when(F.col("_hi") == at, F.col("_b")).otherwise(between).alias(out))
+
+
 def overlap(src: DataFrame, dst: DataFrame, by: list[str], lo: str, hi: str, coarse: float) -> DataFrame:
     """Pairs of source and target cells that overlap, and by how much: joined on coarse cells of the axis.
 

@@ -41,9 +41,13 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg((F.avg("value") / 7.0137).alias("v"))
 
 
-def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """profile, level, depth, temp, sal."""
-    first = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("s"))
+def profiles(spark: SparkSession, d: str, together: int | None = None) -> DataFrame:
+    """profile, level, depth, temp, sal. ``together``: all rows of a profile in one partition, of about so many rows, so
+    that means of levels and what follows by profile are made there, in memory that does not grow with the table."""
+    rows = table(spark, d, "lineitem")
+    if together:
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // together)), "l_orderkey")
+    first = rows.groupBy("l_orderkey", "l_linenumber").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("s"))
     return first.select(F.col("l_orderkey").alias("profile"), F.col("l_linenumber").alias("level"), (-10.0 * F.col("l_linenumber")).alias("depth"), (F.col("q") / 2).alias("temp"), (30 + F.col("s") * 50).alias("sal"))
 
 

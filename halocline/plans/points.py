@@ -89,9 +89,7 @@ def layer_at_depth(spark, d):
     """Temperature 25 m down, of profiles that have levels on both sides of it, between the nearest of either side."""
     from halocline.operators import interp
 
-    p = profiles(spark, d)
-    at = p.select("profile").distinct().withColumn("depth", F.lit(-25.0))
-    found = interp.interp1d(p, at, ["profile"], "depth", "temp").filter("value is not null")
+    found = interp.at_position(profiles(spark, d, together=500_000), ["profile"], "depth", "temp", -25.0).filter("value is not null")
     return found.select("profile", r6("value").alias("temp"))
 
 

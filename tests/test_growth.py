@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import coast, cut, kriging, points, scatter, stats
+from halocline.operators import coast, cut, interp, kriging, points, scatter, stats
+from halocline.plans import catalog, inputs
 
 
 def test_correlation_probability_of_many_values(spark):
@@ -137,3 +138,24 @@ def test_pieces_meet_once_without_a_shuffle_of_pairs(spark):
     rows = found.collect()
     assert sum(r["length"] for r in rows) == pytest.approx(math.hypot(4.8, 3.5) + math.hypot(4.6, 0.6))
     assert len({(r["s"], r["j"], r["i"]) for r in rows}) == len(rows) > 10
+
+
+def test_one_position_needs_no_sort(spark):
+    rows = [(k, float(x), None if (k * x) % 11 == 3 else float(k * x % 7)) for k in range(60) for x in range(-9, 10) if (k * 31 + x * 17) % 5 < 2]
+    src = spark.createDataFrame([*rows, (70, None, 1.0)], "k int, x double, v double")
+    for at in (0.0, -2.5, 8.5):
+        targets = src.select("k").distinct().withColumn("x", F.lit(at))
+        want = {r["k"]: r["value"] for r in interp.interp1d(src, targets, ["k"], "x", "v").collect()}
+        got = {r["k"]: r["value"] for r in interp.at_position(src, ["k"], "x", "v", at).collect()}
+        assert got == pytest.approx(want)
+        assert len({v for v in want.values() if v is not None}) > 5
+
+
+def test_layer_at_depth_is_one_shuffle_of_small_tasks(spark, tmp_path):
+    """A profile's rows meet once, and stay for its levels and the depth: no sort, no window, and more tasks for more rows."""
+    lines = spark.range(40).selectExpr("id div 4 as l_orderkey", "cast(id % 4 + 1 as int) as l_linenumber", "cast(id as double) as l_quantity", "0.0d as l_discount")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = catalog.QUERIES["layer_at_depth"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan
+    assert "hashpartitioning(l_orderkey" in inputs.profiles(spark, str(tmp_path), together=4)._jdf.queryExecution().executedPlan().toString()
+    assert ", 10), REPARTITION_BY_NUM" in inputs.profiles(spark, str(tmp_path), together=4)._jdf.queryExecution().executedPlan().toString()
